@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy step holds at once; one longer document is held alone.
 CHUNK_BYTES = 1 << 20
@@ -111,3 +112,27 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
+
+
+def possible_rows(df: DataFrame, wanted: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """Rows of df whose `key` may be in `wanted`: a filter of 2**bits bits (8 MB), whatever the size of `wanted`.
+
+    It only saves shuffling: rows it lets through are decided by the join that follows, and a
+    filter that is full lets all through."""
+    spark = df.sparkSession
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits).cast("long"))
+    words = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).collect())  # at most 2**(bits - 6) rows
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for w, v in words:
+        table[w] = v
+    send = spark.sparkContext.broadcast(table)
+    names = df.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = send.value.view(np.uint64)
+        for b in batches:
+            p = np.asarray(b.column(len(names)))
+            yield b.select(names).filter(pa.array((flags[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return arrow_map(df.select(*names, place.alias("__place")), rows, df.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, staged, text_chunks
+from tessera.llm.common import arrow_map, possible_rows, staged, text_chunks
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, lines, mix
 
 LEAST = 8
@@ -120,7 +120,8 @@ def variant_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     pa.array([None] * len(line) + text + [None] * len(line), pa.string())], ["key", "role", "h", "k", "i", "text"])
 
     lists = wanted.groupBy("k").agg(F.collect_list(F.struct("i", "h")).alias("asked"))
-    joined = docs.select(F.expr(KEY).alias("k"), "text").join(lists, "k")
+    lists = staged(lists, "asked")
+    joined = possible_rows(docs.select(F.expr(KEY).alias("k"), "text"), lists, "k").join(lists, "k")
     return arrow_map(joined.select("k", "text", "asked"), rows, "key long, role int, h long, k long, i int, text string")
 
 
