@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 LANGUAGES = ("typescript", "javascript", "ruby")
 NODE_SCHEMA = "path string, language string, node_seq int, type string, name string, content string, start_line int, end_line int, start_char int, end_char int, error string"
 
@@ -460,6 +462,7 @@ def extract_nodes(files: DataFrame, types: tuple[str, ...] | None = None) -> Dat
                     out.append({"path": path, "language": language, "error": str(e)})
             yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("node_seq", "start_line", "end_line", "start_char", "end_char")})
 
+    ship(files.sparkSession)
     return files.select("path", "language", "content").mapInPandas(rows, NODE_SCHEMA)
 
 

@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.functions.vectors import hash_embed
 from tessera.operators import changes, chunking, extract, search, stats
 from tessera.plans import config as configs
+from tessera.session import ship
 from tessera.sources import files
 from tessera.sources.collections import Collections, Folder
 
@@ -48,6 +49,7 @@ def embed_with(df: DataFrame, model: Callable[[Sequence[str]], list[list[float]]
                     some["embedding"], some["error"] = None, str(e)
                 yield some
 
+    ship(df.sparkSession)
     return df.mapInPandas(rows, schema)
 
 
