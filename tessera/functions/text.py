@@ -53,6 +53,11 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(cleaned, r"\s+"), lambda w: F.length(w) > 2)
 
 
+def word_parts(text: Column) -> Column:
+    """Lower-cased words and parts of identifiers of three letters or more, in order, repeats kept."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), "[^a-z0-9]+"), lambda w: F.length(w) > 2)
+
+
 def chunk_keywords(text: Column, most: int = 10) -> Column:
     """The first distinct words of a chunk that are no stop words."""
     return F.slice(without(F.array_distinct(plain_words(text)), fixed.CHUNK_STOP_WORDS), 1, most)

@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from tessera.session import ship
 
 LANGUAGES = ("typescript", "javascript", "ruby")
 NODE_SCHEMA = "path string, language string, node_seq int, type string, name string, content string, start_line int, end_line int, start_char int, end_char int, error string"
+_ARROW = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split() for c in NODE_SCHEMA.split(", "))])
 
 
 @dataclass
@@ -396,7 +397,7 @@ def ruby_nodes(src: str) -> list[Node]:
                         nodes.append(node)
                     continue
             elif t.text in ("class", "module") and i + 1 < len(toks) and toks[i + 1].text != "<":
-                plain = toks[i + 1].kind == "name" and not (i + 3 < len(toks) and toks[i + 2].text == ":" and toks[i + 3].text == ":")
+                plain = toks[i + 1].kind == "name" and not (i + 2 < len(toks) and toks[i + 2].text == ":")
                 node = Node(t.text, toks[i + 1].text if plain else "", t.start, -1)
             stack.append(node)
         elif t.text == "end" and stack:
@@ -451,19 +452,18 @@ def parse(src: str, language: str, types: tuple[str, ...] | None = None) -> list
 def extract_nodes(files: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """Rows of NODE_SCHEMA for files with path, language and content; `error` is set where a file failed."""
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
-            for path, language, content in zip(part["path"], part["language"], part["content"], strict=True):
+            for path, language, content in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    out += [{"path": path, "language": language, "node_seq": i, **row, "error": None} for i, row in enumerate(parse(content or "", language, types))]
+                    out += [{"path": path, "language": language, "node_seq": i, **row} for i, row in enumerate(parse(content or "", language, types))]
                 except Exception as e:  # a file that fails must not end the job
                     out.append({"path": path, "language": language, "error": str(e)})
-            yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("node_seq", "start_line", "end_line", "start_char", "end_char")})
+            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     ship(files.sparkSession)
-    return files.select("path", "language", "content").mapInPandas(rows, NODE_SCHEMA)
+    return files.select("path", "language", "content").mapInArrow(rows, NODE_SCHEMA)
 
 
 def nodes_by_file(nodes: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ def stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def fresh_triggers(events: DataFrame, lateness: str = "5 minutes", key: str = "event_id", ts: str = "ts") -> DataFrame:
     """Each trigger once, those older than the watermark left out: works on streams and on tables."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     if events.isStreaming:
         return events.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
@@ -30,7 +31,7 @@ def stale_flags(events: DataFrame, minutes: int = 5, ts: str = "ts") -> DataFram
 
 def windowed_counts(events: DataFrame, width: str = "10 minutes", lateness: str = "5 minutes", ts: str = "ts") -> DataFrame:
     """Triggers by type and window."""
-    rows = events.withWatermark(ts, lateness) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness) if events.isStreaming else events
     return rows.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("triggers")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "triggers")
 
 
