@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,18 @@ def same_root(old: DataFrame, new: DataFrame) -> bool:
     return sums(old) == sums(new)
 
 
-def flat_root(snap: DataFrame) -> DataFrame:
-    """One row: sha256 of all hashes in order, joined. Kept for compatibility; the hashes of a snapshot meet in one task, 64 bytes a file."""
-    joined = F.array_join(F.array_sort(F.collect_list("hash")), "")
-    return snap.agg(F.sha2(joined, 256).alias("root_hash"), F.count("*").alias("file_count"))
+def flat_root(snap: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """One row: sha256 of all hashes in order, joined.
+
+    This hash is sequential by definition. Up to `most` files it is one aggregate (64 bytes a file);
+    beyond, sorted hashes stream through the driver, which holds one partition at a time."""
+    files = snap.count()
+    if files <= most:
+        return snap.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("root_hash"), F.count("*").alias("file_count"))
+    digest = hashlib.sha256()
+    for row in snap.select("hash").orderBy("hash").toLocalIterator(prefetchPartitions=True):
+        digest.update(row.hash.encode())
+    return snap.sparkSession.createDataFrame([(digest.hexdigest(), files)], "root_hash string, file_count long")
 
 
 def pairwise_root(snap: DataFrame, order: str = "path") -> DataFrame:

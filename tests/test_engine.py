@@ -106,6 +106,7 @@ def test_roots(spark):
     files_ = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "c")], "path string, content string")
     snap = changes.snapshot(files_)
     assert changes.flat_root(snap).first().root_hash == "f71b5a2b8d2b4ed795489a9044d19848db2a60b76691961c6e16d89d4867c0d3"
+    assert changes.flat_root(snap, most=1).first() == changes.flat_root(snap).first()
     assert changes.pairwise_root(snap).first().root_hash == "d71dc32fa2cd95be60b32dbb3e63009fa8064407ee19f457c92a09a5ff841a8a"
     assert changes.pairwise_root(snap.limit(0)).first().root_hash == changes.EMPTY_ROOT
 
