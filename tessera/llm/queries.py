@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, licenses, line_dedup, ngram_join, pii, quality_mil, quality_rules, sharding, substring_dedup
+from tessera.llm import bpe, decontaminate, licenses, line_dedup, ngram_join, oracles, pii, quality_mil, quality_rules, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
