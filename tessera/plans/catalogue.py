@@ -493,7 +493,7 @@ def path_glob_filter(spark, sf_dir):
   c AS (SELECT *, floor(files * CASE language WHEN 'typescript' THEN 6.0 WHEN 'javascript' THEN 6.0 WHEN 'ruby' THEN 3.5 WHEN 'python' THEN 4.5 ELSE 4.0 END + 0.5)::bigint AS chunks FROM n),
   s AS (SELECT *, chunks / 28.0::double + files / 700.0::double + 10 AS sec, chunks * 175 * 0.02::double / 1e6 AS cost FROM c)
   SELECT language, files, chunks, round(sec, 6) AS seconds, CASE WHEN sec < 60 THEN '~' || floor(sec)::bigint || ' seconds' WHEN sec < 120 THEN '~1-2 minutes' ELSE '~' || floor(sec / 60)::bigint || '-' || (floor(sec / 60)::bigint + 1) || ' minutes' END AS time,
-    CASE WHEN cost < 0.01 THEN printf('~$%.6f (<1 cent)', cost) ELSE printf('~$%.4f', cost) END AS cost FROM s""")
+    CASE WHEN cost < 0.01 THEN printf('~$%.6f (<1 cent)', round(cost::decimal(18, 9), 6)::double) ELSE printf('~$%.4f', round(cost::decimal(18, 9), 4)::double) END AS cost FROM s""")
 def preflight_estimate(spark, sf_dir):
     n = source_files(spark, sf_dir).where("language is not null").groupBy("language").agg(F.count("*").alias("files"))
     n = n.withColumn("chunks", stats.estimate_chunks(F.col("files"), F.col("language")))
