@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import ship
@@ -92,25 +93,33 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def possible_rows(df: DataFrame, wanted: DataFrame, key: str, bits: int = 26) -> DataFrame:
-    """Rows of df whose `key` may be in `wanted`: a filter of 2**bits bits (8 MB), whatever the size of `wanted`.
+def bit_table(wanted: DataFrame, place: Column, bits: int) -> Broadcast:
+    """A table of 2**bits bits with those at `place` of wanted set (26 bits: 8 MB), whatever the size of `wanted`.
 
-    It only saves shuffling: rows it lets through are decided by the join that follows, and a
-    filter that is full lets all through."""
-    spark = df.sparkSession
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits).cast("long"))
-    words = (wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).collect())  # at most 2**(bits - 6) rows
+    Such a filter only saves shuffling: what it lets through is decided by the join that follows,
+    and a table that is full lets all through."""
+    words = (wanted.select(F.pmod(place, F.lit(1 << bits).cast("long")).alias("p")).groupBy(F.shiftright("p", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).collect())  # at most 2**(bits - 6) rows
     table = np.zeros(1 << (bits - 6), np.int64)
     for w, v in words:
         table[w] = v
-    send = spark.sparkContext.broadcast(table)
+    return wanted.sparkSession.sparkContext.broadcast(table)
+
+
+def may_hold(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which places have their bit set; places are taken modulo the table's bits."""
+    p = place.view(np.uint64) & np.uint64(len(table) * 64 - 1)
+    return (table.view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+
+
+def possible_rows(df: DataFrame, wanted: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """Rows of df whose `key` may be in `wanted`."""
+    place = F.xxhash64(F.col(key))
+    send = bit_table(wanted, place, bits)
     names = df.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = send.value.view(np.uint64)
         for b in batches:
-            p = np.asarray(b.column(len(names)))
-            yield b.select(names).filter(pa.array((flags[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            yield b.select(names).filter(pa.array(may_hold(send.value, np.asarray(b.column(len(names))))))
 
     return arrow_map(df.select(*names, place.alias("__place")), rows, df.schema)

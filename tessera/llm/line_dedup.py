@@ -10,9 +10,10 @@ same word deleted (replacement), or one is a variant of the other (insertion). T
 member of each variant's group is a minimum, so a group is never listed, whatever its size.
 The pair of a line and its earliest neighbour is verified on the words themselves.
 
-A line enters the neighbourhood join only if another distinct line shares one of three sums of
-its words' hashes (words dealt by hash mod 3): one edit changes at most two of them, so no
-pair is lost, and most lines emit nothing.
+A line enters the neighbourhood join only if another distinct line shares its first or last half:
+one edit lies in one half and leaves the other, so no pair is lost, and most lines emit
+nothing. A line of n words has the halves of n // 2 and of (n - 1) // 2 words, the latter for a
+partner that is one word shorter.
 
 Defined results: null and empty texts have no lines with words; a null doc_id is before all
 others; rows that repeat a doc_id are one document to the order, so equal lines at the same
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, possible_rows, staged, text_chunks
+from tessera.llm.common import arrow_map, bit_table, may_hold, staged, text_chunks
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, lines, mix
 
 LEAST = 8
@@ -52,15 +53,15 @@ class Lines:
         self.seq = Sequence(self.word, WORD_BASE)
         self.h = self.seq.spans(self.a, self.b)
 
-    def sums(self) -> np.ndarray:
-        """Three sums of word hashes for each line, of the words whose hash mod 3 is 0, 1 and 2."""
-        out = np.empty((3, len(self.h)), np.uint64)
-        value, part = mix(self.word), self.word % np.uint64(3)
-        for g in range(3):
-            total = np.zeros(len(value) + 1, np.uint64)
-            np.cumsum(np.where(part == g, value, np.uint64(0)), out=total[1:])
-            out[g] = mix((total[self.b] - total[self.a]) ^ mix(np.full(1, g + 1, np.uint64)))
-        return out
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Four keys for each line: its first and last n // 2 words, and (n - 1) // 2 words where that is less; and which count."""
+        n = self.b - self.a
+        keys, counts = np.empty((4, len(n)), np.uint64), np.empty((4, len(n)), bool)
+        for g, size in enumerate((n // 2, n // 2, (n - 1) // 2, (n - 1) // 2)):
+            last = g % 2 == 1
+            keys[g] = self.seq.spans(self.b - size, self.b) ^ SPAN if last else self.seq.spans(self.a, self.a + size)
+            counts[g] = (n >= LEAST) & ((g < 2) | (n % 2 == 0))
+        return keys, counts
 
     def variants(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each line in `of` and each of its words: the line, the word's place, the hash of the line without it."""
@@ -75,7 +76,7 @@ class Lines:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, i, h, n and sums s (lines of LEAST words or more); one row with i = -1 a document, whose n is its count of lines."""
+    """row, doc_id, i, h, n and keys s of halves (lines of LEAST words or more); one row with i = -1 a document, whose n is its count of lines."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -83,46 +84,63 @@ def line_table(docs: DataFrame) -> DataFrame:
                 x = Lines(Words(data, offsets))
                 many = hi - lo
                 at = pa.array(np.concatenate([np.arange(lo, hi), x.doc + lo]))
-                s = x.sums().view(np.int64)
-                null = np.concatenate([np.ones(many, bool), x.b - x.a < LEAST])
+                s, counts = x.halves()
+                null = np.concatenate([np.ones((4, many), bool), ~counts], axis=1)
                 pad = lambda v: np.concatenate([np.zeros(many, v.dtype), v])
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate([np.full(many, -1), x.number]).astype(np.int32)), pa.array(pad(x.h.view(np.int64))),
-                    pa.array(np.concatenate([x.per_doc, x.b - x.a]).astype(np.int32)), *(pa.array(pad(s[g]), mask=null) for g in range(3))],
-                    ["row", "doc_id", "i", "h", "n", "s0", "s1", "s2"])
+                    pa.array(np.concatenate([x.per_doc, x.b - x.a]).astype(np.int32)), *(pa.array(pad(s[g].view(np.int64)), mask=null[g]) for g in range(4))],
+                    ["row", "doc_id", "i", "h", "n", "s0", "s1", "s2", "s3"])
 
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return arrow_map(docs, rows, "row long, doc_id long, i int, h long, n int, s0 long, s1 long, s2 long")
+    return arrow_map(docs, rows, "row long, doc_id long, i int, h long, n int, s0 long, s1 long, s2 long, s3 long")
 
 
-def variant_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, role, h, k, i and (once a line) its text, for the lines (k, i, h) in `wanted`.
-
-    role 0: a variant with its deleted place; 1: the whole line; 2: a variant without place."""
+def wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (h, k, i, flags) with each line's text: documents send only lines whose hash may be wanted."""
+    send = bit_table(wanted, F.col("h"), 26)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             keys = np.asarray(b.column(0))
-            asked = b.column(2).to_pylist()
-            for lo, hi, data, offsets in text_chunks(b, most=1 << 18):
+            for lo, _, data, offsets in text_chunks(b):
                 x = Lines(Words(data, offsets))
-                want = {(d, r["i"], r["h"]) for d in range(hi - lo) for r in asked[lo + d]}
-                signed = x.h.view(np.int64)
-                of = np.array([t for t, key in enumerate(zip(x.doc.tolist(), x.number.tolist(), signed.tolist(), strict=True)) if key in want], np.int64)
-                line, j, v = x.variants(of)
-                n = (x.b - x.a)[line].astype(np.uint64)
+                of = np.flatnonzero(may_hold(send.value, x.h))
+                text = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(x.bytes[0][of].tolist(), x.bytes[1][of].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.h[of].view(np.int64)), pa.array(keys[x.doc[of] + lo]), pa.array(x.number[of].astype(np.int32)), pa.array(text, pa.string())], ["h", "k", "i", "text"])
+
+    found = arrow_map(docs.select(F.expr(KEY).alias("k"), "text"), rows, "h long, k long, i int, text string")
+    return found.join(wanted.hint("merge"), ["h", "k", "i"])
+
+
+#: What the sharing of halves tells about a line: its edit may be in the last half, in the first, its partner may be longer or shorter.
+LAST, FIRST, LENGTH = 1, 2, 4
+
+
+def variant_table(found: DataFrame) -> DataFrame:
+    """key, role, h, k, i and (once a line) its text, for lines (h, k, i, text, flags).
+
+    role 0: a variant with its deleted place; 1: the whole line; 2: a variant without place."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            h, k, i, flags = (np.asarray(b.column(c)) for c in (0, 1, 2, 4))
+            for lo, hi, data, offsets in text_chunks(b):
+                x = Lines(Words(data, offsets))  # each text is one line
+                line, j, v = x.variants(np.arange(hi - lo))
+                n, flag = (x.b - x.a)[line], flags[lo:hi][line]
+                half = (n - 1) // 2
+                use = ((flag & LAST) > 0) & (j >= half) | ((flag & FIRST) > 0) & (j < n - half)
+                line, j, v, n, flag = line[use], j[use], v[use], n[use].astype(np.uint64), flag[use]
                 placed = mix(v ^ mix((j.astype(np.uint64) << np.uint64(32)) | n)) ^ SPAN
-                text = [data[x.bytes[0][t] : x.bytes[1][t]].tobytes().decode("utf-8", "replace") for t in of]
-                src = np.concatenate([line, of, line])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([placed, x.h[of], v]).view(np.int64)), pa.array(np.repeat(np.array([0, 1, 2], np.int32), [len(line), len(of), len(line)])),
-                    pa.array(signed[src]), pa.array(keys[x.doc[src] + lo]), pa.array(x.number[src].astype(np.int32)),
-                    pa.array([None] * len(line) + text + [None] * len(line), pa.string())], ["key", "role", "h", "k", "i", "text"])
+                free = (flag & LENGTH) > 0
+                src = np.concatenate([line, np.arange(hi - lo), line[free]])
+                roles = np.repeat(np.array([0, 1, 2], np.int32), [len(line), hi - lo, int(free.sum())])
+                texts = pa.concat_arrays([pa.nulls(len(line), pa.string()), b.column(3).slice(lo, hi - lo), pa.nulls(int(free.sum()), pa.string())])
+                src_row = src + lo
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([placed, x.h, v[free]]).view(np.int64)), pa.array(roles), pa.array(h[src_row]), pa.array(k[src_row]), pa.array(i[src_row]), texts], ["key", "role", "h", "k", "i", "text"])
 
-    lists = wanted.groupBy("k").agg(F.collect_list(F.struct("i", "h")).alias("asked"))
-    lists = staged(lists, "asked")
-    joined = possible_rows(docs.select(F.expr(KEY).alias("k"), "text"), lists, "k").join(lists, "k")
-    return arrow_map(joined.select("k", "text", "asked"), rows, "key long, role int, h long, k long, i int, text string")
+    return arrow_map(found.select("h", "k", "i", "text", "flags"), rows, "key long, role int, h long, k long, i int, text string")
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -135,13 +153,15 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[same + (len(a) == len(b)) :] == b[same + 1 :]
 
 
-def neighbours(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h and its earliest neighbour's place (k, i) for distinct lines (h, k, i, s0, s1, s2) that have an earlier one."""
-    sums = distinct.where("s0 is not null").select("h", F.explode(F.array("s0", "s1", "s2")).alias("s"))
-    shared = staged(sums.groupBy("s").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("s"), "sums")
-    alike = sums.join(shared, "s").select("h").distinct()
-    wanted = distinct.select("h", "k", "i").join(alike, "h")
-    table = staged(variant_table(docs, wanted), "variants")
+def neighbours(docs: DataFrame, real: DataFrame, distinct: DataFrame) -> DataFrame:
+    """h and its earliest neighbour's place (k, i) for distinct lines (h, k, i) that have an earlier one."""
+    halves = real.where("s0 is not null").select("h", "n", F.posexplode(F.array("s0", "s1", "s2", "s3")).alias("g", "s")).where("s is not null")
+    shared = halves.groupBy("s").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("n").alias("short"), F.max("n").alias("long")).where("a <> b")
+    shared = staged(shared.select("s", F.when(F.col("short") < F.col("long"), LENGTH).otherwise(0).alias("flag")), "halves")
+    flag = F.when(F.col("g") % 2 == 0, LAST).otherwise(FIRST).bitwiseOR(F.col("flag"))
+    alike = staged(halves.join(shared.hint("merge"), "s").groupBy("h").agg(F.bit_or(flag).alias("flags")), "alike")
+    wanted = staged(distinct.select("h", "k", "i").join(alike, "h"), "wanted")
+    table = staged(variant_table(wanted_lines(docs, wanted)), "variants")
     place = F.struct("k", "i", "h")
     least = lambda role: F.min(F.when(F.col("role") == role, place))
     groups = table.groupBy("key").agg(least(0).alias("m0"), least(1).alias("m1"), least(2).alias("m2"), F.count("*").alias("members"))
@@ -166,9 +186,9 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The staged table of lines, and the lines to remove (row, k, i, h)."""
     table = staged(line_table(docs), "lines")
     real = table.where("i >= 0").withColumn("k", F.expr(KEY))
-    distinct = real.groupBy("h").agg(F.min(F.struct("k", "i")).alias("first"), F.max(F.struct("k", "i")).alias("last"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    distinct = staged(distinct.select("h", "first.k", "first.i", (F.col("first") < F.col("last")).alias("again"), "s0", "s1", "s2"), "distinct")
-    near = neighbours(docs, distinct).select("h", F.struct("k", "i").alias("near"))
+    distinct = real.groupBy("h").agg(F.min(F.struct("k", "i")).alias("first"), F.count("*").alias("places"))
+    distinct = staged(distinct.select("h", "first.k", "first.i", (F.col("places") > 1).alias("again")), "distinct")
+    near = neighbours(docs, real, distinct).select("h", F.struct("k", "i").alias("near"))
     rule = distinct.join(near, "h", "left").where("again or near is not null")
     rule = staged(rule.select("h", F.least(F.struct("k", "i"), F.coalesce("near", F.struct("k", "i"))).alias("from")), "rule")
     gone = real.select("row", "k", "i", "h").join(rule, "h").where(F.struct("k", "i") > F.col("from"))
