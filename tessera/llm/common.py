@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.session import ship
 
 #: Bytes of text that a numpy step holds at once; one longer document is held alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset."""
@@ -87,10 +89,24 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYT
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and stages to come count what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers' path."""
+    """mapInArrow with this package on the workers' path; a worker gives its free memory back after each partition."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(rows, schema)
 
 
 def bit_table(wanted: DataFrame, place: Column, bits: int) -> Broadcast:
