@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import staged
 
 #: The kinds in their order, and the patterns. `\G` is the end of the last match; possessive
-#: quantifiers and the look-behind only save attempts that cannot succeed.
+#: quantifiers and the look-behind only save attempts that cannot succeed (and Java's stack, on long runs).
 KINDS = ("email", "ip", "card", "phone", "secret")
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -78,7 +78,7 @@ def luhn(number: Column) -> Column:
 def valid(kind: str, text: Column) -> Column:
     """The check of a kind's match."""
     if kind == "ip":
-        return text.rlike(IP_PART) & F.forall(F.split(text, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9]{4})", "").cast("long") <= 255)
+        return text.rlike(IP_PART) & F.forall(F.split(text, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9]{4})", "").try_cast("long") <= 255)
     if kind == "card":
         return F.length(digits(text)).between(13, 19) & luhn(digits(text))
     if kind == "phone":

@@ -71,6 +71,13 @@ def test_pii(case):
         assert len(spans) >= r.n_email + r.n_ip + r.n_card + r.n_phone
 
 
+def test_pii_in_extreme_runs(spark):
+    texts = ["a@b" + ".c" * 20_000 + " x", "9" * 4000, "1.2.3." + "4" * 5000, "99999999999999999999.1.1.1 " + "0" * 400 + "1.2.3.4", "1 " * 3000, "+1" * 5000, "a" * 4000 + "@", "x_1" * 3000, "+1 " + "(2) " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in brute.pii(t)))) for i, t in enumerate(texts)]
+    same([(r.doc_id, r.base_sha256) for r in pii.digest(pii.find_pii(docs)).collect()], want)
+
+
 def test_pii_reliabilities_favour_agreeing_labelers(spark):
     # code: check + 3 * gazetteer + 9 * context + 27 * shape; 0 no, 1 yes, 2 abstain
     rows = [(1 + 3 * 2 + 9 * 1 + 27, 1, 200), (0 + 3 * 2 + 9 * 2 + 0, 2, 300), (1 + 3 * 0 + 9 * 2 + 27, 3, 20)]
