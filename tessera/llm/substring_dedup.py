@@ -10,6 +10,9 @@ next when there are `fanout` of them (compaction). Looking a batch up merge-join
 with the runs. Fingerprints seen twice only nominate windows: these are verified by 96 bits of
 hash over all their words, and only windows found elsewhere are removed.
 
+A text that is a copy of another, word for word, needs no windows of its own: its copies with
+the least key stand for all, and count twice.
+
 Verification needs no list of places: windows are counted with a partial aggregate, and for
 those that stay alone the sum carries their document, so hot passages stay cheap.
 
@@ -54,8 +57,16 @@ def window_anchors(words: Words, window: int = WINDOW, gram: int = GRAM) -> tupl
     return seq, at, doc, anchor, grams
 
 
+def whole_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with a window, and a hash of all their words."""
+    some = np.flatnonzero(words.n_words >= WINDOW)
+    return some, Sequence(words.hashes(), WORD_BASE).spans(words.first[:-1][some], words.first[1:][some])
+
+
 def fingerprints(docs: DataFrame, batches: int = 1) -> DataFrame:
-    """h (fingerprint), k (document key), n (places, at most 2) and batch, one row for each document and hash."""
+    """h (fingerprint), k (document key), n (places, at most 2), whole and batch, one row for each document and hash.
+
+    whole: h is the hash of all words of a text that has a window."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -71,11 +82,15 @@ def fingerprints(docs: DataFrame, batches: int = 1) -> DataFrame:
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 n = np.diff(np.append(np.flatnonzero(first), len(h)))
-                d = d[first] + lo
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(keys[d]), pa.array(np.minimum(n, 2).astype(np.int64)), pa.array(deal[d])], ["h", "k", "n", "batch"])
+                some, total = whole_hashes(words)
+                h = np.concatenate([h[first], total])
+                d = np.concatenate([d[first], some]) + lo
+                n = np.concatenate([np.minimum(n, 2), np.ones(len(some), np.int64)])
+                whole = np.arange(len(h)) >= len(h) - len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[d]), pa.array(n.astype(np.int64)), pa.array(whole), pa.array(deal[d])], ["h", "k", "n", "whole", "batch"])
 
     docs = docs.select(F.expr(KEY).alias("k"), "text")
-    return arrow_map(docs.withColumn("batch", F.pmod(F.xxhash64("k"), F.lit(batches)).cast("int")), rows, "h long, k long, n long, batch int")
+    return arrow_map(docs.withColumn("batch", F.pmod(F.xxhash64("k"), F.lit(batches)).cast("int")), rows, "h long, k long, n long, whole boolean, batch int")
 
 
 class FingerprintLog:
@@ -138,7 +153,7 @@ def _lists(column: pa.Array) -> list:
 
 
 def lone_windows(docs: DataFrame) -> DataFrame:
-    """k and w of nominated windows that stand nowhere else. docs: k, doc_id, text, dup."""
+    """k and w of nominated windows that stand nowhere else. docs: k, doc_id, text, dup, stands (the least key) of its copies."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -147,11 +162,21 @@ def lone_windows(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in text_chunks(b):
                 words = Words(data, offsets)
                 at, doc, w, seq = _nominated(words, _lists(b.column(2).slice(lo, hi - lo)), lo)
+                some, total = whole_hashes(words)
+                role = np.ones(hi - lo, np.int64)  # times that a window counts: 0 for copies, 2 for the one that stands for them
+                copies = b.column(3).slice(lo, hi - lo).to_pylist()
+                for i, h in zip(some.tolist(), total.view(np.int64).tolist(), strict=True):
+                    for c in copies[i] or ():
+                        if c["h"] == h:
+                            role[i] = 2 if c["stands"] else 0
+                use = role[doc] > 0
+                at, doc, w = at[use], doc[use], w[use]
                 uniq, first, count = np.unique(w, return_index=True, return_counts=True)
+                count = np.maximum(count, role[doc[first]])
                 second = mix((seq.spans(at[first], at[first] + 17) << np.uint64(1)) ^ seq.spans(at[first] + 17, at[first] + WINDOW)) >> np.uint64(33)
                 yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(second.astype(np.int32)), pa.array(np.minimum(count, 2).astype(np.int32)), pa.array(keys[doc[first] + lo])], ["w", "x", "n", "k"])
 
-    found = arrow_map(docs.select("k", "text", "dup"), rows, "w long, x int, n int, k long")
+    found = arrow_map(docs.select("k", "text", "dup", "copies"), rows, "w long, x int, n int, k long")
     return found.groupBy("w", "x").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("n = 1").select("k", "w")
 
 
@@ -161,8 +186,11 @@ def removed_words(docs: DataFrame, batches: int = 2) -> DataFrame:
     prints = staged(fingerprints(docs, batches), "fingerprints")
     log = FingerprintLog(spark)
     for i in range(batches):
-        log.append(prints.where(F.col("batch") == i))
-    dup = staged(log.lookup(prints), "repeated")
+        log.append(prints.where((F.col("batch") == i) & ~F.col("whole")))
+    whole = prints.where("whole")
+    stands = staged(whole.groupBy("h").agg(F.min("k").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copies")
+    copies = whole.join(stands, "h").groupBy("k").agg(F.collect_set(F.struct("h", (F.col("k") == F.col("least")).alias("stands"))).alias("copies"))
+    dup = staged(log.lookup(prints.where("not whole")).join(copies, "k", "left"), "repeated")
     joined = docs.select(F.expr(KEY).alias("k"), "doc_id", "text").join(dup, "k", "left")
     lone = lone_windows(joined).groupBy("k").agg(F.collect_list("w").alias("lone"))
     return joined.join(lone, "k", "left")
