@@ -215,3 +215,32 @@ def dependencies(text: Column, language: Column) -> Column:
     kind = F.lower(language)
     none = F.array().cast("array<string>")
     return F.array_distinct(F.when(kind.isin("typescript", "javascript"), script).when(kind == "ruby", ruby).when(kind == "python", python).otherwise(none))
+
+
+def total_tokens(texts: Column) -> Column:
+    """Tokens of an array of texts."""
+    return F.aggregate(F.transform(texts, count_tokens), F.lit(0), lambda a, n: a + n)
+
+
+def lines_between(text: Column, first: Column, last: Column) -> Column:
+    """Lines first to last (from 1, both included)."""
+    return F.array_join(F.slice(F.split(text, "\n"), first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
+def line_and_column(text: Column, offset: Column) -> Column:
+    """struct<line, column> of a character offset: lines from 1, columns from 0."""
+    before = F.substring(text, F.lit(1), offset)
+    return F.struct((F.size(F.split(before, "\n"))).alias("line"), F.length(F.element_at(F.split(before, "\n"), -1)).alias("column"))
+
+
+def metadata_json(metadata: Column) -> Column:
+    """A metadata struct as JSON with times in ISO 8601 (UTC)."""
+    return F.to_json(metadata, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "timeZone": "UTC"})
+
+
+def metadata_from_json(json: Column, schema: str) -> Column:
+    return F.from_json(json, schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "timeZone": "UTC"})
+
+
+def display_score(score: Column) -> Column:
+    return F.format_string("%.3f", score)

@@ -92,3 +92,32 @@ def test_hash_embedder_is_unit_length_and_sees_likeness(spark):
 def test_durations_and_hashes(spark):
     assert [one(spark, T.format_duration(F.col("m")), m=m) for m in (12.0, 1500.0, 90000.0, 7200000.0)] == ["12ms", "1.5s", "1.5m", "2.0h"]
     assert one(spark, T.string_hash(F.col("t"), "sha512"), t="a").startswith("1f40fc92")
+
+
+def test_lines_offsets_and_metadata(spark):
+    df = spark.createDataFrame([("ab\ncde\nf", 2, 3, 5)], "t string, a int, b int, o int")
+    row = df.select(T.lines_between(F.col("t"), F.col("a"), F.col("b")).alias("l"), T.line_and_column(F.col("t"), F.col("o")).alias("p"), T.total_tokens(F.split("t", "\n")).alias("n")).first()
+    assert row.l == "cde\nf" and tuple(row.p) == (2, 2) and row.n == 3
+    schema = "path string, last_modified timestamp, keywords array<string>"
+    meta = spark.sql("SELECT struct('a' AS path, timestamp'2024-01-02 03:04:05.678' AS last_modified, array('k') AS keywords) AS m")
+    text = meta.select(T.metadata_json(F.col("m")).alias("j"))
+    assert '"2024-01-02T03:04:05.678Z"' in text.first().j
+    assert text.select(T.metadata_from_json(F.col("j"), schema).alias("m")).first().m == meta.first().m
+
+
+def test_jobs():
+    import time
+
+    from tessera.plans import jobs
+
+    j = jobs.Jobs(keep=2)
+    ids = [j.start("index", lambda report, i=i: report("parse", i, 4) or i) for i in range(4)]
+    bad = j.start("index", lambda report: 1 / 0)
+    for _ in range(200):
+        if not j.running():
+            break
+        time.sleep(0.01)
+    time.sleep(0.05)
+    assert len(j.all()) == 2 and j.get(bad).status == "failed" and "zero" in j.get(bad).error
+    assert j.get(ids[0]) is None
+    assert jobs.bar(1, 4, 4) == "█░░░ 25.0%" and jobs.format_bytes(1536) == "1.5KB" and jobs.tier(96, 100) == "warning"
