@@ -44,8 +44,8 @@ FEW = 16
 #: Bands of fewer than 2**WIDE shingles have 2**16 lanes, others as many as their least size.
 WIDE = 7
 #: Entries that one step gathers before it sends them on.
-FLUSH = 2_000_000
-BLOCK, BLOCK_SHINGLES = 256, 400_000
+FLUSH = 400_000
+BLOCK, BLOCK_SHINGLES = 128, 400_000
 SKETCH_BYTES = 256
 KEY = "coalesce(doc_id, -9223372036854775808L)"
 
@@ -199,11 +199,12 @@ def lane_join(blobs: DataFrame, ranges: int) -> DataFrame:
         if not keys:
             return
         key, sig, level, t = (np.concatenate(v) for v in (keys, sigs, levels, ts))
-        keys.clear(), sigs.clear(), levels.clear(), ts.clear()
+        del keys, sigs, levels, ts
         order = np.argsort(key)
+        key, sig, level, t = key[order], sig[order], level[order], t[order]
         twin = np.zeros(len(key) + 1, bool)
-        twin[1:-1] = key[order][1:] == key[order][:-1]
-        order = order[twin[1:] | twin[:-1]]  # most keys are alone
+        twin[1:-1] = key[1:] == key[:-1]
+        order = np.flatnonzero(twin[1:] | twin[:-1])  # most keys are alone
         order = order[np.lexsort((sig[order], key[order]))]
         key, sig, level, t = key[order], sig[order], level[order], t[order]
         new = np.ones(len(key), bool)
@@ -288,7 +289,7 @@ def verified_links(docs: DataFrame, table: DataFrame, groups: DataFrame) -> Data
     wanted = one.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("g")), "s1")
     wanted = staged(wanted, "wanted")
     size = wanted.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    block = F.greatest(F.lit(BLOCK), F.least(F.lit(4 * BLOCK), F.col("docs") / 20))
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(8 * BLOCK), F.col("docs") / 20))
     size = size.select("g", F.ceil(F.greatest(F.col("docs") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     size = staged(size, "sizes")
     wanted = staged(wanted.select("k", "s1", "g").join(size, "g"), "members")
@@ -304,7 +305,7 @@ def verified_links(docs: DataFrame, table: DataFrame, groups: DataFrame) -> Data
                 take = pa.array(good + lo)
                 yield pa.RecordBatch.from_arrays([b.column(2).take(take), b.column(3).take(take), b.column(4).take(take), pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in good], pa.binary())], ["s1", "g", "blocks", "set"])
 
-    found = few.join(wanted, "k").select("k", "text", "s1", "g", "blocks")
+    found = few.join(wanted.hint("merge"), "k").select("k", "text", "s1", "g", "blocks")
     found = arrow_map(found, sets, "s1 long, g long, blocks int, set binary")
     found = found.withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
     found = found.select("s1", "g", "set", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
