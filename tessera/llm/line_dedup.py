@@ -207,7 +207,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs with their lines removed from text (and n_chars counted anew); a row that loses all its words goes."""
     _, gone = removed_lines(docs)
-    lists = gone.select("k", "i", "h").distinct().groupBy("k").agg(F.collect_list(F.struct("i", "h")).alias("__gone"))
+    # a set for each document, not distinct rows first: those would hold the join to its partitioning, and a frequent line to one task
+    lists = gone.groupBy("k").agg(F.collect_set(F.struct("i", "h")).alias("__gone"))
     joined = docs.withColumn("__k", F.expr(KEY)).join(lists.withColumnRenamed("k", "__k"), "__k", "left").drop("__k")
     names, at = docs.columns, docs.columns.index("text")
 
