@@ -8,6 +8,7 @@ between files, so it runs on each partition by itself; files that fail give an e
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -118,6 +119,15 @@ class ScriptScan:
         self.src, self.typed = src, typed
         self.toks = tokens(src)
         self.pair = _pairs(self.toks)
+        self.opens = {b: a for a, b in self.pair.items()}
+        self.inside: list[int] = []  # the innermost open brace of each token, or -1
+        stack = [-1]
+        for i in range(len(self.toks)):
+            if len(stack) > 1 and self.pair[stack[-1]] == i:
+                stack.pop()
+            self.inside.append(stack[-1])
+            if self.text(i) == "{" and i in self.pair:
+                stack.append(i)
         self.nodes: list[Node] = []
 
     def text(self, i: int) -> str:
@@ -208,7 +218,7 @@ class ScriptScan:
         left = k
         while left >= 0 and (self.kind(left) == "name" or self.text(left) in (".", "]")):
             if self.text(left) == "]":
-                left = next((a for a, b in self.pair.items() if b == left), left)
+                left = self.opens.get(left, left)
             left -= 1
             if self.kind(left + 1) == "name" and self.text(left) != ".":
                 break
@@ -275,7 +285,6 @@ class ScriptScan:
     def arrow(self, i: int) -> None:
         """An arrow function whose `=>` is token i."""
         j = i - 1
-        opens = {b: a for a, b in self.pair.items()}
         if self.kind(j) == "name" and self.text(j - 1) != ":" and self.text(j - 1) != ")":
             start = j
         else:
@@ -283,10 +292,10 @@ class ScriptScan:
             while k >= 0 and self.text(k) != ")":
                 if self.text(k) in (";", "{") or (self.text(k) == "=" and self.kind(k) == "op"):
                     return
-                k = opens.get(k, k) - 1
-            if k < 0 or k not in opens:
+                k = self.opens.get(k, k) - 1
+            if k < 0 or k not in self.opens:
                 return
-            start = opens[k]
+            start = self.opens[k]
             if self.text(start - 1) == ">":
                 g, depth = start - 1, 0
                 while g >= 0:
@@ -298,8 +307,6 @@ class ScriptScan:
         if self.text(start - 1) == "async":
             start -= 1
         name = self.assigned_name(start)
-        if not self.typed and "." in name:
-            pass
         end = self.pair.get(i + 1) if self.text(i + 1) == "{" else self.expression_end(i + 1)
         if end is not None and name:
             self.add("function", name, start, end)
@@ -329,10 +336,9 @@ class ScriptScan:
         body = self.body_after(self.pair[i] + 1)
         if body is None:
             return
-        holder = [a for a, b in self.pair.items() if self.text(a) == "{" and a < start and b > body]
-        if not holder:
+        inside = self.inside[start]
+        if inside < 0:
             return
-        inside = max(holder)
         if inside in class_bodies or (self.text(inside - 1) in ("=", "(", ",", ":", "return", "[", "?", "=>") and before in ("{", ",")):
             self.add("method", name, start, self.pair[body])
 
@@ -440,11 +446,12 @@ def parse(src: str, language: str, types: tuple[str, ...] | None = None) -> list
     if language not in LANGUAGES:
         raise ValueError(f"unsupported language: {language}")
     nodes = ruby_nodes(src) if language == "ruby" else ScriptScan(src, language == "typescript").scan()
+    starts = [0, *(m.end() for m in re.finditer("\n", src))]
     out = []
     for n in nodes:
         if types is None or n.type in types:
-            line = lambda at: src.count("\n", 0, at) + 1
-            column = lambda at: at - (src.rfind("\n", 0, at) + 1)
+            line = lambda at: bisect_right(starts, at)
+            column = lambda at: at - starts[bisect_right(starts, at) - 1]
             out.append({"type": n.type, "name": n.name, "content": src[n.start : n.end], "start_line": line(n.start), "end_line": line(n.end), "start_char": column(n.start), "end_char": column(n.end)})
     return out
 
