@@ -337,7 +337,9 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class, that of the least doc_id, with all its columns; documents without shingles stay."""
+    """One row of docs for each class, that of the least doc_id, with all its columns; documents without shingles stay.
+
+    Ids tell documents apart: rows that repeat the least doc_id of a class all stay, as do rows without one."""
     classes = components(docs.select("doc_id", "text")).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(staged(classes, "dropped"), "doc_id", "left_anti")
     return kept.select(*docs.columns)
