@@ -40,7 +40,7 @@ def byte_symbols() -> list[str]:
 class WordBPE:
     """Encoder and decoder of a vocabulary whose words end in `</w>`."""
 
-    def __init__(self, path: str, keep: int = 50_000):
+    def __init__(self, path: str, keep: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
