@@ -1,7 +1,11 @@
 """License scans: fixed phrases, then an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, taken as its set of words; a template holds in a block when the
-block has at least `threshold` of the template's words. Words are ordered by their frequency
+A block is a line of a text, or a stretch of words of the whole text, taken as its set of words;
+a template holds in a line when the line has at least `threshold` of the template's words, and
+in a stretch when one of its windows has: any run of words / threshold words (rounded up, those
+of the template counted with repeats), wherever lines break. So a notice wrapped over lines, with as
+many foreign words between as may be missing, is found like one on a line. Stretches
+overlap by the longest window, so each window lies in one. Words are ordered by their frequency
 over the blocks of all documents, rarest first. A template is indexed by its prefix, the
 size - needed + 1 rarest words: a block without any of them cannot reach the threshold. Length
 and positional filters drop further pairs, and the intersection decides. Other words than the
@@ -61,55 +65,76 @@ def phrase_starts(text: Column, phrase: str) -> Column:
     return F.when(text.rlike(phrase_pattern(phrase)), starts).otherwise(none)
 
 
+def window_sizes(templates=TEMPLATES, threshold: float = 0.8) -> list[int]:
+    """Words of the window in which each template is looked for."""
+    return [math.ceil(len(text.split()) / threshold - 1e-9) for text, _ in templates]
+
+
 def template_sets(templates=TEMPLATES, threshold: float = 0.8) -> list[tuple[int, str, frozenset[str], int]]:
     """(number, label, words, words needed) of each template."""
     sets = [(i, label, frozenset(text.split())) for i, (text, label) in enumerate(templates)]
     return [(i, label, w, math.ceil(threshold * len(w) - 1e-9)) for i, label, w in sets]
 
 
-def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """row, doc_id, n_words, starts of each phrase, and the templates' words of every line that has any."""
+def blocks(docs: DataFrame, vocabulary: list[str], least: int, window: int) -> DataFrame:
+    """row, doc_id, n_words, starts of each phrase, and blocks of at least `least` of the templates' words.
+
+    A block has its words of the templates and, where it is a stretch of a text of several lines,
+    its run: all its words in order, those of no template empty. A stretch starts at every
+    `window` words and has 2 * window of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = docs.select("doc_id", text.alias("text"))
     known = F.array(*(F.lit(w) for w in vocabulary))
-    lines = F.transform(F.split(F.translate("text", UPPER, LOWER), "\n", -1), lambda line: words(line))
+    none = F.lit(None).cast("array<string>")
     doc = doc.select("doc_id", *(phrase_starts(F.col("text"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)),
-                     F.transform(lines, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(known, w).alias("w"))).alias("lines"))
+                     F.transform(F.split(F.translate("text", UPPER, LOWER), "\n", -1), lambda line: words(line)).alias("lines"))
+    doc = doc.withColumn("row", F.monotonically_increasing_id()).withColumn("all", F.flatten("lines"))
+    n = F.size("all")
+    at = F.when(F.size(F.filter("lines", lambda w: F.size(w) > 0)) > 1, F.sequence(F.lit(0), F.floor((n - 1) / window).cast("int"))).otherwise(F.from_json(F.lit("[]"), "array<int>"))
+    stretches = F.transform(at, lambda i: F.slice("all", i * window + 1, F.lit(2 * window)))
+    of_lines = F.transform("lines", lambda w: F.struct(F.array_intersect(w, known).alias("words"), none.alias("run")))
+    of_text = F.transform(stretches, lambda w: F.struct(F.array_intersect(w, known).alias("words"), w.alias("run")))
+    enough = lambda b: F.size(b["words"]) >= least
+    bare = lambda b: F.struct(b["words"].alias("words"), F.transform(b["run"], lambda w: F.when(F.array_contains(b["words"], w), w).otherwise("")).alias("run"))
     return doc.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", *(f"p{i}" for i in range(len(PHRASES))),
-        F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_words"),
-        F.filter(F.transform("lines", lambda x: x["w"]), lambda w: F.size(w) > 1).alias("blocks"))
+        "row", "doc_id", *(f"p{i}" for i in range(len(PHRASES))), n.cast("long").alias("n_words"),
+        F.concat(F.filter(of_lines, enough), F.transform(F.filter(of_text, enough), bare)).alias("blocks"))
 
 
-def similarity_join(found: DataFrame, sets: list[tuple[int, str, frozenset[str], int]]) -> DataFrame:
+def similarity_join(found: DataFrame, sets: list[tuple[int, str, frozenset[str], int]], windows: list[int]) -> DataFrame:
     """row, label and containment of every block and template that reach the threshold."""
     spark = found.sparkSession
     vocabulary = sorted(frozenset(chain.from_iterable(w for _, _, w, _ in sets)))
-    block = found.select("row", F.explode("blocks").alias("words"))
+    block = found.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
     counts = dict(block.select(F.explode("words").alias("w")).groupBy("w").count().collect())  # one row a template word
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     index = []
     for i, label, w, need in sets:
         order = sorted(w, key=rank.__getitem__)
-        index += [(word, i, label, need, len(order), at, order) for at, word in enumerate(order[: len(order) - need + 1])]
-    index = F.broadcast(spark.createDataFrame(index, "word string, template int, label string, need int, size int, at int, whole array<string>"))
+        index += [(word, i, label, need, len(order), at, order, windows[i]) for at, word in enumerate(order[: len(order) - need + 1])]
+    index = F.broadcast(spark.createDataFrame(index, "word string, template int, label string, need int, size int, at int, whole array<string>, window int"))
     ranks = F.create_map(*chain.from_iterable((F.lit(w), F.lit(i)) for w, i in rank.items()))
-    least = min(need for _, _, _, need in sets)
     prefix_words = F.array(*(F.lit(w) for w in sorted({w for _, _, s, need in sets for w in sorted(s, key=rank.__getitem__)[: len(s) - need + 1]})))
-    block = block.where((F.size("words") >= least) & F.arrays_overlap("words", prefix_words))
+    block = block.where(F.arrays_overlap("words", prefix_words))
     block = block.withColumn("words", F.transform(F.array_sort(F.transform("words", lambda w: F.struct(ranks[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
-    pairs = block.select("row", "words", F.posexplode("words").alias("in_block", "word")).join(index, "word")
+    pairs = block.select("row", "words", "run", F.posexplode("words").alias("in_block", "word")).join(index, "word")
     rest = F.least(F.col("size") - F.col("at"), F.size("words") - F.col("in_block"))
     pairs = pairs.where((F.size("words") >= F.col("need")) & (F.least("at", "in_block") + rest >= F.col("need")))  # length, position
-    both = F.size(F.array_intersect("words", "whole"))
-    return pairs.where(both >= F.col("need")).select("row", "label", (both / F.col("size")).alias("containment"))
+    both = lambda w: F.size(F.array_intersect(w, F.col("whole")))
+    pairs = pairs.where(both(F.col("words")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("run") - F.col("window") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda i: both(F.slice("run", i, F.col("window")))))
+    pairs = pairs.withColumn("both", F.when(F.col("run").isNull(), both(F.col("words"))).otherwise(best))
+    return pairs.where(F.col("both") >= F.col("need")).select("row", "label", (F.col("both") / F.col("size")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
     sets = template_sets(templates, threshold)
-    found = staged(blocks(docs, sorted(frozenset(chain.from_iterable(w for _, _, w, _ in sets)))), "licenses")
-    joined = similarity_join(found, sets).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    windows = window_sizes(templates, threshold)
+    vocabulary = sorted(frozenset(chain.from_iterable(w for _, _, w, _ in sets)))
+    found = staged(blocks(docs, vocabulary, min(need for _, _, _, need in sets), max(windows)), "licenses")
+    joined = similarity_join(found, sets, windows).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     starts = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
     base = F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES))), lambda x: x.isNotNull())
     text = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

@@ -2,6 +2,7 @@
 
 import random
 
+from tessera.llm import licenses
 from tessera.llm.graph import connected_components
 
 
@@ -18,3 +19,23 @@ def test_components_of_long_chains_and_other_shapes(spark):
     out = connected_components(spark.createDataFrame(rows, "a long, b long")).collect()
     assert len(out) == len(want) and {x.node: x.root for x in out} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_licenses_wrapped_over_lines(spark):
+    """Every template wrapped at any width and place, with comment signs and one foreign word; its words far apart are no notice."""
+    r = random.Random(4)
+    rows, want = [], []
+    for text, label in licenses.TEMPLATES:
+        for width in (1, 2, 3, 5, 7):
+            w = text.split()
+            w.insert(len(w) // 2, "foreign")
+            before = [f"x{r.randrange(99)}" for _ in range(r.randrange(150))]
+            lines = [" ".join(before), *("# " + " ".join(w[i : i + width]) for i in range(0, len(w), width)), "other words"]
+            rows.append((len(rows), "\n".join(lines)))
+            want.append(label)
+    far = "\n".join(w + " pad" * 20 for w in "licensed under a creative commons attribution 4 0 international license".split())
+    rows += [(len(rows), far), (len(rows) + 1, "\n"), (len(rows) + 2, None)]
+    out = sorted(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert [x.doc_id for x in out] == [d for d, _ in rows]
+    assert all(label in x.labels.split(",") and x.score == 1.0 for x, label in zip(out, want, strict=False))
+    assert [(x.labels, x.score) for x in out[len(want) :]] == [("", 0.0)] * 3
