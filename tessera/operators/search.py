@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -115,7 +116,42 @@ def ivf_cells(vectors: DataFrame, cells: int, seed: int = 1, key: str = "id") ->
     return placed, [list(map(float, c)) for c in model.clusterCenters()]
 
 
-def ivf_top_k(placed: DataFrame, centroids: list[list[float]], query: Sequence[float], k: int = 10, probe: int = 10, metric: str = "COSINE", key: str = "id") -> DataFrame:
-    """top_k among the `probe` cells nearest to the query; exact when probe covers all cells."""
+def ivf_radii(placed: DataFrame, centroids: list[list[float]]) -> list[tuple[float, float]]:
+    """For each cell the largest distance and the largest angle of its vectors to its centroid: one row a cell."""
+    centre = F.element_at(F.array(*(literal_vector(c) for c in centroids)), F.col("cell") + 1)
+    v = F.col("embedding").cast("array<double>")
+    cosine = F.least(F.greatest(METRICS["COSINE"][0](v, centre), F.lit(-1.0)), F.lit(1.0))
+    far = placed.groupBy("cell").agg(F.max(METRICS["L2"][0](v, centre)).alias("distance"), F.max(F.acos(cosine)).alias("angle"), F.count(F.when(cosine.isNull(), 1)).alias("open"))
+    found = {r.cell: (r.distance, math.pi if r.open or r.angle is None else r.angle) for r in far.collect()}
+    return [found.get(i, (0.0, 0.0)) for i in range(len(centroids))]
+
+
+def ivf_bound(centre: Sequence[float], radius: tuple[float, float], query: Sequence[float], metric: str) -> float:
+    """The best score that a vector of a cell can have (triangle inequality, of distances or angles)."""
+    distance, angle = radius
+    norm = lambda x: math.sqrt(sum(a * a for a in x))
+    dot = sum(a * b for a, b in zip(centre, query, strict=True))
+    if metric == "L2":
+        return max(math.dist(centre, query) - distance, 0.0)
+    if metric == "IP":
+        return dot + norm(query) * distance
+    size = norm(centre) * norm(query)
+    return math.cos(max(math.acos(min(max(dot / size, -1.0), 1.0)) - angle, 0.0)) if size else 1.0
+
+
+def ivf_top_k(placed: DataFrame, centroids: list[list[float]], query: Sequence[float], k: int = 10, probe: int = 10, metric: str = "COSINE", key: str = "id", radii: list[tuple[float, float]] | None = None) -> DataFrame:
+    """top_k among the `probe` cells nearest to the query; exact when probe covers all cells.
+
+    With the cells' radii it is exact at any probe: cells whose bound reaches the k-th score found are searched as well."""
     order = sorted(range(len(centroids)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centroids[i], query, strict=True)))
-    return top_k(placed.where(F.col("cell").isin(order[:probe])), query, k, metric, key=key)
+    cells = order[:probe]
+    hits = top_k(placed.where(F.col("cell").isin(cells)), query, k, metric, key=key)
+    if radii is None or len(cells) == len(order):
+        return hits
+    scores = [r.score for r in hits.select("score").collect()]  # k rows
+    rising, slack = METRICS[metric][1], 1e-6
+    worst = None if len(scores) < (k or 10) else min(scores) if rising else max(scores)
+    bounds = {i: ivf_bound(centroids[i], radii[i], query, metric) for i in order[probe:]}
+    room = slack * max(1.0, abs(worst or 0.0))
+    more = [i for i, b in bounds.items() if worst is None or (b >= worst - room if rising else b <= worst + room)]
+    return top_k(placed.where(F.col("cell").isin(cells + more)), query, k, metric, key=key) if more else hits

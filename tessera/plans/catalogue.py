@@ -585,4 +585,5 @@ def hash_embedding(spark, sf_dir):
 def ivf_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     placed, centroids = search.ivf_cells(rows, 16)
-    return search.ivf_top_k(placed, centroids, first_vector(spark, sf_dir), 10, 8).select("id", F.round("score", 6).alias("score"))
+    radii = search.ivf_radii(placed, centroids)
+    return search.ivf_top_k(placed, centroids, first_vector(spark, sf_dir), 10, 8, radii=radii).select("id", F.round("score", 6).alias("score"))
