@@ -1,12 +1,13 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages: equal runs of words, `passage` words each, longer ones where
-a document would have over `passages` of them, so that a whole text of any length is a bounded
-bag. Every passage is encoded from its own statistics; gated attention weights, learned from
-document labels alone, weigh the passages, and the weighted representation is scored.
+A document is a bag of passages: equal runs of at most `passage` words, as many as its text has.
+Every passage is encoded from its own statistics; gated attention weights, learned from
+document labels alone, weigh the passages, and the weighted representation is scored: sums over steps of
+passages, whatever their number.
 
 Training reads a bounded sample (`sample` labelled documents, least hash first; those whose
-crc32(doc_id) mod 5 is 0 are held out). labels, lang, source and doc_id are no inputs of a score.
+crc32(doc_id) mod 5 is 0 are held out), and of a document of over `passages` passages as many at
+equal distances; nothing is left out of a score. labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts are one passage of zeros and get a score like any other;
 repeated rows are scored each; without labels of both classes every score is the share of
@@ -31,10 +32,10 @@ N_HASHED = 16
 N_INPUTS = 12 + N_HASHED
 
 
-def bags(words: Words, passage: int = 64, passages: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def bags(words: Words, passage: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Inputs of every passage of a chunk of documents, and the first passage of each document (and one past the last)."""
     n_words = words.n_words
-    count = np.clip(-(-n_words // passage), 1, passages)
+    count = np.maximum(-(-n_words // passage), 1)
     first = np.concatenate([[0], np.cumsum(count)])
     doc = np.repeat(np.arange(len(count)), count)
     k = np.arange(len(doc)) - first[doc]
@@ -92,6 +93,16 @@ def bags(words: Words, passage: int = 64, passages: int = 64) -> tuple[np.ndarra
     return x, first
 
 
+def bounded(x: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bags of at most `most` passages: those of a larger one at equal distances."""
+    count = np.diff(first)
+    few = np.minimum(count, most)
+    new = np.concatenate([[0], np.cumsum(few)])
+    doc = np.repeat(np.arange(len(count)), few)
+    k = np.arange(len(doc)) - new[doc]
+    return x[first[doc] + k * count[doc] // few[doc]], new
+
+
 @dataclass
 class Attention:
     """Encoder, gated attention and scorer; fit() is Adam on the log loss of bags."""
@@ -106,11 +117,15 @@ class Attention:
         shapes = {"W": (N_INPUTS, self.width), "b": (self.width,), "V": (self.width, self.width), "U": (self.width, self.width), "w": (self.width,), "c": (self.width,), "d": ()}
         self.p = {k: r.normal(0, 0.5 / np.sqrt(s[0]) if s else 0.1, s) if k not in "bd" else np.zeros(s) for k, s in shapes.items()}
 
-    def _forward(self, x: np.ndarray, first: np.ndarray):
-        p, starts = self.p, first[:-1]
+    def _encode(self, x: np.ndarray):
+        p = self.p
         h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * g) @ p["w"]
+        return h, t, g, (t * g) @ p["w"]
+
+    def _forward(self, x: np.ndarray, first: np.ndarray):
+        p, starts = self.p, first[:-1]
+        h, t, g, e = self._encode(x)
         n = np.diff(first)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), n))
         a = e / np.repeat(np.add.reduceat(e, starts), n)
@@ -118,8 +133,24 @@ class Attention:
         q = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return h, t, g, a, z, q
 
-    def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self._forward(x, first)[-1] if self.p else np.full(len(first) - 1, self.rate)
+    def score(self, x: np.ndarray, first: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Scores of bags of any size: softmax sums of each bag, carried on from step to step of the passages."""
+        n = len(first) - 1
+        if not self.p:
+            return np.full(n, self.rate)
+        top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, self.width))
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            ids = np.arange(np.searchsorted(first, lo, side="right") - 1, np.searchsorted(first, lo + len(part)))
+            starts = np.maximum(first[ids] - lo, 0)
+            h, _, _, e = self._encode(part)
+            new = np.maximum(top[ids], np.maximum.reduceat(e, starts))
+            a = np.exp(e - np.repeat(new, np.diff(np.append(starts, len(part)))))
+            keep = np.exp(top[ids] - new)
+            total[ids] = total[ids] * keep + np.add.reduceat(a, starts)
+            z[ids] = z[ids] * keep[:, None] + np.add.reduceat(a[:, None] * h, starts, axis=0)
+            top[ids] = new
+        return 1 / (1 + np.exp(-np.clip((z / total[:, None]) @ self.p["c"] + self.p["d"], -30, 30)))
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 64, step: float = 0.01) -> Attention:
         self._start()
@@ -161,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, passage: int = 6
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b):
-                x, first = bags(Words(data, offsets), passage, passages)
+                x, first = bounded(*bags(Words(data, offsets), passage), passages)
                 blobs = [x[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["doc_id", "quality", "x"])
 
@@ -175,13 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, passage: int = 6
     return Attention(rate=float(y.mean())).fit(np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])]), y)
 
 
-def score(docs: DataFrame, model: Attention, threshold: float = 0.3, passage: int = 64, passages: int = 64) -> DataFrame:
+def score(docs: DataFrame, model: Attention, threshold: float = 0.3, passage: int = 64) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in text_chunks(b):
-                s = model.score(*bags(Words(data, offsets), passage, passages))
+                s = model.score(*bags(Words(data, offsets), passage))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s.astype(np.float64)), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     out = arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, score double, predicted int")

@@ -2,8 +2,12 @@
 
 import random
 
-from tessera.llm import licenses
+import numpy as np
+import pytest
+
+from tessera.llm import licenses, quality_mil
 from tessera.llm.graph import connected_components
+from tessera.llm.textnum import Words
 
 
 def test_components_of_long_chains_and_other_shapes(spark):
@@ -39,3 +43,23 @@ def test_licenses_wrapped_over_lines(spark):
     assert [x.doc_id for x in out] == [d for d, _ in rows]
     assert all(label in x.labels.split(",") and x.score == 1.0 for x, label in zip(out, want, strict=False))
     assert [(x.labels, x.score) for x in out[len(want) :]] == [("", 0.0)] * 3
+
+
+def test_quality_scores_all_passages_of_a_long_document(spark):
+    """Passages have one size at any length, and a score is the softmax over all of them."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(n)) for n in (64 * 900 - 5, 64 * 65, 30)] + ["", "a " * 70 + "B! " * 200]
+    raw = [t.encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    x, first = quality_mil.bags(words)
+    assert np.diff(first).tolist() == [900, 65, 1, 1, 5]
+    assert np.expm1(x[:, 0] * 4).max() == pytest.approx(64, rel=1e-4)
+    assert np.diff(quality_mil.bounded(x, first, 64)[1]).tolist() == [64, 64, 1, 1, 5]
+    model = quality_mil.Attention()
+    model._start()
+    want = model._forward(x, first)[-1]
+    for step in (1, 7, 64, 4096):
+        assert model.score(x, first, step) == pytest.approx(want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [o.score for o in sorted(quality_mil.score(docs, model).collect())] == pytest.approx(list(want))
