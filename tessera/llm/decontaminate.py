@@ -10,8 +10,8 @@ The tables are sent to the executors only within `table_bytes` of benchmark text
 benchmark is dealt into parts of that size, searched one after another, and the hits of each
 document are joined.
 
-Defined results: null and empty texts have no words and no hits; null items and items without
-words have no window; repeated rows are each reported; other columns play no part.
+Defined results: null and empty texts have no words and no hits; items without text or words have no window,
+nor have items without an id unless `unnamed` is set, as the query and the pipeline do; repeated rows are each reported; other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,6 +35,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
 
 
+def in_order(items: set[int | None]) -> list[int | None]:
+    """Item ids in order; that of rows without an id comes last."""
+    return sorted(items - {None}) + [None] * (None in items)
+
+
 class WuManber:
     """Shift tables and suffix buckets for patterns of one length."""
 
@@ -81,7 +86,7 @@ def tables(items: list[tuple[int, str | None]], window: int) -> list[WuManber]:
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if size else 0):
             by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
-    return [WuManber({w: sorted(i) for w, i in p.items()}, size) for size, p in sorted(by_length.items())]
+    return [WuManber({w: in_order(i) for w, i in p.items()}, size) for size, p in sorted(by_length.items())]
 
 
 def find(words: list[bytes], searches: list[WuManber]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -117,15 +122,23 @@ def _scan(docs: DataFrame, items: list[tuple[int, str | None]], window: int) ->
                 at, of = find(words, kept[0])
                 n.append(len(words))
                 spans.append([x for s in at for x in s])
-                found.append(sorted(of))
+                found.append(in_order(of))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "copy", "n_words", "spans", "items"])
 
     return arrow_map(docs.select("doc_id", "text", "copy"), rows, "doc_id long, copy long, n_words long, spans array<long>, items array<long>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, spans (starts and ends in turn) and items (ids) of every row of docs."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+def benchmark_items(benchmark: DataFrame, unnamed: bool) -> DataFrame:
+    """item_id and text of rows with a text, those without an id only if `unnamed`."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    return items if unnamed else items.where("item_id is not null")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = 16 << 20, unnamed: bool = False) -> DataFrame:
+    """doc_id, n_words, spans (starts and ends in turn) and items (ids) of every row of docs.
+
+    With `unnamed`, benchmark rows without an id are searched like others and count as one item."""
+    items = benchmark_items(benchmark, unnamed)
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     docs = docs.select("doc_id", "text", F.lit(0).cast("long").alias("copy"))
     parts = -(-size // table_bytes) or 1
@@ -149,15 +162,15 @@ def digest(found: DataFrame) -> DataFrame:
             for spans, items in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 hit.append(union_length(list(zip(spans[::2], spans[1::2], strict=True))))
                 n.append(len(items))
-                sha.append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
+                sha.append(hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return arrow_map(found, rows, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = 16 << 20, unnamed: bool = False) -> DataFrame:
     """The rows of docs without any benchmark window, with all their columns: one pass a part, no join."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark_items(benchmark, unnamed)
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = -(-size // table_bytes) or 1
     at = docs.columns.index("text")

@@ -2,10 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import licenses, quality_mil
+from tessera.llm import decontaminate, licenses, oracles, quality_mil
 from tessera.llm.graph import connected_components
 from tessera.llm.textnum import Words
 
@@ -63,3 +64,23 @@ def test_quality_scores_all_passages_of_a_long_document(spark):
         assert model.score(x, first, step) == pytest.approx(want)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [o.score for o in sorted(quality_mil.score(docs, model).collect())] == pytest.approx(list(want))
+
+
+@pytest.mark.parametrize("table_bytes", [16 << 20, 400])
+def test_benchmark_rows_without_an_id_are_found(spark, tmp_path, table_bytes):
+    word = lambda i: f"w{i}"
+    passage = lambda a: " ".join(map(word, range(a, a + 14)))
+    items = [(None, passage(0)), (None, passage(100)), (1, passage(0)), (2, passage(200)), (3, None), (None, None)]
+    docs = [(1, f"x {passage(0)} y"), (2, f"{passage(100)} {passage(200)}"), (3, passage(100)), (4, "x y z"), (5, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", rows), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    out = decontaminate.digest(decontaminate.contamination(rows, bench, table_bytes=table_bytes, unnamed=True))
+    names = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    assert out.columns == names.split(", ")
+    want = con.execute(f"SELECT {names} FROM ({oracles.SQL['op3_decontamination']}) ORDER BY doc_id").fetchall()
+    assert sorted(map(tuple, out.collect())) == want
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(rows, bench, table_bytes=table_bytes, unnamed=True).collect()) == [4, 5]
