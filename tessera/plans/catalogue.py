@@ -115,6 +115,16 @@ def batch_topk(spark, sf_dir):
     return search.batch_top_k(queries, rows, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0),
+  s AS (SELECT query_id, vec_id AS id, {sql_cosine('embedding', 'query')} AS sc FROM embeddings, q)
+  SELECT query_id, id, rank, round(sc, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def batch_topk_hundredth(spark, sf_dir):
+    """Every row with an id divisible by 100 against all rows."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.batch_top_k(queries, rows, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with vectors as chunks: id, path, language, content, keywords, embedding."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.expr(PATH).alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"), T.chunk_keywords(F.col("text")).alias("keywords"))

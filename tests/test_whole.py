@@ -3,6 +3,7 @@
 import pytest
 
 from tessera.operators import search
+from tessera.plans import catalogue
 
 
 @pytest.mark.parametrize("metric", ["COSINE", "L2", "IP"])
@@ -20,3 +21,10 @@ def test_ivf_recall_over_all_ids_divisible_by_100(spark, metric):
         shares.append(len(exact[r.query_id] & {h.id for h in hits}) / 10)
     placed.unpersist()
     assert len(shares) == queries.count() >= 20 and sum(shares) / len(shares) >= 0.9 and min(shares) >= 0.9
+
+
+def test_batch_queries_are_all_ids_divisible_by_100(spark):
+    sf = "/root/testdata/sf0.01"
+    out = catalogue.QUERIES["batch_topk_hundredth"](spark, sf).collect()
+    ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0").collect()]
+    assert sorted((r.query_id, r["rank"]) for r in out) == [(i, k) for i in sorted(ids) for k in range(1, 11)]
