@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,15 @@ from tessera.session import ship
 #: Bytes of text that a numpy step holds at once; one longer document is held alone.
 CHUNK_BYTES = 1 << 17
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where that is unset, a local session (one process, one machine) gets a folder of its own; a cluster raises an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -42,7 +48,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -51,6 +59,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables (those that staged() returned) that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            remove(df.sparkSession, df.staged_path)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -109,6 +124,35 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(rows, schema)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows that are equal in the first `keys` columns (integers), from batches sorted by them: one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        columns = [np.asarray(b.column(c)) for c in range(keys)]
+        new = np.zeros(len(b), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cut = [0, *np.flatnonzero(new).tolist(), len(b)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            key = tuple(int(c[lo]) for c in columns)
+            if held and key != last:
+                yield held
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield held
+
+
+def by_group(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """df with equal keys together in one partition and in one run."""
+    many = [parts] if parts else []
+    return df.repartition(*many, *keys).sortWithinPartitions(*keys)
+
+
 def bit_table(wanted: DataFrame, place: Column, bits: int) -> Broadcast:
     """A table of 2**bits bits with those at `place` of wanted set (26 bits: 8 MB), whatever the size of `wanted`.
 

@@ -8,21 +8,25 @@ m filled lanes of a document at least t = m - that bound must agree (pigeonhole)
 the size band (powers of two); a document near the lower end of its band has a sketch for the
 band below as well, so any two sizes that can match share a band.
 
-Agreeing lanes are found by a join on (band, lane, content). Runs of at most `FEW` documents
-give counted pairs, and a pair stays only if its count can reach t. Lanes in longer runs are
-counted for their documents instead: a document with fewer than t of them must agree elsewhere
-with any partner, so only documents with t or more ("dense": large families of copies) are
-joined on long runs, by linking each to the run's least document and never as pairs.
+Lanes are joined on (band, lane, content), range of keys by range. A document of which fewer than
+t lanes are shared with any other has no partner and goes; those left are linked to the least
+document of each run, never as pairs, so links grow with the documents. A run that is long in
+one batch of documents is cut there: its documents meet in a run of their own, which a hub node
+joins to the others, so no key is gathered whole.
 
-Candidates are thus a sparse graph. Each of its connected components is verified in blocks:
+Each connected component of these links is verified. Up to `WHOLE` sets are compared in one task:
 parity bits rule pairs out by Hamming distance, the sets themselves decide, and pairs already
-connected are not compared again. Components of the verified links are the classes. Equal sets
-are one node from the start.
-
-Defined results: null and empty texts have no shingles and link with nothing; a text of fewer
-words than a shingle is one shingle; rows that repeat share a class through their equal sets;
-a null doc_id never is the least id of a class, unless there is no other; an empty table gives
-an empty result.
+connected are not compared again. Larger components are dealt to blocks; each block compares its
+sets with one another and with a few pivots of the component, which connects families of near
+copies at a cost that grows with their size. Only where that leaves several classes are sets of
+different classes compared across blocks: all those outside the largest class, with the members
+of the largest class that distances to the pivots cannot rule out (the symmetric difference is a
+metric). Components of the verified links are the classes. Equal sets are one node from the start.
+
+Defined results: doc_id is an integer; null and empty texts have no shingles and link with
+nothing; a text of fewer words than a shingle is one shingle; rows that repeat share a class
+through their equal sets; a null doc_id never is the least id of a class, unless there is no
+other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,22 +34,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, partitions, possible_rows, staged, text_chunks
-from tessera.llm.graph import connected_components
+from tessera.llm.common import arrow_map, by_group, discard, partitions, possible_rows, sorted_groups, staged, text_chunks
+from tessera.llm.graph import connected_components, least_labels
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, mix
 
 SHINGLE = 5
-FEW = 16
+#: Documents of one batch that make a run long.
+LONG_RUN = 16
 #: Bands of fewer than 2**WIDE shingles have 2**16 lanes, others as many as their least size.
 WIDE = 7
-#: Entries that one step gathers before it sends them on.
-FLUSH = 400_000
-BLOCK, BLOCK_SHINGLES = 128, 400_000
+#: Lanes that one batch of documents gathers before it sends them on, and lanes of one range of keys.
+FLUSH, RANGE = 400_000, 1_500_000
+#: Signatures that a task remembers, so that it sends the lanes of equal sets once.
+SEEN = 200_000
+#: Sets compared in one task, of a component or of a block; and their shingles.
+WHOLE, BLOCK, BLOCK_SHINGLES = 256, 128, 400_000
+PIVOTS = 5
 SKETCH_BYTES = 256
 KEY = "coalesce(doc_id, -9223372036854775808L)"
 
@@ -145,6 +153,19 @@ def lane_blobs(docs: DataFrame, ranges: int) -> DataFrame:
         sig, level, t = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
         order = np.argsort(key)
         key, ent = key[order], ent[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        long = size > LONG_RUN
+        if long.any():  # a run of their own for these documents, and a hub that stands for them in the common run
+            whole = key[start[long]]
+            own = mix(whole ^ np.add.reduce(sig.view(np.uint64)))
+            key = np.repeat(key[start], size)
+            key[np.repeat(long, size)] = np.repeat(own, size[long])
+            hub = len(sig) + np.arange(len(own))
+            key, ent = np.concatenate([key, own, whole]), np.concatenate([ent, hub, hub])
+            sig, level, t = np.concatenate([sig, own.view(np.int64)]), np.concatenate([level, np.full(len(own), -1)]), np.concatenate([t, np.zeros(len(own), t.dtype)])
+            order = np.argsort(key)
+            key, ent = key[order], ent[order]
         cut = np.searchsorted(key, np.arange(ranges, dtype=np.uint64) * step)
         cut = np.append(cut, len(key))
         out: dict[str, list] = {c: [] for c in ("range", "key", "ent", "sig", "level", "t")}
@@ -162,16 +183,20 @@ def lane_blobs(docs: DataFrame, ranges: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("key", "ent", "sig", "level", "t"))], list(out))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, seen = [], 0, set()
         for b in parts:
             for lo, hi, data, offsets in text_chunks(b):
                 doc, x = shingle_sets(Words(data, offsets, lower=True))
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
                 s1, _ = signature(x, bounds)
                 n = np.diff(bounds)
-                _, first = np.unique(s1, return_index=True)
                 once = np.zeros(hi - lo, bool)
-                once[first] = True
+                for i, s in enumerate(s1.tolist()):
+                    if s not in seen:
+                        once[i] = True
+                        if len(seen) >= SEEN:  # bounded: a set that comes again is sent again, and dropped where lanes meet
+                            seen.clear()
+                        seen.add(s)
                 ent, key, of, level, t = sketch_lanes(doc, x, np.where(once, n, 0))
                 held.append((key, ent, s1[of].view(np.int64), level, t))
                 count += len(key)
@@ -183,150 +208,250 @@ def lane_blobs(docs: DataFrame, ranges: int) -> DataFrame:
     return arrow_map(docs.select("text"), rows, "range int, key binary, ent binary, sig binary, level binary, t binary")
 
 
-def lane_join(blobs: DataFrame, ranges: int) -> DataFrame:
-    """kind 0: pairs a < b of documents, with the count of lanes of a band that agree; kind 1: document a and a key b of a long run."""
+def shared_lanes(blobs: DataFrame) -> DataFrame:
+    """range, sig, level, t of every document in a band with lanes that others share, their number n and the runs they are in."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sigs, levels, ts = [], [], [], []
-        for b in parts:
-            for r in range(len(b)):
-                k = np.cumsum(_from_planes(b.column(1)[r].as_py(), np.uint64), dtype=np.uint64)
-                e = _from_planes(b.column(2)[r].as_py(), np.uint32)
-                keys.append(k)
-                sigs.append(np.frombuffer(b.column(3)[r].as_py(), np.int64)[e])
-                levels.append(np.frombuffer(b.column(4)[r].as_py(), np.int8)[e])
-                ts.append(_from_planes(b.column(5)[r].as_py(), np.int32)[e])
-        if not keys:
-            return
-        key, sig, level, t = (np.concatenate(v) for v in (keys, sigs, levels, ts))
-        del keys, sigs, levels, ts
-        order = np.argsort(key)
-        key, sig, level, t = key[order], sig[order], level[order], t[order]
-        twin = np.zeros(len(key) + 1, bool)
-        twin[1:-1] = key[1:] == key[:-1]
-        order = np.flatnonzero(twin[1:] | twin[:-1])  # most keys are alone
-        order = order[np.lexsort((sig[order], key[order]))]
-        key, sig, level, t = key[order], sig[order], level[order], t[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-        key, sig, level, t = key[new], sig[new], level[new], t[new]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(key)))
-        a, b2 = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for many in range(2, FEW + 1):
-            s = start[size == many]
-            for i in range(many if len(s) else 0):
-                for j in range(i + 1, many):
-                    a.append(s + i)
-                    b2.append(s + j)
-        a, b2 = np.concatenate(a), np.concatenate(b2)
-        if len(a):
-            order = np.lexsort((level[a], sig[b2], sig[a]))
-            a, b2 = a[order], b2[order]
-            first = np.ones(len(a), bool)
-            first[1:] = (sig[a][1:] != sig[a][:-1]) | (sig[b2][1:] != sig[b2][:-1]) | (level[a][1:] != level[a][:-1])
-            count = np.diff(np.append(np.flatnonzero(first), len(a)))
-            a, b2 = a[first], b2[first]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int8)), pa.array(sig[a]), pa.array(sig[b2]), pa.array(level[a]), pa.array(count.astype(np.int32)), pa.array(t[a]), pa.array(t[b2])], ["kind", "a", "b", "level", "n", "ta", "tb"])
-        hot = np.repeat(size > FEW, size)
-        if hot.any():
-            many = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(many, np.int8)), pa.array(sig[hot]), pa.array(key[hot].view(np.int64)), pa.array(level[hot]), pa.array(np.ones(many, np.int32)), pa.array(t[hot]), pa.array(t[hot])], ["kind", "a", "b", "level", "n", "ta", "tb"])
-
-    return arrow_map(blobs.repartition(ranges, "range"), rows, "kind byte, a long, b long, level byte, n int, ta int, tb int")
-
-
-def candidate_edges(docs: DataFrame) -> DataFrame:
-    """Edges (a, b) of signatures; every pair within the threshold is connected by them."""
-    ranges = partitions(docs.sparkSession)
-    found = staged(lane_join(lane_blobs(docs, ranges), ranges), "lanes")
-    hot = found.where("kind = 1")
-    per_doc = staged(hot.groupBy("a", "level").agg(F.count("*").alias("hot"), F.max("ta").alias("t")), "hot")
-    pairs = found.where("kind = 0").groupBy("a", "b", "level").agg(F.sum("n").alias("n"), F.max("ta").alias("ta"), F.max("tb").alias("tb"))
-    counts = per_doc.select("a", "level", "hot")
-    pairs = pairs.join(counts.withColumnRenamed("hot", "ha"), ["a", "level"], "left")
-    pairs = pairs.join(counts.select(F.col("a").alias("b"), "level", F.col("hot").alias("hb")), ["b", "level"], "left")
-    enough = F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.greatest("ta", "tb", F.lit(1))
-    pairs = pairs.where(enough).select("a", "b")
-    dense = staged(hot.join(per_doc.where("hot >= t").select("a", "level"), ["a", "level"]).select("a", F.col("b").alias("key"), "level"), "dense")
-    least = staged(dense.groupBy("key", "level").agg(F.min("a").alias("least")), "least")
-    stars = dense.join(least, ["key", "level"]).where("a <> least").select("a", F.col("least").alias("b")).distinct()
-    return pairs.unionByName(stars).distinct()
-
-
-def verify_block(docs: list[tuple[int, int, np.ndarray]], cross: bool) -> list[tuple[int, int]]:
-    """Links (signatures) that connect what can be connected: all pairs of one block, or those between two."""
-    n = np.array([len(s) for _, _, s in docs])
-    half = np.array([b for _, b, _ in docs])
-    bits = np.zeros((len(docs), SKETCH_BYTES * 8), np.uint8)
-    for i, (_, _, s) in enumerate(docs):
+        for held in sorted_groups(parts, 1):
+            keys, ents, of, base = [], [], [], 0
+            for b in held:
+                for r in range(len(b)):
+                    keys.append(np.cumsum(_from_planes(b.column(1)[r].as_py(), np.uint64), dtype=np.uint64))
+                    ents.append(_from_planes(b.column(2)[r].as_py(), np.uint32) + np.uint32(base))
+                    of.append((np.frombuffer(b.column(3)[r].as_py(), np.int64), np.frombuffer(b.column(4)[r].as_py(), np.int8), _from_planes(b.column(5)[r].as_py(), np.int32)))
+                    base += len(of[-1][0])
+            key, ent = np.concatenate(keys), np.concatenate(ents)
+            del keys, ents
+            sig, level, t = (np.concatenate(v) for v in zip(*of, strict=True))
+            order = np.argsort(key)
+            twin = np.zeros(len(key) + 1, bool)
+            twin[1:-1] = key[order[1:]] == key[order[:-1]]
+            order = order[twin[1:] | twin[:-1]]  # most keys are alone
+            key, ent = key[order], ent[order]
+            order = np.lexsort((sig[ent], key))
+            key, ent = key[order], ent[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (sig[ent[1:]] != sig[ent[:-1]])
+            key, ent = key[new], ent[new]
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            run = np.cumsum(first) - 1
+            shared = np.bincount(run, minlength=1)[run] > 1 if len(run) else first
+            run, ent = run[shared].astype(np.uint32), ent[shared]
+            if not len(run):
+                continue
+            order = np.lexsort((run, level[ent], sig[ent]))
+            run, ent = run[order], ent[order]
+            new = np.ones(len(run), bool)
+            new[1:] = (sig[ent[1:]] != sig[ent[:-1]]) | (level[ent[1:]] != level[ent[:-1]])
+            start = np.flatnonzero(new)
+            ends = np.append(start, len(run)).astype(np.int32)
+            e, many = ent[start], len(start)
+            number = held[0].column(0)[0].as_py()
+            runs = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(run))])
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(many, number, np.int32)), pa.array(sig[e]), pa.array(level[e]), pa.array(t[e]), pa.array(np.diff(ends)), runs], ["range", "sig", "level", "t", "n", "runs"])
+            for lo in range(0, many, 20_000):
+                yield out.slice(lo, 20_000)
+
+    return arrow_map(by_group(blobs, ["range"]), rows, "range int, sig long, level byte, t int, n int, runs binary")
+
+
+def run_edges(lanes: DataFrame) -> DataFrame:
+    """Edges (a, b) to the least of the documents that the runs of a range connect."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(parts, 1):
+            sig = np.concatenate([np.asarray(b.column(1)) for b in held])
+            blobs = [x for b in held for x in b.column(2).to_pylist()]
+            run = np.frombuffer(b"".join(blobs), np.uint32)
+            nodes, at = np.unique(sig, return_inverse=True)
+            node = np.repeat(at, [len(x) // 4 for x in blobs])
+            order = np.argsort(run, kind="stable")
+            run, node = run[order], node[order]
+            first = np.ones(len(run), bool)
+            first[1:] = run[1:] != run[:-1]
+            root = least_labels(node, node[np.flatnonzero(first)[np.cumsum(first) - 1]], len(nodes))
+            linked = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["a", "b"])
+
+    return arrow_map(by_group(lanes.select("range", "sig", "runs"), ["range"]), rows, "a long, b long")
+
+
+def candidate_edges(docs: DataFrame, shingles: int) -> DataFrame:
+    """Edges (a, b) of signatures and hubs; every pair within the threshold is connected by them."""
+    ranges = max(partitions(docs.sparkSession), shingles // RANGE + 1)
+    lanes = shared_lanes(lane_blobs(docs, ranges))
+    live = lanes.withColumn("all", F.sum("n").over(Window.partitionBy("sig", "level"))).where("all >= t")
+    return run_edges(live)
+
+
+def verify_sets(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (places) that connect what can be connected and is not connected yet, as `root` says; with `side`, only between sides."""
+    n = np.array([len(s) for s in sets])
+    bits = np.zeros((len(sets), SKETCH_BYTES * 8), np.uint8)
+    for i, s in enumerate(sets):
         bits[i] = np.bincount((s & np.uint64(SKETCH_BYTES * 8 - 1)).astype(np.int64), minlength=SKETCH_BYTES * 8) & 1
     sketch = np.packbits(bits, axis=1).view(np.uint64)
-    root = np.arange(len(docs))
+    del bits
+    root = root.copy()
     links = []
-    for i in range(len(docs)):
-        rest = np.arange(i + 1, len(docs))
+    for i in range(len(sets)):
+        rest = np.arange(i + 1, len(sets))
         rest = rest[root[rest] != root[i]]
-        if cross:
-            rest = rest[half[rest] != half[i]]
+        if side is not None:
+            rest = rest[side[rest] != side[i]]
         if not len(rest):
             continue
         far = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-        rest = rest[7 * far <= n[rest] + n[i]]
-        for j in rest:
-            if root[j] == root[i]:
-                continue
-            both = len(np.intersect1d(docs[i][2], docs[j][2], assume_unique=True))
-            if 100 * both >= 75 * (n[i] + n[j] - both):
-                links.append((docs[i][0], docs[j][0]))
+        for j in rest[7 * far <= n[rest] + n[i]]:
+            if root[j] != root[i] and alike(sets[i], sets[j]):
+                links.append((i, int(j)))
                 root[root == root[j]] = root[i]
     return links
 
 
-def verified_links(docs: DataFrame, table: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (a, b) of signatures within the candidate groups (node, root)."""
-    one = table.where("n > 0").groupBy("s1").agg(F.min(F.expr(KEY)).alias("k"), F.max("n").alias("n"))
-    wanted = one.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("g")), "s1")
-    wanted = staged(wanted, "wanted")
-    size = wanted.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    block = F.greatest(F.lit(BLOCK), F.least(F.lit(8 * BLOCK), F.col("docs") / 20))
-    size = size.select("g", F.ceil(F.greatest(F.col("docs") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    size = staged(size, "sizes")
-    wanted = staged(wanted.select("k", "s1", "g").join(size, "g"), "members")
+def difference(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements in one of two sets."""
+    return len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= 75 * (len(a) + len(b) - both)
+
+
+def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (k, s1 and others) with each document's set of shingle hashes."""
+    others = [c for c in wanted.columns if c != "k"]
     few = possible_rows(docs.select(F.expr(KEY).alias("k"), "text"), wanted, "k")
+    found = few.join(wanted.hint("merge"), "k").select("text", *others)
+    at = others.index("s1") + 1
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            want = np.asarray(b.column(2))
+            want = np.asarray(b.column(at))
             for lo, hi, data, offsets in text_chunks(b):
                 doc, x = shingle_sets(Words(data, offsets, lower=True))
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-                good = np.flatnonzero(signature(x, bounds)[0].view(np.int64) == want[lo:hi])
+                good = np.flatnonzero(signature(x, bounds)[0].view(np.int64) == want[lo:hi])  # ids may repeat
                 take = pa.array(good + lo)
-                yield pa.RecordBatch.from_arrays([b.column(2).take(take), b.column(3).take(take), b.column(4).take(take), pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in good], pa.binary())], ["s1", "g", "blocks", "set"])
+                blobs = pa.array([x[bounds[i] : bounds[i + 1]].tobytes() for i in good], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in others), blobs], [*others, "set"])
 
-    found = few.join(wanted.hint("merge"), "k").select("k", "text", "s1", "g", "blocks")
-    found = arrow_map(found, sets, "s1 long, g long, blocks int, set binary")
-    found = found.withColumn("mine", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
-    found = found.select("s1", "g", "set", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    found = found.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "s1", "set")
+    schema = found.select(*others).schema.add("set", "binary")
+    return arrow_map(found, sets, schema)
 
-    def check(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("s1")
-        links = []
-        if len(rows) > 1:
-            links = verify_block([(int(s), int(m), np.frombuffer(x, np.uint64)) for s, m, x in zip(rows["s1"], rows["mine"], rows["set"], strict=True)], bool(rows["i"].iloc[0] != rows["j"].iloc[0]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return found.groupBy("g", "i", "j").applyInPandas(check, "a long, b long")
+def _group_sets(held: list[pa.RecordBatch], names: list[str]) -> tuple[dict[str, list], list[np.ndarray]]:
+    """Columns and sets of a group, each signature once."""
+    columns = {n: [v for b in held for v in b.column(b.schema.get_field_index(n)).to_pylist()] for n in names}
+    blobs = [v for b in held for v in b.column(b.schema.get_field_index("set")).to_pylist()]
+    seen: dict[int, int] = {}
+    for i, s in enumerate(columns["s1"]):
+        seen.setdefault(s, i)
+    keep = list(seen.values())
+    return {n: [v[i] for i in keep] for n, v in columns.items()}, [np.frombuffer(blobs[i], np.uint64) for i in keep]
 
 
-def components(docs: DataFrame) -> DataFrame:
+def block_links(found: DataFrame) -> DataFrame:
+    """Links (a, b) inside each block (g, block) of found and with its pivots; for members of cut components (a, far): sizes of the differences from the pivots."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(parts, 2):
+            c, sets = _group_sets(held, ["s1", "pivot", "blocks"])
+            s1, pivot = c["s1"], sorted(i for i, p in enumerate(c["pivot"]) if p)
+            a, b, far = [], [], []
+            if c["blocks"][0] > 1:
+                pivot.sort(key=s1.__getitem__)
+                for i, s in enumerate(sets):
+                    a.append(s1[i])
+                    b.append(None)
+                    far.append([len(s), *(difference(s, sets[p]) for p in pivot)])
+            for i, j in verify_sets(sets, np.arange(len(sets))) if len(sets) > 1 else []:
+                a.append(s1[i])
+                b.append(s1[j])
+                far.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.list_(pa.int32()))], ["a", "b", "far"])
+
+    return arrow_map(by_group(found.select("g", "block", "s1", "pivot", "blocks", "set"), ["g", "block"]), rows, "a long, b long, far array<int>")
+
+
+def cross_links(found: DataFrame) -> DataFrame:
+    """Links (a, b) of different classes between the parts i and j of a component (all pairs where i = j)."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(parts, 3):
+            c, sets = _group_sets(held, ["s1", "c", "mine"])
+            _, root = np.unique(np.array(c["c"], np.int64), return_inverse=True)
+            side = np.array(c["mine"]) if len(set(c["mine"])) > 1 else None
+            links = verify_sets(sets, root, side)
+            a, b = [c["s1"][i] for i, _ in links], [c["s1"][j] for _, j in links]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return arrow_map(by_group(found.select("g", "i", "j", "s1", "c", "mine", "set"), ["g", "i", "j"]), rows, "a long, b long")
+
+
+def open_members(members: DataFrame, classes: DataFrame, far: DataFrame) -> DataFrame:
+    """k, s1, g, c, n and side of what is still to be compared in cut components of several classes.
+
+    side 0: members outside the largest class; side 1: members of the largest class that may be
+    within the threshold of one of those, judged by their differences from the pivots."""
+    cut = members.where("blocks > 1").join(classes.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("c", F.coalesce("root", "s1"))
+    cut = staged(cut.select("k", "s1", "g", "c", "n"), "cut")
+    sizes = cut.groupBy("g", "c").agg(F.count("*").alias("many"))
+    most = sizes.groupBy("g").agg(F.max(F.struct("many", "c"))["c"].alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    table = cut.join(most.select("g", "most"), "g").join(far, "s1").withColumn("side", F.when(F.col("c") == F.col("most"), 1).otherwise(0))
+    table = staged(table.select("k", "s1", "g", "c", "n", "side", "far"), "open")
+    at = [F.try_element_at("far", F.lit(i + 1)) for i in range(PIVOTS + 1)]
+    low = [F.min(F.when(F.col("side") == 0, x - F.col("n") / 7)).alias(f"low{i}") for i, x in enumerate(at)]
+    high = [F.max(F.when(F.col("side") == 0, x + F.col("n") / 7)).alias(f"high{i}") for i, x in enumerate(at)]
+    near = F.lit(True)
+    for i, x in enumerate(at):
+        inside = (x + F.col("n") / 7 >= F.col(f"low{i}") - 1e-6) & (x - F.col("n") / 7 <= F.col(f"high{i}") + 1e-6)
+        near = near & F.coalesce(inside, F.lit(True))
+    bounds = table.groupBy("g").agg(*low, *high)
+    return table.join(bounds, "g").where((F.col("side") == 0) | near).select("k", "s1", "g", "c", "n", "side")
+
+
+def verified_links(docs: DataFrame, table: DataFrame, groups: DataFrame, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of signatures within the candidate groups (node, root)."""
+    one = table.where("n > 0").groupBy("s1").agg(F.min(F.expr(KEY)).alias("k"), F.max("n").alias("n"))
+    wanted = staged(one.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("g")), "s1"), "wanted")
+    pivots = [F.min(F.struct(F.xxhash64("s1", F.lit(i)), "s1"))["s1"] for i in range(PIVOTS)]
+    size = wanted.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.array_distinct(F.array(*pivots)).alias("pivots"))
+    size = size.where("docs > 1").withColumn("blocks", F.when((F.col("docs") <= whole) & (F.col("shingles") <= BLOCK_SHINGLES), 1).otherwise(F.ceil(F.greatest(F.col("docs") / block, F.col("shingles") / BLOCK_SHINGLES))).cast("int"))
+    size = staged(size.select("g", "blocks", "pivots"), "sizes")
+    members = wanted.join(size, "g").withColumn("pivot", F.array_contains("pivots", F.col("s1")) & (F.col("blocks") > 1))
+    members = staged(members.select("k", "s1", "g", "n", "blocks", "pivot"), "members")
+    found = with_sets(docs, members.select("k", "s1", "g", "blocks", "pivot"))
+    own = F.array(F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+    found = found.withColumn("block", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    checked = staged(block_links(found), "checked")
+    links = checked.where("b is not null").select("a", "b")
+    if not members.where("blocks > 1").limit(1).count():
+        return links
+    classes = connected_components(links)
+    far = checked.where("far is not null").groupBy(F.col("a").alias("s1")).agg(F.min("far").alias("far"))
+    left = staged(open_members(members, classes, far), "left")
+    parts = left.groupBy("g", "side").agg(F.ceil(F.greatest(F.count("*") / (4 * block), F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = parts.groupBy("g").pivot("side", [0, 1]).agg(F.first("parts")).select("g", F.col("0").alias("outer"), F.coalesce("1", F.lit(0)).alias("inner"))
+    left = left.join(staged(parts, "parts"), "g")
+    left = left.withColumn("mine", F.when(F.col("side") == 0, F.pmod(F.xxhash64("s1"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("s1"), F.col("inner"))).cast("int"))
+    found = with_sets(docs, left.select("k", "s1", "g", "c", "mine", "side", "outer", "inner"))
+    # parts 0 to outer - 1 meet one another and the parts of the largest class, which do not meet one another
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
+    found = found.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return links.unionByName(staged(cross_links(found), "cross"))
+
+
+def components(docs: DataFrame, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id of its class) of every row."""
     table = staged(document_table(docs), "sets")
-    groups = connected_components(candidate_edges(docs))
-    links = staged(verified_links(docs, table, groups), "links")
-    classes = staged(connected_components(links).select(F.col("node").alias("s1"), F.col("root")), "classes")
+    shingles = table.agg(F.sum("n")).first()[0] or 0
+    groups = connected_components(candidate_edges(docs, shingles))
+    classes = connected_components(verified_links(docs, table, groups, whole, block))
+    classes = classes.select(F.col("node").alias("s1"), "root")
     table = table.withColumn("n", F.col("n").cast("long"))
     rooted = table.where("n > 0").join(classes, "s1", "left").withColumn("c", F.coalesce("root", "s1"))
     rooted = staged(rooted.select("doc_id", "n", "c"), "rooted")

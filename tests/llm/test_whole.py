@@ -6,9 +6,10 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, licenses, oracles, quality_mil
+from tessera.llm import decontaminate, licenses, ngram_join, oracles, quality_mil
 from tessera.llm.graph import connected_components
 from tessera.llm.textnum import Words
+from tests.llm import brute
 
 
 def test_components_of_long_chains_and_other_shapes(spark):
@@ -23,9 +24,48 @@ def test_components_of_long_chains_and_other_shapes(spark):
     want = {n: min(chain) for n in chain} | {n: 2 * 10**12 for e in star for n in e} | {n: 4 * 10**12 for e in cycle for n in e}
     out = connected_components(spark.createDataFrame(rows, "a long, b long")).collect()
     assert len(out) == len(want) and {x.node: x.root for x in out} == want
+    few = [(a, b) for a, b in rows if a not in set(chain[60:])]
+    out = connected_components(spark.createDataFrame(few, "a long, b long"), last=0).collect()  # by contraction alone
+    assert {x.node: x.root for x in out} == {n: min(chain[:61]) for n in chain[:61]} | {n: t for n, t in want.items() if n not in set(chain)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize(("whole", "block"), [(256, 128), (5, 3), (2, 2)])
+def test_ngram_join_of_cut_components(spark, whole, block):
+    """Chains, families that meet in a shared passage, and pairs near the threshold, in blocks of any size."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    texts, passage = [], [word() for _ in range(90)]
+    for size, edits in ((40, 1), (25, 3), (12, 2)):
+        w = [word() for _ in range(30)] + passage  # more than half of the lanes are shared by all families
+        for _ in range(size):
+            w = list(w)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    base = [word() for _ in range(100)]
+    texts += [" ".join(base[:i] + [word() for _ in range(i, i + 14)] + base[i + 14 :]) for i in range(0, 80, 4)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted(tuple(x) for x in ngram_join.components(docs, whole, block).collect())
+    assert out == sorted(brute.components(rows))
+    assert len({c for *_, c in out}) > 3
+
+
+def test_ngram_join_of_runs_that_are_cut(spark):
+    """More near copies in one batch than make a run long, in several batches."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[r.randrange(60)] = f"x{i % 50}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in ngram_join.components(docs).collect()) == sorted(brute.components(rows))
+
+
 def test_licenses_wrapped_over_lines(spark):
     """Every template wrapped at any width and place, with comment signs and one foreign word; its words far apart are no notice."""
     r = random.Random(4)
