@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch: texts may be long, and workers hold a batch at a time.
 BATCH_ROWS = 2000
+#: Bytes of an Arrow batch, where the session sets no bound.
+BATCH_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 
@@ -18,6 +20,8 @@ def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once per application, and bound their batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
