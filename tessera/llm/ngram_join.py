@@ -9,19 +9,22 @@ the size band (powers of two); a document near the lower end of its band has a s
 band below as well, so any two sizes that can match share a band.
 
 Lanes are joined on (band, lane, content), range of keys by range. A document of which fewer than
-t lanes are shared with any other has no partner and goes; those left are linked to the least
-document of each run, never as pairs, so links grow with the documents. A run that is long in
-one batch of documents is cut there: its documents meet in a run of their own, which a hub node
-joins to the others, so no key is gathered whole.
-
-Each connected component of these links is verified. Up to `WHOLE` sets are compared in one task:
-parity bits rule pairs out by Hamming distance, the sets themselves decide, and pairs already
-connected are not compared again. Larger components are dealt to blocks; each block compares its
-sets with one another and with a few pivots of the component, which connects families of near
-copies at a cost that grows with their size. Only where that leaves several classes are sets of
-different classes compared across blocks: all those outside the largest class, with the members
-of the largest class that distances to the pivots cannot rule out (the symmetric difference is a
-metric). Components of the verified links are the classes. Equal sets are one node from the start.
+t lanes are shared with any other has no partner and goes. A run that is long in one batch of
+documents is cut there: its documents meet in a run of their own, which a hub node joins to the
+others, so no key is gathered whole.
+
+Each document left is first compared with its leader, the document that is the least of most of
+its runs, and with those of the same leader in its block. That connects families of near copies at
+a cost that grows with their size, not its square. Classes found so take the place of their
+documents: a run of at most `LONG_RUN` classes gives counted pairs of classes, and a pair stays only
+if its count can reach t. Longer runs are counted for their classes instead; a class with fewer than
+t of them must agree elsewhere with any partner, so only classes with t or more are linked on long
+runs, each to the least class of its run.
+
+Classes that are connected in this way are verified: parity bits rule pairs of sets out by Hamming
+distance, the sets themselves decide, and sets of one class are not compared again. A group of more
+than `WHOLE` sets is compared in parts. Components of the verified links are the classes of the
+result. Equal sets are one node from the start.
 
 Defined results: doc_id is an integer; null and empty texts have no shingles and link with
 nothing; a text of fewer words than a shingle is one shingle; rows that repeat share a class
@@ -38,12 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, by_group, discard, partitions, possible_rows, sorted_groups, staged, text_chunks
+from tessera.llm.common import arrow_map, by_group, partitions, possible_rows, sorted_groups, staged, text_chunks
 from tessera.llm.graph import connected_components, least_labels
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, mix
 
 SHINGLE = 5
-#: Documents of one batch that make a run long.
+#: Documents of one batch, or classes, beyond which a run is long.
 LONG_RUN = 16
 #: Bands of fewer than 2**WIDE shingles have 2**16 lanes, others as many as their least size.
 WIDE = 7
@@ -51,9 +54,8 @@ WIDE = 7
 FLUSH, RANGE = 400_000, 1_500_000
 #: Signatures that a task remembers, so that it sends the lanes of equal sets once.
 SEEN = 200_000
-#: Sets compared in one task, of a component or of a block; and their shingles.
-WHOLE, BLOCK, BLOCK_SHINGLES = 256, 128, 400_000
-PIVOTS = 5
+#: Sets compared in one task, of a whole group or of a part of it; and their shingles.
+WHOLE, BLOCK, BLOCK_SHINGLES = 512, 256, 400_000
 SKETCH_BYTES = 256
 KEY = "coalesce(doc_id, -9223372036854775808L)"
 
@@ -151,18 +153,18 @@ def lane_blobs(docs: DataFrame, ranges: int) -> DataFrame:
         base = np.cumsum([0, *(len(h[2]) for h in held)])
         ent = np.concatenate([h[1] + base[i] for i, h in enumerate(held)])
         sig, level, t = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
-        order = np.argsort(key)
+        order = np.lexsort((sig[ent], key))
         key, ent = key[order], ent[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(key)))
         long = size > LONG_RUN
-        if long.any():  # a run of their own for these documents, and a hub that stands for them in the common run
+        if long.any():  # a run of their own for these documents; a hub and the least of them stand for them in the common run
             whole = key[start[long]]
             own = mix(whole ^ np.add.reduce(sig.view(np.uint64)))
             key = np.repeat(key[start], size)
             key[np.repeat(long, size)] = np.repeat(own, size[long])
             hub = len(sig) + np.arange(len(own))
-            key, ent = np.concatenate([key, own, whole]), np.concatenate([ent, hub, hub])
+            key, ent = np.concatenate([key, own, whole, whole]), np.concatenate([ent, hub, hub, ent[start[long]]])
             sig, level, t = np.concatenate([sig, own.view(np.int64)]), np.concatenate([level, np.full(len(own), -1)]), np.concatenate([t, np.zeros(len(own), t.dtype)])
             order = np.argsort(key)
             key, ent = key[order], ent[order]
@@ -256,33 +258,136 @@ def shared_lanes(blobs: DataFrame) -> DataFrame:
     return arrow_map(by_group(blobs, ["range"]), rows, "range int, sig long, level byte, t int, n int, runs binary")
 
 
+def _runs_of(held: list[pa.RecordBatch], column: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row (over all of held) and the run of every entry, for binary lists of runs."""
+    blobs = [x for b in held for x in b.column(column).to_pylist()]
+    return np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint32)
+
+
+def _column(held: list[pa.RecordBatch], column: int) -> np.ndarray:
+    return np.concatenate([np.asarray(b.column(column)) for b in held])
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def leaders(live: DataFrame) -> DataFrame:
+    """(s1, leader): for each document the one that is the least of most of its runs, if of half as many as a partner must share."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(parts, 1):
+            sig, level, t = (_column(held, c) for c in (1, 2, 3))
+            row, run = _runs_of(held, 4)
+            row, run = row[level[row] >= 0], run[level[row] >= 0]  # hubs lead nobody
+            if not len(run):
+                continue
+            order = np.lexsort((sig[row], run))
+            row, run = row[order], run[order]
+            first = _starts(run)
+            least = np.repeat(sig[row[first]], np.diff(np.append(first, len(run))))
+            other = least != sig[row]
+            row, least = row[other], least[other]
+            order = np.lexsort((least, row))
+            row, least = row[order], least[order]
+            first = _starts(row, least)
+            at = row[first]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(level[at]), pa.array(least[first]), pa.array(np.diff(np.append(first, len(row)))), pa.array(t[at])], ["a", "level", "r", "n", "t"])
+
+    votes = arrow_map(by_group(live.select("range", "sig", "level", "t", "runs"), ["range"]), rows, "a long, level byte, r long, n long, t int")
+    votes = votes.groupBy("a", "level", "r").agg(F.sum("n").alias("n"), F.max("t").alias("t")).where("2 * n >= t")
+    return votes.groupBy(F.col("a").alias("s1")).agg(F.max(F.struct("n", "r"))["r"].alias("leader"))
+
+
+def meetings(live: DataFrame) -> DataFrame:
+    """What the classes (c) of live documents share, by range.
+
+    kind 0: classes a < b of one band, the number n of runs of at most LONG_RUN classes where they
+    meet, and how many they need; kind 1: the n longer runs (and those with a hub) of class a."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in sorted_groups(parts, 1):
+            c, level, t = (_column(held, i) for i in (1, 2, 3))
+            row, run = _runs_of(held, 4)
+            order = np.lexsort((t[row], c[row], run))
+            row, run = row[order], run[order]
+            once = _starts(run, c[row])
+            row, run = row[once], run[once]
+            first = _starts(run)
+            size = np.diff(np.append(first, len(run)))
+            long = (size > LONG_RUN) | (np.minimum.reduceat(level[row], first) < 0)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for many in range(2, LONG_RUN + 1):
+                at = first[(size == many) & ~long]
+                for i in range(many if len(at) else 0):
+                    for j in range(i + 1, many):
+                        a.append(at + i)
+                        b.append(at + j)
+            a, b = row[np.concatenate(a)], row[np.concatenate(b)]
+            order = np.lexsort((level[a], c[b], c[a]))
+            a, b = a[order], b[order]
+            at = _starts(level[a], c[b], c[a])
+            many = len(at)
+            # of the members that meet, the least need
+            ta, tb = (np.minimum.reduceat(t[x], at) if many else t[:0] for x in (a, b))
+            number = held[0].column(0)[0].as_py()
+            flat = lambda kind, n: [pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, number, np.int32))]  # noqa: B023, E731
+            names = ["kind", "range", "a", "b", "level", "n", "ta", "tb", "runs"]
+            yield pa.RecordBatch.from_arrays([*flat(0, many), pa.array(c[a[at]]), pa.array(c[b[at]]), pa.array(level[a[at]]), pa.array(np.diff(np.append(at, len(a))).astype(np.int32)), pa.array(ta), pa.array(tb), pa.nulls(many, pa.binary())], names)
+            keep = np.repeat(long, size)
+            row, run = row[keep], run[keep]
+            order = np.lexsort((run, level[row], c[row]))
+            row, run = row[order], np.ascontiguousarray(run[order])
+            at = _starts(level[row], c[row])
+            many, ends = len(at), np.append(at, len(row)).astype(np.int32)
+            tc = np.minimum.reduceat(t[row], at) if many else t[:0]
+            blobs = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(ends * 4), pa.py_buffer(run)])
+            yield pa.RecordBatch.from_arrays([*flat(1, many), pa.array(c[row[at]]), pa.nulls(many, pa.int64()), pa.array(level[row[at]]), pa.array(np.diff(ends)), pa.array(tc), pa.nulls(many, pa.int32()), blobs], names)
+
+    return arrow_map(by_group(live.select("range", "c", "level", "t", "runs"), ["range"]), rows, "kind byte, range int, a long, b long, level byte, n int, ta int, tb int, runs binary")
+
+
 def run_edges(lanes: DataFrame) -> DataFrame:
-    """Edges (a, b) to the least of the documents that the runs of a range connect."""
+    """Edges (a, b) to the least of the classes that the runs of a range connect."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(parts, 1):
-            sig = np.concatenate([np.asarray(b.column(1)) for b in held])
-            blobs = [x for b in held for x in b.column(2).to_pylist()]
-            run = np.frombuffer(b"".join(blobs), np.uint32)
-            nodes, at = np.unique(sig, return_inverse=True)
-            node = np.repeat(at, [len(x) // 4 for x in blobs])
+            row, run = _runs_of(held, 2)
+            nodes, at = np.unique(_column(held, 1), return_inverse=True)
             order = np.argsort(run, kind="stable")
-            run, node = run[order], node[order]
-            first = np.ones(len(run), bool)
-            first[1:] = run[1:] != run[:-1]
-            root = least_labels(node, node[np.flatnonzero(first)[np.cumsum(first) - 1]], len(nodes))
+            run, node = run[order], at[row[order]]
+            first = _starts(run)
+            root = least_labels(node, np.repeat(node[first], np.diff(np.append(first, len(run)))), len(nodes))
             linked = np.flatnonzero(root != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["a", "b"])
 
-    return arrow_map(by_group(lanes.select("range", "sig", "runs"), ["range"]), rows, "a long, b long")
+    return arrow_map(by_group(lanes.select("range", "a", "runs"), ["range"]), rows, "a long, b long")
 
 
-def candidate_edges(docs: DataFrame, shingles: int) -> DataFrame:
-    """Edges (a, b) of signatures and hubs; every pair within the threshold is connected by them."""
+def live_lanes(docs: DataFrame, shingles: int) -> DataFrame:
+    """The shared lanes of documents that share as many as a partner must."""
     ranges = max(partitions(docs.sparkSession), shingles // RANGE + 1)
     lanes = shared_lanes(lane_blobs(docs, ranges))
-    live = lanes.withColumn("all", F.sum("n").over(Window.partitionBy("sig", "level"))).where("all >= t")
-    return run_edges(live)
+    return lanes.withColumn("all", F.sum("n").over(Window.partitionBy("sig", "level"))).where("all >= t").drop("all", "n")
+
+
+def class_edges(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of classes and hubs; classes of documents within the threshold are connected by them."""
+    named = live.join(classes.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("c", F.coalesce("root", "sig"))
+    met = staged(meetings(named), "meetings")
+    long = met.where("kind = 1")
+    counts = staged(long.groupBy("a", "level").agg(F.sum("n").alias("long")), "long-runs")
+    pairs = met.where("kind = 0").groupBy("a", "b", "level").agg(F.sum("n").alias("n"), F.min("ta").alias("ta"), F.min("tb").alias("tb"))
+    pairs = pairs.join(counts.withColumnRenamed("long", "la"), ["a", "level"], "left")
+    pairs = pairs.join(counts.select(F.col("a").alias("b"), "level", F.col("long").alias("lb")), ["b", "level"], "left")
+    enough = F.col("n") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= F.greatest("ta", "tb")
+    own = Window.partitionBy("a", "level")
+    dense = long.withColumn("all", F.sum("n").over(own)).withColumn("need", F.min("ta").over(own)).where("all >= need")
+    return pairs.where(enough).select("a", "b").unionByName(run_edges(dense))
 
 
 def verify_sets(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -354,104 +459,66 @@ def _group_sets(held: list[pa.RecordBatch], names: list[str]) -> tuple[dict[str,
     return {n: [v[i] for i in keep] for n, v in columns.items()}, [np.frombuffer(blobs[i], np.uint64) for i in keep]
 
 
-def block_links(found: DataFrame) -> DataFrame:
-    """Links (a, b) inside each block (g, block) of found and with its pivots; for members of cut components (a, far): sizes of the differences from the pivots."""
-
-    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sorted_groups(parts, 2):
-            c, sets = _group_sets(held, ["s1", "pivot", "blocks"])
-            s1, pivot = c["s1"], sorted(i for i, p in enumerate(c["pivot"]) if p)
-            a, b, far = [], [], []
-            if c["blocks"][0] > 1:
-                pivot.sort(key=s1.__getitem__)
-                for i, s in enumerate(sets):
-                    a.append(s1[i])
-                    b.append(None)
-                    far.append([len(s), *(difference(s, sets[p]) for p in pivot)])
-            for i, j in verify_sets(sets, np.arange(len(sets))) if len(sets) > 1 else []:
-                a.append(s1[i])
-                b.append(s1[j])
-                far.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.list_(pa.int32()))], ["a", "b", "far"])
-
-    return arrow_map(by_group(found.select("g", "block", "s1", "pivot", "blocks", "set"), ["g", "block"]), rows, "a long, b long, far array<int>")
-
-
-def cross_links(found: DataFrame) -> DataFrame:
-    """Links (a, b) of different classes between the parts i and j of a component (all pairs where i = j)."""
+def group_links(found: DataFrame) -> DataFrame:
+    """Links (a, b) of sets of one group (g, i, j) that are not of one class yet, with `mine` of i and j in cut groups."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(parts, 3):
             c, sets = _group_sets(held, ["s1", "c", "mine"])
             _, root = np.unique(np.array(c["c"], np.int64), return_inverse=True)
             side = np.array(c["mine"]) if len(set(c["mine"])) > 1 else None
-            links = verify_sets(sets, root, side)
+            links = verify_sets(sets, root, side) if len(sets) > 1 else []
             a, b = [c["s1"][i] for i, _ in links], [c["s1"][j] for _, j in links]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return arrow_map(by_group(found.select("g", "i", "j", "s1", "c", "mine", "set"), ["g", "i", "j"]), rows, "a long, b long")
 
 
-def open_members(members: DataFrame, classes: DataFrame, far: DataFrame) -> DataFrame:
-    """k, s1, g, c, n and side of what is still to be compared in cut components of several classes.
-
-    side 0: members outside the largest class; side 1: members of the largest class that may be
-    within the threshold of one of those, judged by their differences from the pivots."""
-    cut = members.where("blocks > 1").join(classes.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("c", F.coalesce("root", "s1"))
-    cut = staged(cut.select("k", "s1", "g", "c", "n"), "cut")
-    sizes = cut.groupBy("g", "c").agg(F.count("*").alias("many"))
-    most = sizes.groupBy("g").agg(F.max(F.struct("many", "c"))["c"].alias("most"), F.count("*").alias("classes")).where("classes > 1")
-    table = cut.join(most.select("g", "most"), "g").join(far, "s1").withColumn("side", F.when(F.col("c") == F.col("most"), 1).otherwise(0))
-    table = staged(table.select("k", "s1", "g", "c", "n", "side", "far"), "open")
-    at = [F.try_element_at("far", F.lit(i + 1)) for i in range(PIVOTS + 1)]
-    low = [F.min(F.when(F.col("side") == 0, x - F.col("n") / 7)).alias(f"low{i}") for i, x in enumerate(at)]
-    high = [F.max(F.when(F.col("side") == 0, x + F.col("n") / 7)).alias(f"high{i}") for i, x in enumerate(at)]
-    near = F.lit(True)
-    for i, x in enumerate(at):
-        inside = (x + F.col("n") / 7 >= F.col(f"low{i}") - 1e-6) & (x - F.col("n") / 7 <= F.col(f"high{i}") + 1e-6)
-        near = near & F.coalesce(inside, F.lit(True))
-    bounds = table.groupBy("g").agg(*low, *high)
-    return table.join(bounds, "g").where((F.col("side") == 0) | near).select("k", "s1", "g", "c", "n", "side")
-
-
-def verified_links(docs: DataFrame, table: DataFrame, groups: DataFrame, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of signatures within the candidate groups (node, root)."""
-    one = table.where("n > 0").groupBy("s1").agg(F.min(F.expr(KEY)).alias("k"), F.max("n").alias("n"))
-    wanted = staged(one.join(groups.select(F.col("node").alias("s1"), F.col("root").alias("g")), "s1"), "wanted")
-    pivots = [F.min(F.struct(F.xxhash64("s1", F.lit(i)), "s1"))["s1"] for i in range(PIVOTS)]
-    size = wanted.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"), F.array_distinct(F.array(*pivots)).alias("pivots"))
-    size = size.where("docs > 1").withColumn("blocks", F.when((F.col("docs") <= whole) & (F.col("shingles") <= BLOCK_SHINGLES), 1).otherwise(F.ceil(F.greatest(F.col("docs") / block, F.col("shingles") / BLOCK_SHINGLES))).cast("int"))
-    size = staged(size.select("g", "blocks", "pivots"), "sizes")
-    members = wanted.join(size, "g").withColumn("pivot", F.array_contains("pivots", F.col("s1")) & (F.col("blocks") > 1))
-    members = staged(members.select("k", "s1", "g", "n", "blocks", "pivot"), "members")
-    found = with_sets(docs, members.select("k", "s1", "g", "blocks", "pivot"))
+def leader_links(docs: DataFrame, one: DataFrame, led: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) among the documents of one leader, which is compared with all of them, block by block."""
+    groups = led.select("s1", F.col("leader").alias("g")).unionByName(led.select(F.col("leader").alias("s1"), F.col("leader").alias("g")).distinct())
+    members = staged(one.join(groups, "s1"), "led")
+    size = members.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = staged(members.join(size, "g").select("k", "s1", "g", "blocks"), "members")
+    found = with_sets(docs, members)
     own = F.array(F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
-    found = found.withColumn("block", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-    checked = staged(block_links(found), "checked")
-    links = checked.where("b is not null").select("a", "b")
-    if not members.where("blocks > 1").limit(1).count():
-        return links
-    classes = connected_components(links)
-    far = checked.where("far is not null").groupBy(F.col("a").alias("s1")).agg(F.min("far").alias("far"))
-    left = staged(open_members(members, classes, far), "left")
-    parts = left.groupBy("g", "side").agg(F.ceil(F.greatest(F.count("*") / (4 * block), F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    parts = parts.groupBy("g").pivot("side", [0, 1]).agg(F.first("parts")).select("g", F.col("0").alias("outer"), F.coalesce("1", F.lit(0)).alias("inner"))
-    left = left.join(staged(parts, "parts"), "g")
-    left = left.withColumn("mine", F.when(F.col("side") == 0, F.pmod(F.xxhash64("s1"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("s1"), F.col("inner"))).cast("int"))
-    found = with_sets(docs, left.select("k", "s1", "g", "c", "mine", "side", "outer", "inner"))
-    # parts 0 to outer - 1 meet one another and the parts of the largest class, which do not meet one another
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1)))
-    found = found.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    return links.unionByName(staged(cross_links(found), "cross"))
+    found = found.withColumn("i", F.explode(F.when(F.col("s1") == F.col("g"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+    return staged(group_links(found.select("g", "i", F.lit(0).alias("j"), "s1", F.col("s1").alias("c"), F.lit(0).alias("mine"), "set")), "leader-links")
+
+
+def class_links(docs: DataFrame, one: DataFrame, classes: DataFrame, groups: DataFrame, whole: int, block: int) -> DataFrame:
+    """Links (a, b) between different classes of a candidate group (node: class, root).
+
+    A group of up to `whole` sets is one task. In a larger one, the sets outside its largest class are dealt to parts 0 to
+    outer - 1, which meet one another and the inner parts, those of the largest class; inner parts do not meet."""
+    named = one.join(classes.select(F.col("node").alias("s1"), "root"), "s1", "left").withColumn("c", F.coalesce("root", "s1"))
+    members = staged(named.join(groups.select(F.col("node").alias("c"), F.col("root").alias("g")), "c").select("k", "s1", "g", "c", "n"), "open")
+    sizes = members.groupBy("g", "c").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    big = F.max(F.struct("docs", "shingles", "c"))
+    size = sizes.groupBy("g").agg(big.alias("big"), F.count("*").alias("classes"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).where("classes > 1")
+    parts = lambda docs, shingles: F.ceil(F.greatest(docs / block, shingles / BLOCK_SHINGLES)).cast("int")
+    cut = (F.col("docs") > whole) | (F.col("shingles") > BLOCK_SHINGLES)
+    size = size.select("g", F.col("big.c").alias("most"), F.when(cut, parts(F.col("docs") - F.col("big.docs"), F.col("shingles") - F.col("big.shingles"))).otherwise(1).alias("outer"),
+                       F.when(cut, parts(F.col("big.docs"), F.col("big.shingles"))).otherwise(0).alias("inner"))
+    members = members.join(staged(size, "group-sizes"), "g").withColumn("within", (F.col("c") == F.col("most")) & (F.col("inner") > 0))
+    place = F.xxhash64("s1")
+    members = members.withColumn("mine", F.when(F.col("within"), F.col("outer") + F.pmod(place, F.greatest("inner", F.lit(1)))).otherwise(F.pmod(place, F.col("outer"))).cast("int"))
+    found = with_sets(docs, staged(members.select("k", "s1", "g", "c", "mine", "within", "outer", "inner"), "left"))
+    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("within"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)))
+    return staged(group_links(found.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))), "class-links")
 
 
 def components(docs: DataFrame, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id of its class) of every row."""
     table = staged(document_table(docs), "sets")
     shingles = table.agg(F.sum("n")).first()[0] or 0
-    groups = connected_components(candidate_edges(docs, shingles))
-    classes = connected_components(verified_links(docs, table, groups, whole, block))
-    classes = classes.select(F.col("node").alias("s1"), "root")
+    one = staged(table.where("n > 0").groupBy("s1").agg(F.min(F.expr(KEY)).alias("k"), F.max("n").alias("n")), "distinct")
+    live = staged(live_lanes(docs, shingles), "live")
+    near = leader_links(docs, one, staged(leaders(live), "leaders"), block)
+    classes = connected_components(near)
+    groups = connected_components(class_edges(live, classes))
+    links = near.unionByName(class_links(docs, one, classes, groups, whole, block))
+    classes = connected_components(links).select(F.col("node").alias("s1"), "root")
     table = table.withColumn("n", F.col("n").cast("long"))
     rooted = table.where("n > 0").join(classes, "s1", "left").withColumn("c", F.coalesce("root", "s1"))
     rooted = staged(rooted.select("doc_id", "n", "c"), "rooted")
