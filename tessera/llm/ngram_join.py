@@ -52,6 +52,8 @@ LONG_RUN = 16
 WIDE = 7
 #: Lanes that one batch of documents gathers before it sends them on, and lanes of one range of keys.
 FLUSH, RANGE = 400_000, 1_500_000
+#: Pairs that one step counts.
+PAIRS = 500_000
 #: Signatures that a task remembers, so that it sends the lanes of equal sets once.
 SEEN = 200_000
 #: Sets compared in one task, of a whole group or of a part of it; and their shingles.
@@ -320,24 +322,27 @@ def meetings(live: DataFrame) -> DataFrame:
             first = _starts(run)
             size = np.diff(np.append(first, len(run)))
             long = (size > LONG_RUN) | (np.minimum.reduceat(level[row], first) < 0)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for many in range(2, LONG_RUN + 1):
-                at = first[(size == many) & ~long]
-                for i in range(many if len(at) else 0):
-                    for j in range(i + 1, many):
-                        a.append(at + i)
-                        b.append(at + j)
-            a, b = row[np.concatenate(a)], row[np.concatenate(b)]
-            order = np.lexsort((level[a], c[b], c[a]))
-            a, b = a[order], b[order]
-            at = _starts(level[a], c[b], c[a])
-            many = len(at)
-            # of the members that meet, the least need
-            ta, tb = (np.minimum.reduceat(t[x], at) if many else t[:0] for x in (a, b))
             number = held[0].column(0)[0].as_py()
             flat = lambda kind, n: [pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, number, np.int32))]  # noqa: B023, E731
             names = ["kind", "range", "a", "b", "level", "n", "ta", "tb", "runs"]
-            yield pa.RecordBatch.from_arrays([*flat(0, many), pa.array(c[a[at]]), pa.array(c[b[at]]), pa.array(level[a[at]]), pa.array(np.diff(np.append(at, len(a))).astype(np.int32)), pa.array(ta), pa.array(tb), pa.nulls(many, pa.binary())], names)
+            short = np.flatnonzero((size > 1) & ~long)
+            due = np.cumsum(size[short] * (size[short] - 1) // 2) // PAIRS
+            for some in np.split(short, np.flatnonzero(due[1:] != due[:-1]) + 1):
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for many in range(2, LONG_RUN + 1):
+                    at = first[some[size[some] == many]]
+                    for i in range(many if len(at) else 0):
+                        for j in range(i + 1, many):
+                            a.append(at + i)
+                            b.append(at + j)
+                a, b = row[np.concatenate(a)], row[np.concatenate(b)]
+                order = np.lexsort((level[a], c[b], c[a]))
+                a, b = a[order], b[order]
+                at = _starts(level[a], c[b], c[a])
+                many = len(at)
+                # of the members that meet, the least need
+                ta, tb = (np.minimum.reduceat(t[x], at) if many else t[:0] for x in (a, b))
+                yield pa.RecordBatch.from_arrays([*flat(0, many), pa.array(c[a[at]]), pa.array(c[b[at]]), pa.array(level[a[at]]), pa.array(np.diff(np.append(at, len(a))).astype(np.int32)), pa.array(ta), pa.array(tb), pa.nulls(many, pa.binary())], names)
             keep = np.repeat(long, size)
             row, run = row[keep], run[keep]
             order = np.lexsort((run, level[row], c[row]))
