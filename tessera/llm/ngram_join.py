@@ -50,8 +50,8 @@ SHINGLE = 5
 LONG_RUN = 16
 #: Bands of fewer than 2**WIDE shingles have 2**16 lanes, others as many as their least size.
 WIDE = 7
-#: Lanes that one batch of documents gathers before it sends them on, and lanes of one range of keys.
-FLUSH, RANGE = 400_000, 1_500_000
+#: Lanes that one batch of documents gathers before it sends them on, and shingles for each range of keys.
+FLUSH, RANGE = 400_000, 2_500_000
 #: Pairs that one step counts.
 PAIRS = 500_000
 #: Signatures that a task remembers, so that it sends the lanes of equal sets once.
@@ -244,30 +244,26 @@ def shared_lanes(blobs: DataFrame) -> DataFrame:
             run, ent = run[shared].astype(np.uint32), ent[shared]
             if not len(run):
                 continue
-            order = np.lexsort((run, level[ent], sig[ent]))
-            run, ent = run[order], ent[order]
-            new = np.ones(len(run), bool)
-            new[1:] = (sig[ent[1:]] != sig[ent[:-1]]) | (level[ent[1:]] != level[ent[:-1]])
-            start = np.flatnonzero(new)
-            ends = np.append(start, len(run)).astype(np.int32)
-            e, many = ent[start], len(start)
-            number = held[0].column(0)[0].as_py()
-            runs = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(run))])
-            out = pa.RecordBatch.from_arrays([pa.array(np.full(many, number, np.int32)), pa.array(sig[e]), pa.array(level[e]), pa.array(t[e]), pa.array(np.diff(ends)), runs], ["range", "sig", "level", "t", "n", "runs"])
+            first = _starts(run)
+            least = np.where(level[ent] < 0, np.iinfo(np.int64).max, sig[ent])  # hubs lead nobody
+            least = np.repeat(np.minimum.reduceat(least, first), np.diff(np.append(first, len(run))))
+            order = np.lexsort((least, level[ent], sig[ent]))
+            run, ent, least = run[order], ent[order], least[order]
+            start, group = _starts(sig[ent], level[ent]), _starts(sig[ent], level[ent], least)
+            many, ends, votes = len(start), np.append(start, len(run)).astype(np.int32), np.diff(np.append(group, len(run)))
+            of = np.searchsorted(group, ends).astype(np.int32)
+            e, number = ent[start], held[0].column(0)[0].as_py()
+            arrays = [_lists(run, ends), pa.ListArray.from_arrays(pa.array(of), pa.array(least[group])), pa.ListArray.from_arrays(pa.array(of), pa.array(votes.astype(np.int32)))]
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(many, number, np.int32)), pa.array(sig[e]), pa.array(level[e]), pa.array(t[e]), pa.array(np.diff(ends)), *arrays], ["range", "sig", "level", "t", "n", "runs", "least", "votes"])
             for lo in range(0, many, 20_000):
                 yield out.slice(lo, 20_000)
 
-    return arrow_map(by_group(blobs, ["range"]), rows, "range int, sig long, level byte, t int, n int, runs binary")
-
+    return arrow_map(by_group(blobs, ["range"]), rows, "range int, sig long, level byte, t int, n int, runs binary, least array<long>, votes array<int>")
 
-def _runs_of(held: list[pa.RecordBatch], column: int) -> tuple[np.ndarray, np.ndarray]:
-    """The row (over all of held) and the run of every entry, for binary lists of runs."""
-    blobs = [x for b in held for x in b.column(column).to_pylist()]
-    return np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint32)
 
-
-def _column(held: list[pa.RecordBatch], column: int) -> np.ndarray:
-    return np.concatenate([np.asarray(b.column(column)) for b in held])
+def _lists(run: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary lists of 4-byte numbers, of run[ends[i] : ends[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(run))])
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -278,34 +274,60 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def leaders(live: DataFrame) -> DataFrame:
-    """(s1, leader): for each document the one that is the least of most of its runs, if of half as many as a partner must share."""
+def live_documents(lanes: DataFrame) -> DataFrame:
+    """sig, level, t, lanes of documents (and hubs) that share as many lanes as a partner must, and leader.
+
+    A leader is the document that is the least of most of its runs, if of half as many as a partner must share."""
+    table = lanes.groupBy("sig", "level").agg(F.max("t").alias("t"), F.sum("n").alias("n"), F.collect_list(F.struct("range", "runs")).alias("lanes"), F.flatten(F.collect_list("least")).alias("least"), F.flatten(F.collect_list("votes")).alias("votes"))
+    table = table.where("n >= t").select("sig", "level", "t", "lanes", "least", "votes")
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sorted_groups(parts, 1):
-            sig, level, t = (_column(held, c) for c in (1, 2, 3))
-            row, run = _runs_of(held, 4)
-            row, run = row[level[row] >= 0], run[level[row] >= 0]  # hubs lead nobody
-            if not len(run):
-                continue
-            order = np.lexsort((sig[row], run))
-            row, run = row[order], run[order]
-            first = _starts(run)
-            least = np.repeat(sig[row[first]], np.diff(np.append(first, len(run))))
-            other = least != sig[row]
-            row, least = row[other], least[other]
+        for b in parts:
+            sig, t = np.asarray(b.column(0)), np.asarray(b.column(2))
+            row = np.repeat(np.arange(len(b)), b.column(4).value_lengths().to_numpy())
+            least, votes = np.asarray(b.column(4).flatten()), np.asarray(b.column(5).flatten())
             order = np.lexsort((least, row))
-            row, least = row[order], least[order]
-            first = _starts(row, least)
-            at = row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[at]), pa.array(level[at]), pa.array(least[first]), pa.array(np.diff(np.append(first, len(row)))), pa.array(t[at])], ["a", "level", "r", "n", "t"])
+            row, least, votes = row[order], least[order], votes[order]
+            at = _starts(row, least)
+            row, least, votes = row[at], least[at], np.add.reduceat(votes, at) if len(at) else votes
+            order = np.lexsort((least, -votes, row))
+            best = order[_starts(row[order])]
+            leader = np.zeros(len(b), np.int64)
+            leader[row[best]] = least[best]
+            led = np.zeros(len(b), bool)
+            led[row[best]] = 2 * votes[best] >= t[row[best]]
+            led &= (leader != sig) & (leader != np.iinfo(np.int64).max) & (np.asarray(b.column(1)) >= 0)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(leader, mask=~led)], ["sig", "level", "t", "lanes", "leader"])
+
+    return arrow_map(table, rows, "sig long, level byte, t int, lanes array<struct<range: int, runs: binary>>, leader long")
 
-    votes = arrow_map(by_group(live.select("range", "sig", "level", "t", "runs"), ["range"]), rows, "a long, level byte, r long, n long, t int")
-    votes = votes.groupBy("a", "level", "r").agg(F.sum("n").alias("n"), F.max("t").alias("t")).where("2 * n >= t")
-    return votes.groupBy(F.col("a").alias("s1")).agg(F.max(F.struct("n", "r"))["r"].alias("leader"))
 
+def by_range(named: DataFrame) -> DataFrame:
+    """range, classes c, levels, t and runs of a batch of live documents, packed."""
 
-def meetings(live: DataFrame) -> DataFrame:
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            c, level, t = (np.asarray(b.column(i)) for i in range(3))
+            row = np.repeat(np.arange(len(b)), b.column(3).value_lengths().to_numpy())
+            lanes = b.column(3).flatten()
+            number, blobs = np.asarray(lanes.field(0)), lanes.field(1).to_pylist()
+            order = np.argsort(number, kind="stable")
+            out: dict[str, list] = {x: [] for x in ("range", "c", "level", "t", "n", "runs")}
+            for some in np.split(order, _starts(number[order])[1:]) if len(order) else []:
+                at = row[some]
+                parts_of = [blobs[i] for i in some.tolist()]
+                out["range"].append(int(number[some[0]]))
+                out["c"].append(c[at].tobytes())
+                out["level"].append(level[at].tobytes())
+                out["t"].append(t[at].tobytes())
+                out["n"].append(np.array([len(x) // 4 for x in parts_of], np.int32).tobytes())
+                out["runs"].append(b"".join(parts_of))
+            yield pa.RecordBatch.from_arrays([pa.array(out["range"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in list(out)[1:])], list(out))
+
+    return arrow_map(named.select("c", "level", "t", "lanes"), rows, "range int, c binary, level binary, t binary, n binary, runs binary")
+
+
+def meetings(packed: DataFrame) -> DataFrame:
     """What the classes (c) of live documents share, by range.
 
     kind 0: classes a < b of one band, the number n of runs of at most LONG_RUN classes where they
@@ -313,8 +335,8 @@ def meetings(live: DataFrame) -> DataFrame:
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(parts, 1):
-            c, level, t = (_column(held, i) for i in (1, 2, 3))
-            row, run = _runs_of(held, 4)
+            c, level, t, n, run = (np.frombuffer(b"".join(x for b in held for x in b.column(i).to_pylist()), kind) for i, kind in enumerate((np.int64, np.int8, np.int32, np.int32, np.uint32), 1))
+            row = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((t[row], c[row], run))
             row, run = row[order], run[order]
             once = _starts(run, c[row])
@@ -346,14 +368,14 @@ def meetings(live: DataFrame) -> DataFrame:
             keep = np.repeat(long, size)
             row, run = row[keep], run[keep]
             order = np.lexsort((run, level[row], c[row]))
-            row, run = row[order], np.ascontiguousarray(run[order])
+            row, run = row[order], run[order]
             at = _starts(level[row], c[row])
             many, ends = len(at), np.append(at, len(row)).astype(np.int32)
             tc = np.minimum.reduceat(t[row], at) if many else t[:0]
-            blobs = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(ends * 4), pa.py_buffer(run)])
+            blobs = _lists(run, ends)
             yield pa.RecordBatch.from_arrays([*flat(1, many), pa.array(c[row[at]]), pa.nulls(many, pa.int64()), pa.array(level[row[at]]), pa.array(np.diff(ends)), pa.array(tc), pa.nulls(many, pa.int32()), blobs], names)
 
-    return arrow_map(by_group(live.select("range", "c", "level", "t", "runs"), ["range"]), rows, "kind byte, range int, a long, b long, level byte, n int, ta int, tb int, runs binary")
+    return arrow_map(by_group(packed, ["range"]), rows, "kind byte, range int, a long, b long, level byte, n int, ta int, tb int, runs binary")
 
 
 def run_edges(lanes: DataFrame) -> DataFrame:
@@ -361,8 +383,9 @@ def run_edges(lanes: DataFrame) -> DataFrame:
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(parts, 1):
-            row, run = _runs_of(held, 2)
-            nodes, at = np.unique(_column(held, 1), return_inverse=True)
+            blobs = [x for b in held for x in b.column(2).to_pylist()]
+            row, run = np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint32)
+            nodes, at = np.unique(np.concatenate([np.asarray(b.column(1)) for b in held]), return_inverse=True)
             order = np.argsort(run, kind="stable")
             run, node = run[order], at[row[order]]
             first = _starts(run)
@@ -373,17 +396,10 @@ def run_edges(lanes: DataFrame) -> DataFrame:
     return arrow_map(by_group(lanes.select("range", "a", "runs"), ["range"]), rows, "a long, b long")
 
 
-def live_lanes(docs: DataFrame, shingles: int) -> DataFrame:
-    """The shared lanes of documents that share as many as a partner must."""
-    ranges = max(partitions(docs.sparkSession), shingles // RANGE + 1)
-    lanes = shared_lanes(lane_blobs(docs, ranges))
-    return lanes.withColumn("all", F.sum("n").over(Window.partitionBy("sig", "level"))).where("all >= t").drop("all", "n")
-
-
 def class_edges(live: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) of classes and hubs; classes of documents within the threshold are connected by them."""
     named = live.join(classes.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("c", F.coalesce("root", "sig"))
-    met = staged(meetings(named), "meetings")
+    met = staged(meetings(by_range(named)), "meetings")
     long = met.where("kind = 1")
     counts = staged(long.groupBy("a", "level").agg(F.sum("n").alias("long")), "long-runs")
     pairs = met.where("kind = 0").groupBy("a", "b", "level").agg(F.sum("n").alias("n"), F.min("ta").alias("ta"), F.min("tb").alias("tb"))
@@ -518,8 +534,10 @@ def components(docs: DataFrame, whole: int = WHOLE, block: int = BLOCK) -> DataF
     table = staged(document_table(docs), "sets")
     shingles = table.agg(F.sum("n")).first()[0] or 0
     one = staged(table.where("n > 0").groupBy("s1").agg(F.min(F.expr(KEY)).alias("k"), F.max("n").alias("n")), "distinct")
-    live = staged(live_lanes(docs, shingles), "live")
-    near = leader_links(docs, one, staged(leaders(live), "leaders"), block)
+    ranges = max(partitions(docs.sparkSession), shingles // RANGE + 1)
+    live = staged(live_documents(shared_lanes(lane_blobs(docs, ranges))), "live")
+    led = live.where("leader is not null").groupBy(F.col("sig").alias("s1")).agg(F.max_by("leader", "level").alias("leader"))
+    near = leader_links(docs, one, led, block)
     classes = connected_components(near)
     groups = connected_components(class_edges(live, classes))
     links = near.unionByName(class_links(docs, one, classes, groups, whole, block))
