@@ -212,8 +212,10 @@ def lane_blobs(docs: DataFrame, ranges: int) -> DataFrame:
     return arrow_map(docs.select("text"), rows, "range int, key binary, ent binary, sig binary, level binary, t binary")
 
 
-def shared_lanes(blobs: DataFrame) -> DataFrame:
-    """range, sig, level, t of every document in a band with lanes that others share, their number n and the runs they are in."""
+def shared_lanes(blobs: DataFrame, buckets: int) -> DataFrame:
+    """Of every document (in a band) the lanes that others share: their number n in a range, the runs they are in, the least documents of these.
+
+    A range of lanes packs what it has for a bucket of documents into one row."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in sorted_groups(parts, 1):
@@ -247,23 +249,32 @@ def shared_lanes(blobs: DataFrame) -> DataFrame:
             first = _starts(run)
             least = np.where(level[ent] < 0, np.iinfo(np.int64).max, sig[ent])  # hubs lead nobody
             least = np.repeat(np.minimum.reduceat(least, first), np.diff(np.append(first, len(run))))
-            order = np.lexsort((least, level[ent], sig[ent]))
+            bucket = (mix(sig.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((least, level[ent], sig[ent], bucket[ent]))
             run, ent, least = run[order], ent[order], least[order]
             start, group = _starts(sig[ent], level[ent]), _starts(sig[ent], level[ent], least)
-            many, ends, votes = len(start), np.append(start, len(run)).astype(np.int32), np.diff(np.append(group, len(run)))
-            of = np.searchsorted(group, ends).astype(np.int32)
-            e, number = ent[start], held[0].column(0)[0].as_py()
-            arrays = [_lists(run, ends), pa.ListArray.from_arrays(pa.array(of), pa.array(least[group])), pa.ListArray.from_arrays(pa.array(of), pa.array(votes.astype(np.int32)))]
-            out = pa.RecordBatch.from_arrays([pa.array(np.full(many, number, np.int32)), pa.array(sig[e]), pa.array(level[e]), pa.array(t[e]), pa.array(np.diff(ends)), *arrays], ["range", "sig", "level", "t", "n", "runs", "least", "votes"])
-            for lo in range(0, many, 20_000):
-                yield out.slice(lo, 20_000)
+            n, votes = np.diff(np.append(start, len(run))), np.diff(np.append(group, len(run)))
+            led = np.diff(np.searchsorted(group, np.append(start, len(run))))
+            e = ent[start]
+            first = _starts(bucket[e])
+            cut = np.append(first, len(start))
+            at, of = np.append(start, len(run))[cut], np.append(np.cumsum(led) - led, len(group))[cut]
+            out = {"bucket": bucket[e[first]], "range": np.full(len(first), held[0].column(0)[0].as_py(), np.int32)}
+            for name, x, ends in (("sig", sig[e], cut), ("level", level[e], cut), ("t", t[e], cut), ("n", n.astype(np.int32), cut), ("led", led.astype(np.int32), cut), ("runs", run, at), ("least", least[group], of), ("votes", votes.astype(np.int32), of)):
+                out[name] = _lists(x, ends)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
+
+    columns = ", ".join(f"{c} binary" for c in SHARED)
+    return arrow_map(by_group(blobs, ["range"]), rows, f"bucket int, range int, {columns}")
+
 
-    return arrow_map(by_group(blobs, ["range"]), rows, "range int, sig long, level byte, t int, n int, runs binary, least array<long>, votes array<int>")
+#: Columns of shared lanes: of documents (in a band), of their runs, of the least documents of these.
+SHARED = {"sig": np.int64, "level": np.int8, "t": np.int32, "n": np.int32, "led": np.int32, "runs": np.uint32, "least": np.int64, "votes": np.int32}
 
 
-def _lists(run: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary lists of 4-byte numbers, of run[ends[i] : ends[i + 1]]."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(run))])
+def _lists(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary lists of x[ends[i] : ends[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -274,32 +285,41 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def live_documents(lanes: DataFrame) -> DataFrame:
+def live_documents(shared: DataFrame) -> DataFrame:
     """sig, level, t, lanes of documents (and hubs) that share as many lanes as a partner must, and leader.
 
     A leader is the document that is the least of most of its runs, if of half as many as a partner must share."""
-    table = lanes.groupBy("sig", "level").agg(F.max("t").alias("t"), F.sum("n").alias("n"), F.collect_list(F.struct("range", "runs")).alias("lanes"), F.flatten(F.collect_list("least")).alias("least"), F.flatten(F.collect_list("votes")).alias("votes"))
-    table = table.where("n >= t").select("sig", "level", "t", "lanes", "least", "votes")
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            sig, t = np.asarray(b.column(0)), np.asarray(b.column(2))
-            row = np.repeat(np.arange(len(b)), b.column(4).value_lengths().to_numpy())
-            least, votes = np.asarray(b.column(4).flatten()), np.asarray(b.column(5).flatten())
-            order = np.lexsort((least, row))
-            row, least, votes = row[order], least[order], votes[order]
+        for held in sorted_groups(parts, 1):
+            number = np.concatenate([np.asarray(b.column(1)) for b in held])
+            sig, level, t, n, led, run, least, votes = (np.frombuffer(b"".join(x for b in held for x in b.column(i).to_pylist()), kind) for i, kind in enumerate(SHARED.values(), 2))
+            number = np.repeat(number, [len(x) // 8 for b in held for x in b.column(2).to_pylist()])
+            order = np.lexsort((number, level, sig))
+            doc = np.empty(len(sig), np.int64)  # of every entry, in order of sig and level
+            first = _starts(sig[order], level[order])
+            doc[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            sig, level, t = (x[order[first]] for x in (sig, level, t))
+            live = np.bincount(doc, weights=n, minlength=len(sig)) >= t
+            row = np.repeat(doc, led)
+            by = np.lexsort((least, row))
+            row, least, votes = row[by], least[by], votes[by]
             at = _starts(row, least)
-            row, least, votes = row[at], least[at], np.add.reduceat(votes, at) if len(at) else votes
-            order = np.lexsort((least, -votes, row))
-            best = order[_starts(row[order])]
-            leader = np.zeros(len(b), np.int64)
-            leader[row[best]] = least[best]
-            led = np.zeros(len(b), bool)
-            led[row[best]] = 2 * votes[best] >= t[row[best]]
-            led &= (leader != sig) & (leader != np.iinfo(np.int64).max) & (np.asarray(b.column(1)) >= 0)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(leader, mask=~led)], ["sig", "level", "t", "lanes", "leader"])
-
-    return arrow_map(table, rows, "sig long, level byte, t int, lanes array<struct<range: int, runs: binary>>, leader long")
+            row, least, votes = row[at], least[at], np.add.reduceat(votes, at)
+            by = np.lexsort((least, -votes, row))
+            best = by[_starts(row[by])]
+            leader = least[best]  # one a document, in their order
+            leads = live & (2 * votes[best] >= t) & (leader != sig) & (leader != np.iinfo(np.int64).max) & (level >= 0)
+            order = order[live[doc[order]]]
+            size, start = n[order], (np.cumsum(n) - n)[order]
+            place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            lanes = pa.StructArray.from_arrays([pa.array(number[order]), _lists(run[place], np.append(0, np.cumsum(size)))], ["range", "runs"])
+            ends = np.append(0, np.cumsum(np.bincount(doc[order], minlength=len(sig))[live])).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(sig[live]), pa.array(level[live]), pa.array(t[live]), pa.ListArray.from_arrays(pa.array(ends), lanes), pa.array(leader[live], mask=~leads[live])], ["sig", "level", "t", "lanes", "leader"])
+            for lo in range(0, len(out), 2000):
+                yield out.slice(lo, 2000)
+
+    return arrow_map(by_group(shared, ["bucket"]), rows, "sig long, level byte, t int, lanes array<struct<range: int, runs: binary>>, leader long")
 
 
 def by_range(named: DataFrame) -> DataFrame:
@@ -535,7 +555,7 @@ def components(docs: DataFrame, whole: int = WHOLE, block: int = BLOCK) -> DataF
     shingles = table.agg(F.sum("n")).first()[0] or 0
     one = staged(table.where("n > 0").groupBy("s1").agg(F.min(F.expr(KEY)).alias("k"), F.max("n").alias("n")), "distinct")
     ranges = max(partitions(docs.sparkSession), shingles // RANGE + 1)
-    live = staged(live_documents(shared_lanes(lane_blobs(docs, ranges))), "live")
+    live = staged(live_documents(shared_lanes(lane_blobs(docs, ranges), ranges)), "live")
     led = live.where("leader is not null").groupBy(F.col("sig").alias("s1")).agg(F.max_by("leader", "level").alias("leader"))
     near = leader_links(docs, one, led, block)
     classes = connected_components(near)
