@@ -3,7 +3,9 @@
 A word is held as the boundaries of its parts and the rank of each adjacent pair of parts.
 The least rank is searched, the boundary between its parts deleted, and the ranks left and
 right of it refreshed, until no pair has a rank. Words are short, so plain scans of a small
-list are cheap; results of words are kept in a bounded table, cleared when full.
+list are cheap. A word of more than `LONG` symbols is merged in the same order with linked parts
+and a heap of ranks, whose cost grows with its length. Results of words of at most `KEPT`
+characters are held in a bounded table, cleared when full.
 
 The vocabulary file is read on each worker from its path (a parameter); it must be at the
 same path on all executors, as installed packages are.
@@ -16,6 +18,7 @@ encoded each; other columns play no part.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import arrow_map
 
 
+#: Symbols beyond which a word is merged with a heap, and characters up to which its ids are kept.
+LONG, KEPT = 200, 64
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
@@ -67,6 +72,8 @@ class WordBPE:
         symbols = [self.byte[b] for b in word.encode("utf-8", "surrogatepass")]
         symbols[-1] += self.end
         ids = [self.vocab[s] for s in symbols if s in self.vocab]
+        if len(ids) > LONG:
+            return self.long_word_ids(ids)
         starts = list(range(len(ids)))
         far, get, made = self.far, self.rank.get, self.made
         ranks = [get((ids[i] << 20) | ids[i + 1], far) for i in range(len(ids) - 1)]
@@ -80,21 +87,56 @@ class WordBPE:
                 ranks[i - 1] = get((ids[i - 1] << 20) | ids[i], far)
         return ids
 
+    def long_word_ids(self, ids: list[int]) -> list[int]:
+        """What word_ids makes of the ids of symbols: the least rank first, the leftmost of equals."""
+        far, get, made = self.far, self.rank.get, self.made
+        n = len(ids)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        ranks = [get((ids[i] << 20) | ids[i + 1], far) for i in range(n - 1)] + [far]  # of a part and the one after it
+        heap = [(r, i) for i, r in enumerate(ranks) if r != far]
+        heapq.heapify(heap)
+
+        def refresh(i: int) -> None:
+            j = after[i]
+            ranks[i] = get((ids[i] << 20) | ids[j], far) if j >= 0 else far
+            if ranks[i] != far:
+                heapq.heappush(heap, (ranks[i], i))
+
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if ranks[i] != rank:
+                continue  # merged or refreshed since
+            j = after[i]
+            ids[i], ranks[j] = made[rank], -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            refresh(i)
+            if before[i] >= 0:
+                refresh(before[i])
+        return [ids[i] for i in range(n) if ranks[i] >= 0]
+
     def normal(self, text: str) -> str:
         """NFC, white space to one space, lower case (each character by itself)."""
         if text.isascii():
             return text.lower()
         return "".join([c.lower() for c in unicodedata.normalize("NFC", text)]) if "Σ" in text else unicodedata.normalize("NFC", text).lower()
 
+    def _keep(self, known: dict[str, str], text: str, ids: str) -> str:
+        """ids, kept for a short text; a table holds at most `keep` entries of KEPT characters."""
+        if len(text) <= KEPT:
+            if len(known) >= self.keep:
+                known.clear()
+            known[text] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> str:
         """Decimal ids of a chunk without white space."""
         known, out = self.known, []
         for w in self.words.findall(chunk):
             ids = known.get(w)
             if ids is None:
-                if len(known) >= self.keep:
-                    known.clear()
-                ids = known[w] = " ".join(map(str, self.word_ids(w)))
+                ids = self._keep(known, w, " ".join(map(str, self.word_ids(w))))
             if ids:
                 out.append(ids)
         return " ".join(out)
@@ -108,9 +150,7 @@ class WordBPE:
         for c in text.split():
             ids = known.get(c)
             if ids is None:
-                if len(known) >= self.keep:
-                    known.clear()
-                ids = known[c] = self._chunk(c)
+                ids = self._keep(known, c, self._chunk(c))
             out.append(ids)
         return out
 

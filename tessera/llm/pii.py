@@ -9,6 +9,7 @@ Candidates that the classifier accepts are added to the base spans, which always
 
 Positions are found natively: the same pattern splits a text into gaps and extracts the
 matches, and running lengths of gaps and matches are the starts and ends, in code points.
+Features of the classifier are a span's kind, length, context and whether it passed its check.
 
 Defined results: a null text is empty and has no spans; repeated rows are each reported;
 columns besides doc_id and text play no part; on an empty table the result is empty.
@@ -44,23 +45,54 @@ CONTEXT = {
     "secret": r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|credential)s?\W{0,6}$",
 }
 AGAINST = r"(?i)(?:version|isbn|issn|figure|section|chapter|page|commit|sha|hash|uuid|id)\W{0,6}$"
+#: Features of a kind: four lengths, context or not, passed check or not.
+FEATURES = 16
 LABELERS = ("check", "gazetteer", "context", "shape")
 ABSTAIN = 2
 
 
+#: Matches of a block: running lengths are folded inside a block, then over blocks.
+BLOCK = 64
+#: Code points before a match that make its context.
+LEFT = 24
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, pattern: str, possible: Column) -> Column:
-    """array<struct<s, e, t>>: start, end and text of all matches, where `possible` holds."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(found)).alias("g"), found.alias("m"))
-    none = F.from_json(F.lit("[]"), "array<struct<s:int,e:int,t:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """array<struct<s, e, t, left>>: start, end and text of all matches, where `possible` holds.
+
+    left is the end of the match before, followed by the gap between. Lengths of gaps and matches are summed in
+    two levels, so the cost grows with the text and, very nearly, with its matches."""
+    none = F.from_json(F.lit("[]"), "array<struct<s:int,e:int,t:string,left:string>>")
+
+    def parts(found: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), found)
+        zipped = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("g"), found.alias("m"), before.alias("p")), F.lit(1), F.size(found))
+        return F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n"), x["m"].alias("t"), F.right(F.concat(x["p"], x["g"]), F.lit(LEFT)).alias("left")))
+
+    def fold(block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + x["g"]
+            span = F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["t"].alias("t"), x["left"].alias("left"))
+            return F.struct((s + x["n"]).alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def placed(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<int>").alias("out"))
+        bases = F.aggregate(blocks, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        moved = lambda x, base: F.struct((x["s"] + base).alias("s"), (x["e"] + base).alias("e"), x["t"].alias("t"), x["left"].alias("left"))
+        return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(b["out"], lambda x: moved(x, base))))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("t"))).alias("out"))
+    def spans(found: Column) -> Column:
+        each = bound(parts(found), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: fold(F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))))
+        return F.when(F.size(found) > 0, bound(each, placed)).otherwise(none)
 
-    return F.when(possible, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(possible, bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(none)
 
 
 def digits(text: Column) -> Column:
@@ -116,10 +148,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def judged(k: int, kind: str) -> Column:
         def one(x: Column) -> Column:
-            left = F.substring(F.col("text"), F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
-            v = _votes(kind, x["t"], left)
+            v = _votes(kind, x["t"], x["left"])
             code = sum((c * 3**i for i, c in enumerate(v[1:], start=1)), v[0])
-            feature = F.lit(k) * 8 + F.least(F.floor(F.length(x["t"]) / 8).cast("int"), F.lit(3)) * 2 + v[2].eqNullSafe(1).cast("int")
+            feature = F.lit(k * FEATURES) + F.least(F.floor(F.length(x["t"]) / 8).cast("int"), F.lit(3)) * 4 + v[2].eqNullSafe(1).cast("int") * 2 + v[0].eqNullSafe(1).cast("int")
             return F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), code.cast("int").alias("v"), feature.cast("int").alias("f"))
 
         return F.transform(F.col(kind), one)
@@ -149,7 +180,7 @@ def reliabilities(counts: DataFrame, rounds: int = 25) -> DataFrame:
     start = "array(0.7D" + ", 0.7D, 0.1D, 0.15D, 0.5D" * len(LABELERS) + ")"
     table = table.withColumn("m", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (m, i) -> {step})"))
     table = table.withColumn("q", F.expr(q))
-    size = len(KINDS) * 8
+    size = len(KINDS) * FEATURES
     weight = f"transform(sequence(0, {size - 1}), k -> ln(({total('r.p', 'r.f = k')} + 0.5) / ({total('r.n - r.p', 'r.f = k')} + 0.5)))"
     return table.select("m", F.expr(weight).alias("w"))
 
@@ -158,19 +189,19 @@ def find_pii(docs: DataFrame, accept: float = 0.9) -> DataFrame:
     """doc_id, base (array of k, s, e) and spans (base and accepted candidates) of every row."""
     found = staged(candidates(docs), "pii")
     counts = found.select(F.explode("c").alias("c")).groupBy("c.v", "c.f").count().withColumnRenamed("count", "n")
-    weights = reliabilities(counts).select("w").first()[0]  # one number for each of the 40 feature codes
+    weights = reliabilities(counts).select("w").first()[0]  # one number for each of the 80 feature codes
     table = F.array(*(F.lit(float(x)) for x in weights))
-    bound = F.log(F.lit(accept / (1 - accept)))
+    least = F.log(F.lit(accept / (1 - accept)))
     is_base = lambda x: (x["k"] < 4) & (x["v"] % 3 == 1)
     plain = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))
     base = F.transform(F.filter("c", is_base), plain)
-    spans = F.transform(F.filter("c", lambda x: is_base(x) | (F.element_at(table, x["f"] + 1) >= bound)), plain)
+    spans = F.transform(F.filter("c", lambda x: is_base(x) | (F.element_at(table, x["f"] + 1) >= least)), plain)
     return found.select("doc_id", base.alias("base"), spans.alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the base spans and all spans as text."""
+    """Counts by kind, the digest of the base spans, all spans as text and their number."""
     names = F.array(*(F.lit(k) for k in KINDS))
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -61,18 +61,19 @@ def bags(words: Words, passage: int = 64) -> tuple[np.ndarray, np.ndarray]:
     chars = np.maximum(total(length), 1)
     symbol = of_bytes(SYMBOLS[words.data])
     same = np.zeros(n, bool)
-    same[1:] = hashes[1:] == hashes[:-1]
+    same[1:] = (hashes[1:] == hashes[:-1]) & (passage_of[1:] == passage_of[:-1])
 
     def repeated(width: int) -> np.ndarray:
         """Share of windows that stand elsewhere in the passage."""
         at = np.arange(max(n - width + 1, 0))
-        raw = mix((Sequence(hashes, WORD_BASE).spans(at, at + width) if width > 1 else hashes) ^ mix(passage_of[: len(at)].astype(np.uint64)))
+        at = at[passage_of[at] == passage_of[at + width - 1]]
+        raw = mix((Sequence(hashes, WORD_BASE).spans(at, at + width) if width > 1 else hashes) ^ mix(passage_of[at].astype(np.uint64)))
         order = np.argsort(raw)
         key = raw[order]
         twin = np.zeros(len(key) + 1, bool)
         twin[1:-1] = key[1:] == key[:-1]
         again = np.zeros(n)
-        again[order] = twin[1:] | twin[:-1]
+        again[at[order]] = twin[1:] | twin[:-1]
         return total(again) / size
 
     x = np.empty((len(doc), N_INPUTS), np.float32)

@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Trees | None:
 
 
 def quality_rules(docs: DataFrame, model: Trees | None, threshold: float = 0.3) -> DataFrame:
-    """doc_id, the counts, base_failed, score and kept of every row."""
+    """doc_id, the counts, base_failed, kept and score of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,9 +188,9 @@ def quality_rules(docs: DataFrame, model: Trees | None, threshold: float = 0.3)
                 counts, x = statistics(Words(data, offsets))
                 bad = base_failed(counts)
                 score = np.ones(hi - lo) if model is None else model.score(x)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(bad), pa.array(score), pa.array(~bad & (score >= threshold))], ["doc_id", *COUNTS, "base_failed", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(bad), pa.array(~bad & (score >= threshold)), pa.array(score)], ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
     return arrow_map(docs.select("doc_id", "text"), rows, schema)
 
 

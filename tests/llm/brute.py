@@ -143,3 +143,65 @@ def line_dedup(docs, least=8):
                 gone.add((doc, i, w))
                 break
     return [(doc, [i for i, x in enumerate((text or "").split("\n")) if (doc, i, tuple(plain(x))) in gone]) for doc, text in docs]
+
+
+def rule_features(text):
+    """The features of the quality rules, by their definitions."""
+    import math
+
+    text = text or ""
+    w = plain(text)
+    n, chars, symbols, dup, again = counts(text)
+    rows = sum(bool(PLAIN.search(x)) for x in text.split("\n"))
+    nw, nc, nl = max(n, 1), max(chars, 1), max(rows, 1)
+    of = lambda s: sum(c in s for c in text)
+    lone = sum(len(x) == 1 and x in "#*$%&|<>" for x in w)
+    return [math.log1p(n), chars / nw, symbols / nc, dup / nl, again / nw, of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / nc, of("0123456789") / nc, of(".,;:!?") / nw, of("!?") / nw, len(set(w)) / nw, lone / nw, n / nl]
+
+
+def tree_score(trees, x):
+    """Probability of label 1: every tree is walked node by node."""
+    import math
+
+    margin = trees.bias
+    for feature, cut, leaf in zip(trees.feature.tolist(), trees.cut.tolist(), trees.leaf.tolist(), strict=True):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+        margin += leaf[node - len(feature)]
+    return 1 / (1 + math.exp(-max(-30, min(30, margin))))
+
+
+def passage_inputs(words, n_words):
+    """The first twelve inputs of a passage, by their definitions."""
+    import math
+
+    size, chars = max(len(words), 1), max(sum(map(len, words)), 1)
+    of = lambda s: sum(c in s for w in words for c in w)
+    lone = sum(len(w) == 1 and w in "#*$%&|<>" for w in words)
+    same = sum(a == b for a, b in zip(words[1:], words[:-1], strict=True))
+    ones = Counter(words)
+    threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = Counter(threes)
+    return [
+        math.log1p(len(words)) / 4, chars / size / 8, of("#*$%&|<>") / chars * 4, lone / size * 4, of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars * 2, of("0123456789") / chars * 4,
+        of(".,;:!?") / size * 2, of("!?") / size * 2, same / size * 4, sum(ones[w] > 1 for w in words) / size, sum(many[w] > 1 for w in threes) / size * 2, math.log1p(n_words) / 8]
+
+
+def attention_score(p, bag):
+    """Score of a bag of passages by gated attention, unit by unit."""
+    import math
+
+    def layer(v, matrix, bias):
+        return [sum(a * matrix[i][j] for i, a in enumerate(v)) + bias[j] for j in range(len(bias))]
+
+    p = {k: v.tolist() for k, v in p.items()}
+    zero = [0.0] * len(p["b"])
+    hidden = [[math.tanh(a) for a in layer(x, p["W"], p["b"])] for x in bag]
+    energy = []
+    for h in hidden:
+        gate = [1 / (1 + math.exp(-a)) for a in layer(h, p["U"], zero)]
+        energy.append(sum(math.tanh(a) * g * w for a, g, w in zip(layer(h, p["V"], zero), gate, p["w"], strict=True)))
+    weight = [math.exp(e - max(energy)) for e in energy]
+    z = [sum(a * h[j] for a, h in zip(weight, hidden, strict=True)) / sum(weight) for j in range(len(zero))]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * c for a, c in zip(z, p["c"], strict=True)) + p["d"]))))

@@ -267,11 +267,11 @@ def test_quality_rules(case):
     for d, t in rows:
         c = brute.counts(t)
         failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
-        want.append((d, *c, failed, 1.0, not failed))
+        want.append((d, *c, failed, not failed, 1.0))
     same(out, want)
     kept = quality_rules.keep_good(docs, None)
     assert kept.columns == docs.columns
-    same([(r.doc_id,) for r in kept.collect()], [(w[0],) for w in want if w[-1]])
+    same([(r.doc_id,) for r in kept.collect()], [(w[0],) for w in want if w[-2]])
 
 
 def test_trees_are_monotone_and_separate_held_out_documents(spark):

@@ -6,8 +6,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, licenses, ngram_join, oracles, quality_mil
+from tessera.llm import bpe, decontaminate, licenses, ngram_join, oracles, pii, quality_mil, quality_rules
 from tessera.llm.graph import connected_components
+from tessera.llm.queries import word_bpe_path
 from tessera.llm.textnum import Words
 from tests.llm import brute
 
@@ -124,3 +125,94 @@ def test_benchmark_rows_without_an_id_are_found(spark, tmp_path, table_bytes):
     want = con.execute(f"SELECT {names} FROM ({oracles.SQL['op3_decontamination']}) ORDER BY doc_id").fetchall()
     assert sorted(map(tuple, out.collect())) == want
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(rows, bench, table_bytes=table_bytes, unnamed=True).collect()) == [4, 5]
+
+
+def test_spans_and_tokens_of_very_long_texts(spark):
+    """Cost grows with the text: 50,000 matches, and words of 200,000 letters."""
+    from tokenizers import Tokenizer
+
+    texts = [" ".join(f"user{i}@mail{i}.com" for i in range(50_000)), " ".join(f"{i % 256}.2.3.4" for i in range(65 * 64 + 1)), "é 1.2.3.4 " * 64]
+    out = sorted(pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect())
+    for r, t in zip(out, texts, strict=True):
+        assert r.base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in brute.pii(t)))
+    r = random.Random(1)
+    tokens, own = Tokenizer.from_file(word_bpe_path()), bpe.WordBPE(word_bpe_path())
+    words = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "eé日t") for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 5000)]
+    words += ["short", "a" * 3001, "abab" * 700, "".join(r.choice("etaoinshrdlu") for _ in range(200_000))]
+    for w in words:
+        assert own.encode(w) == tokens.encode(w, add_special_tokens=False).ids
+    assert max(map(len, [*own.known, *own.chunks])) <= bpe.KEPT
+
+
+def planted(kind, text):
+    """A text with personal data of a kind that the fixed patterns alone may miss."""
+    return {"secret": f'{text} token = "{brute.sha(text)[:40]}" {text}', "phone": f"{text} call +1 555 123 {len(text):04d} {text}", "email": f"{text} mail a{len(text)}@b.com {text}"}[kind]
+
+
+def test_recall_of_planted_personal_data(spark, sf_dir):
+    """Spans find what is planted, secrets too, which only the trained method adds; texts without digits or @ have none."""
+    base = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text and not any(c.isdigit() or c in "@+" for c in r.text)][:90]
+    kinds = ("secret", "phone", "email")
+    rows = [(i, planted(kinds[i % 3], t[:400])) for i, (_, t) in enumerate(base)] + [(1000 + i, t) for i, (_, t) in enumerate(base)]
+    out = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    found = {k: np.mean([k in out[i] for i in range(len(base)) if kinds[i % 3] == k]) for k in kinds}
+    assert min(found.values()) >= 0.95, found
+    assert not any(out[1000 + i] for i in range(len(base)))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "\n \n"), (-4, "one"), (-5, "Same Words! " * 3000 + "# # 1"), (-5, "É 日本 a\nÉ 日本 a"), (None, "no id")], "doc_id long, text string")
+    return docs, docs.select("doc_id", "text").unionByName(odd), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_tree_verdicts_against_plain_walks(labelled):
+    """op10 with a fitted model: features, trees and verdict of every document, odd ones among them."""
+    docs, rows, labels = labelled
+    trees = quality_rules.fit(docs, labels)
+    want = {}
+    for r in rows.collect():
+        c, s = brute.counts(r.text), brute.tree_score(trees, brute.rule_features(r.text))
+        failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        want.setdefault(r.doc_id, []).append((*c, failed, not failed and s >= 0.3, pytest.approx(s)))
+    out = quality_rules.quality_rules(rows, trees)
+    assert out.columns[-3:] == ["base_failed", "kept", "score"]
+    for r in out.collect():
+        assert tuple(r)[1:] in want[r.doc_id]
+    kept = quality_rules.keep_good(rows, trees)
+    assert kept.columns == rows.columns and kept.count() == sum(w[-2] for x in want.values() for w in x)
+
+
+def test_attention_scores_against_plain_sums(labelled):
+    """op6 with a fitted model: inputs and scores of every tenth document and of odd ones."""
+    docs, rows, labels = labelled
+    model = quality_mil.fit(docs, labels)
+    some = [r for r in rows.collect() if r.doc_id is None or r.doc_id < 0 or r.doc_id % 10 == 0]
+    got = {}
+    for r in quality_mil.score(rows, model).collect():
+        got.setdefault(r.doc_id, []).append((r.score, r.predicted))
+    for r in some:
+        raw = (r.text or "").encode()
+        x, first = quality_mil.bags(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        w = brute.plain(r.text)
+        n = max(-(-len(w) // 64), 1)
+        assert first.tolist() == [0, n]
+        for k in range(n):
+            want = brute.passage_inputs(w[k * len(w) // n : (k + 1) * len(w) // n], len(w))
+            assert all(a == pytest.approx(b, abs=1e-4) for a, b in zip(want, x[k].tolist(), strict=False))
+        s = brute.attention_score(model.p, x.tolist())
+        assert (pytest.approx(s, abs=1e-6), int(s >= 0.3)) in got[r.doc_id]
+
+
+def test_keep_one_of_odd_rows(spark):
+    """Nulls, no ids, repeated rows and ids, empty and short texts, and columns with clashing names."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(58))
+    rows = [(3, a), (3, a), (5, b), (None, a), (7, None), (8, ""), (8, ""), (9, "x y"), (10, "x y"), (2, "other words " * 40), (None, None)]
+    docs = spark.createDataFrame([(d, t, 1, 2, "r", 3) for d, t in rows], "doc_id long, text string, k int, s1 int, root string, n int")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(3, a), (3, a), (None, a), (7, None), (8, ""), (8, ""), (9, "x y"), (2, "other words " * 40), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert ngram_join.keep_one(docs.limit(0)).collect() == []
