@@ -4,11 +4,13 @@ A window is `WINDOW` consecutive words. Its fingerprint is the least hash among
 grams (leftmost of equals), so equal windows have equal fingerprints and neighbouring windows
 share one: the index holds about one hash for every 15 words, and loses no repeat.
 
-The index is a set of immutable runs, each sorted by hash with a count of 1 or 2 (twice or
-more). A batch of documents becomes a run; runs of one level are merge-joined into one of the
-next when there are `fanout` of them (compaction). Looking a batch up merge-joins its hashes
-with the runs. Fingerprints seen twice only nominate windows: these are verified by 96 bits of
-hash over all their words, and only windows found elsewhere are removed.
+The index is a set of immutable runs in a folder, each bucketed and sorted by hash, with a count
+of 1 or 2 (twice or more) and the document of a hash that stands once. A new batch of documents is
+merge-joined with the runs of all earlier batches: that nominates its own repeated fingerprints,
+and the earlier documents that held them alone so far. Then it becomes a run, and runs of one
+level are merge-joined into one of the next when there are `fanout` of them (compaction). A
+manifest names the runs, so an index outlives the call. Fingerprints only nominate windows: these
+are verified by 96 bits of hash over all their words, and only windows found elsewhere are removed.
 
 A text that is a copy of another, word for word, needs no windows of its own: its copies with
 the least key stand for all, and count twice.
@@ -16,7 +18,7 @@ the least key stand for all, and count twice.
 Verification needs no list of places: windows are counted with a partial aggregate, and for
 those that stay alone the sum carries their document, so hot passages stay cheap.
 
-Defined results: a null text has no words; a text of fewer words than a window loses nothing;
+Defined results: doc_id is an integer; a null text has no words; a text of fewer words than a window loses nothing;
 rows that repeat are documents of their own (so their windows repeat); a null doc_id is kept;
 other columns play no part; an empty table gives an empty result.
 """
@@ -24,14 +26,17 @@ other columns play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, new_path, remove, staged, text_chunks
+from tessera.llm.common import arrow_map, new_path, partitions, possible_rows, remove, staged, text_chunks
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, covered, mix
 
 WINDOW, GRAM = 35, 6
@@ -94,44 +99,92 @@ def fingerprints(docs: DataFrame, batches: int = 1) -> DataFrame:
 
 
 class FingerprintLog:
-    """Sorted immutable runs of (h, n) under one shared folder."""
+    """An index of fingerprints: immutable runs of (h, n, k) in one folder, named by a manifest.
+
+    A run is bucketed and sorted by h, one file a bucket, so joins with it and between runs are merge joins that
+    neither shuffle nor sort it. n is 1 or 2 (twice or more); k is the document of a hash that stands once. The
+    manifest is replaced after each step, so an index can be opened again, by another application too; a run
+    that no manifest names is left over from a failed step and plays no part."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, fanout: int = 2):
+        self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        known = sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(self.root)) if f.getPath().getName().startswith("manifest-")) if self._fs.exists(self._path(self.root)) else []
+        self.version = int(known[-1].split("-")[1]) if known else 0
+        if known:
+            found = json.loads(spark.read.text(f"{self.root}/{known[-1]}", wholetext=True).first()[0])
+            self.buckets, self.levels = found["buckets"], found["levels"]
+        else:
+            self.buckets, self.levels = buckets or partitions(spark), []
+
+    def _save(self) -> None:
+        """The next manifest, whole or not at all."""
+        self.version += 1
+        name = f"manifest-{self.version:010d}"
+        out = self._fs.create(self._path(f"{self.root}/.{name}"), True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "levels": self.levels}).encode()))
+        out.close()
+        self._fs.rename(self._path(f"{self.root}/.{name}"), self._path(f"{self.root}/{name}"))
+
+    def _table(self, run: str) -> DataFrame:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (h BIGINT, n INT, k BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{run}'")
+        return self.spark.table(run).hint("merge")
+
+    def _write(self, counts: DataFrame) -> str:
+        run = f"run_{uuid.uuid4().hex}"
+        sorted_rows = counts.select("h", "n", "k").repartition(self.buckets, "h").sortWithinPartitions("h")
+        sorted_rows.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{run}").saveAsTable(run)
+        return run
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = []
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"run{level}")
-        counts.groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).alias("n")).sortWithinPartitions("h").write.parquet(path)
-        while len(self.levels) <= level:
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
+
+    def append(self, batch: DataFrame) -> DataFrame:
+        """Add a batch of (h, k, n); return (h, k): its hashes that repeat, and for those that stood once in older runs their document.
+
+        The batch's counts are merge-joined with every older run first, then become a run themselves; levels with `fanout` runs are compacted."""
+        counts = batch.groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min("k").alias("k"))
+        run = self._write(counts)
+        found = self._table(run).select("h", F.col("n").alias("all"), F.lit(0).alias("old"), F.lit(None).cast("long").alias("owner"))
+        for older in self.runs():
+            past = self._table(older).select("h", F.col("n").alias("m"), F.col("k").alias("of"))
+            found = found.join(past, "h", "left").select("h", (F.col("all") + F.coalesce("m", F.lit(0))).alias("all"), (F.col("old") + F.coalesce("m", F.lit(0))).alias("old"), F.coalesce("owner", "of").alias("owner"))
+        again = staged(found.where("all > 1").select("h", F.when(F.col("old") == 1, F.col("owner")).alias("owner")), "again")
+        if not self.levels:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[0].append(run)
+        self._save()
+        self.compact()
+        return batch.join(again.select("h"), "h").select("h", "k").unionByName(again.where("owner is not null").select("h", F.col("owner").alias("k")))
 
-    def append(self, batch: DataFrame) -> None:
-        """Add a batch of (h, n) as a run, and compact full levels."""
-        self._write(batch.select("h", "n"), 0)
+    def compact(self) -> None:
+        """Runs of a full level become one run of the next, by merge joins of sorted runs."""
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while level < len(self.levels):
             old = self.levels[level]
-            self._write(self.spark.read.schema("h long, n long").parquet(*old), level + 1)
-            self.levels[level] = []
-            for path in old:
-                remove(self.spark, path)
+            if len(old) >= self.fanout:
+                merged = self._table(old[0]).select("h", "n", "k")
+                for run in old[1:]:
+                    other = self._table(run).select("h", F.col("n").alias("m"), F.col("k").alias("of"))
+                    total = F.least(F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)), F.lit(2)).alias("n")
+                    merged = merged.join(other, "h", "full").select("h", total, F.least("k", "of").alias("k"))
+                new = self._write(merged)
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level] = []
+                self.levels[level + 1].append(new)
+                self._save()
+                for run in old:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+                    remove(self.spark, f"{self.root}/{run}")
             level += 1
 
-    def runs(self) -> list[str]:
-        return [p for level in self.levels for p in level]
-
-    def repeated(self) -> DataFrame:
-        """Hashes seen twice or more in all batches so far."""
-        runs = self.spark.read.schema("h long, n long").parquet(*self.runs())
-        if len(self.runs()) > 1:
-            runs = runs.groupBy("h").agg(F.sum("n").alias("n"))
-        return runs.where("n > 1").select("h")
 
-    def lookup(self, batch: DataFrame) -> DataFrame:
-        """k and the array of its repeated hashes, for a batch of (h, k)."""
-        return batch.join(self.repeated(), "h").groupBy("k").agg(F.collect_set("h").alias("dup"))
+def nominations(found: list[DataFrame]) -> DataFrame:
+    """k and the array of its repeated hashes, from what the batches of a log returned."""
+    return reduce(DataFrame.unionByName, found).groupBy("k").agg(F.collect_set("h").alias("dup"))
 
 
 def _nominated(words: Words, dup: list, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sequence]:
@@ -184,16 +237,15 @@ def removed_words(docs: DataFrame, batches: int = 2) -> DataFrame:
     """k, doc_id, text, dup and lone of every row: what mark() needs to remove repeated windows."""
     spark = docs.sparkSession
     prints = staged(fingerprints(docs, batches), "fingerprints")
-    log = FingerprintLog(spark)
-    for i in range(batches):
-        log.append(prints.where((F.col("batch") == i) & ~F.col("whole")))
+    log = FingerprintLog(spark, new_path(spark, "log"))
+    found = [log.append(prints.where((F.col("batch") == i) & ~F.col("whole")).select("h", "k", "n")) for i in range(batches)]
     whole = prints.where("whole")
     stands = staged(whole.groupBy("h").agg(F.min("k").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copies")
     copies = whole.join(stands, "h").groupBy("k").agg(F.collect_set(F.struct("h", (F.col("k") == F.col("least")).alias("stands"))).alias("copies"))
-    dup = staged(log.lookup(prints.where("not whole")).join(copies, "k", "left"), "repeated")
-    joined = docs.select(F.expr(KEY).alias("k"), "doc_id", "text").join(dup, "k", "left")
-    lone = lone_windows(joined).groupBy("k").agg(F.collect_list("w").alias("lone"))
-    return joined.join(lone, "k", "left")
+    dup = staged(nominations(found).join(copies, "k", "left"), "repeated")
+    keyed = docs.select(F.expr(KEY).alias("k"), "doc_id", "text")
+    lone = lone_windows(possible_rows(keyed.select("k", "text"), dup, "k").join(dup, "k")).groupBy("k").agg(F.collect_list("w").alias("lone"))
+    return keyed.join(staged(dup.join(lone, "k", "left").select("k", "dup", "lone"), "marks"), "k", "left")
 
 
 def mark(b: pa.RecordBatch, text: int, dup: int, lone: int) -> Iterator[tuple[int, int, Words, np.ndarray]]:
@@ -219,7 +271,7 @@ def kept_text(words: Words, gone: np.ndarray, i: int) -> bytes:
     return b" ".join([raw[s:e].tobytes() for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
 
 
-def dedup_digest(docs: DataFrame) -> DataFrame:
+def dedup_digest(docs: DataFrame, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words of every row."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +280,10 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(kept_text(words, gone, i)).hexdigest() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(words.n_words.astype(np.int64)), pa.array(words.per_doc_words(gone)), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return arrow_map(removed_words(docs).select("doc_id", "text", "dup", "lone"), rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return arrow_map(removed_words(docs, batches).select("doc_id", "text", "dup", "lone"), rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_text(docs: DataFrame) -> DataFrame:
+def dedup_text(docs: DataFrame, batches: int = 2) -> DataFrame:
     """doc_id and the text of kept words of every row."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,4 +291,4 @@ def dedup_text(docs: DataFrame) -> DataFrame:
             for lo, hi, words, gone in mark(b, 1, 2, 3):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([kept_text(words, gone, i).decode() for i in range(hi - lo)], pa.string())], ["doc_id", "text"])
 
-    return arrow_map(removed_words(docs).select("doc_id", "text", "dup", "lone"), rows, "doc_id long, text string")
+    return arrow_map(removed_words(docs, batches).select("doc_id", "text", "dup", "lone"), rows, "doc_id long, text string")

@@ -90,18 +90,31 @@ def test_substring_dedup(case):
     same(substring_dedup.dedup_digest(docs).collect(), brute.substring(rows))
 
 
-def test_fingerprint_log_compacts_and_keeps_counts(spark, real):
+def test_fingerprint_log_compacts_and_keeps_counts(spark, real, tmp_path):
+    """Batches one after another, by an index that is opened anew for each, find what one count over the whole table finds."""
     docs, _ = real
-    prints = substring_dedup.fingerprints(docs, 4).where("not whole").persist()
-    log = substring_dedup.FingerprintLog(spark, fanout=2)
-    for i in range(4):
-        log.append(prints.where(f"batch = {i}"))
-    assert len(log.runs()) == 1
-    want = {r.h for r in prints.groupBy("h").sum("n").where("`sum(n)` > 1").collect()}
-    assert {r.h for r in log.repeated().collect()} == want
+    prints = substring_dedup.fingerprints(docs, 5).where("not whole").persist()
+    found, runs = set(), []
+    for i in range(5):
+        log = substring_dedup.FingerprintLog(spark, f"file://{tmp_path}/log", buckets=3, fanout=2)
+        found |= {(r.h, r.k) for r in log.append(prints.where(f"batch = {i}").select("h", "k", "n")).collect()}
+        runs.append(len(log.runs()))
+    assert runs == [1, 1, 2, 1, 2]
+    again = prints.groupBy("h").sum("n").where("`sum(n)` > 1").select("h")
+    assert found == {(r.h, r.k) for r in prints.join(again, "h").collect()}
+    # an earlier run takes part in a merge join as it lies: neither shuffled nor sorted
+    older = log._table(log.runs()[-1])
+    plan = older.join(log._table(log.runs()[0]).withColumnRenamed("n", "m"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     prints.unpersist()
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substring_dedup_in_any_number_of_batches(odd, batches):
+    docs, rows = odd
+    same(substring_dedup.dedup_digest(docs, batches).collect(), brute.substring(rows))
+
+
 def benchmark_rows(rows):
     texts = [t for _, t in rows if t and len(t.split()) > 30]
     items = [(i, " ".join(t.split()[5:25])) for i, t in enumerate(texts[:20])]
