@@ -133,9 +133,9 @@ class FingerprintLog:
         return self.spark.table(run).hint("merge")
 
     def _write(self, counts: DataFrame) -> str:
+        """A run of rows that are in partitions by bucket."""
         run = f"run_{uuid.uuid4().hex}"
-        sorted_rows = counts.select("h", "n", "k").repartition(self.buckets, "h").sortWithinPartitions("h")
-        sorted_rows.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{run}").saveAsTable(run)
+        counts.select("h", "n", "k").write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{run}").saveAsTable(run)
         return run
 
     def runs(self) -> list[str]:
@@ -146,7 +146,7 @@ class FingerprintLog:
 
         The batch's counts are merge-joined with every older run first, then become a run themselves; levels with `fanout` runs are compacted."""
         counts = batch.groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min("k").alias("k"))
-        run = self._write(counts)
+        run = self._write(counts.repartition(self.buckets, "h"))
         found = self._table(run).select("h", F.col("n").alias("all"), F.lit(0).alias("old"), F.lit(None).cast("long").alias("owner"))
         for older in self.runs():
             past = self._table(older).select("h", F.col("n").alias("m"), F.col("k").alias("of"))
