@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once: a name in a lambda, where a column used twice would be computed twice (or for each element)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _ints() -> Column:
     return F.array().cast("array<int>")
 
 
+def tokens_of(lines: Column) -> Column:
+    return F.transform(lines, lambda line: T.count_tokens(line))
+
+
 def line_tokens(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda line: T.count_tokens(line))
+    return tokens_of(F.split(text, "\n"))
 
 
 def piece_starts(tokens: Column, most: int) -> Column:
@@ -33,30 +42,34 @@ def piece_starts(tokens: Column, most: int) -> Column:
 
 def split_lines(text: Column, first_line: Column, most: int = 250) -> Column:
     """array<struct<content, start_line, end_line>>: a text over the budget cut at line ends; a longer line stays whole."""
-    lines = F.split(text, "\n")
-    starts = piece_starts(line_tokens(text), most)
-    piece = lambda a, n: F.struct(F.array_join(F.slice(lines, a + 1, n), "\n").alias("content"), (first_line + a).alias("start_line"), (first_line + a + n - 1).alias("end_line"))
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: piece(x["a"], x["b"] - x["a"]))
+    piece = lambda lines, a, n: F.struct(F.array_join(F.slice(lines, a + 1, n), "\n").alias("content"), (first_line + a).alias("start_line"), (first_line + a + n - 1).alias("end_line"))
+
+    def pieces(lines: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
+        return F.zip_with(starts, ends, lambda a, b: piece(lines, a, b - a))
+
+    return once(F.split(text, "\n"), lambda lines: once(piece_starts(tokens_of(lines), most), lambda starts: pieces(lines, starts)))
 
 
 def split_overlapping(text: Column, most: int = 250, overlap: int = 50) -> Column:
     """array<string>: as split_lines, but each piece begins with the last ceil(overlap / 10) lines of the one before."""
-    lines, tokens = F.split(text, "\n"), line_tokens(text)
     back = -(-overlap // 10)
     none = F.array().cast("array<struct<a:int,b:int>>")
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("a"), F.lit(0).alias("at"), none.alias("out"))
 
-    def step(x: Column, t: Column) -> Column:
-        over = (x["at"] > x["a"]) & (x["sum"] + t > most)
-        from_ = F.greatest(x["a"], x["at"] - back)
-        kept = F.aggregate(F.slice(tokens, from_ + 1, x["at"] - from_), F.lit(0), lambda s, v: s + v)
-        return F.struct(
-            F.when(over, kept + t).otherwise(x["sum"] + t).alias("sum"), F.when(over, from_).otherwise(x["a"]).alias("a"), (x["at"] + 1).alias("at"),
-            F.when(over, F.array_append(x["out"], F.struct(x["a"].alias("a"), x["at"].alias("b")))).otherwise(x["out"]).alias("out"))
+    def spans(tokens: Column) -> Column:
+        def step(x: Column, t: Column) -> Column:
+            over = (x["at"] > x["a"]) & (x["sum"] + t > most)
+            from_ = F.greatest(x["a"], x["at"] - back)
+            kept = F.aggregate(F.slice(tokens, from_ + 1, x["at"] - from_), F.lit(0), lambda s, v: s + v)
+            return F.struct(
+                F.when(over, kept + t).otherwise(x["sum"] + t).alias("sum"), F.when(over, from_).otherwise(x["a"]).alias("a"), (x["at"] + 1).alias("at"),
+                F.when(over, F.array_append(x["out"], F.struct(x["a"].alias("a"), x["at"].alias("b")))).otherwise(x["out"]).alias("out"))
 
-    spans = F.aggregate(tokens, start, step, lambda x: F.array_append(x["out"], F.struct(x["a"].alias("a"), x["at"].alias("b"))))
-    return F.transform(spans, lambda s: F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n"))
+        return F.aggregate(tokens, start, step, lambda x: F.array_append(x["out"], F.struct(x["a"].alias("a"), x["at"].alias("b"))))
+
+    cut = lambda lines: F.transform(once(tokens_of(lines), spans), lambda s: F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n"))
+    return once(F.split(text, "\n"), cut)
 
 
 #: Fields of a node or chunk in an array.
@@ -90,8 +103,6 @@ def merge_starts(nodes: Column, most: int = 250, gap: int = 3) -> Column:
 
 def merge_nodes(nodes: Column, most: int = 250, gap: int = 3) -> Column:
     """Nodes with small neighbours merged: contents joined by a blank line, names by a comma, ends of the last node."""
-    starts = merge_starts(nodes, most, gap)
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(nodes)))
 
     def group(x: Column) -> Column:
         part = F.slice(nodes, x["a"] + 1, x["b"] - x["a"])
@@ -100,7 +111,11 @@ def merge_nodes(nodes: Column, most: int = 250, gap: int = 3) -> Column:
         return F.struct(first["type"].alias("type"), F.array_join(names, ", ").alias("name"), F.array_join(F.transform(part, lambda n: n["content"]), "\n\n").alias("content"),
                         first["start_line"].alias("start_line"), last["end_line"].alias("end_line"), first["start_char"].alias("start_char"), last["end_char"].alias("end_char"))
 
-    return F.when(F.size(nodes) > 0, F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), group)).otherwise(F.array().cast(f"array<{NODE}>"))
+    def groups(starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(nodes)))
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), group)
+
+    return F.when(F.size(nodes) > 0, once(merge_starts(nodes, most, gap), groups)).otherwise(F.array().cast(f"array<{NODE}>"))
 
 
 def chunks(files: DataFrame, most: int = 250, merge: bool = True, strategy: str = "ast-split-merge") -> DataFrame:

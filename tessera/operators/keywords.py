@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import fixed
 from tessera.functions import text as T
 
 
@@ -27,13 +28,19 @@ def document_frequency(words: DataFrame, corpus: DataFrame, key: str, text: str)
 
 
 def scored_keywords(df: DataFrame, key: str, text: str, most: int = 10, corpus: DataFrame | None = None) -> DataFrame:
-    """key, keyword, score and rank: term frequency, times ln(N / df) over a corpus with the same columns, if given."""
-    raw = T.raw_words(F.col(text))
-    counts = df.select(key, F.explode(raw).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    # the size is taken below the explode: beside it, it would be taken anew for each word
-    sized = df.select(key, F.size(raw).alias("size"), T.candidate_keywords(F.col(text)).alias("words"))
-    words = sized.select(key, "size", F.posexplode("words").alias("pos", "word"))
-    scored = words.join(counts, [key, "word"], "left").withColumn("score", F.coalesce("n", F.lit(0)) / F.col("size"))
+    """key, keyword, score and rank: term frequency, times ln(N / df) over a corpus with the same columns, if given.
+
+    Raw words (counted) and cleaned ones (the candidates, with their first place) are exploded together, once."""
+    # all words of a row stay in one task: neither the counts nor the rank shuffle again
+    rows = df.select(F.col(key), F.col(text).alias("__t")).repartition(key)
+    lists = rows.select(key, T.raw_words(F.col("__t")).alias("raw"), T.plain_words(F.col("__t")).alias("plain"))
+    none = F.lit(None).cast("int")
+    wanted = lambda w: (F.length(w) > 2) & ~w.isin(*fixed.SCORED_STOP_WORDS)
+    both = F.concat(F.transform(F.filter("raw", wanted), lambda w: F.struct(w.alias("word"), none.alias("pos"))), F.transform(F.filter("plain", wanted), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    each = lists.select(key, F.size("raw").alias("size"), both.alias("both")).select(key, "size", F.explode("both").alias("w")).select(key, "size", "w.*")
+    counted = each.groupBy(key, "word").agg(F.count(F.when(F.col("pos").isNull(), 1)).alias("n"), F.min("pos").alias("pos"), F.max("size").alias("size"))
+    words = counted.where("pos is not null")
+    scored = words.withColumn("score", F.col("n") / F.col("size"))
     if corpus is not None:
         total = corpus.agg(F.count("*").alias("total"))
         df_of = document_frequency(words.select("word"), corpus, key, text)

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions import text as T
 from tessera.functions.vectors import METRICS
+from tessera.session import ship
 
 
 def literal_vector(v: Sequence[float]) -> Column:
@@ -33,26 +38,86 @@ def top_k(vectors: DataFrame, query: Sequence[float] | Column, k: int = 10, metr
     return best if min_score is None else best.where(F.col("score") >= min_score)
 
 
+def _scores(rows: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of a block of rows with each query; NaN where a vector of length 0 has no angle. The last bits, which depend on the order of sums, are cut."""
+    if metric == "L2":
+        return np.round(np.stack([np.sqrt(((rows - q) ** 2).sum(axis=1)) for q in query], axis=1), 12)
+    out = rows @ query.T
+    if metric == "COSINE":
+        size = np.sqrt((rows**2).sum(axis=1))[:, None] * np.sqrt((query**2).sum(axis=1))
+        out = np.divide(out, size, out=np.full(out.shape, np.nan), where=size != 0)
+    return np.round(out, 12)
+
+
 def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "COSINE", key: str = "id", query_key: str = "query_id", query_bytes: int = 8 << 20) -> DataFrame:
     """The k best vectors of each query row (query_key, query): a stated set of queries against all rows, in blocks.
 
-    A block of queries is one array, attached to each row; a row keeps only its scores, and the
-    rank is taken with a group limit before the shuffle. The number of queries in a block is bounded by bytes."""
-    function, rising = METRICS[metric]
+    A block of queries, bounded by bytes, is sent to all tasks as one matrix. A task multiplies its batches of rows by
+    it and keeps k rows a query, so what reaches the rank is k rows a query and task, whatever the number of rows."""
+    _, rising = METRICS[metric]
+    spark = vectors.sparkSession
     rows = queries.select(query_key, F.col("query").cast("array<double>").alias("query"))
     size = rows.agg(F.sum(F.size("query") * 8 + 16)).first()[0] or 0
     parts = -(-size // query_bytes) or 1
-    order = F.col("score").desc() if rising else F.col("score").asc()
+    pairs = vectors.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)")
+    schema = f"q int, id {vectors.schema[key].dataType.simpleString()}, score double"
+    ship(spark)
+
+    def best(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def keep(q: np.ndarray, ids: pa.Array, score: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+            place = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
+            order = np.lexsort((place, -score if rising else score, q))
+            q, score = q[order], score[order]
+            first = np.searchsorted(q, q)
+            some = np.arange(len(q)) - first < k
+            return q[some], ids.take(pa.array(order[some])), score[some]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for b in batches:
+                column = b.column(1)
+                lengths, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+                starts = np.cumsum(lengths) - lengths
+                for dims, (numbers, matrix) in block.value.items():
+                    of = np.flatnonzero(lengths == dims)
+                    if not len(of):
+                        continue
+                    score = _scores(flat[starts[of][:, None] + np.arange(dims)], matrix, metric)
+                    good = np.nan_to_num(-score if rising else score, nan=np.inf)
+                    top = np.argpartition(good, k - 1, axis=0)[:k] if len(of) > k else np.repeat(np.arange(len(of))[:, None], len(numbers), 1)
+                    limit = np.max(np.take_along_axis(good, top, 0), axis=0)
+                    r, c = np.nonzero((good <= limit) & np.isfinite(good))  # ties with the k-th stay until ids decide
+                    new = numbers[c], b.column(0).take(pa.array(of[r])), score[r, c]
+                    held = keep(*new) if held is None else keep(np.concatenate([held[0], new[0]]), pa.concat_arrays([held[1], new[1]]), np.concatenate([held[2], new[2]]))
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), held[1], pa.array(held[2])], ["q", "id", "score"])
+
+        return run
+
     found = []
     for p in range(parts):
-        block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == p)
-        pairs = vectors.select(key, "embedding").join(F.broadcast(block), F.lit(True))  # at most query_bytes
-        found.append(pairs.select(query_key, key, function(F.col("embedding"), F.col("query")).alias("score")).where("score is not null"))
-    scored = reduce(DataFrame.unionByName, found)
+        some = (rows if parts == 1 else rows.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == p)).collect()  # at most query_bytes
+        matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dims in {len(r.query) for r in some if r.query and None not in r.query}:
+            at = [i for i, r in enumerate(some) if r.query and len(r.query) == dims and None not in r.query]
+            matrices[dims] = np.array(at), np.array([some[i].query for i in at])
+        names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(some)], StructType([StructField("q", IntegerType()), rows.schema[query_key]]))
+        scored = pairs.mapInArrow(best(spark.sparkContext.broadcast(matrices)), schema)
+        found.append(scored.join(F.broadcast(names), "q").drop("q"))  # as many rows as queries in the block
+    scored = reduce(DataFrame.unionByName, found).select(query_key, F.col("id").alias(key), "score")
+    order = F.col("score").desc() if rising else F.col("score").asc()
     rank = F.row_number().over(W.partitionBy(query_key).orderBy(order, F.col(key)))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def with_details(hits: DataFrame, details: DataFrame | None, key: str) -> DataFrame:
+    """The few hits of a search with the columns of `details`; keywords are taken of their contents where details has none."""
+    if details is None:
+        return hits
+    out = details.join(F.broadcast(hits), key)  # k rows a query
+    return out if "keywords" in out.columns else out.withColumn("keywords", T.chunk_keywords(F.col("content")))
+
+
 def hybrid_rescore(hits: DataFrame, query: str, strategy: str = "hybrid") -> DataFrame:
     """Scores mixed with the share of query keywords that the hits' keywords contain."""
     if strategy != "hybrid":
@@ -77,9 +142,11 @@ def formatted(hits: DataFrame, form: str = "hybrid", content: str = "content") -
     return hits.withColumn("snippet", T.snippet(F.col(content), form)).withColumn("context", T.context(F.col(content), form))
 
 
-def search_once(vectors: DataFrame, query: str, vector: Sequence[float], k: int = 10, min_score: float = 0.7, filters: dict | None = None, strategy: str = "hybrid", form: str = "hybrid", path_pattern: str | None = None, metric: str = "COSINE", key: str = "id") -> DataFrame:
-    """filter, limit, minimal score, hybrid score, rank, path filter: in this order."""
-    hits = top_k(vectors, vector, k, metric, filters, min_score, key)
+def search_once(vectors: DataFrame, query: str, vector: Sequence[float], k: int = 10, min_score: float = 0.7, filters: dict | None = None, strategy: str = "hybrid", form: str = "hybrid", path_pattern: str | None = None, metric: str = "COSINE", key: str = "id", details: DataFrame | None = None) -> DataFrame:
+    """filter, limit, minimal score, hybrid score, rank, path filter: in this order.
+
+    With `details` (key, path, content), vectors needs only key, embedding and what is filtered by: contents are read for the hits alone."""
+    hits = with_details(top_k(vectors, vector, k, metric, filters, min_score, key), details, key)
     return formatted(path_filter(ranked(hybrid_rescore(hits, query, strategy), key), path_pattern), form)
 
 
@@ -89,16 +156,18 @@ def passes(processed: str, min_score: float) -> list[tuple[int, str, float]]:
     return [(i, text, least) for i, (text, least) in enumerate(rungs)]
 
 
-def search_ladder(vectors: DataFrame, rungs: DataFrame, k: int = 10, filters: dict | None = None, path_pattern: str | None = None, metric: str = "COSINE", key: str = "id") -> DataFrame:
+def search_ladder(vectors: DataFrame, rungs: DataFrame, k: int = 10, filters: dict | None = None, path_pattern: str | None = None, metric: str = "COSINE", key: str = "id", strategy: str = "hybrid", details: DataFrame | None = None) -> DataFrame:
     """Results of the first rung of each query that has any: all rungs in one plan instead of a loop.
 
-    rungs: query_id, pass, text, min_score, query (the text's vector)."""
+    rungs: query_id, pass, text, min_score, query (the text's vector). Only the strategy "hybrid" mixes in keywords.
+    details: as in search_once; without it, vectors has all columns."""
     shape = F.transform(T.scored_keywords(F.lower(F.col("text"))), lambda x: x["keyword"])
     rungs = rungs.select("query_id", "pass", F.struct("query_id", "pass").alias("rung"), "min_score", "query", shape.alias("words"), T.vector_weight(F.col("text")).alias("vw"), T.keyword_weight(F.col("text")).alias("kw"))
     hits = batch_top_k(rungs.select("rung", "query"), vectors.where(equality_filter(filters)), k, metric, key, "rung").drop("rank")
     hits = hits.join(F.broadcast(rungs.drop("query")), "rung").where(F.col("score") >= F.col("min_score"))  # as many rows as rungs
-    hits = hits.join(vectors.drop("embedding"), key)
-    hits = hits.withColumn("score", F.col("score") * F.col("vw") + T.keyword_score(F.col("words"), F.col("keywords")) * F.col("kw"))
+    hits = with_details(hits, vectors.drop("embedding") if details is None else details, key)
+    if strategy == "hybrid":
+        hits = hits.withColumn("score", F.col("score") * F.col("vw") + T.keyword_score(F.col("words"), F.col("keywords")) * F.col("kw"))
     hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "pass").orderBy(F.col("score").desc(), F.col(key))))
     hits = path_filter(hits, path_pattern)
     first = F.min("pass").over(W.partitionBy("query_id"))

@@ -125,10 +125,12 @@ def batch_topk_hundredth(spark, sf_dir):
     return search.batch_top_k(queries, rows, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with vectors as chunks: id, path, language, content, keywords, embedding."""
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.expr(PATH).alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"), T.chunk_keywords(F.col("text")).alias("keywords"))
-    return docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """documents with vectors as chunks: (id, language, embedding), and what is read of the hits alone: (id, path, content)."""
+    docs = documents(spark, sf_dir)
+    vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("language")).join(vectors_, "id")
+    return rows, docs.select(F.col("doc_id").alias("id"), F.expr(PATH).alias("path"), F.col("text").alias("content"))
 
 
 SEARCH_TEXT = "find things about the other"
@@ -142,7 +144,8 @@ SEARCH_WORDS = ("find", "things", "about", "other")
   SELECT id, path, row_number() OVER (ORDER BY h DESC, id) AS rank, round(h, 6) AS score, CASE WHEN len(string_split(text, chr(10))) <= 20 THEN text
     ELSE array_to_string(list_slice(string_split(text, chr(10)), 1, 15), chr(10)) || chr(10) || '... (truncated)' END AS snippet FROM scored""")
 def hybrid_search(spark, sf_dir):
-    hits = search.search_once(indexed(spark, sf_dir), SEARCH_TEXT, first_vector(spark, sf_dir), 10, 0.05, {"language": "en"})
+    rows, details = indexed(spark, sf_dir)
+    hits = search.search_once(rows, SEARCH_TEXT, first_vector(spark, sf_dir), 10, 0.05, {"language": "en"}, details=details)
     return hits.select("id", "path", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "snippet")
 
 
@@ -179,7 +182,8 @@ def search_ladder(spark, sf_dir):
     rungs = spark.createDataFrame(ladder_rungs(), "query_id int, pass int, text string, min_score double")
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("query"))
     rungs = rungs.join(vec, F.col("vec_id") == F.col("query_id") * 7 + F.col("pass"))
-    hits = search.search_ladder(indexed(spark, sf_dir), rungs, 10, {"language": "en"})
+    rows, details = indexed(spark, sf_dir)
+    hits = search.search_ladder(rows, rungs, 10, {"language": "en"}, details=details)
     return hits.select("query_id", "pass", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
