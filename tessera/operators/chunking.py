@@ -53,6 +53,11 @@ def split_lines(text: Column, first_line: Column, most: int = 250) -> Column:
 
 def split_overlapping(text: Column, most: int = 250, overlap: int = 50) -> Column:
     """array<string>: as split_lines, but each piece begins with the last ceil(overlap / 10) lines of the one before."""
+    return F.transform(overlapping_pieces(text, most, overlap), lambda x: x["content"])
+
+
+def overlapping_pieces(text: Column, most: int = 250, overlap: int = 50) -> Column:
+    """array<struct<content, start_line, end_line>> of split_overlapping, lines from 1."""
     back = -(-overlap // 10)
     none = F.array().cast("array<struct<a:int,b:int>>")
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("a"), F.lit(0).alias("at"), none.alias("out"))
@@ -68,7 +73,7 @@ def split_overlapping(text: Column, most: int = 250, overlap: int = 50) -> Colum
 
         return F.aggregate(tokens, start, step, lambda x: F.array_append(x["out"], F.struct(x["a"].alias("a"), x["at"].alias("b"))))
 
-    cut = lambda lines: F.transform(once(tokens_of(lines), spans), lambda s: F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n"))
+    cut = lambda lines: F.transform(once(tokens_of(lines), spans), lambda s: F.struct(F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n").alias("content"), (s["a"] + 1).alias("start_line"), s["b"].alias("end_line")))
     return once(F.split(text, "\n"), cut)
 
 
@@ -130,3 +135,22 @@ def chunks(files: DataFrame, most: int = 250, merge: bool = True, strategy: str
         F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.start_char").alias("start_char"), F.col("c.end_char").alias("end_char"),
         F.col("c.type").alias("chunk_type"), F.lit(strategy).alias("granularity"), F.col("c.name").alias("symbol_name"), F.col("c.type").alias("symbol_type"),
         T.chunk_keywords(F.col("c.content")).alias("keywords"), T.count_tokens(F.col("c.content")).alias("token_count"))
+
+
+def window_nodes(files: DataFrame, most: int = 250, overlap: int = 50) -> DataFrame:
+    """path, language and nodes: overlapping windows of lines over whole files, which no declaration bounds."""
+    node = lambda x: F.struct(F.lit("window").alias("type"), F.lit("").alias("name"), x["content"].alias("content"), x["start_line"].cast("int").alias("start_line"), x["end_line"].cast("int").alias("end_line"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char"))
+    return files.withColumn("nodes", F.transform(overlapping_pieces(F.col("content"), most, overlap), node).cast(f"array<{NODE}>"))
+
+
+def chunks_by(strategy: str, files: DataFrame, nodes: DataFrame, most: int = 250, overlap: int = 50, distinct: bool = False) -> DataFrame:
+    """Chunks of files (path, language, content) with their nodes (path, language, nodes) by a named strategy.
+
+    All three names split and merge nodes, as the configuration promises no more; with `distinct`, "ast-extract" keeps
+    each node as it is and "sliding-window" cuts windows of lines instead."""
+    if distinct and strategy == "sliding-window":
+        windows = window_nodes(files, most, overlap)
+        return chunks(windows.where("content <> ''"), 1 << 30, merge=False, strategy=strategy)
+    if distinct and strategy == "ast-extract":
+        return chunks(nodes, 1 << 30, merge=False, strategy=strategy)
+    return chunks(nodes, most, strategy=strategy)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.errors import UnsupportedLanguage
 from tessera.session import ship
 
 LANGUAGES = ("typescript", "javascript", "ruby")
@@ -444,7 +445,7 @@ def _ruby_method(toks: list[Token], i: int, src: str, t: Token) -> Node:
 def parse(src: str, language: str, types: tuple[str, ...] | None = None) -> list[dict]:
     """Rows of one source: type, name, content, lines from 1 and columns from 0, in document order."""
     if language not in LANGUAGES:
-        raise ValueError(f"unsupported language: {language}")
+        raise UnsupportedLanguage(language)
     nodes = ruby_nodes(src) if language == "ruby" else ScriptScan(src, language == "typescript").scan()
     starts = [0, *(m.end() for m in re.finditer("\n", src))]
     out = []
@@ -478,3 +479,13 @@ def nodes_by_file(nodes: DataFrame) -> DataFrame:
     row = F.struct("node_seq", F.struct("type", "name", "content", "start_line", "end_line", "start_char", "end_char").alias("n"))
     grouped = nodes.where("error is null").groupBy("path", "language").agg(F.array_sort(F.collect_list(row)).alias("r"))
     return grouped.select("path", "language", F.transform("r", lambda x: x["n"]).alias("nodes"))
+
+
+def parse_metadata(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """path, total_lines, total_chars, the distinct chunk types (sorted) and the error of each file.
+
+    Characters are UTF-16 units, as source positions count them; a file without nodes has no types."""
+    text = F.coalesce(F.col("content"), F.lit(""))
+    size = files.select("path", F.size(F.split(text, "\n")).alias("total_lines"), F.floor(F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int").alias("total_chars"))
+    types = nodes.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.max("error").alias("error"))
+    return size.join(types, "path", "left").select("path", "total_lines", "total_chars", F.coalesce("types", F.array().cast("array<string>")).alias("chunk_types"), "error")

@@ -579,25 +579,55 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(rows).alias("r")).select(F.concat(F.lit("src/p"), "page_id", F.lit("."), "r.language").alias("path"), "r.language", "r.content")
 
 
-@query()
+#: What the sources above declare: (language, node, type, name, lines, first and last column), {i} a page's id and {n} its digits.
+SQL_NODES = """(VALUES ('javascript', 0, 'function', 'f{i}', 1, 1, 0, 28, 1), ('javascript', 1, 'function', 'module.run', 2, 2, 13, 38, 0),
+  ('ruby', 0, 'module', 'M{i}', 1, 5, 0, 3, 0), ('ruby', 1, 'method', 'go', 2, 4, 2, 5, 0),
+  ('typescript', 0, 'class', 'Page{i}', 1, 3, 7, 1, 0), ('typescript', 1, 'method', 'load', 2, 2, 2, 40, 1), ('typescript', 2, 'function', 'url{i}', 4, 4, 19, 35, 1),
+  ('typescript', 3, 'interface', 'I{i}', 5, 5, 0, 25, 1)) t(language, node_seq, type, name, start_line, end_line, start_char, end_char, wide)"""
+
+
+@query(f"""SELECT 'src/p' || page_id || '.' || language AS path, language, node_seq, type, replace(name, '{{i}}', page_id::varchar) AS name, start_line, end_line,
+  start_char + CASE WHEN name LIKE 'url%' THEN length(page_id::varchar) ELSE 0 END AS start_char, end_char + wide * length(page_id::varchar) AS end_char FROM pages, {SQL_NODES}""")
 def node_extraction(spark, sf_dir):
     return extract.extract_nodes(sources(spark, sf_dir)).drop("content", "error")
 
 
-@query()
+SQL_SOURCE_CHUNKS = r"""SELECT 'src/p' || page_id || '.' || language AS path, language, replace(replace(content, '{i}', page_id::varchar), '~', chr(10)) AS content, end_line,
+    end_char + CASE WHEN language = 'typescript' THEN length(page_id::varchar) ELSE 0 END AS end_char, type, replace(name, '{i}', page_id::varchar) AS name FROM pages, (VALUES
+  ('javascript', 'function f{i}() { return /}/; }~~function () { return 1; }', 2, 38, 'function', 'f{i}, module.run'),
+  ('ruby', 'module M{i}~  def go(x)~    x if x~  end~end~~def go(x)~    x if x~  end', 4, 5, 'module', 'M{i}, go'),
+  ('typescript', 'class Page{i} {~  load(x: number): string { return `{i}`; }~}~~load(x: number): string { return `{i}`; }~~(a: string) => a~~interface I{i} { a: string }', 5, 25, 'class', 'Page{i}, load, url{i}, I{i}')
+  ) t(language, content, end_line, end_char, type, name)"""
+
+
+@query(f"""WITH c AS ({SQL_SOURCE_CHUNKS}), k AS ({sql_chunk_keywords('c', 'path', 'content')})
+  SELECT 'chunk-' || lower(to_base(abs(list_reduce(list_prepend(0::bigint, list_transform(string_split(c.path || ':1:' || end_line, ''), lambda c: ord(c)::bigint)), lambda h, c: {SQL_WRAP.format(h='h', c='c')})), 36)) AS id,
+    c.path, language, 0 AS seq, content, 1 AS start_line, end_line, CASE language WHEN 'typescript' THEN 7 ELSE 0 END AS start_char, end_char, type AS chunk_type, 'ast-split-merge' AS granularity, name AS symbol_name, type AS symbol_type,
+    array_to_string(coalesce(kw, []), ' ') AS keywords, {sql_tokens('content')} AS token_count FROM c LEFT JOIN k ON k.path = c.path""")
 def source_chunks(spark, sf_dir):
     return chunking.chunks(extract.nodes_by_file(extract.extract_nodes(sources(spark, sf_dir)))).withColumn("keywords", F.array_join("keywords", " "))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS w FROM documents),
+  d AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::bigint AS h FROM w),
+  v AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::double AS v FROM d GROUP BY 1, 2),
+  n AS (SELECT doc_id, sqrt(sum(v * v)) AS n, max(abs(v)) AS top, sum(v * (i + 1)) AS weighted FROM v GROUP BY doc_id)
+  SELECT doc_id, CASE WHEN coalesce(n, 0) > 0 THEN 1.0 ELSE 0.0 END AS norm, 64 AS dims, round(CASE WHEN n > 0 THEN top / n ELSE 0 END, 6) AS peak, round(CASE WHEN n > 0 THEN weighted / n ELSE 0 END, 6) AS weighted
+  FROM documents LEFT JOIN n USING (doc_id)""")
 def hash_embedding(spark, sf_dir):
     rows = vectors.hash_embed(documents(spark, sf_dir), "doc_id", "text")
-    return rows.select("doc_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dims"))
+    e = F.col("embedding")
+    weighted = F.aggregate(F.transform(e, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("doc_id", F.round(vectors.norm(e), 6).alias("norm"), F.size(e).alias("dims"), F.round(F.array_max(F.transform(e, F.abs)), 6).alias("peak"), F.round(weighted, 6).alias("weighted"))
 
 
-@query()
+@query(f"SELECT vec_id AS id, round({sql_cosine('embedding', Q)}, 6) AS score FROM embeddings ORDER BY {sql_cosine('embedding', Q)} DESC, vec_id LIMIT 10")
 def ivf_topk(spark, sf_dir):
+    """Eight of 16 cells first; the cells' radii prove the result or name the cells that are searched as well, so it is that of all rows."""
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     placed, centroids = search.ivf_cells(rows, 16)
     radii = search.ivf_radii(placed, centroids)
     return search.ivf_top_k(placed, centroids, first_vector(spark, sf_dir), 10, 8, radii=radii).select("id", F.round("score", 6).alias("score"))
+
+
+from tessera.plans import catalogue_engine  # noqa: E402, F401  registers the queries that go through collections and the engine

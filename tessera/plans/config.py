@@ -7,6 +7,7 @@ import json
 import os
 import re
 
+from tessera.errors import ConfigError
 from tessera.functions import fixed
 from tessera.sources.files import parse_size
 
@@ -38,10 +39,6 @@ PRESETS = {
 }
 
 
-class ConfigError(ValueError):
-    pass
-
-
 def merge(base: dict, over: dict) -> dict:
     """base with over laid on it: objects merge, anything else is replaced."""
     out = dict(base)

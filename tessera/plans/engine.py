@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import socket
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -12,22 +14,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import errors
 from tessera.functions import text as T
 from tessera.functions.vectors import hash_embed
 from tessera.operators import changes, chunking, extract, search, stats
 from tessera.plans import config as configs
+from tessera.plans import gitstate, logs, providers
 from tessera.session import ship
 from tessera.sources import files
 from tessera.sources.collections import Collections, Folder
 
+LOG = logs.logger("engine")
+
 
 def retry(call: Callable, tries: int = 3, wait: float = 1.0, most: float = 10.0, sleep: Callable = time.sleep):
-    """Call until it succeeds: up to `tries` times, waiting twice as long each time."""
+    """Call until it succeeds: up to `tries` times, waiting twice as long each time. Errors that cannot pass end it at once."""
     for i in range(tries):
         try:
             return call()
-        except Exception:
-            if i == tries - 1:
+        except Exception as e:
+            if i == tries - 1 or (isinstance(e, errors.EngineError) and not e.retryable):
                 raise
             sleep(min(wait * 2**i, most))
 
@@ -54,43 +60,72 @@ def embed_with(df: DataFrame, model: Callable[[Sequence[str]], list[list[float]]
 
 
 class Lock:
-    """One writer at a time; a lock whose process has ended is taken over."""
+    """One writer at a time, on any host of a shared store.
+
+    A lock names its host, process, job group and the end of its lease, which the holder moves on while it works. It
+    is taken over if its lease has ended, or its process has ended on this very host; with force, from anyone."""
 
-    def __init__(self, folder: Folder, name: str = "engine.lock"):
-        self.folder, self.name = folder, name
+    def __init__(self, folder: Folder, name: str = "engine.lock", lease: float = 600.0):
+        self.folder, self.name, self.lease = folder, name, lease
+        self.token = uuid.uuid4().hex
+        self._stop = threading.Event()
 
     def info(self) -> dict | None:
         text = self.folder.read(self.name)
         return json.loads(text) if text else None
 
-    def _alive(self, pid: int) -> bool:
+    def held(self) -> bool:
+        """Whether this lock is still ours."""
+        return (self.info() or {}).get("token") == self.token
+
+    def _stale(self, held: dict) -> bool:
+        if time.time() > held.get("until", float("inf")):
+            return True
+        if held.get("host", socket.gethostname()) != socket.gethostname():
+            return False
         try:
-            os.kill(pid, 0)
+            os.kill(held["pid"], 0)
         except ProcessLookupError:
-            return False
+            return True
         except PermissionError:
             pass
-        return True
+        return False
 
-    def acquire(self, operation: str = "index") -> bool:
-        mine = json.dumps({"pid": os.getpid(), "operation": operation, "since": time.time()})
-        if self.folder.write(self.name, mine, new=True):
-            return True
-        held = self.info()
-        if held is None or not self._alive(held["pid"]):
+    def _text(self, operation: str, group: str, since: float) -> str:
+        return json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "token": self.token, "group": group, "operation": operation, "since": since, "until": time.time() + self.lease})
+
+    def _renew(self, operation: str, group: str, since: float) -> None:
+        while not self._stop.wait(self.lease / 3):
+            if not self.held():
+                return
+            self.folder.write(self.name, self._text(operation, group, since))
+
+    def acquire(self, operation: str = "index", force: bool = False, group: str = "") -> bool:
+        since = time.time()
+        mine = self._text(operation, group, since)
+        if not self.folder.write(self.name, mine, new=True):
+            held = self.info()
+            if held is not None and not force and not self._stale(held):
+                return False
             self.folder.delete(self.name)
-            return self.folder.write(self.name, mine, new=True)
-        return False
+            if not self.folder.write(self.name, mine, new=True):
+                return False
+        self._stop.clear()
+        threading.Thread(target=self._renew, args=(operation, group, since), daemon=True).start()
+        return True
 
-    def release(self) -> None:
-        self.folder.delete(self.name)
+    def release(self, force: bool = False) -> None:
+        """Give up our lock; with force, anyone's."""
+        self._stop.set()
+        if force or self.held():
+            self.folder.delete(self.name)
 
 
 class Engine:
     """Operations of one project: sources below `root`, tables below `store`."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, config: dict | None = None, dims: int = 64, model: Callable | None = None, collection: str | None = None):
-        self.spark, self.root, self.dims, self.model = spark, root, dims, model
+    def __init__(self, spark: SparkSession, root: str, store: str, config: dict | None = None, dims: int = 64, model: Callable | None = None, collection: str | None = None, distinct_strategies: bool = False):
+        self.spark, self.root, self.dims, self.model, self.distinct = spark, root, dims, model, distinct_strategies
         self.config = config or configs.load()
         self.collections, self.folder = Collections(spark, store), Folder(spark, store)
         self.name = collection or self.config["vectordb"]["collectionName"]
@@ -99,13 +134,15 @@ class Engine:
     def discover(self) -> DataFrame:
         c = self.config
         languages = {k: v["extensions"] for k, v in c["indexing"]["languageConfig"].items()}
-        return files.discover(self.spark, self.root, c["indexing"]["include"], c["indexing"]["exclude"], c["performance"]["maxFileSize"], languages)
+        ignored = Folder(self.spark, self.root).read(".gitignore") or ""
+        return files.discover(self.spark, self.root, c["indexing"]["include"], c["indexing"]["exclude"], c["performance"]["maxFileSize"], languages, ignored)
 
     def chunks(self, found: DataFrame) -> DataFrame:
         """Embedded chunks of files."""
         nodes = extract.extract_nodes(found)
         by_file = extract.nodes_by_file(nodes).join(found.select("path", "last_modified"), "path")
-        out = chunking.chunks(by_file, self.config["indexing"]["maxChunkSize"])
+        c = self.config["indexing"]
+        out = chunking.chunks_by(c["chunkingStrategy"], found, by_file, c["maxChunkSize"], c["overlap"], self.distinct)
         if self.model is not None:
             return embed_with(out, self.model, batch=self.config["embedding"]["batchSize"]).where("embedding is not null").drop("error")
         keyed = out.withColumn("key", F.sha2(F.concat_ws(":", "id", "path", "seq"), 256))
@@ -115,38 +152,64 @@ class Engine:
         name = self.folder.read("snapshot")
         return self.spark.read.parquet(f"{self.folder.root}/{name}") if name else None
 
-    def _save_snapshot(self, found: DataFrame) -> None:
+    def _write_snapshot(self, found: DataFrame) -> tuple[str, DataFrame]:
+        """The (path, hash) of all files, read and hashed once; it becomes the current one with _keep_snapshot."""
         name = f"snapshot-{uuid.uuid4().hex}"
         changes.snapshot(found).write.parquet(f"{self.folder.root}/{name}")
-        self.folder.write("snapshot", name)
+        return name, self.spark.read.schema("path string, hash string").parquet(f"{self.folder.root}/{name}")
 
-    def _locked(self, operation: str, work: Callable):
-        if not self.lock.acquire(operation):
+    def _keep_snapshot(self, name: str) -> None:
+        self.folder.write("snapshot", name)
+        state = gitstate.current(self._local_root()) if self._local_root() else None
+        if state:
+            gitstate.save(self.folder, state)
+
+    def _local_root(self) -> str | None:
+        """The project's folder, where the driver can see it."""
+        path = self.root.removeprefix("file://")
+        return path if path.startswith("/") and os.path.isdir(path) else None
+
+    def _locked(self, operation: str, work: Callable, force: bool = False):
+        """work() as the one writer. With force, a running one is cancelled: its jobs if they are this application's, its commit in any case."""
+        group = f"{operation}-{uuid.uuid4().hex}"
+        held = self.lock.info() if force else None
+        if not self.lock.acquire(operation, force, group):
             raise RuntimeError(f"locked: {self.lock.info()}")
+        if held and held.get("group"):
+            LOG.warning("preempted", extra={"data": held})
+            self.spark.sparkContext.cancelJobGroup(held["group"])
+        self.spark.sparkContext.setJobGroup(group, operation)
+        LOG.info(operation, extra={"data": {"root": self.root, "collection": self.name}})
         try:
             return work()
         finally:
             self.lock.release()
 
+    def _still_ours(self) -> None:
+        if not self.lock.held():
+            raise errors.Preempted("another writer has taken over", operation="index")
+
     def index(self) -> dict:
         """Index all files anew."""
 
         def work() -> dict:
             found = self.discover()
             self.collections.ensure(self.name, self.dims)
-            self.collections.replace(self.name, self.chunks(found))
-            self._save_snapshot(found)
-            n = self.collections.scan(self.name).count()
-            return {"files": found.count(), "chunks": n, "success": n > 0}
+            snapshot, rows = self._write_snapshot(found)
+            self.collections.replace(self.name, self.chunks(found), self._still_ours)
+            self._keep_snapshot(snapshot)
+            table = self.collections.scan(self.name)
+            n = 0 if table is None else table.count()
+            return {"files": rows.count(), "chunks": n, "success": n > 0}
 
         return self._locked("index", work)
 
-    def reindex(self, paths: list[str] | None = None) -> dict:
-        """Index what has changed since the last snapshot, or the given paths."""
+    def reindex(self, paths: list[str] | None = None, force: bool = False) -> dict:
+        """Index what has changed since the last snapshot, or the given paths: only parts of the collection that hold a changed file are written."""
 
         def work() -> dict:
             found = self.discover()
-            now = changes.snapshot(found)
+            snapshot, now = self._write_snapshot(found)
             change = changes.diff(self._snapshot(), now)
             if paths is not None:
                 named = self.spark.createDataFrame([(p,) for p in paths], "path string")
@@ -156,13 +219,21 @@ class Engine:
             if sum(counts[k] for k in ("added", "modified", "deleted")):
                 self.collections.ensure(self.name, self.dims)
                 fresh = self.chunks(found.join(change.where("change <> 'deleted'").select("path"), "path", "left_semi"))
-                old = self.collections.scan(self.name)
-                gone = change.select("path")
-                self.collections.replace(self.name, fresh if old is None else old.join(gone, "path", "left_anti").unionByName(fresh))
-                self._save_snapshot(found)
+                self.collections.merge(self.name, change.select("path"), fresh, check=self._still_ours)
+                self._keep_snapshot(snapshot)
             return counts
 
-        return self._locked("reindex", work)
+        return self._locked("reindex", work, force)
+
+    def git_changes(self) -> tuple[bool, list[str]]:
+        """Whether the project's branch or commit differ from those of the last index, and the paths that do."""
+        root = self._local_root()
+        return gitstate.changed_since(root, gitstate.load(self.folder)) if root else (False, [])
+
+    def health(self) -> dict[str, bool]:
+        """Whether sources and collection can be read, and an embedder answers."""
+        table = lambda: self.collections.scan(self.name)
+        return {"sources": providers.healthy(lambda: Folder(self.spark, self.root).names()), "collection": providers.healthy(lambda: table() is None or table().schema["embedding"]), "embedder": providers.healthy(lambda: self._vector(["health"])[0])}
 
     def _vector(self, texts: list[str]) -> list[list[float]]:
         if self.model is not None:
@@ -179,7 +250,8 @@ class Engine:
         rows = self.collections.scan(self.name)
         if rows is None:
             raise LookupError("the collection is empty")
-        hits = search.search_ladder(rows, table, k, {"language": language} if language else None, path_pattern)
+        details = rows.drop("embedding")
+        hits = search.search_ladder(rows.select("id", "language", "embedding"), table, k, {"language": language} if language else None, path_pattern, strategy=s["strategy"], details=details)
         return search.formatted(hits, form).orderBy("rank")
 
     def status(self) -> dict:
@@ -194,7 +266,7 @@ class Engine:
 
     def reset(self) -> list[str]:
         """Drop the lock and versions that nothing names."""
-        self.lock.release()
+        self.lock.release(force=True)
         gone = self.collections.vacuum(self.name) if self.collections.exists(self.name) else []
         current = self.folder.read("snapshot")
         for n in self.folder.names():

@@ -1,27 +1,20 @@
-"""Collections of vectors: versioned Parquet folders with a header that names the current version.
+"""Collections of vectors: versioned Parquet folders with a header that names what is current.
 
-A change writes a new version and then replaces the header, so readers see the old or the new
-state and a job that dies leaves only a folder that no header names."""
+Rows are dealt to parts by their path (their id, where they have none). The header names the
+versions that make up each part, so a change writes the touched parts as a new version, replaces
+the header, and leaves the others as they are. Readers see the old or the new state, and a job
+that dies leaves only a folder that no header names."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-class CollectionNotFound(KeyError):
-    pass
-
-
-class CollectionExists(ValueError):
-    pass
-
-
-class DimensionMismatch(ValueError):
-    pass
+from tessera.errors import CollectionExists, CollectionNotFound, DimensionMismatch
 
 
 class Folder:
@@ -66,8 +59,10 @@ class Folder:
 
 
 class Collections:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.folder = spark, Folder(spark, root)
+    """Collections below one root; `parts` is the number of parts of those that are created."""
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64):
+        self.spark, self.folder, self.parts = spark, Folder(spark, root), parts
 
     def header(self, name: str) -> dict:
         text = self.folder.read(f"{name}/header.json")
@@ -81,7 +76,7 @@ class Collections:
     def create(self, name: str, dimensions: int, index_type: str = "FLAT", metric: str = "COSINE") -> None:
         if self.exists(name):
             raise CollectionExists(name)
-        self.folder.write(f"{name}/header.json", json.dumps({"dimensions": dimensions, "index_type": index_type, "metric": metric, "version": None}))
+        self.folder.write(f"{name}/header.json", json.dumps({"dimensions": dimensions, "index_type": index_type, "metric": metric, "parts": [[] for _ in range(self.parts)]}))
 
     def ensure(self, name: str, dimensions: int) -> None:
         if not self.exists(name):
@@ -96,39 +91,74 @@ class Collections:
         if self.exists(name):
             self.drop(name)
 
+    def _read(self, name: str, parts: Iterable[int] | None = None) -> DataFrame | None:
+        held = self.header(name)["parts"]
+        paths = [f"{self.folder.root}/{name}/{v}/part={p}" for p, versions in enumerate(held) if parts is None or p in parts for v in versions]
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+
     def scan(self, name: str) -> DataFrame | None:
         """The rows, or None for a collection without any."""
-        version = self.header(name)["version"]
-        return None if version is None else self.spark.read.parquet(f"{self.folder.root}/{name}/{version}")
+        return self._read(name)
+
+    def _part(self, rows: DataFrame, parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.col("path" if "path" in rows.columns else "id")), F.lit(parts)).cast("int")
+
+    def _write(self, name: str, rows: DataFrame) -> tuple[str, set[int]]:
+        """A new version with rows, and the parts that it has."""
+        version, many = f"v-{uuid.uuid4().hex}", len(self.header(name)["parts"])
+        rows.withColumn("part", self._part(rows, many)).write.partitionBy("part").parquet(f"{self.folder.root}/{name}/{version}")
+        new = {int(n.removeprefix("part=")) for n in self.folder.names(f"{name}/{version}") if n.startswith("part=")}
+        if not new:  # no rows
+            self.folder.delete(f"{name}/{version}")
+        return version, new
+
+    def _commit(self, name: str, parts: list[list[str]]) -> None:
+        self.folder.write(f"{name}/header.json", json.dumps(self.header(name) | {"parts": parts}))
 
     def _checked(self, name: str, rows: DataFrame) -> DataFrame:
         dims = self.header(name)["dimensions"]
-        wrong = rows.where(F.size("embedding") != dims).limit(1).count()
-        if wrong:
-            raise DimensionMismatch(f"{name} has {dims} dimensions")
+        wrong = rows.where(F.size("embedding") != dims).select(F.size("embedding").alias("n")).first()
+        if wrong is not None:
+            raise DimensionMismatch(name, dims, wrong.n)
         return rows
 
     def insert(self, name: str, rows: DataFrame) -> None:
         """Append rows (id, embedding and metadata columns); ids may repeat."""
-        rows = self._checked(name, rows)
-        version = self.header(name)["version"]
-        if version is None:
-            self.replace(name, rows)
-        else:
-            rows.write.mode("append").parquet(f"{self.folder.root}/{name}/{version}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write rows as a new version and point the header to it."""
-        head = self.header(name)
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.folder.root}/{name}/{version}")
-        self.folder.write(f"{name}/header.json", json.dumps(head | {"version": version}))
-
-    def delete(self, name: str, ids: list[str]) -> None:
-        rows = self.scan(name)
-        if rows is not None and ids:
-            gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-            self.replace(name, rows.join(gone, "id", "left_anti"))
+        version, new = self._write(name, self._checked(name, rows))
+        self._commit(name, [[*v, version] if p in new else v for p, v in enumerate(self.header(name)["parts"])])
+
+    def replace(self, name: str, rows: DataFrame, check: Callable[[], None] = lambda: None) -> None:
+        """Write rows as a new version and point the header to it; check() may stop that before anything is visible."""
+        version, new = self._write(name, rows)
+        check()
+        self._commit(name, [[version] if p in new else [] for p in range(len(self.header(name)["parts"]))])
+
+    def merge(self, name: str, gone: DataFrame, fresh: DataFrame | None = None, key: str = "path", check: Callable[[], None] = lambda: None) -> list[int]:
+        """Drop the rows whose key is in `gone`, add `fresh`, and rewrite only the parts that either touches: their numbers are returned."""
+        held = self.header(name)["parts"]
+        whole = self.scan(name)
+        own = key == ("path" if whole is None or "path" in whole.columns else "id")
+        if own:
+            touched = gone.select(F.pmod(F.xxhash64(key), F.lit(len(held))).cast("int").alias("part"))
+        else:  # where a key may lie is found by reading that column
+            touched = whole.join(gone.select(key), key, "left_semi").select(self._part(whole, len(held)).alias("part"))
+        if fresh is not None:
+            touched = touched.unionByName(fresh.select(self._part(fresh, len(held)).alias("part")))
+        parts = {r.part for r in touched.distinct().collect()}  # at most as many as the collection has
+        old = self._read(name, parts)
+        rows = None if old is None else old.join(gone.select(key), key, "left_anti")
+        rows = fresh if rows is None else rows if fresh is None else rows.unionByName(fresh, allowMissingColumns=True)
+        if rows is not None and parts:
+            version, new = self._write(name, rows)
+            check()
+            self._commit(name, [[version] if p in new else [] if p in parts else v for p, v in enumerate(held)])
+        return sorted(parts)
+
+    def delete(self, name: str, ids: list[str] | DataFrame) -> None:
+        """Drop the rows with these ids: a list, or a table (id) of any size."""
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
+        if self.scan(name) is not None:
+            self.merge(name, gone, key="id")
 
     def stats(self, name: str) -> dict:
         head, rows = self.header(name), self.scan(name)
@@ -136,9 +166,16 @@ class Collections:
         return {"count": count, "dimensions": head["dimensions"], "indexed": count > 0, "index_type": head["index_type"], "metric_type": head["metric"]}
 
     def vacuum(self, name: str) -> list[str]:
-        """Remove versions that the header does not name."""
-        current = self.header(name)["version"]
-        old = [v for v in self.folder.names(name) if v.startswith("v-") and v != current]
-        for v in old:
-            self.folder.delete(f"{name}/{v}")
+        """Remove parts that the header does not name, and return the versions of which nothing is left."""
+        held = self.header(name)["parts"]
+        used = {(v, f"part={p}") for p, versions in enumerate(held) for v in versions}
+        old = []
+        for v in (v for v in self.folder.names(name) if v.startswith("v-")):
+            if not any(v == x for x, _ in used):
+                self.folder.delete(f"{name}/{v}")
+                old.append(v)
+                continue
+            for part in self.folder.names(f"{name}/{v}"):
+                if part.startswith("part=") and (v, part) not in used:
+                    self.folder.delete(f"{name}/{v}/{part}")
         return old
