@@ -220,7 +220,7 @@ def sliding_window_chunks(spark, sf_dir):
 
 
 @query("""SELECT 'src/p' || page_id || '.' || language AS path, lines AS total_lines, chars + wide * length(page_id::varchar) AS total_chars, types AS chunk_types FROM pages,
-  (VALUES ('javascript', 3, 74, 1, 'function'), ('ruby', 6, 42, 1, 'method,module'), ('typescript', 6, 126, 4, 'class,function,interface,method')) t(language, lines, chars, wide, types)""")
+  (VALUES ('javascript', 3, 69, 1, 'function'), ('ruby', 6, 42, 1, 'method,module'), ('typescript', 6, 126, 4, 'class,function,interface,method')) t(language, lines, chars, wide, types)""")
 def parse_metadata(spark, sf_dir):
     found = sources(spark, sf_dir)
     return extract.parse_metadata(found, extract.extract_nodes(found)).select("path", "total_lines", "total_chars", F.array_join("chunk_types", ",").alias("chunk_types"))
