@@ -1,8 +1,10 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line is its words; lines without words are left alone. A line goes if an earlier line (by
-doc_id, then line number) has the same words, or, where both have at least `LEAST` words, is
-within an edit distance of one word. Removed lines count as earlier lines too.
+doc_id, then line number) has the same words, or, where both have at least `least` words (a
+parameter, 8 unless given), is within an edit distance of one word. Shorter lines are compared
+exactly: one word of seven is another statement more often than a variant. Removed lines count as
+earlier lines too.
 
 Equal lines are collapsed by hash. Each distinct line then emits the hashes of its variants
 with one word deleted: two lines are within one edit exactly if they share a variant with the
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, bit_table, may_hold, staged, text_chunks
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, lines, mix
 
+#: Words from which a line may be a near copy.
 LEAST = 8
 KEY = "coalesce(doc_id, -9223372036854775808L)"
 SPAN = np.uint64(0x632BE59BD9B4E019)
@@ -53,14 +56,14 @@ class Lines:
         self.seq = Sequence(self.word, WORD_BASE)
         self.h = self.seq.spans(self.a, self.b)
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+    def halves(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Four keys for each line: its first and last n // 2 words, and (n - 1) // 2 words where that is less; and which count."""
         n = self.b - self.a
         keys, counts = np.empty((4, len(n)), np.uint64), np.empty((4, len(n)), bool)
         for g, size in enumerate((n // 2, n // 2, (n - 1) // 2, (n - 1) // 2)):
             last = g % 2 == 1
             keys[g] = self.seq.spans(self.b - size, self.b) ^ SPAN if last else self.seq.spans(self.a, self.a + size)
-            counts[g] = (n >= LEAST) & ((g < 2) | (n % 2 == 0))
+            counts[g] = (n >= least) & ((g < 2) | (n % 2 == 0))
         return keys, counts
 
     def variants(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,8 +78,8 @@ class Lines:
         return line, j, mix(left + right + (b - a - 1).astype(np.uint64))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, i, h, n and keys s of halves (lines of LEAST words or more); one row with i = -1 a document, whose n is its count of lines."""
+def line_table(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """row, doc_id, i, h, n and keys s of halves (lines of `least` words or more); one row with i = -1 a document, whose n is its count of lines."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -84,7 +87,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 x = Lines(Words(data, offsets))
                 many = hi - lo
                 at = pa.array(np.concatenate([np.arange(lo, hi), x.doc + lo]))
-                s, counts = x.halves()
+                s, counts = x.halves(least)
                 null = np.concatenate([np.ones((4, many), bool), ~counts], axis=1)
                 pad = lambda v: np.concatenate([np.zeros(many, v.dtype), v])
                 yield pa.RecordBatch.from_arrays([
@@ -182,9 +185,9 @@ def neighbours(docs: DataFrame, real: DataFrame, distinct: DataFrame) -> DataFra
     return arrow_map(both.select("h", "k", "i", "mine", "theirs"), verified, "h long, k long, i int")
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """The staged table of lines, and the lines to remove (row, k, i, h)."""
-    table = staged(line_table(docs), "lines")
+    table = staged(line_table(docs, least), "lines")
     real = table.where("i >= 0").withColumn("k", F.expr(KEY))
     distinct = real.groupBy("h").agg(F.min(F.struct("k", "i")).alias("first"), F.count("*").alias("places"))
     distinct = staged(distinct.select("h", "first.k", "first.i", (F.col("places") > 1).alias("again")), "distinct")
@@ -195,18 +198,18 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, gone.select("row", "k", "i", "h")
 
 
-def dedup_digest(docs: DataFrame) -> DataFrame:
+def dedup_digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers (from 0, comma-joined) of every row."""
-    table, gone = removed_lines(docs)
+    table, gone = removed_lines(docs, least)
     all_rows = table.where("i = -1").select("row", "doc_id", F.col("n").alias("n_lines"), F.lit(None).cast("int").alias("i"))
     both = all_rows.unionByName(gone.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("n_lines"), "i"))
     out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_lines").cast("long").alias("n_lines"), F.array_sort(F.collect_list("i")).alias("gone"))
     return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("removed_lines"))
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of docs with their lines removed from text (and n_chars counted anew); a row that loses all its words goes."""
-    _, gone = removed_lines(docs)
+    _, gone = removed_lines(docs, least)
     # a set for each document, not distinct rows first: those would hold the join to its partitioning, and a frequent line to one task
     lists = gone.groupBy("k").agg(F.collect_set(F.struct("i", "h")).alias("__gone"))
     joined = docs.withColumn("__k", F.expr(KEY)).join(lists.withColumnRenamed("k", "__k"), "__k", "left").drop("__k")

@@ -28,12 +28,16 @@ WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents), b AS (SELECT item_id, {A
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
-SHARDING = """
+
+
+def sharding(limit: int) -> str:
+    return f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::bigint AS bytes, lpad(bin(('0x' || substr(md5(doc_id::varchar), 1, 12))::bigint), 48, '0') AS bits FROM documents),
   lv AS (SELECT *, substr(bits, 1, dep) AS shard FROM (SELECT *, unnest(range(0, 49)) AS dep FROM d)),
   size AS (SELECT shard, sum(bytes)::bigint AS shard_bytes, count(*) AS shard_docs FROM lv GROUP BY shard)
-SELECT doc_id, shard, dep::int AS depth, shard_docs, shard_bytes, shard_bytes <= 67108864 AS fits
-FROM lv JOIN size USING (shard) WHERE shard_bytes <= 67108864 OR dep = 48 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dep) = 1"""
+SELECT doc_id, shard, dep::int AS depth, shard_docs, shard_bytes, shard_bytes <= {limit} AS fits
+FROM lv JOIN size USING (shard) WHERE shard_bytes <= {limit} OR dep = 48 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dep) = 1"""
+
 
 LINES = r"""
 WITH l AS (SELECT doc_id, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM (
@@ -59,4 +63,4 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x
   reach(doc_id, t) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.t)
 SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id FROM (SELECT doc_id, min(t) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""
 
-SQL = {"op2_substring_dedup": SUBSTRING, "op3_decontamination": CONTAMINATION, "op5_sharding": SHARDING, "op7_line_dedup": LINES, "op9_ngram_join": COMPONENTS}
+SQL = {"op2_substring_dedup": SUBSTRING, "op3_decontamination": CONTAMINATION, "op5_sharding": sharding(64 << 20), "shards_of_100_kb": sharding(100_000), "op7_line_dedup": LINES, "op9_ngram_join": COMPONENTS}

@@ -40,6 +40,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"))
 
 
+def shards_of_100_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_sharding with a limit that small tables exceed, so that buckets split."""
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), 100_000)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_mil.score(docs, quality_mil.fit(docs, table(spark, sf_dir, "labels")))
@@ -62,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_pii, op2_substring_dedup, op3_decontamination, op4_bpe, op5_sharding, op6_quality, op7_line_dedup, op8_licenses, op9_ngram_join, op10_quality_rules)
+QUERIES = (op1_pii, op2_substring_dedup, op3_decontamination, op4_bpe, op5_sharding, op6_quality, op7_line_dedup, op8_licenses, op9_ngram_join, op10_quality_rules, shards_of_100_kb)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

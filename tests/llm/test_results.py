@@ -189,9 +189,6 @@ def test_quality_classifier_without_labels_and_on_odd_texts(spark, odd):
 
 def test_line_dedup(case):
     docs, rows = case
-    rows = rows if len(rows) < 100 else rows[:120]
-    keep = {d for d, _ in rows}
-    docs = docs.where(docs.doc_id.isin([d for d in keep if d is not None]) | docs.doc_id.isNull())
     least = -(2**63)
     want = brute.line_dedup([(least if d is None else d, t) for d, t in rows])
     out = line_dedup.dedup_digest(docs).collect()
@@ -203,6 +200,15 @@ def test_line_dedup(case):
     same([(r.text,) for r in kept.select("text").collect()], [(x,) for x, g, t in texts if not gone(t or "", g)])
 
 
+@pytest.mark.parametrize("words", [1, 3])
+def test_line_dedup_of_shorter_lines(spark, odd, words):
+    """The bound from which lines may be near copies is a parameter, down to lines of one word."""
+    r = random.Random(words)
+    rows = [(i, "\n".join(" ".join(r.choice("abcd") for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 5)))) for i in range(60)] + [(100 + i, t) for i, (_, t) in enumerate(odd[1]) if t is None or len(t) < 2000]
+    out = line_dedup.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words).collect()
+    same([(x.doc_id, x.removed_lines) for x in out], [(d, ",".join(map(str, g))) for d, g in brute.line_dedup(rows, words)])
+
+
 def test_within_one_is_the_edit_distance():
     r = random.Random(3)
     for _ in range(3000):
