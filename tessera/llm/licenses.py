@@ -9,7 +9,8 @@ overlap by the longest window, so each window lies in one. Words are ordered by
 over the blocks of all documents, rarest first. A template is indexed by its prefix, the
 size - needed + 1 rarest words: a block without any of them cannot reach the threshold. Length
 and positional filters drop further pairs, and the intersection decides. Other words than the
-templates' cannot change an intersection, so blocks keep only those: bounded, small rows.
+templates' cannot change an intersection, so blocks keep only those: bounded, small rows. By the
+same prefix argument a whole text without any of a few telling words needs no blocks at all.
 
 Defined results: a null text is empty; repeated rows are each reported; columns besides doc_id
 and text play no part; an empty table gives an empty result.
@@ -18,6 +19,7 @@ and text play no part; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -54,15 +56,15 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?i)(?<!{WORD})" + (BREAK + "+").join(phrase.split()) + f"(?!{WORD})"
 
 
-def phrase_starts(text: Column, phrase: str) -> Column:
-    """Word positions at which a phrase starts: words of the gaps before it, and of the phrases before it."""
+def phrase_starts(text: Column, phrase: str, possible: Column) -> Column:
+    """Word positions at which a phrase starts, where that is possible at all: words of the gaps before it, and of the phrases before it."""
     size = len(phrase.split())
     counts = F.transform(F.split(text, phrase_pattern(phrase), -1), lambda g: F.size(words(g)))
     before = F.slice(counts, F.lit(1), F.size(counts) - 1)
     none = F.from_json(F.lit("[]"), "array<int>")
     starts = F.aggregate(before, F.struct(F.lit(0).alias("at"), none.alias("out")),
                          lambda a, n: F.struct((a["at"] + n + size).alias("at"), F.array_append(a["out"], a["at"] + n).alias("out")), lambda a: a["out"])
-    return F.when(text.rlike(phrase_pattern(phrase)), starts).otherwise(none)
+    return F.when(possible & text.rlike(phrase_pattern(phrase)), starts).otherwise(none)
 
 
 def window_sizes(templates=TEMPLATES, threshold: float = 0.8) -> list[int]:
@@ -76,18 +78,30 @@ def template_sets(templates=TEMPLATES, threshold: float = 0.8) -> list[tuple[int
     return [(i, label, w, math.ceil(threshold * len(w) - 1e-9)) for i, label, w in sets]
 
 
-def blocks(docs: DataFrame, vocabulary: list[str], least: int, window: int) -> DataFrame:
+def telling_words(sets: list[tuple[int, str, frozenset[str], int]]) -> list[str]:
+    """Words of which a text that holds any template has at least one, as a part of a word.
+
+    Of each template any size - needed + 1 words do, as a prefix does: here the longest, which are seldom found by chance."""
+    picked = {x for _, _, w, need in sets for x in sorted(w, key=lambda x: (-len(x), x))[: len(w) - need + 1]}
+    return sorted(x for x in picked if not any(y != x and y in x for y in picked))
+
+
+def blocks(docs: DataFrame, vocabulary: list[str], least: int, window: int, telling: list[str]) -> DataFrame:
     """row, doc_id, n_words, starts of each phrase, and blocks of at least `least` of the templates' words.
 
     A block has its words of the templates and, where it is a stretch of a text of several lines,
     its run: all its words in order, those of no template empty. A stretch starts at every
-    `window` words and has 2 * window of them."""
+    `window` words and has 2 * window of them. A text without any of the `telling` words has no blocks, and its words are only counted."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    doc = docs.select("doc_id", text.alias("text"))
+    doc = docs.select("doc_id", text.alias("text"), F.lower(text).alias("low"))
+    may_hold = reduce(lambda a, b: a | b, (F.col("low").contains(w) for w in telling))
+    doc = doc.select("doc_id", "text", may_hold.alias("may"), *(reduce(lambda a, b: a & b, (F.col("low").contains(w) for w in p.split())).alias(f"q{i}") for i, (p, _) in enumerate(PHRASES)))
+    no_lines = F.from_json(F.lit("[]"), "array<array<string>>")
     known = F.array(*(F.lit(w) for w in vocabulary))
     none = F.lit(None).cast("array<string>")
-    doc = doc.select("doc_id", *(phrase_starts(F.col("text"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)),
-                     F.transform(F.split(F.translate("text", UPPER, LOWER), "\n", -1), lambda line: words(line)).alias("lines"))
+    doc = doc.select("doc_id", *(phrase_starts(F.col("text"), p, F.col(f"q{i}")).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)),
+                     F.when(F.col("may"), F.transform(F.split(F.translate("text", UPPER, LOWER), "\n", -1), lambda line: words(line))).otherwise(no_lines).alias("lines"),
+                     F.when(~F.col("may"), F.size(words(F.col("text")))).alias("counted"))
     doc = doc.withColumn("row", F.monotonically_increasing_id()).withColumn("all", F.flatten("lines"))
     n = F.size("all")
     at = F.when(F.size(F.filter("lines", lambda w: F.size(w) > 0)) > 1, F.sequence(F.lit(0), F.floor((n - 1) / window).cast("int"))).otherwise(F.from_json(F.lit("[]"), "array<int>"))
@@ -97,7 +111,7 @@ def blocks(docs: DataFrame, vocabulary: list[str], least: int, window: int) -> D
     enough = lambda b: F.size(b["words"]) >= least
     bare = lambda b: F.struct(b["words"].alias("words"), F.transform(b["run"], lambda w: F.when(F.array_contains(b["words"], w), w).otherwise("")).alias("run"))
     return doc.select(
-        "row", "doc_id", *(f"p{i}" for i in range(len(PHRASES))), n.cast("long").alias("n_words"),
+        "row", "doc_id", *(f"p{i}" for i in range(len(PHRASES))), F.coalesce("counted", n).cast("long").alias("n_words"),
         F.concat(F.filter(of_lines, enough), F.transform(F.filter(of_text, enough), bare)).alias("blocks"))
 
 
@@ -133,7 +147,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     sets = template_sets(templates, threshold)
     windows = window_sizes(templates, threshold)
     vocabulary = sorted(frozenset(chain.from_iterable(w for _, _, w, _ in sets)))
-    found = staged(blocks(docs, vocabulary, min(need for _, _, _, need in sets), max(windows)), "licenses")
+    found = staged(blocks(docs, vocabulary, min(need for _, _, _, need in sets), max(windows), telling_words(sets)), "licenses")
     joined = similarity_join(found, sets, windows).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     starts = F.concat(*(F.col(f"p{i}") for i in range(len(PHRASES))))
     base = F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES))), lambda x: x.isNotNull())
