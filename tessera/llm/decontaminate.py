@@ -21,10 +21,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import arrow_map, discard, staged
 from tessera.llm.textnum import ALNUM, LOWER
 
 _KEEP = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
@@ -35,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
 
 
-def in_order(items: set[int | None]) -> list[int | None]:
+def in_order(items: set[str | None]) -> list[str | None]:
     """Item ids in order; that of rows without an id comes last."""
     return sorted(items - {None}) + [None] * (None in items)
 
@@ -43,7 +44,7 @@ def in_order(items: set[int | None]) -> list[int | None]:
 class WuManber:
     """Shift tables and suffix buckets for patterns of one length."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[int]], length: int):
+    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], length: int):
         self.length, self.block = length, min(2, length)
         self.far = length - self.block + 1
         self.shift: dict = {}
@@ -57,7 +58,7 @@ class WuManber:
     def _key(self, words, end: int):
         return (words[end - 2], words[end - 1]) if self.block == 2 else words[end - 1]
 
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """(first word, items) of every occurrence."""
         length, far, shift, bucket, n = self.length, self.far, self.shift.get, self.bucket, len(words)
         end = length
@@ -78,9 +79,9 @@ class WuManber:
             end += 1
 
 
-def tables(items: list[tuple[int, str | None]], window: int) -> list[WuManber]:
+def tables(items: list[tuple[str | None, str | None]], window: int) -> list[WuManber]:
     """One search structure for each pattern length."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
+    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     for item, text in items:
         words = words_of(text)
         size = min(window, len(words))
@@ -89,7 +90,7 @@ def tables(items: list[tuple[int, str | None]], window: int) -> list[WuManber]:
     return [WuManber({w: in_order(i) for w, i in p.items()}, size) for size, p in sorted(by_length.items())]
 
 
-def find(words: list[bytes], searches: list[WuManber]) -> tuple[list[tuple[int, int]], set[int]]:
+def find(words: list[bytes], searches: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
     """Spans of occurrences and the items they belong to."""
     spans, items = [], set()
     for s in searches:
@@ -107,9 +108,12 @@ def union_length(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str | None]], window: int) -> DataFrame:
-    """row, doc_id, n_words, spans and items of each row of docs."""
-    send = docs.sparkSession.sparkContext.broadcast(items)
+def _id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def _scan(docs: DataFrame, send: Broadcast, window: int) -> DataFrame:
+    """doc_id, copy, n_words, spans and items of each row of docs."""
     kept: list = []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +127,14 @@ def _scan(docs: DataFrame, items: list[tuple[int, str | None]], window: int) ->
                 n.append(len(words))
                 spans.append([x for s in at for x in s])
                 found.append(in_order(of))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "copy", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "copy", "n_words", "spans", "items"])
 
-    return arrow_map(docs.select("doc_id", "text", "copy"), rows, "doc_id long, copy long, n_words long, spans array<long>, items array<long>")
+    return arrow_map(docs.select("doc_id", "text", "copy"), rows, f"doc_id {_id_type(docs)}, copy long, n_words long, spans array<long>, items array<string>")
 
 
 def benchmark_items(benchmark: DataFrame, unnamed: bool) -> DataFrame:
     """item_id and text of rows with a text, those without an id only if `unnamed`."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     return items if unnamed else items.where("item_id is not null")
 
 
@@ -141,11 +145,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, table
     items = benchmark_items(benchmark, unnamed)
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     docs = docs.select("doc_id", "text", F.lit(0).cast("long").alias("copy"))
+    context = docs.sparkSession.sparkContext
     parts = -(-size // table_bytes) or 1
     if parts == 1:
-        return _scan(docs, [tuple(r) for r in items.collect()], window).drop("copy")  # within table_bytes
-    docs = docs.withColumn("copy", F.xxhash64("text"))
-    found = [_scan(docs, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()], window) for k in range(parts)]
+        return _scan(docs, context.broadcast([tuple(r) for r in items.collect()]), window).drop("copy")  # within table_bytes
+    docs, found = docs.withColumn("copy", F.xxhash64("text")), []
+    for k in range(parts):  # one part of the benchmark is held at a time
+        send = context.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()])
+        found.append(staged(_scan(docs, send, window), "part"))
+        send.destroy()
     all_parts = reduce(DataFrame.unionByName, (f.withColumn("part", F.lit(k)) for k, f in enumerate(found)))
     joined = all_parts.groupBy("doc_id", "copy").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
@@ -162,10 +170,10 @@ def digest(found: DataFrame) -> DataFrame:
             for spans, items in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 hit.append(union_length(list(zip(spans[::2], spans[1::2], strict=True))))
                 n.append(len(items))
-                sha.append(hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest())
+                sha.append(hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return arrow_map(found, rows, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return arrow_map(found, rows, f"doc_id {_id_type(found)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = 16 << 20, unnamed: bool = False) -> DataFrame:
@@ -175,6 +183,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
     parts = -(-size // table_bytes) or 1
     at = docs.columns.index("text")
     for k in range(parts):
+        before = docs
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         send = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
 
@@ -185,7 +194,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
                 clean = [not any(True for s in searches for _ in s.search(words)) for words in (words_of(texts[i].as_py()) for i in range(len(texts)))]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = arrow_map(docs, rows, docs.schema)
+        docs = arrow_map(before, rows, docs.schema)
+        if parts > 1:  # one part of the benchmark is held at a time
+            docs = staged(docs, "part")
+            send.destroy()
+            if k:
+                discard(before)
     return docs
 
 

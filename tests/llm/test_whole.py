@@ -216,3 +216,15 @@ def test_keep_one_of_odd_rows(spark):
     want = [(3, a), (3, a), (None, a), (7, None), (8, ""), (8, ""), (9, "x y"), (2, "other words " * 40), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
     assert ngram_join.keep_one(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("table_bytes", [16 << 20, 100])
+def test_ids_of_any_type_in_decontamination(spark, table_bytes):
+    """Texts as ids, of documents and of items, at any number of parts."""
+    passage = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([("a", f"x {passage}"), ("b", "short note here"), (None, None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("item-2", passage), ("item-1", "short note"), ("item-10", passage + " end")], "item_id string, text string")
+    out = {r.doc_id: r for r in decontaminate.digest(decontaminate.contamination(docs, bench, table_bytes=table_bytes)).collect()}
+    assert (out["a"].n_items, out["a"].items_sha256, out["a"].n_hit) == (2, brute.sha("item-10,item-2"), 14)
+    assert (out["b"].n_items, out["b"].items_sha256, out["b"].n_hit) == (1, brute.sha("item-1"), 2) and not out[None].contaminated
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, table_bytes=table_bytes).collect()] == [None]
