@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -161,6 +162,21 @@ def expand_query(query: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def expand_column(query: Column) -> Column:
+    """expand_query() for a column of queries: an array of texts."""
+    known = F.create_map(*chain.from_iterable((F.lit(k), F.array(*map(F.lit, v))) for k, v in fixed.SYNONYMS.items()))
+
+    def forms(words: Column) -> Column:
+        def one(word: Column) -> Column:
+            others = F.filter(words, lambda w: w != word)
+            with_synonym = lambda s: F.when(F.size(others) > 0, F.array(s, F.concat_ws(" ", s, others))).otherwise(F.array(s))
+            return F.concat(F.array(word), F.coalesce(F.flatten(F.transform(known[word], with_synonym)), F.array().cast("array<string>")))
+
+        return F.flatten(F.transform(words, one))
+
+    return F.array_distinct(F.concat(F.array(query), F.transform(F.array(F.split(F.lower(query), SPACES)), forms)[0]))
+
+
 def search_variations(query: str) -> list[str]:
     processed = preprocess_query(query)
     return list(dict.fromkeys([query, processed, *expand_query(processed)]))

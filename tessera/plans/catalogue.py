@@ -346,10 +346,10 @@ def query_preprocess(spark, sf_dir):
 EXPANDED = ("find auth service", "Create a test helper", "model")
 
 
-def _expand_sql() -> str:
+def _expand_sql(queries: str) -> str:
+    """Expansion of queries(query_id, q)."""
     synonyms = ", ".join(f"('{k}', {i}, '{s}')" for k, v in fixed.SYNONYMS.items() for i, s in enumerate(v))
-    queries = ", ".join(f"({i}, '{q}')" for i, q in enumerate(EXPANDED))
-    return rf"""WITH q(query_id, q) AS (VALUES {queries}), syn(word, k, s) AS (VALUES {synonyms}),
+    return rf"""WITH q(query_id, q) AS ({queries}), syn(word, k, s) AS (VALUES {synonyms}),
       w AS (SELECT query_id, q, string_split_regex(lower(q), '\s+') AS ws FROM q),
       e AS (SELECT query_id, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
       all_ AS (SELECT query_id, q AS text, 0 AS i, 0 AS k, 0 AS o FROM q UNION ALL SELECT query_id, word, i, -1, 0 FROM e
@@ -358,12 +358,21 @@ def _expand_sql() -> str:
       SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY f) AS seq FROM (SELECT query_id, text, min((i, k, o)) AS f FROM all_ GROUP BY query_id, text)"""
 
 
-@query(_expand_sql())
+@query(_expand_sql("VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(EXPANDED))))
 def query_expand(spark, sf_dir):
     rows = [(q, text, i + 1) for q, original in enumerate(EXPANDED) for i, text in enumerate(T.expand_query(original))]
     return spark.createDataFrame(rows, "query_id int, text string, seq long")
 
 
+@query(_expand_sql("SELECT item_id, 'find auth ' || list_extract(['test', 'model', 'error', 'api'], (item_id % 4 + 1)::int) || ' ' || string_split(text, ' ')[1] FROM benchmark"))
+def query_expand_table(spark, sf_dir):
+    """Expansion of a table of queries, in columns."""
+    kind = F.element_at(F.array(*map(F.lit, ("test", "model", "error", "api"))), (F.col("item_id") % 4 + 1).cast("int"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("find auth "), kind, F.lit(" "), F.split("text", " ")[0]).alias("q"))
+    found = queries.select("query_id", F.posexplode(T.expand_column(F.col("q"))).alias("seq", "text"))
+    return found.select("query_id", "text", (F.col("seq") + 1).cast("long").alias("seq"))
+
+
 @query(r"""SELECT page_id, array_to_string(['lib/' || page_id, url, 'm' || (page_id + 1)], ' ') AS script, array_to_string(['json', 'helper' || page_id], ' ') AS ruby,
   array_to_string(['os', 'pkg' || page_id, 'name'], ' ') AS python FROM pages""")
 def dependencies(spark, sf_dir):
