@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, by_group, partitions, possible_rows, sorted_groups, staged, text_chunks
+from tessera.llm.common import arrow_map, by_group, discard, partitions, possible_rows, sorted_groups, staged, text_chunks
 from tessera.llm.graph import connected_components, least_labels
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, mix
 
@@ -560,6 +560,7 @@ def components(docs: DataFrame, whole: int = WHOLE, block: int = BLOCK) -> DataF
     near = leader_links(docs, one, led, block)
     classes = connected_components(near)
     groups = connected_components(class_edges(live, classes))
+    discard(live)
     links = near.unionByName(class_links(docs, one, classes, groups, whole, block))
     classes = connected_components(links).select(F.col("node").alias("s1"), "root")
     table = table.withColumn("n", F.col("n").cast("long"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, new_path, partitions, possible_rows, remove, staged, text_chunks
+from tessera.llm.common import arrow_map, discard, new_path, partitions, possible_rows, remove, staged, text_chunks
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, covered, mix
 
 WINDOW, GRAM = 35, 6
@@ -108,6 +108,7 @@ class FingerprintLog:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, fanout: int = 2):
         self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
+        self.asked: list[DataFrame] = []  # staged answers of append()
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -152,6 +153,7 @@ class FingerprintLog:
             past = self._table(older).select("h", F.col("n").alias("m"), F.col("k").alias("of"))
             found = found.join(past, "h", "left").select("h", (F.col("all") + F.coalesce("m", F.lit(0))).alias("all"), (F.col("old") + F.coalesce("m", F.lit(0))).alias("old"), F.coalesce("owner", "of").alias("owner"))
         again = staged(found.where("all > 1").select("h", F.when(F.col("old") == 1, F.col("owner")).alias("owner")), "again")
+        self.asked.append(again)
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(run)
@@ -182,6 +184,14 @@ class FingerprintLog:
             level += 1
 
 
+    def drop(self) -> None:
+        """Remove the index."""
+        for run in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        remove(self.spark, self.root)
+        self.levels = []
+
+
 def nominations(found: list[DataFrame]) -> DataFrame:
     """k and the array of its repeated hashes, from what the batches of a log returned."""
     return reduce(DataFrame.unionByName, found).groupBy("k").agg(F.collect_set("h").alias("dup"))
@@ -243,9 +253,13 @@ def removed_words(docs: DataFrame, batches: int = 2) -> DataFrame:
     stands = staged(whole.groupBy("h").agg(F.min("k").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copies")
     copies = whole.join(stands, "h").groupBy("k").agg(F.collect_set(F.struct("h", (F.col("k") == F.col("least")).alias("stands"))).alias("copies"))
     dup = staged(nominations(found).join(copies, "k", "left"), "repeated")
+    log.drop()
+    discard(prints, stands, *log.asked)
     keyed = docs.select(F.expr(KEY).alias("k"), "doc_id", "text")
     lone = lone_windows(possible_rows(keyed.select("k", "text"), dup, "k").join(dup, "k")).groupBy("k").agg(F.collect_list("w").alias("lone"))
-    return keyed.join(staged(dup.join(lone, "k", "left").select("k", "dup", "lone"), "marks"), "k", "left")
+    marks = staged(dup.join(lone, "k", "left").select("k", "dup", "lone"), "marks")
+    discard(dup)
+    return keyed.join(marks, "k", "left")
 
 
 def mark(b: pa.RecordBatch, text: int, dup: int, lone: int) -> Iterator[tuple[int, int, Words, np.ndarray]]:
