@@ -9,6 +9,12 @@ folder and reads it again as the next one's docs.
 3 ngram_join: of each class of near-duplicate documents the least doc_id stays.
 4 decontamination: documents that hold a window of a benchmark item go.
 5 bpe: token counts and digests of the remaining texts.
+
+Defined results: a null or empty text has no words and goes in stage 1; documents without an id are
+judged like others and stand for no class; rows that repeat an id or a text are documents of their
+own until stage 2, which takes equal lines from all but the first place, and stage 3, which keeps
+the rows of the least id of a class; without labels of both classes the base rules alone decide; an
+empty table passes every stage as an empty table; other columns are kept to the last stage.
 """
 
 from __future__ import annotations
