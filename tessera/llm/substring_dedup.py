@@ -183,7 +183,6 @@ class FingerprintLog:
                     remove(self.spark, f"{self.root}/{run}")
             level += 1
 
-
     def drop(self) -> None:
         """Remove the index."""
         for run in self.runs():
