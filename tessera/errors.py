@@ -6,6 +6,9 @@ import json
 import traceback
 
 
+# The codes and messages of the errors below, and the statuses of of_status().
+
+
 class EngineError(Exception):
     """An error of the engine. Subclasses set the code; details say what it is about."""
 
