@@ -63,4 +63,23 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x
   reach(doc_id, t) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.t)
 SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id FROM (SELECT doc_id, min(t) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""
 
-SQL = {"op2_substring_dedup": SUBSTRING, "op3_decontamination": CONTAMINATION, "op5_sharding": sharding(64 << 20), "shards_of_100_kb": sharding(100_000), "op7_line_dedup": LINES, "op9_ngram_join": COMPONENTS}
+EXACT = f"""
+WITH d AS (SELECT doc_id, {LOWERED} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)"""
+
+FILL_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+  e AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::bigint % (len(u) + 1) AS x, ('0x' || h[9:16])::bigint % (len(u) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::bigint % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::bigint % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  f AS (SELECT doc_id, text, n, form, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+    array_to_string(u[greatest(x, y) + 1:], '') AS s FROM e)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM f"""
+
+SQL = {
+    "op2_substring_dedup": SUBSTRING, "op3_decontamination": CONTAMINATION, "op5_sharding": sharding(64 << 20), "shards_of_100_kb": sharding(100_000),
+    "op7_line_dedup": LINES, "op9_ngram_join": COMPONENTS, "op11_exact_dedup": EXACT, "op12_fill_in_middle": FILL_MIDDLE,
+}

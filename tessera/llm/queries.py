@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, licenses, line_dedup, ngram_join, oracles, pii, quality_mil, quality_rules, sharding, substring_dedup
+from tessera.llm import (
+    bpe, decontaminate, exact_dedup, fill_middle, licenses, line_dedup, ngram_join, oracles, pii, quality_mil, quality_rules, sharding, substring_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +69,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = (op1_pii, op2_substring_dedup, op3_decontamination, op4_bpe, op5_sharding, op6_quality, op7_line_dedup, op8_licenses, op9_ngram_join, op10_quality_rules, shards_of_100_kb)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_pii, op2_substring_dedup, op3_decontamination, op4_bpe, op5_sharding, op6_quality, op7_line_dedup, op8_licenses, op9_ngram_join,
+    op10_quality_rules, op11_exact_dedup, op12_fill_in_middle, shards_of_100_kb,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
