@@ -79,6 +79,45 @@ def term_frequency(term: Column, raw: Column) -> Column:
     return F.size(F.filter(raw, lambda w: w == term)) / F.size(raw)
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once: a name in a lambda, where a column used twice would be computed twice."""
+    return F.transform(F.array(value), use)[0]
+
+
+def runs(ordered: Column, same) -> Column:
+    """array<struct<first, n>> of the runs of an ordered array whose elements agree in same(element). Linear in the array."""
+    place = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
+    new = lambda a: F.filter(place(a), lambda i: (i == 1) | (same(F.get(a, i - 1)) != same(F.get(a, i - 2))))
+    after = lambda a, starts: F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(a) + 1))
+    made = lambda a: once(new(a), lambda starts: F.zip_with(starts, F.slice(after(a, starts), F.lit(1), F.size(starts)), lambda s, e: F.struct(F.get(a, s - 1).alias("first"), (e - s).alias("n"))))
+    return once(ordered, made)
+
+
+def word_counts(words: Column) -> Column:
+    """array<struct<first, n>> of distinct words, in order of the words: sorted once, so linear but for that."""
+    return runs(F.array_sort(words), lambda w: w)
+
+
+def scored_words(raw: Column, plain: Column) -> Column:
+    """array<struct<word, pos, score>>: each distinct cleaned word that may be a keyword, its first place, and its share of the raw words.
+
+    Raw and cleaned words are sorted together, a raw word before its equal, so a row's words are counted where the
+    row is: no explosion, no shuffle, and no comparison of all words with all others."""
+    wanted = lambda w: (F.length(w) > 2) & ~w.isin(*fixed.SCORED_STOP_WORDS)
+    counted = F.transform(F.filter(raw, wanted), lambda w: F.struct(w.alias("word"), F.lit(-1).alias("pos")))
+    places = F.transform(plain, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+    both = F.array_sort(F.concat(counted, F.filter(places, lambda x: wanted(x["word"]))))
+    kinds = runs(both, lambda x: F.struct(x["word"], x["pos"] >= 0))
+
+    def scored(found: Column) -> Column:
+        before = lambda x, i: F.get(found, i - 1)
+        n = lambda x, i: F.when((i > 0) & (before(x, i)["first"]["word"] == x["first"]["word"]), before(x, i)["n"]).otherwise(0)
+        out = F.transform(found, lambda x, i: F.struct(x["first"]["word"].alias("word"), x["first"]["pos"].alias("pos"), (n(x, i) / F.size(raw)).alias("score")))
+        return F.filter(out, lambda x: x["pos"] >= 0)
+
+    return once(kinds, scored)
+
+
 def scored_keywords(text: Column, most: int = 10) -> Column:
     """array<struct<keyword, score>> by term frequency; words that tie keep their order."""
     raw = raw_words(text)

@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
-def once(value: Column, use) -> Column:
-    """use(value) with value computed once: a name in a lambda, where a column used twice would be computed twice (or for each element)."""
-    return F.transform(F.array(value), use)[0]
+once = T.once
 
 
 def _ints() -> Column:

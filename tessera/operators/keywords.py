@@ -1,7 +1,6 @@
-"""Scored keywords of whole tables: linear in the words, with one aggregation by document and word.
+"""Scored keywords of whole tables: counted inside a row (sorted words and their runs), for texts of any length.
 
-The column forms in functions.text compare words within a row and suit queries and chunks; these
-suit texts of any length."""
+The column forms in functions.text compare words within a row and suit queries and chunks."""
 
 from __future__ import annotations
 
@@ -30,22 +29,18 @@ def document_frequency(words: DataFrame, corpus: DataFrame, key: str, text: str)
 def scored_keywords(df: DataFrame, key: str, text: str, most: int = 10, corpus: DataFrame | None = None) -> DataFrame:
     """key, keyword, score and rank: term frequency, times ln(N / df) over a corpus with the same columns, if given.
 
-    Raw words (counted) and cleaned ones (the candidates, with their first place) are exploded together, once."""
-    # all words of a row stay in one task: neither the counts nor the rank shuffle again
-    rows = df.select(F.col(key), F.col(text).alias("__t")).repartition(key)
-    lists = rows.select(key, T.raw_words(F.col("__t")).alias("raw"), T.plain_words(F.col("__t")).alias("plain"))
-    none = F.lit(None).cast("int")
-    wanted = lambda w: (F.length(w) > 2) & ~w.isin(*fixed.SCORED_STOP_WORDS)
-    both = F.concat(F.transform(F.filter("raw", wanted), lambda w: F.struct(w.alias("word"), none.alias("pos"))), F.transform(F.filter("plain", wanted), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
-    each = lists.select(key, F.size("raw").alias("size"), both.alias("both")).select(key, "size", F.explode("both").alias("w")).select(key, "size", "w.*")
-    counted = each.groupBy(key, "word").agg(F.count(F.when(F.col("pos").isNull(), 1)).alias("n"), F.min("pos").alias("pos"), F.max("size").alias("size"))
-    words = counted.where("pos is not null")
-    scored = words.withColumn("score", F.col("n") / F.col("size"))
-    if corpus is not None:
-        total = corpus.agg(F.count("*").alias("total"))
-        df_of = document_frequency(words.select("word"), corpus, key, text)
-        idf = df_of.join(F.broadcast(total), F.lit(True)).select("word", F.log(F.col("total") / F.col("df")).alias("idf"))
-        scored = scored.join(idf, "word", "left").withColumn("score", F.col("score") * F.coalesce("idf", F.lit(0.0)))
+    Words are counted inside their row; without a corpus nothing is shuffled."""
+    lists = df.select(F.col(key), T.raw_words(F.col(text)).alias("raw"), T.plain_words(F.col(text)).alias("plain"))
+    found = lists.select(key, T.scored_words(F.col("raw"), F.col("plain")).alias("words"))
+    if corpus is None:
+        best = F.array_sort(F.transform("words", lambda x: F.struct((-x["score"]).alias("s"), x["pos"].alias("p"), x["word"].alias("w"))))
+        top = found.select(key, F.posexplode(F.slice(best, 1, most)).alias("i", "x"))
+        return top.select(key, F.col("x.w").alias("keyword"), (-F.col("x.s")).alias("score"), (F.col("i") + 1).alias("rank"))
+    words = found.select(key, F.explode("words").alias("x")).select(key, "x.*")
+    total = corpus.agg(F.count("*").alias("total"))
+    df_of = document_frequency(words.select("word"), corpus, key, text)
+    idf = df_of.join(F.broadcast(total), F.lit(True)).select("word", F.log(F.col("total") / F.col("df")).alias("idf"))
+    scored = words.join(idf, "word", "left").withColumn("score", F.col("score") * F.coalesce("idf", F.lit(0.0)))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col("score").desc(), F.col("pos")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(key, F.col("word").alias("keyword"), "score", "rank")
 

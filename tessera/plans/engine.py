@@ -8,9 +8,8 @@ import socket
 import threading
 import time
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,45 +17,18 @@ from tessera import errors
 from tessera.functions import text as T
 from tessera.functions.vectors import hash_embed
 from tessera.operators import changes, chunking, extract, search, stats
+from tessera.operators.embedding import embed_requests, retry
 from tessera.plans import config as configs
 from tessera.plans import gitstate, logs, providers
-from tessera.session import ship
 from tessera.sources import files
 from tessera.sources.collections import Collections, Folder
 
 LOG = logs.logger("engine")
 
 
-def retry(call: Callable, tries: int = 3, wait: float = 1.0, most: float = 10.0, sleep: Callable = time.sleep):
-    """Call until it succeeds: up to `tries` times, waiting twice as long each time. Errors that cannot pass end it at once."""
-    for i in range(tries):
-        try:
-            return call()
-        except Exception as e:
-            if i == tries - 1 or (isinstance(e, errors.EngineError) and not e.retryable):
-                raise
-            sleep(min(wait * 2**i, most))
-
-
-def embed_with(df: DataFrame, model: Callable[[Sequence[str]], list[list[float]]], text: str = "content", batch: int = 32, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """df with embedding and error: a batch that keeps failing has null vectors and its error, the others go on."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "embedding array<float>", "error string"])
-
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for lo in range(0, len(part), batch):
-                some = part.iloc[lo : lo + batch].copy()
-                try:
-                    vectors = retry(lambda some=some: model(some[text].tolist()), tries, wait)
-                    if len(vectors) != len(some):
-                        raise ValueError(f"{len(vectors)} vectors for {len(some)} texts")
-                    some["embedding"], some["error"] = vectors, None
-                except Exception as e:
-                    some["embedding"], some["error"] = None, str(e)
-                yield some
-
-    ship(df.sparkSession)
-    return df.mapInPandas(rows, schema)
+def embed_with(df: DataFrame, model: Callable[[Sequence[str]], Sequence], text: str = "content", batch: int = 32, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """df with embedding and error: a request that keeps failing has null vectors and its error, the others go on."""
+    return embed_requests(df, model, text, batch, tries=tries, wait=wait).drop("request", "place", "together")
 
 
 class Lock:
