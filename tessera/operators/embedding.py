@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructType
 
 from tessera import errors
 from tessera.functions import text as T
@@ -93,7 +93,7 @@ def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts
     limit_error = lambda n: str(errors.TokenLimitExceeded(n, text_tokens, "embedding"))
     own = df.columns
     rows_in = df.withColumns({"__tokens": F.when(F.col(text).isNotNull(), T.count_tokens(F.col(text))), "__group": F.col(group) if group else F.lit(0)})
-    schema = df.schema.add("embedding", ArrayType(FloatType())).add("error", StringType()).add("request", LongType()).add("place", IntegerType()).add("together", IntegerType())
+    schema = StructType(list(df.schema.fields)).add("embedding", ArrayType(FloatType())).add("error", StringType()).add("request", LongType()).add("place", IntegerType()).add("together", IntegerType())
     at = own.index(text)
 
     def ask(texts: list[str]) -> list[list[float]]:
