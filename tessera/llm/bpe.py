@@ -12,7 +12,7 @@ same path on all executors, as installed packages are.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; symbols
 that are not in the vocabulary are left out, as no unknown token is defined; repeated rows are
-encoded each; other columns play no part.
+encoded each; other columns play no part; doc_id may have any type.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import arrow_map, id_type
 
 
 #: Symbols beyond which a word is merged with a heap, and characters up to which its ids are kept.
@@ -197,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 ids = [bpe.encode(texts[i].as_py()) for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, ids array<int>, decoded string")
+    return arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {id_type(docs)}, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -216,4 +216,4 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                 d.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")

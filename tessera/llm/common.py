@@ -66,6 +66,11 @@ def discard(*tables: DataFrame | None) -> None:
             remove(df.sparkSession, df.staged_path)
 
 
+def id_type(docs: DataFrame) -> str:
+    """The type of doc_id, for schemas of rows that carry it on."""
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

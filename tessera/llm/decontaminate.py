@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, discard, staged
+from tessera.llm.common import arrow_map, discard, id_type, staged
 from tessera.llm.textnum import ALNUM, LOWER
 
 _KEEP = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
@@ -108,10 +108,6 @@ def union_length(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _id_type(docs: DataFrame) -> str:
-    return docs.schema["doc_id"].dataType.simpleString()
-
-
 def _scan(docs: DataFrame, send: Broadcast, window: int) -> DataFrame:
     """doc_id, copy, n_words, spans and items of each row of docs."""
     kept: list = []
@@ -129,7 +125,7 @@ def _scan(docs: DataFrame, send: Broadcast, window: int) -> DataFrame:
                 found.append(in_order(of))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "copy", "n_words", "spans", "items"])
 
-    return arrow_map(docs.select("doc_id", "text", "copy"), rows, f"doc_id {_id_type(docs)}, copy long, n_words long, spans array<long>, items array<string>")
+    return arrow_map(docs.select("doc_id", "text", "copy"), rows, f"doc_id {id_type(docs)}, copy long, n_words long, spans array<long>, items array<string>")
 
 
 def benchmark_items(benchmark: DataFrame, unnamed: bool) -> DataFrame:
@@ -173,7 +169,7 @@ def digest(found: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return arrow_map(found, rows, f"doc_id {_id_type(found)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return arrow_map(found, rows, f"doc_id {id_type(found)}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = 16 << 20, unnamed: bool = False) -> DataFrame:

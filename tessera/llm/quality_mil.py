@@ -11,7 +11,7 @@ equal distances; nothing is left out of a score. labels, lang, source and doc_id
 
 Defined results: null and empty texts are one passage of zeros and get a score like any other;
 repeated rows are scored each; without labels of both classes every score is the share of
-label 1 (0.5 without labels).
+label 1 (0.5 without labels); doc_id may have any type.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, text_chunks
+from tessera.llm.common import arrow_map, id_type, text_chunks
 from tessera.llm.quality_rules import DIGIT, PUNCT, SHOUT, SYMBOLS, UPPER, labelled_sample
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, mix
 
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, passage: int = 6
                 blobs = [x[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["doc_id", "quality", "x"])
 
-    found = arrow_map(labelled_sample(docs, labels, sample), rows, "doc_id long, quality int, x binary")
+    found = arrow_map(labelled_sample(docs, labels, sample), rows, f"doc_id {id_type(docs)}, quality int, x binary")
     one = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").collect()
     one.sort(key=lambda r: r.doc_id)
     y = np.array([float(r.quality == 1) for r in one])
@@ -216,6 +216,6 @@ def score(docs: DataFrame, model: Attention, threshold: float = 0.3, passage: in
                 s = model.score(*bags(Words(data, offsets), passage))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s.astype(np.float64)), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = arrow_map(docs.select("doc_id", "text"), rows, "doc_id long, score double, predicted int")
+    out = arrow_map(docs.select("doc_id", "text"), rows, f"doc_id {id_type(docs)}, score double, predicted int")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -7,7 +7,8 @@ rising with symbol share, repeated words, repeated lines and upper-case share.
 
 Defined results: a null or empty text has no words and fails the base rules; rows that
 repeat are judged one by one; columns besides doc_id and text play no part; an empty table
-gives an empty result; without usable labels the base rules alone decide.
+gives an empty result; without usable labels the base rules alone decide; doc_id
+may have any type.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, text_chunks
+from tessera.llm.common import arrow_map, id_type, text_chunks
 from tessera.llm.textnum import WORD_BASE, Sequence, Words, byte_set, covered, lines, mix
 
 SYMBOLS = byte_set(b"#*$%&|<>")
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Trees | None:
                 _, x = statistics(Words(data, offsets))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    found = arrow_map(labelled_sample(docs, labels, sample), rows, "doc_id long, quality int, x array<double>")
+    found = arrow_map(labelled_sample(docs, labels, sample), rows, f"doc_id {id_type(docs)}, quality int, x array<double>")
     one = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").collect()  # at most `sample` rows
     one.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in one], float)
@@ -190,7 +191,7 @@ def quality_rules(docs: DataFrame, model: Trees | None, threshold: float = 0.3)
                 score = np.ones(hi - lo) if model is None else model.score(x)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(bad), pa.array(~bad & (score >= threshold)), pa.array(score)], ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
+    schema = f"doc_id {id_type(docs)}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
     return arrow_map(docs.select("doc_id", "text"), rows, schema)
 
 

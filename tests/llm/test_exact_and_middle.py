@@ -133,3 +133,21 @@ def test_no_rows_and_ids_of_other_types(odd, spark):
         assert [r.doc_id for r in exact_dedup.mark(docs).where("kept").collect()] == [ids[1]]
         got = {r.doc_id: r.fim_text for r in fill_middle.fill_in_middle(docs).collect()}
         assert got == {d: middle(d, t)[-1] for d, t in rows}
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_ids_of_any_type_in_row_wise_operators(spark, kind):
+    """BPE, the classifier and the rules carry ids of their own type through fitting and scoring; 10,000 rows have none."""
+    from tessera.llm import bpe, quality_mil, quality_rules
+    from tessera.llm.queries import word_bpe_path
+
+    r = random.Random(3)
+    text = lambda good: " ".join((f"word{r.randrange(900)}" if good else "# # !!") for _ in range(40))
+    rows = [(str(i) if kind == "string" else i, text(i % 2)) for i in range(200)] + [(None, f"row {i}") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    labels = spark.createDataFrame([(d, i % 2) for i, (d, _) in enumerate(rows[:200])], f"doc_id {kind}, quality int")
+    made = [bpe.digest_documents(docs, word_bpe_path()), quality_mil.score(docs, quality_mil.fit(docs, labels)), quality_rules.quality_rules(docs, quality_rules.fit(docs, labels))]
+    for df in made:
+        assert df.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and df.count() == len(rows)
+    scores = {x.doc_id: x.score for x in made[1].where("doc_id is not null").collect()}
+    assert np.mean([scores[d] > 0.5 for d, _ in rows[1:200:2]]) > 0.9 > np.mean([scores[d] > 0.5 for d, _ in rows[0:200:2]])
