@@ -94,7 +94,7 @@ def runs(ordered: Column, same) -> Column:
 
 
 def word_counts(words: Column) -> Column:
-    """array<struct<first, n>> of distinct words, in order of the words: sorted once, so linear but for that."""
+    """array<struct<first, n>> of distinct words, in order of the words: sorted once, so linear but for that; of null none."""
     return runs(F.array_sort(words), lambda w: w)
 
 
@@ -221,6 +221,11 @@ def search_variations(query: str) -> list[str]:
     return list(dict.fromkeys([query, processed, *expand_query(processed)]))
 
 
+def variations_column(query: Column) -> Column:
+    """search_variations() for a column of queries: an array of texts."""
+    return once(preprocess_column(query), lambda q: F.array_distinct(F.concat(F.array(query, q), expand_column(q))))
+
+
 def content_hash(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 

@@ -30,13 +30,13 @@ def scored_keywords(df: DataFrame, key: str, text: str, most: int = 10, corpus:
     """key, keyword, score and rank: term frequency, times ln(N / df) over a corpus with the same columns, if given.
 
     Words are counted inside their row; without a corpus nothing is shuffled."""
-    lists = df.select(F.col(key), T.raw_words(F.col(text)).alias("raw"), T.plain_words(F.col(text)).alias("plain"))
-    found = lists.select(key, T.scored_words(F.col("raw"), F.col("plain")).alias("words"))
+    lists = df.select(F.col(key), T.raw_words(F.col(text)).alias("__raw"), T.plain_words(F.col(text)).alias("__plain"))
+    found = lists.select(key, T.scored_words(F.col("__raw"), F.col("__plain")).alias("__words"))
     if corpus is None:
-        best = F.array_sort(F.transform("words", lambda x: F.struct((-x["score"]).alias("s"), x["pos"].alias("p"), x["word"].alias("w"))))
-        top = found.select(key, F.posexplode(F.slice(best, 1, most)).alias("i", "x"))
-        return top.select(key, F.col("x.w").alias("keyword"), (-F.col("x.s")).alias("score"), (F.col("i") + 1).alias("rank"))
-    words = found.select(key, F.explode("words").alias("x")).select(key, "x.*")
+        best = F.array_sort(F.transform("__words", lambda x: F.struct((-x["score"]).alias("s"), x["pos"].alias("p"), x["word"].alias("w"))))
+        top = found.select(key, F.posexplode(F.slice(best, 1, most)).alias("__i", "__x"))
+        return top.select(key, F.col("__x.w").alias("keyword"), (-F.col("__x.s")).alias("score"), (F.col("__i") + 1).alias("rank"))
+    words = found.select(key, F.explode("__words").alias("__x")).select(key, "__x.*")
     total = corpus.agg(F.count("*").alias("total"))
     df_of = document_frequency(words.select("word"), corpus, key, text)
     idf = df_of.join(F.broadcast(total), F.lit(True)).select("word", F.log(F.col("total") / F.col("df")).alias("idf"))

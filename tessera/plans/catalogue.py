@@ -343,9 +343,6 @@ def query_preprocess(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.preprocess_column(F.concat(F.lit("find  auth config for db params "), "text")).alias("query"))
 
 
-EXPANDED = ("find auth service", "Create a test helper", "model")
-
-
 def _expand_sql(queries: str) -> str:
     """Expansion of queries(query_id, q)."""
     synonyms = ", ".join(f"('{k}', {i}, '{s}')" for k, v in fixed.SYNONYMS.items() for i, s in enumerate(v))
@@ -358,12 +355,6 @@ def _expand_sql(queries: str) -> str:
       SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY f) AS seq FROM (SELECT query_id, text, min((i, k, o)) AS f FROM all_ GROUP BY query_id, text)"""
 
 
-@query(_expand_sql("VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(EXPANDED))))
-def query_expand(spark, sf_dir):
-    rows = [(q, text, i + 1) for q, original in enumerate(EXPANDED) for i, text in enumerate(T.expand_query(original))]
-    return spark.createDataFrame(rows, "query_id int, text string, seq long")
-
-
 @query(_expand_sql("SELECT item_id, 'find auth ' || list_extract(['test', 'model', 'error', 'api'], (item_id % 4 + 1)::int) || ' ' || string_split(text, ' ')[1] FROM benchmark"))
 def query_expand_table(spark, sf_dir):
     """Expansion of a table of queries, in columns."""
@@ -639,4 +630,4 @@ def ivf_topk(spark, sf_dir):
     return search.ivf_top_k(placed, centroids, first_vector(spark, sf_dir), 10, 8, radii=radii).select("id", F.round("score", 6).alias("score"))
 
 
-from tessera.plans import catalogue_engine  # noqa: E402, F401  registers the queries that go through collections and the engine
+from tessera.plans import catalogue_engine, catalogue_index  # noqa: E402, F401  register the queries of collections, the engine, streams and indexes

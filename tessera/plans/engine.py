@@ -17,13 +17,15 @@ from tessera import errors
 from tessera.functions import text as T
 from tessera.functions.vectors import hash_embed
 from tessera.operators import changes, chunking, extract, search, stats
-from tessera.operators.embedding import embed_requests, retry
+from tessera.operators.embedding import content_key, embed_requests, hash_model, missing
 from tessera.plans import config as configs
 from tessera.plans import gitstate, logs, providers
+from tessera.session import work_dir
 from tessera.sources import files
 from tessera.sources.collections import Collections, Folder
 
 LOG = logs.logger("engine")
+VECTORS = "hash string, embedding array<float>"
 
 
 def embed_with(df: DataFrame, model: Callable[[Sequence[str]], Sequence], text: str = "content", batch: int = 32, tries: int = 3, wait: float = 1.0) -> DataFrame:
@@ -94,10 +96,14 @@ class Lock:
 
 
 class Engine:
-    """Operations of one project: sources below `root`, tables below `store`."""
+    """Operations of one project: sources below `root`, tables below `store`.
 
-    def __init__(self, spark: SparkSession, root: str, store: str, config: dict | None = None, dims: int = 64, model: Callable | None = None, collection: str | None = None, distinct_strategies: bool = False):
-        self.spark, self.root, self.dims, self.model, self.distinct = spark, root, dims, model, distinct_strategies
+    Sources may be a table instead, `sources` (path, content, and size and last_modified if known): it is selected by the
+    same globs, languages and sizes, and may be set anew before a reindex. Contents that have been embedded are not
+    embedded again."""
+
+    def __init__(self, spark: SparkSession, root: str, store: str, config: dict | None = None, dims: int = 64, model: Callable | None = None, collection: str | None = None, distinct_strategies: bool = False, sources: DataFrame | None = None):
+        self.spark, self.root, self.dims, self.model, self.distinct, self.sources = spark, root, dims, model, distinct_strategies, sources
         self.config = config or configs.load()
         self.collections, self.folder = Collections(spark, store), Folder(spark, store)
         self.name = collection or self.config["vectordb"]["collectionName"]
@@ -106,6 +112,10 @@ class Engine:
     def discover(self) -> DataFrame:
         c = self.config
         languages = {k: v["extensions"] for k, v in c["indexing"]["languageConfig"].items()}
+        if self.sources is not None:
+            known = {"size": F.octet_length("content").cast("long"), "last_modified": F.lit(None).cast("timestamp")}
+            rows = self.sources.select("path", *(F.col(k) if k in self.sources.columns else v.alias(k) for k, v in known.items()), "content")
+            return files.selected(files.described(rows, languages), c["indexing"]["include"], c["indexing"]["exclude"], max_bytes=files.parse_size(c["performance"]["maxFileSize"]))
         ignored = Folder(self.spark, self.root).read(".gitignore") or ""
         return files.discover(self.spark, self.root, c["indexing"]["include"], c["indexing"]["exclude"], c["performance"]["maxFileSize"], languages, ignored)
 
@@ -115,10 +125,19 @@ class Engine:
         by_file = extract.nodes_by_file(nodes).join(found.select("path", "last_modified"), "path")
         c = self.config["indexing"]
         out = chunking.chunks_by(c["chunkingStrategy"], found, by_file, c["maxChunkSize"], c["overlap"], self.distinct)
-        if self.model is not None:
-            return embed_with(out, self.model, batch=self.config["embedding"]["batchSize"]).where("embedding is not null").drop("error")
-        keyed = out.withColumn("key", F.sha2(F.concat_ws(":", "id", "path", "seq"), 256))
-        return keyed.join(hash_embed(keyed, "key", "content", self.dims), "key").drop("key").withColumn("embedding", F.col("embedding").cast("array<float>"))
+        return self._embedded(out)
+
+    def _embedded(self, chunks: DataFrame) -> DataFrame:
+        """Chunks with the vectors of their contents: those that the store has, and new ones, which it keeps."""
+        model, settings = self.model or hash_model(self.dims), self.config["embedding"]
+        work = work_dir(self.spark, "chunks")
+        chunks.withColumn("hash", content_key(F.col("content"))).write.parquet(f"{work}/chunks")  # read twice
+        chunks = self.spark.read.parquet(f"{work}/chunks")
+        cache = f"{self.folder.root}/vectors-{self.name}"
+        known = self.spark.read.schema(VECTORS).parquet(cache) if self.folder.exists(f"vectors-{self.name}") else None
+        new = embed_requests(missing(chunks.select("hash", "content"), known), model, max_texts=settings["batchSize"])
+        new.where("embedding is not null").select("hash", "embedding").write.mode("append").parquet(cache)
+        return chunks.join(self.spark.read.schema(VECTORS).parquet(cache), "hash").drop("hash")
 
     def _snapshot(self) -> DataFrame | None:
         name = self.folder.read("snapshot")
@@ -251,4 +270,5 @@ class Engine:
         if not confirm:
             raise ValueError("confirm is needed")
         self.collections.clear(self.name)
+        self.folder.delete(f"vectors-{self.name}")
         self.folder.delete("snapshot")

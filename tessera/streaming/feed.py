@@ -1,4 +1,4 @@
-"""Change feeds as streams: triggers with a lateness limit, and merges of file changes."""
+"""Triggers as streams, with a lateness limit; streaming.state keeps what is known of each file."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators import changes
-
 
 def stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
@@ -35,29 +33,17 @@ def windowed_counts(events: DataFrame, width: str = "10 minutes", lateness: str
     return rows.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("triggers")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "triggers")
 
 
-def merge_feed(changed: DataFrame, current: Callable[[], DataFrame | None], replace: Callable[[DataFrame], None], checkpoint: str, key: str = "path") -> StreamingQuery:
-    """Merge batches of (path, hash, deleted) into a snapshot table. A batch that runs twice has the same result."""
+def reindex_feed(triggers: DataFrame, reindex: Callable[[list[str] | None], dict], checkpoint: str, listed: int = 1000) -> StreamingQuery:
+    """Run an incremental reindex for each batch of fresh triggers that is not empty: of the paths that they name (at most
+    `listed`), or of all that has changed where a trigger names none, or there are more."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        if rows.isEmpty():
+        if "path" not in rows.columns:
+            if not rows.isEmpty():
+                reindex(None)
             return
-        last = rows.groupBy(key).agg(F.max_by(F.struct("hash", "deleted"), F.struct("seq")).alias("r")).select(key, "r.*")
-        old = current()
-        kept = old.join(last.select(key), key, "left_anti") if old is not None else None
-        new = last.where("not deleted").select(key, "hash")
-        replace(new if kept is None else kept.unionByName(new))
-
-    return changed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def reindex_feed(triggers: DataFrame, reindex: Callable[[list[str] | None], dict], checkpoint: str) -> StreamingQuery:
-    """Run an incremental reindex for each batch of fresh triggers that is not empty."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        if not rows.isEmpty():
-            reindex(None)
+        some = [r.path for r in rows.select("path").distinct().limit(listed + 1).collect()]
+        if some:
+            reindex(None if None in some or len(some) > listed else sorted(some))
 
     return triggers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-__all__ = ["changes", "fresh_triggers", "merge_feed", "reindex_feed", "stale_flags", "stream", "windowed_counts"]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import changes, chunking, extract, search, stats
 from tessera.plans import config
-from tessera.plans.engine import Engine, Lock, embed_with, retry
+from tessera.operators.embedding import retry
+from tessera.plans.engine import Engine, Lock, embed_with
 from tessera.sources import files
 from tessera.sources.collections import CollectionExists, CollectionNotFound, Collections, DimensionMismatch, Folder
 from tessera.streaming import feed
@@ -241,20 +242,11 @@ def test_streams(spark, tmp_path, sf_dir):
     q = feed.fresh_triggers(feed.stream(spark, f"{tmp_path}/in", events.schema)).writeStream.format("memory").queryName("fresh").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("fresh").count() == events.count()
-    state = {}
-
-    def replace(df):
-        state["rows"] = [tuple(r) for r in df.select("path", "hash").collect()]
-
-    def current():
-        return spark.createDataFrame(state["rows"], "path string, hash string") if state.get("rows") else None
-
-    schema = "path string, hash string, deleted boolean, seq long"
-    for i, rows in enumerate(([("a", "1", False, 1), ("b", "2", False, 2)], [("a", "3", False, 3), ("b", None, True, 4)])):
+    named, schema = [], "trigger bigint, path string"
+    for rows in ([(1, "a"), (2, "b"), (3, "a")], [(4, None), (5, "a")], [(6, x) for x in "abc"], []):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
-        q = feed.merge_feed(spark.readStream.schema(schema).parquet(f"{tmp_path}/feed"), current, replace, f"{tmp_path}/check")
-        q.awaitTermination()
-        assert sorted(state["rows"]) == [[("a", "1"), ("b", "2")], [("a", "3")]][i]
+        feed.reindex_feed(spark.readStream.schema(schema).parquet(f"{tmp_path}/feed"), named.append, f"{tmp_path}/check", listed=2).awaitTermination()
+    assert named == [["a", "b"], None, None]
 
 
 def test_ivf_with_all_cells_is_exact(spark, sf_dir):
