@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed, vectors
 from tessera.functions import text as T
 from tessera.operators import changes, chunking, extract, keywords, search, stats
+from tessera.session import spread
 from tessera.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,14 +242,14 @@ def sql_line_pieces(overlap: int) -> str:
 @query(f"""SELECT x.doc_id, piece, first_line, last_line, md5(array_to_string(list_slice(string_split(text, chr(10)), first_line, last_line), chr(10))) AS content_md5
   FROM ({sql_line_pieces(0)}) x JOIN documents USING (doc_id)""")
 def line_chunks(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.split_lines(F.col("text"), F.lit(1))).alias("piece", "c"))
+    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode(chunking.split_lines(F.col("text"), F.lit(1))).alias("piece", "c"))
     return rows.select("doc_id", "piece", F.col("c.start_line").alias("first_line"), F.col("c.end_line").alias("last_line"), T.content_hash(F.col("c.content")).alias("content_md5"))
 
 
 @query(f"""SELECT x.doc_id, piece, md5(array_to_string(list_slice(string_split(text, chr(10)), first_line, last_line), chr(10))) AS content_md5
   FROM ({sql_line_pieces(50)}) x JOIN documents USING (doc_id)""")
 def overlap_chunks(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.split_overlapping(F.col("text"))).alias("piece", "c"))
+    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode(chunking.split_overlapping(F.col("text"))).alias("piece", "c"))
     return rows.select("doc_id", "piece", T.content_hash(F.col("c")).alias("content_md5"))
 
 
@@ -282,7 +283,7 @@ def chunk_ids(spark, sf_dir):
 
 @query(f"SELECT d.doc_id, array_to_string(coalesce(kw, []), ' ') AS keywords FROM documents d LEFT JOIN ({sql_chunk_keywords('documents', 'doc_id', 'text')}) k USING (doc_id)")
 def chunk_keywords(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.array_join(T.chunk_keywords(F.col("text")), " ").alias("keywords"))
+    return spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.array_join(T.chunk_keywords(F.col("text")), " ").alias("keywords"))
 
 
 def sql_identifier_words(text: str) -> str:
@@ -312,7 +313,7 @@ def sql_scored(table_: str, key: str, text: str, corpus: bool) -> str:
 
 @query(sql_scored("documents", "doc_id", "text", False))
 def tf_top_keywords(spark, sf_dir):
-    rows = keywords.scored_keywords(documents(spark, sf_dir), "doc_id", "text")
+    rows = keywords.scored_keywords(spread(documents(spark, sf_dir).select("doc_id", "text")), "doc_id", "text")
     return rows.select("doc_id", "keyword", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 

@@ -12,7 +12,7 @@ from tessera.operators import changes, chunking, extract, search, stats
 from tessera.plans import catalogue as base
 from tessera.plans.catalogue import PATH, SQL_FILES, SQL_PATH, documents, query, source_files, sources, sql_cosine, sql_line_pieces, sql_tokens, table
 from tessera.plans.engine import embed_with
-from tessera.session import work_dir
+from tessera.session import spread, work_dir
 from tessera.sources import files
 from tessera.sources.collections import Collections, Folder
 
@@ -76,7 +76,7 @@ def collection_search(spark, sf_dir):
 @query(f"""SELECT x.doc_id, piece AS seq, first_line AS start_line, last_line AS end_line, md5(array_to_string(list_slice(string_split(text, chr(10)), first_line, last_line), chr(10))) AS content_md5, 'sliding-window' AS granularity
   FROM ({sql_line_pieces(50)}) x JOIN documents USING (doc_id) WHERE text <> ''""")
 def sliding_window_chunks(spark, sf_dir):
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.col("text").alias("content"))
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.col("text").alias("content"))
     rows = chunking.chunks_by("sliding-window", docs, docs, distinct=True)
     return rows.select(F.col("path").cast("long").alias("doc_id"), "seq", "start_line", "end_line", T.content_hash(F.col("content")).alias("content_md5"), "granularity")
 

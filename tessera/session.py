@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: texts may be long, and workers hold a batch at a time.
 BATCH_ROWS = 2000
@@ -36,6 +36,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores, by keys, where its input is too small for Spark to cut it into as many partitions (one row
+    group is one task); a larger input stays as it is, so texts are shuffled only where they are few."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df.repartition(cores, *keys) if size < cores * most else df
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, below spark.checkpoint.dir, deleted when the application ends.
 
