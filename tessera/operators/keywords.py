@@ -4,7 +4,7 @@ The column forms in functions.text compare words within a row and suit queries a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,17 +12,38 @@ from tessera.functions import fixed
 from tessera.functions import text as T
 
 
+GRAM = 3
+
+
+def grams(word: Column, n: int = GRAM) -> Column:
+    """Distinct substrings of n characters."""
+    places = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(word, i, n)))
+
+
+def containing(words: DataFrame, texts: DataFrame, word: str = "word", text: str = "run") -> DataFrame:
+    """(word, text) for distinct words and the distinct texts that contain them: the rows of a `contains` join.
+
+    Texts are posted by their trigrams, whose number grows with their lengths; a word looks up its rarest trigram
+    alone, and what that names is verified. Words shorter than a trigram are looked up among the substrings of their
+    length. An empty word is in every text and is left out."""
+    asked, held = words.select(word).where(F.length(word) > 0).distinct(), texts.select(text).distinct()
+    posted = held.select(text, F.explode(F.concat(*(grams(F.col(text), n) for n in range(1, GRAM + 1)))).alias("__g"))
+    sizes = posted.groupBy("__g").agg(F.count("*").alias("__n"))
+    keys = asked.select(word, F.explode(grams(F.col(word))).alias("__g")).where(F.length(word) >= GRAM)
+    rarest = keys.join(sizes, "__g").groupBy(word).agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"), F.count("*").alias("__found"), F.max(F.size(grams(F.col(word)))).alias("__all"))
+    rarest = rarest.where("__found = __all").select(word, "__g")  # a trigram that no text has rules a word out
+    short = asked.where(F.length(word) < GRAM).select(word, F.col(word).alias("__g"))
+    return posted.join(rarest.unionByName(short), "__g").where(F.col(text).contains(F.col(word))).select(word, text)
+
+
 def document_frequency(words: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
     """word and the number of corpus texts that contain it anywhere, case ignored, for distinct ASCII words.
 
-    A word without breaks is in a text exactly if it is within one of the text's runs of word
-    characters, so distinct runs are cut into substrings of the lengths asked for and matched by
-    equality: no word is compared with every text."""
-    lengths = words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("lengths"))
+    A word without breaks is in a text exactly if it is within one of the text's runs of word characters, so the
+    distinct runs are searched (containing), not the texts."""
     runs = corpus.select(F.col(key).alias("__d"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\w+"), F.lit(0)))).alias("run"))
-    cut = runs.select("run").distinct().join(F.broadcast(lengths), F.lit(True)).select("run", F.explode("lengths").alias("n")).where("n <= length(run)")
-    parts = cut.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1), lambda i: F.substring("run", i, F.col("n"))))).alias("word"))
-    within = parts.join(words.select("word").distinct(), "word")
+    within = containing(words, runs)
     return within.join(runs, "run").groupBy("word").agg(F.count_distinct("__d").alias("df"))
 
 

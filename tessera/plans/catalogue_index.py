@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import fixed
 from tessera.functions import text as T
-from tessera.operators import ann, changes, embedding, extract, merkle, search
+from tessera.operators import ann, changes, embedding, extract, keywords, merkle, search, termstats
 from tessera.plans import catalogue as base
 from tessera.plans.catalogue import SQL_STATES, documents, query, sql_cosine, sql_tokens, states, table
 from tessera.plans.engine import Engine
@@ -253,6 +254,33 @@ def stream_trigger_sessions(spark, sf_dir):
     return rows.groupBy("key").agg(F.max("triggers").alias("triggers"), F.max_by("last", "triggers").alias("last"))
 
 
+# ---- substrings and term statistics ----------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS run FROM documents)
+  SELECT word, count(*) AS held_by, min(run) AS least, max(run) AS most FROM b JOIN d ON contains(run, word) GROUP BY word""")
+def words_contained(spark, sf_dir):
+    """All words of the benchmark within all words of the documents: how many contain each."""
+    split = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("x"))
+    words, runs = split(table(spark, sf_dir, "benchmark")).withColumnRenamed("x", "word"), split(documents(spark, sf_dir)).withColumnRenamed("x", "run")
+    return keywords.containing(words, runs).groupBy("word").agg(F.count("*").alias("held_by"), F.min("run").alias("least"), F.max("run").alias("most"))
+
+
+@query(f"""WITH {SQL_STATES}, w AS (SELECT path, unnest(list_filter({base.sql_plain_words('text')}, lambda w: w NOT IN {base.in_list(fixed.SCORED_STOP_WORDS)})) AS term FROM new)
+  SELECT term, count(*) AS places, count(DISTINCT path) AS documents, round(ln((SELECT count(*) FROM new) / count(DISTINCT path)), 6) AS idf FROM w GROUP BY term""")
+def term_statistics(spark, sf_dir):
+    """Statistics of the old documents, changed by what has changed in three batches, one of them after a compaction: those of the new ones."""
+    old, new = states(spark, sf_dir)
+    stats_ = termstats.TermStatistics(spark, f"{work_dir(spark, 'terms')}/t")
+    stats_.apply(0, None, old)
+    change = changes.diff(changes.snapshot(old, content="text"), changes.snapshot(new, content="text"))
+    of = lambda df, *kinds: df.join(change.where(F.col("change").isin(*kinds)).select("path"), "path", "left_semi")
+    stats_.apply(1, of(old, "modified"), of(new, "modified"))
+    stats_.compact()
+    stats_.apply(2, of(old, "deleted"), of(new, "added"))
+    return stats_.terms().withColumn("idf", F.round("idf", 6))
+
+
 # ---- requests, vectors by content, metrics ---------------------------------------------------
 
 
