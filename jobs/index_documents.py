@@ -19,7 +19,7 @@ import json
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -55,6 +55,17 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
     return table(index)
 
 
+def answer(spark: SparkSession, output: str, questions: str, answers: str, config: dict | None = None, model: Model | None = None) -> DataFrame:
+    """Write the ten chunks of the index nearest to each of a table of questions, and return them."""
+    c = DEFAULTS | (config or {})
+    index = ContentIndex(spark, output, model or hash_model(c["dims"]), c["chunk_tokens"], c["max_texts"], c["max_tokens"])
+    seen = Observation()
+    found = index.search(spark.read.parquet(questions)).withColumn("language", F.col("lang")).observe(seen, F.count("*").alias("answers"))
+    found.write.mode("overwrite").partitionBy("language").parquet(answers)
+    LOG.info("answered", extra={"data": {"read": questions, "wrote": answers, **seen.get}})
+    return spark.read.schema(found.schema).parquet(answers).drop("language")
+
+
 def table(index: ContentIndex) -> DataFrame:
     """The index with what its contents' vectors hold."""
     rows = index.current()
@@ -68,11 +79,16 @@ def main(arguments: list[str] | None = None) -> None:
     p.add_argument("--documents", required=True, help="folder or glob of Parquet files")
     p.add_argument("--output", required=True, help="folder of the index")
     p.add_argument("--config", help="JSON file; see index_documents.json")
+    p.add_argument("--questions", help="Parquet file of questions (query_id, text): their ten best chunks go to --answers")
+    p.add_argument("--answers", help="folder for answers, replaced by each run, partitioned by language")
     a = p.parse_args(arguments)
     logs.set_up(pretty=False)
     spark = SparkSession.builder.appName("index_documents").getOrCreate()
+    config = json.loads(open(a.config).read()) if a.config else None
     try:
-        run(spark, a.documents, a.output, json.loads(open(a.config).read()) if a.config else None)
+        run(spark, a.documents, a.output, config)
+        if a.questions and a.answers:
+            answer(spark, a.output, a.questions, a.answers, config)
     finally:
         spark.stop()
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, embedding
+from tessera.operators import chunking, embedding, search
 
 
 class ContentIndex:
@@ -89,6 +89,21 @@ class ContentIndex:
         """Current chunks with their vectors, as search takes them."""
         return self.current().join(self.vectors(), "hash", "left")
 
+    def search(self, questions: DataFrame, k: int = 10, metric: str = "COSINE") -> DataFrame:
+        """query_id, rank, score, hash, uses, and doc_id, seq, lines, keywords and content of the first chunk of each of the k
+        contents nearest to a question (query_id, text).
+
+        Contents are searched once each, whatever the number of their chunks. Questions without a vector find nothing."""
+        asked = embedding.embed_requests(questions.select("query_id", "text"), self.model, "text", self.max_texts, self.max_tokens, text_tokens=1 << 30)
+        asked = asked.where("embedding is not null").select("query_id", F.col("embedding").alias("query"))
+        asked = self.spark.createDataFrame(asked.collect(), asked.schema)  # the model answers once: a set of questions
+        current = self.current()
+        vectors = self.vectors().join(current.select("hash").distinct(), "hash", "left_semi").withColumnRenamed("hash", "id")
+        hits = search.batch_top_k(asked, vectors, k, metric).select("query_id", F.col("id").alias("hash"), "score", "rank")
+        found = current.join(F.broadcast(hits.select("hash").distinct()), "hash")  # k contents a question
+        first = F.min(F.struct("doc_id", "seq", "start_line", "end_line", "lang", "keywords", "content")).alias("c")
+        return hits.join(found.groupBy("hash").agg(F.count("*").alias("uses"), first), "hash").select("query_id", "rank", "score", "hash", "uses", "c.*")
+
     def unused(self) -> DataFrame:
         """Vectors that no current chunk refers to."""
         return embedding.unused(self.vectors(), self.current())

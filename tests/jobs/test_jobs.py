@@ -79,6 +79,26 @@ def test_index_replaces_documents_and_knows_odd_rows(spark, tmp_path):
     assert index.rows().where("embedding is null").count() == 0
 
 
+def test_answers_from_the_index(spark, sf_dir, tmp_path):
+    """Questions that are contents of the index find themselves first, once for all their copies; answers are replaced."""
+    output = f"{tmp_path}/out"
+    index_documents.run(spark, f"{sf_dir}/documents.parquet*", output)
+    index = ContentIndex(spark, output)
+    some = index.current().where("tokens > 60").orderBy("hash").limit(5).select("hash", "content").distinct()
+    asked = some.select(F.col("hash").alias("query_id"), F.col("content").alias("text"))
+    asked.unionByName(spark.createDataFrame([("none", None), ("empty", "")], asked.schema)).write.parquet(f"{tmp_path}/questions")
+    for _ in range(2):
+        rows = index_documents.answer(spark, output, f"{tmp_path}/questions", f"{tmp_path}/answers").collect()
+    want = {r.query_id: r.text for r in asked.collect()}
+    assert {r.query_id for r in rows} == set(want) and len(rows) == 10 * len(want)
+    uses = {r.hash: r["count"] for r in index.current().groupBy("hash").count().collect()}
+    for r in rows:
+        assert r.uses == uses[r.hash] and -1 <= r.score <= 1.0000001
+        if r["rank"] == 1:
+            assert r.score == pytest.approx(1.0, abs=1e-5)
+    assert sum(r["rank"] == 1 and r.content == want[r.query_id] for r in rows) == len(want)
+
+
 def test_failed_batch_is_taken_again(spark, tmp_path):
     """A model that fails for one text: what succeeded is kept, the next run takes the batch again, with one copy of all."""
     folder, output = f"{tmp_path}/in", f"{tmp_path}/out"
