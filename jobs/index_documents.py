@@ -51,7 +51,13 @@ def run(spark: SparkSession, documents: str, output: str, config: dict | None =
 
     query = named.writeStream.foreachBatch(take).option("checkpointLocation", f"{output}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    LOG.info("ended", extra={"data": {"batches": sum(p["numInputRows"] > 0 for p in query.recentProgress), "rows": sum(p["numInputRows"] for p in query.recentProgress)}})
+    LOG.info(
+        "ended",
+        extra={"data": {
+            "batches": sum(p["numInputRows"] > 0 for p in query.recentProgress),
+            "rows": sum(p["numInputRows"] for p in query.recentProgress)
+        }}
+    )
     return table(index)
 
 
@@ -69,9 +75,14 @@ def answer(spark: SparkSession, output: str, questions: str, answers: str, confi
 def table(index: ContentIndex) -> DataFrame:
     """The index with what its contents' vectors hold."""
     rows = index.current()
-    vectors = index.vectors().select("hash", F.size(F.filter("embedding", lambda x: x != 0)).alias("used"), F.size(F.filter("embedding", lambda x: x > 0)).alias("positive"))
+    vectors = index.vectors().select(
+        "hash", F.size(F.filter("embedding", lambda x: x != 0)).alias("used"),
+        F.size(F.filter("embedding", lambda x: x > 0)).alias("positive")
+    )
     contents = rows.groupBy("hash").agg(F.count("*").alias("uses")).join(vectors, "hash", "left")
-    return rows.select("doc_id", "lang", "seq", "start_line", "end_line", "tokens", "hash").join(contents, "hash").select("doc_id", "lang", "seq", "start_line", "end_line", "tokens", "hash", "uses", "used", "positive")
+    return rows.select("doc_id", "lang", "seq", "start_line", "end_line", "tokens", "hash").join(contents, "hash").select(
+        "doc_id", "lang", "seq", "start_line", "end_line", "tokens", "hash", "uses", "used", "positive"
+    )
 
 
 def main(arguments: list[str] | None = None) -> None:

@@ -36,12 +36,17 @@ def run(spark: SparkSession, documents: str, output: str, languages: list[str] |
     output, languages = output.rstrip("/"), list(languages or c["languages"])
     docs = spark.read.parquet(documents).select("doc_id", "text", F.nullif("lang", F.lit("")).alias("lang"))
     docs = docs.where(F.col("lang").isin(languages)) if languages else docs
-    shape = StructType([StructField("lang", StringType()), StructField("term", StringType()), docs.schema["doc_id"], StructField("n", LongType()), StructField("score", DoubleType())])
+    shape = StructType([
+        StructField("lang", StringType()), StructField("term", StringType()), docs.schema["doc_id"], StructField("n", LongType()),
+        StructField("score", DoubleType())
+    ])
 
     def write(rows: DataFrame, name: str) -> dict:
         kept = Observation()
         mode = "dynamic" if languages else "static"
-        w = rows.observe(kept, F.count("*").alias(name), F.collect_set("lang").alias("languages")).write.mode("overwrite").option("partitionOverwriteMode", mode)
+        w = rows.observe(
+            kept, F.count("*").alias(name), F.collect_set("lang").alias("languages")
+        ).write.mode("overwrite").option("partitionOverwriteMode", mode)
         w.option("maxRecordsPerFile", c["rows_per_file"]).partitionBy("lang").parquet(f"{output}/{name}")
         for gone in sorted(set(languages) - set(kept.get["languages"])):  # named, but without rows now
             spark.createDataFrame([], rows.drop("lang").schema).write.mode("overwrite").parquet(f"{output}/{name}/lang={gone}")
@@ -60,7 +65,9 @@ def run(spark: SparkSession, documents: str, output: str, languages: list[str] |
 def table(spark: SparkSession, output: str, shape: StructType) -> DataFrame:
     kept = spark.read.schema(shape).parquet(f"{output}/postings")
     known = spark.read.schema(TERMS).parquet(f"{output}/terms").select(F.col("lang").alias("of"), F.col("term").alias("word"), "df")
-    return kept.join(known, kept["lang"].eqNullSafe(known["of"]) & (F.col("term") == F.col("word"))).select("lang", "term", "doc_id", "n", "score", "df")
+    return kept.join(
+        known, kept["lang"].eqNullSafe(known["of"]) & (F.col("term") == F.col("word"))
+    ).select("lang", "term", "doc_id", "n", "score", "df")
 
 
 def main(arguments: list[str] | None = None) -> None:

@@ -1,7 +1,9 @@
 """Word lists, tables and patterns that results depend on."""
 
 # Stop words of chunk keywords.
-CHUNK_STOP_WORDS = ("the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "def", "end", "return", "function")
+CHUNK_STOP_WORDS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "def", "end", "return", "function"
+)
 
 # Stop words of scored keywords.
 SCORED_STOP_WORDS = (
@@ -46,12 +48,21 @@ ABBREVIATIONS = (
 )
 
 # Languages of file extensions.
-LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".rb": "ruby", ".py": "python", ".go": "go", ".java": "java"}
+LANGUAGES = {
+    ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".rb": "ruby", ".py": "python", ".go": "go",
+    ".java": "java"
+}
 
 # Price of a million tokens, dimensions and token limits of embedding models.
 PRICES = {"text-embedding-3-small": 0.02, "text-embedding-3-large": 0.13, "text-embedding-ada-002": 0.1}
-DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "nomic-embed-text": 768, "nomic-embed-large": 1024, "mxbai-embed-large": 1024, "all-minilm": 384}
-TOKEN_LIMITS = {"text-embedding-3-small": 8191, "text-embedding-3-large": 8191, "text-embedding-ada-002": 8191, "nomic-embed-text": 8192, "nomic-embed-large": 8192, "mxbai-embed-large": 512, "all-minilm": 512}
+DIMENSIONS = {
+    "text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "nomic-embed-text": 768,
+    "nomic-embed-large": 1024, "mxbai-embed-large": 1024, "all-minilm": 384
+}
+TOKEN_LIMITS = {
+    "text-embedding-3-small": 8191, "text-embedding-3-large": 8191, "text-embedding-ada-002": 8191, "nomic-embed-text": 8192,
+    "nomic-embed-large": 8192, "mxbai-embed-large": 512, "all-minilm": 512
+}
 
 # Coefficients of the estimate of an indexing run.
 CHUNKS_PER_FILE = {"typescript": 6.0, "javascript": 6.0, "ruby": 3.5, "python": 4.5}

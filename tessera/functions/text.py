@@ -27,7 +27,10 @@ def without(words: Column, stop: Iterable[str]) -> Column:
 def count_tokens(text: Column) -> Column:
     """Words by white space, one for each punctuation mark, one for each two operator signs. `<` and `>` are both."""
     words = F.size(F.filter(F.split(text, SPACES), lambda w: w != ""))
-    return F.coalesce(words + F.regexp_count(text, F.lit(fixed.PUNCTUATION)) + F.floor(F.regexp_count(text, F.lit(fixed.OPERATORS)) / 2).cast("int"), F.lit(0))
+    return F.coalesce(
+        words + F.regexp_count(text, F.lit(fixed.PUNCTUATION)) + F.floor(F.regexp_count(text, F.lit(fixed.OPERATORS)) / 2).cast("int"),
+        F.lit(0)
+    )
 
 
 def exceeds_limit(text: Column, limit: int) -> Column:
@@ -89,7 +92,13 @@ def runs(ordered: Column, same) -> Column:
     place = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a))).otherwise(F.array().cast("array<int>"))
     new = lambda a: F.filter(place(a), lambda i: (i == 1) | (same(F.get(a, i - 1)) != same(F.get(a, i - 2))))
     after = lambda a, starts: F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(a) + 1))
-    made = lambda a: once(new(a), lambda starts: F.zip_with(starts, F.slice(after(a, starts), F.lit(1), F.size(starts)), lambda s, e: F.struct(F.get(a, s - 1).alias("first"), (e - s).alias("n"))))
+    made = lambda a: once(
+        new(a),
+        lambda starts: F.zip_with(
+            starts, F.slice(after(a, starts), F.lit(1), F.size(starts)),
+            lambda s, e: F.struct(F.get(a, s - 1).alias("first"), (e - s).alias("n"))
+        )
+    )
     return once(ordered, made)
 
 
@@ -112,7 +121,10 @@ def scored_words(raw: Column, plain: Column) -> Column:
     def scored(found: Column) -> Column:
         before = lambda x, i: F.get(found, i - 1)
         n = lambda x, i: F.when((i > 0) & (before(x, i)["first"]["word"] == x["first"]["word"]), before(x, i)["n"]).otherwise(0)
-        out = F.transform(found, lambda x, i: F.struct(x["first"]["word"].alias("word"), x["first"]["pos"].alias("pos"), (n(x, i) / F.size(raw)).alias("score")))
+        out = F.transform(
+            found,
+            lambda x, i: F.struct(x["first"]["word"].alias("word"), x["first"]["pos"].alias("pos"), (n(x, i) / F.size(raw)).alias("score"))
+        )
         return F.filter(out, lambda x: x["pos"] >= 0)
 
     return once(kinds, scored)
@@ -140,7 +152,9 @@ def identifier_words(text: Column) -> Column:
 
 def frequent_words(words: Column, most: int = 10) -> Column:
     """The most frequent words; those that tie keep the order of their first places."""
-    counted = F.transform(F.array_distinct(words), lambda w, i: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
+    counted = F.transform(
+        F.array_distinct(words), lambda w, i: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w"))
+    )
     return F.slice(F.transform(F.array_sort(counted), lambda x: x["w"]), 1, most)
 
 
@@ -271,7 +285,10 @@ def dependencies(text: Column, language: Column) -> Column:
     script = F.concat(found(r"""import\s+.*\s+from\s+['"]([^'"]+)['"]"""), found(r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""))
     ruby = F.concat(found(r"""require\s+['"]([^'"]+)['"]"""), found(r"""require_relative\s+['"]([^'"]+)['"]"""))
     pattern = r"(?:from\s+(\S+)\s+)?import\s+(\S+)"
-    python = F.filter(F.flatten(F.transform(F.arrays_zip(found(pattern, 1).alias("a"), found(pattern, 2).alias("b")), lambda x: F.array(x["a"], x["b"]))), lambda x: x != "")
+    python = F.filter(
+        F.flatten(F.transform(F.arrays_zip(found(pattern, 1).alias("a"), found(pattern, 2).alias("b")), lambda x: F.array(x["a"], x["b"]))),
+        lambda x: x != ""
+    )
     kind = F.lower(language)
     none = F.array().cast("array<string>")
     return F.array_distinct(F.when(kind.isin("typescript", "javascript"), script).when(kind == "ruby", ruby).when(kind == "python", python).otherwise(none))

@@ -37,7 +37,12 @@ def hash_embed(df: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
     """key and a unit vector of hashed words: md5 picks a word's place and sign. No model, the same everywhere."""
     words = df.select(F.col(key), F.explode_outer(T.word_parts(F.col(text))).alias("w"))
     digest = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 8), 16, 10).cast("long")
-    places = words.select(key, (F.pmod(digest, F.lit(dims))).cast("int").alias("at"), F.when(F.floor(digest / dims) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    places = words.select(
+        key, (F.pmod(digest, F.lit(dims))).cast("int").alias("at"),
+        F.when(F.floor(digest / dims) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")
+    )
     sums = places.groupBy(key, "at").agg(F.sum("sign").alias("v")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "v")))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return sums.select(key, raw.alias("raw")).select(key, F.transform("raw", lambda x: F.coalesce(x / F.nullif(norm(F.col("raw")), F.lit(0.0)), F.lit(0.0))).alias("embedding"))
+    return sums.select(key, raw.alias("raw")).select(
+        key, F.transform("raw", lambda x: F.coalesce(x / F.nullif(norm(F.col("raw")), F.lit(0.0)), F.lit(0.0))).alias("embedding")
+    )

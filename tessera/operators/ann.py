@@ -214,7 +214,10 @@ def _code_scores(block, best: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def search(rows: DataFrame, model: Model, queries: DataFrame, k: int = 10, probe: int = 16, refine: int = 10, key: str = "id", query_key: str = "query_id", query_bytes: int = 8 << 20) -> DataFrame:
+def search(
+    rows: DataFrame, model: Model, queries: DataFrame, k: int = 10, probe: int = 16, refine: int = 10, key: str = "id",
+    query_key: str = "query_id", query_bytes: int = 8 << 20
+) -> DataFrame:
     """query_key, key, score and rank of the k best rows found for each query (query_key, query).
 
     rows: key, embedding, cell, code, size, and what a filter before this needs. Only the cells that some query of a
@@ -238,16 +241,25 @@ def search(rows: DataFrame, model: Model, queries: DataFrame, k: int = 10, probe
             continue
         block = _block(good, q, model, probe)
         of_cells = rows.where(F.col("cell").isin([int(c) for c in block[1]]))
-        near = of_cells.select(key, "cell", "code", "size").mapInArrow(_code_scores(spark.sparkContext.broadcast(block), best), f"q int, cell int, id {id_type}, near double")
+        near = of_cells.select(key, "cell", "code", "size").mapInArrow(
+            _code_scores(spark.sparkContext.broadcast(block), best), f"q int, cell int, id {id_type}, near double"
+        )
         rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("near").desc(), "id"))
-        chosen = near.withColumn("r", rank).where(F.col("r") <= best).select("q", F.col("cell").alias("in_cell"), F.col("id").alias("of_id")).distinct()
-        names = spark.createDataFrame([(i, r.query, r[query_key]) for i, r in enumerate(some)], StructType([*asked.select(F.lit(0).alias("q"), "query").schema.fields, asked.schema[query_key]]))
+        chosen = near.withColumn("r", rank).where(F.col("r") <= best).select(
+            "q", F.col("cell").alias("in_cell"), F.col("id").alias("of_id")
+        ).distinct()
+        names = spark.createDataFrame(
+            [(i, r.query, r[query_key]) for i, r in enumerate(some)],
+            StructType([*asked.select(F.lit(0).alias("q"), "query").schema.fields, asked.schema[query_key]])
+        )
         same = (F.col("cell") - F.col("in_cell") == 0) & (F.col(key) == F.col("of_id"))  # cells are listed: nothing is left for dynamic pruning
         held = of_cells.select("cell", key, "embedding").join(F.broadcast(chosen), same)  # best rows a query of the block
         scored = held.join(F.broadcast(names), "q").select(query_key, key, function(F.col("embedding"), F.col("query")).alias("score"))
         found.append(scored.where("score is not null"))
     if not found:
-        return asked.select(query_key, F.lit(None).cast(id_type).alias(key), F.lit(None).cast("double").alias("score"), F.lit(0).alias("rank")).where("false")
+        return asked.select(
+            query_key, F.lit(None).cast(id_type).alias(key), F.lit(None).cast("double").alias("score"), F.lit(0).alias("rank")
+        ).where("false")
     order = F.col("score").desc() if rising else F.col("score").asc()
     rank = F.row_number().over(W.partitionBy(query_key).orderBy(order, F.col(key)))
     return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k)
@@ -276,7 +288,9 @@ def calibrated(rows: DataFrame, model: Model, k: int = 10, target: float = 0.95,
     sample of the rows, as queries, has the recall asked for; powers of two, the least ones found from below."""
     from tessera.operators.search import batch_top_k
 
-    some = rows.orderBy(F.xxhash64(key, F.lit(1)), key).limit(queries).select(F.monotonically_increasing_id().alias("query_id"), F.col("embedding").alias("query"))
+    some = rows.orderBy(F.xxhash64(key, F.lit(1)), key).limit(queries).select(
+        F.monotonically_increasing_id().alias("query_id"), F.col("embedding").alias("query")
+    )
     spark, cells = rows.sparkSession, len(model.cells)
     asked = spark.createDataFrame(some.collect(), some.schema)  # at most `queries` rows
     exact = batch_top_k(asked, rows, k, model.metric, key)

@@ -90,7 +90,10 @@ def change_counts(changes: DataFrame) -> DataFrame:
 def chunk_counters(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """Chunks of added and of modified files."""
     kinds = chunks.join(changes.where("change <> 'deleted'"), "path")
-    return kinds.agg(F.count(F.when(F.col("change") == "added", 1)).alias("chunks_added"), F.count(F.when(F.col("change") == "modified", 1)).alias("chunks_updated"))
+    return kinds.agg(
+        F.count(F.when(F.col("change") == "added", 1)).alias("chunks_added"),
+        F.count(F.when(F.col("change") == "modified", 1)).alias("chunks_updated")
+    )
 
 
 def delete_ids(chunks: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -33,14 +33,20 @@ def piece_starts(tokens: Column, most: int) -> Column:
 
     def step(a: Column, t: Column) -> Column:
         over = (a["at"] == 0) | (a["sum"] + t > most)
-        return F.struct(F.when(over, t).otherwise(a["sum"] + t).alias("sum"), (a["at"] + 1).alias("at"), F.when(over, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]).alias("starts"))
+        return F.struct(
+            F.when(over, t).otherwise(a["sum"] + t).alias("sum"), (a["at"] + 1).alias("at"),
+            F.when(over, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]).alias("starts")
+        )
 
     return F.aggregate(tokens, start, step, lambda a: a["starts"])
 
 
 def split_lines(text: Column, first_line: Column, most: int = 250) -> Column:
     """array<struct<content, start_line, end_line>>: a text over the budget cut at line ends; a longer line stays whole."""
-    piece = lambda lines, a, n: F.struct(F.array_join(F.slice(lines, a + 1, n), "\n").alias("content"), (first_line + a).alias("start_line"), (first_line + a + n - 1).alias("end_line"))
+    piece = lambda lines, a, n: F.struct(
+        F.array_join(F.slice(lines, a + 1, n), "\n").alias("content"), (first_line + a).alias("start_line"),
+        (first_line + a + n - 1).alias("end_line")
+    )
 
     def pieces(lines: Column, starts: Column) -> Column:
         ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
@@ -71,7 +77,13 @@ def overlapping_pieces(text: Column, most: int = 250, overlap: int = 50) -> Colu
 
         return F.aggregate(tokens, start, step, lambda x: F.array_append(x["out"], F.struct(x["a"].alias("a"), x["at"].alias("b"))))
 
-    cut = lambda lines: F.transform(once(tokens_of(lines), spans), lambda s: F.struct(F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n").alias("content"), (s["a"] + 1).alias("start_line"), s["b"].alias("end_line")))
+    cut = lambda lines: F.transform(
+        once(tokens_of(lines), spans),
+        lambda s: F.struct(
+            F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n").alias("content"), (s["a"] + 1).alias("start_line"),
+            s["b"].alias("end_line")
+        )
+    )
     return once(F.split(text, "\n"), cut)
 
 
@@ -137,7 +149,11 @@ def chunks(files: DataFrame, most: int = 250, merge: bool = True, strategy: str
 
 def window_nodes(files: DataFrame, most: int = 250, overlap: int = 50) -> DataFrame:
     """path, language and nodes: overlapping windows of lines over whole files, which no declaration bounds."""
-    node = lambda x: F.struct(F.lit("window").alias("type"), F.lit("").alias("name"), x["content"].alias("content"), x["start_line"].cast("int").alias("start_line"), x["end_line"].cast("int").alias("end_line"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char"))
+    node = lambda x: F.struct(
+        F.lit("window").alias("type"), F.lit("").alias("name"), x["content"].alias("content"),
+        x["start_line"].cast("int").alias("start_line"), x["end_line"].cast("int").alias("end_line"), F.lit(0).alias("start_char"),
+        F.lit(0).alias("end_char")
+    )
     return files.withColumn("nodes", F.transform(overlapping_pieces(F.col("content"), most, overlap), node).cast(f"array<{NODE}>"))
 
 

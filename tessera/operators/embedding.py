@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessera import errors
 from tessera.functions import text as T
@@ -92,8 +92,11 @@ def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts
     share = per_second / max(1, spark.sparkContext.defaultParallelism) if per_second else None
     limit_error = lambda n: str(errors.TokenLimitExceeded(n, text_tokens, "embedding"))
     own = df.columns
-    rows_in = df.withColumns({"__tokens": F.when(F.col(text).isNotNull(), T.count_tokens(F.col(text))), "__group": F.col(group) if group else F.lit(0)})
-    schema = StructType(list(df.schema.fields)).add("embedding", ArrayType(FloatType())).add("error", StringType()).add("request", LongType()).add("place", IntegerType()).add("together", IntegerType())
+    rows_in = df.withColumns({
+        "__tokens": F.when(F.col(text).isNotNull(), T.count_tokens(F.col(text))), "__group": F.col(group) if group else F.lit(0)
+    })
+    added = {"embedding": ArrayType(FloatType()), "error": StringType(), "request": LongType(), "place": IntegerType(), "together": IntegerType()}
+    schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in added.items())])
     at = own.index(text)
 
     def ask(texts: list[str]) -> list[list[float]]:
@@ -109,7 +112,10 @@ def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts
                 future, n = answers[number]
                 e = future.exception()
                 vectors.append(None if e else future.result()[place]), faults.append(str(e) if e else None), places.append(place), many.append(n)
-            new = [pa.array(vectors, pa.list_(pa.float32())), pa.array(faults, pa.string()), pa.array([m[0] for m in marks], pa.int64()), pa.array(places, pa.int32()), pa.array(many, pa.int32())]
+            new = [
+                pa.array(vectors, pa.list_(pa.float32())), pa.array(faults, pa.string()), pa.array([m[0] for m in marks], pa.int64()),
+                pa.array(places, pa.int32()), pa.array(many, pa.int32())
+            ]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *new], schema.names)
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

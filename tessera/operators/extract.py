@@ -40,7 +40,10 @@ _TOKEN = re.compile(r"""
   | (?P<other>.)""", re.X | re.S)
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
-_NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "with", "super", "await", "typeof", "new", "throw", "else", "do", "in", "of", "case", "yield", "delete", "void"}
+_NOT_METHODS = {
+    "if", "for", "while", "switch", "catch", "return", "function", "with", "super", "await", "typeof", "new", "throw", "else", "do", "in",
+    "of", "case", "yield", "delete", "void"
+}
 _MODIFIERS = {"public", "private", "protected", "static", "async", "readonly", "override", "abstract", "get", "set", "declare", "accessor"}
 
 
@@ -382,7 +385,9 @@ def ruby_tokens(src: str) -> list[Token]:
 def ruby_nodes(src: str) -> list[Node]:
     """Methods, classes and modules whose first plain name can be read."""
     toks, stack, nodes = ruby_tokens(src), [], []
-    first = lambda i: i == 0 or toks[i - 1].kind == "newline" or toks[i - 1].text in ("then", "else", "do", "=", "(", "|", "&", "private", "protected", "public", "begin", "ensure")
+    first = lambda i: i == 0 or toks[i - 1].kind == "newline" or toks[i - 1].text in (
+        "then", "else", "do", "=", "(", "|", "&", "private", "protected", "public", "begin", "ensure"
+    )
     loop = False
     for i, t in enumerate(toks):
         if t.kind == "newline":
@@ -453,7 +458,10 @@ def parse(src: str, language: str, types: tuple[str, ...] | None = None) -> list
         if types is None or n.type in types:
             line = lambda at: bisect_right(starts, at)
             column = lambda at: at - starts[bisect_right(starts, at) - 1]
-            out.append({"type": n.type, "name": n.name, "content": src[n.start : n.end], "start_line": line(n.start), "end_line": line(n.end), "start_char": column(n.start), "end_char": column(n.end)})
+            out.append({
+                "type": n.type, "name": n.name, "content": src[n.start : n.end], "start_line": line(n.start), "end_line": line(n.end),
+                "start_char": column(n.start), "end_char": column(n.end)
+            })
     return out
 
 
@@ -486,6 +494,11 @@ def parse_metadata(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Characters are UTF-16 units, as source positions count them; a file without nodes has no types."""
     text = F.coalesce(F.col("content"), F.lit(""))
-    size = files.select("path", F.size(F.split(text, "\n")).alias("total_lines"), F.floor(F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int").alias("total_chars"))
+    size = files.select(
+        "path", F.size(F.split(text, "\n")).alias("total_lines"),
+        F.floor(F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int").alias("total_chars")
+    )
     types = nodes.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.max("error").alias("error"))
-    return size.join(types, "path", "left").select("path", "total_lines", "total_chars", F.coalesce("types", F.array().cast("array<string>")).alias("chunk_types"), "error")
+    return size.join(types, "path", "left").select(
+        "path", "total_lines", "total_chars", F.coalesce("types", F.array().cast("array<string>")).alias("chunk_types"), "error"
+    )

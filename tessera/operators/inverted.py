@@ -21,8 +21,12 @@ FREQUENT = 10_000
 def term_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, term, n (its places) and size (words that are terms) of docs (doc_id, lang, text)."""
     words = T.without(T.plain_words(F.coalesce("text", F.lit(""))), fixed.SCORED_STOP_WORDS)
-    counted = docs.select("doc_id", "lang", words.alias("words")).select("doc_id", "lang", F.size("words").alias("size"), T.word_counts(F.col("words")).alias("counts"))
-    return counted.select("doc_id", "lang", "size", F.explode("counts").alias("c")).select("doc_id", "lang", F.col("c.first").alias("term"), F.col("c.n").cast("long").alias("n"), "size")
+    counted = docs.select("doc_id", "lang", words.alias("words")).select(
+        "doc_id", "lang", F.size("words").alias("size"), T.word_counts(F.col("words")).alias("counts")
+    )
+    return counted.select("doc_id", "lang", "size", F.explode("counts").alias("c")).select(
+        "doc_id", "lang", F.col("c.first").alias("term"), F.col("c.n").cast("long").alias("n"), "size"
+    )
 
 
 def terms(docs: DataFrame) -> DataFrame:
@@ -42,7 +46,10 @@ def postings(docs: DataFrame, known: DataFrame) -> DataFrame:
     same = F.col("lang").eqNullSafe(F.col("of")) & (F.col("term") == F.col("word"))
     often = F.broadcast(few.where(F.col("df") > total / FREQUENT).select("of", "word", "idf"))
     seldom = few.where(F.col("df") <= total / FREQUENT).select("of", "word", "idf")
-    rows = term_counts(docs).join(often.withColumnsRenamed({"of": "of1", "word": "word1", "idf": "idf1"}), F.col("lang").eqNullSafe(F.col("of1")) & (F.col("term") == F.col("word1")), "left")
+    rows = term_counts(docs).join(
+        often.withColumnsRenamed({"of": "of1", "word": "word1", "idf": "idf1"}),
+        F.col("lang").eqNullSafe(F.col("of1")) & (F.col("term") == F.col("word1")), "left"
+    )
     score = lambda idf: F.col("n") / F.col("size") * F.col(idf)
     names = ["lang", "term", "doc_id", "n"]
     hot = rows.where("idf1 is not null").select(*names, score("idf1").alias("score"))

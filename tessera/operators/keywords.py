@@ -31,7 +31,10 @@ def containing(words: DataFrame, texts: DataFrame, word: str = "word", text: str
     posted = held.select(text, F.explode(F.concat(*(grams(F.col(text), n) for n in range(1, GRAM + 1)))).alias("__g"))
     sizes = posted.groupBy("__g").agg(F.count("*").alias("__n"))
     keys = asked.select(word, F.explode(grams(F.col(word))).alias("__g")).where(F.length(word) >= GRAM)
-    rarest = keys.join(sizes, "__g").groupBy(word).agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"), F.count("*").alias("__found"), F.max(F.size(grams(F.col(word)))).alias("__all"))
+    rarest = keys.join(sizes, "__g").groupBy(word).agg(
+        F.min_by("__g", F.struct("__n", "__g")).alias("__g"), F.count("*").alias("__found"),
+        F.max(F.size(grams(F.col(word)))).alias("__all")
+    )
     rarest = rarest.where("__found = __all").select(word, "__g")  # a trigram that no text has rules a word out
     short = asked.where(F.length(word) < GRAM).select(word, F.col(word).alias("__g"))
     return posted.join(rarest.unionByName(short), "__g").where(F.col(text).contains(F.col(word))).select(word, text)
@@ -42,7 +45,10 @@ def document_frequency(words: DataFrame, corpus: DataFrame, key: str, text: str)
 
     A word without breaks is in a text exactly if it is within one of the text's runs of word characters, so the
     distinct runs are searched (containing), not the texts."""
-    runs = corpus.select(F.col(key).alias("__d"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\w+"), F.lit(0)))).alias("run"))
+    runs = corpus.select(
+        F.col(key).alias("__d"),
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\w+"), F.lit(0)))).alias("run")
+    )
     within = containing(words, runs)
     return within.join(runs, "run").groupBy("word").agg(F.count_distinct("__d").alias("df"))
 
@@ -76,6 +82,8 @@ def identifier_keywords(df: DataFrame, key: str, text: str, most: int = 10, corp
         total = corpus.agg(F.count("*").alias("total"))
         idf = document_frequency(counted.select("word"), corpus, key, text).join(F.broadcast(total), F.lit(True)).select("word", F.log(F.col("total") / F.col("df")).alias("idf"))
         size = counted.groupBy(key).agg(F.sum("n").alias("size"))
-        scored = counted.join(size, key).join(idf, "word", "left").withColumn("score", F.col("n") / F.col("size") * F.coalesce("idf", F.lit(0.0))).where("score > 0")
+        scored = counted.join(size, key).join(idf, "word", "left").withColumn(
+            "score", F.col("n") / F.col("size") * F.coalesce("idf", F.lit(0.0))
+        ).where("score > 0")
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col("score").desc(), F.col("pos")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(key, F.col("word").alias("keyword"), "rank")

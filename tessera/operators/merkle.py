@@ -30,7 +30,10 @@ def folder_of(path: Column) -> Column:
 def _ancestors(path: Column) -> Column:
     """array<struct<depth, folder>>: the root and every folder above a path."""
     parts = F.split(F.regexp_replace(path, "^/+", ""), "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("folder")))
+    return F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("folder"))
+    )
 
 
 def folders(snapshot: DataFrame) -> DataFrame:

@@ -29,7 +29,10 @@ def equality_filter(filters: dict | None) -> Column:
     return reduce(lambda a, b: a & b, kept, F.lit(True))
 
 
-def top_k(vectors: DataFrame, query: Sequence[float] | Column, k: int = 10, metric: str = "COSINE", filters: dict | None = None, min_score: float | None = None, key: str = "id", vector: str = "embedding") -> DataFrame:
+def top_k(
+    vectors: DataFrame, query: Sequence[float] | Column, k: int = 10, metric: str = "COSINE", filters: dict | None = None,
+    min_score: float | None = None, key: str = "id", vector: str = "embedding"
+) -> DataFrame:
     """The k best rows by metric with their score; filters hold before the choice, min_score after it. Ties go by key."""
     function, rising = METRICS[metric]
     q = query if isinstance(query, Column) else literal_vector(query)
@@ -49,7 +52,10 @@ def _scores(rows: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     return np.round(out, 12)
 
 
-def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "COSINE", key: str = "id", query_key: str = "query_id", query_bytes: int = 8 << 20) -> DataFrame:
+def batch_top_k(
+    queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "COSINE", key: str = "id", query_key: str = "query_id",
+    query_bytes: int = 8 << 20
+) -> DataFrame:
     """The k best vectors of each query row (query_key, query): a stated set of queries against all rows, in blocks.
 
     A block of queries, bounded by bytes, is sent to all tasks as one matrix. A task multiplies its batches of rows by
@@ -59,7 +65,9 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
     rows = queries.select(query_key, F.col("query").cast("array<double>").alias("query"))
     size = rows.agg(F.sum(F.size("query") * 8 + 16)).first()[0] or 0
     parts = -(-size // query_bytes) or 1
-    pairs = vectors.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)")
+    pairs = vectors.select(
+        F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")
+    ).where("v is not null and not exists(v, x -> x is null)")
     schema = f"q int, id {vectors.schema[key].dataType.simpleString()}, score double"
     ship(spark)
 
@@ -88,7 +96,9 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str
                     limit = np.max(np.take_along_axis(good, top, 0), axis=0)
                     r, c = np.nonzero((good <= limit) & np.isfinite(good))  # ties with the k-th stay until ids decide
                     new = numbers[c], b.column(0).take(pa.array(of[r])), score[r, c]
-                    held = keep(*new) if held is None else keep(np.concatenate([held[0], new[0]]), pa.concat_arrays([held[1], new[1]]), np.concatenate([held[2], new[2]]))
+                    held = keep(*new) if held is None else keep(
+                        np.concatenate([held[0], new[0]]), pa.concat_arrays([held[1], new[1]]), np.concatenate([held[2], new[2]])
+                    )
             if held is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), held[1], pa.array(held[2])], ["q", "id", "score"])
 
@@ -142,7 +152,11 @@ def formatted(hits: DataFrame, form: str = "hybrid", content: str = "content") -
     return hits.withColumn("snippet", T.snippet(F.col(content), form)).withColumn("context", T.context(F.col(content), form))
 
 
-def search_once(vectors: DataFrame, query: str, vector: Sequence[float], k: int = 10, min_score: float = 0.7, filters: dict | None = None, strategy: str = "hybrid", form: str = "hybrid", path_pattern: str | None = None, metric: str = "COSINE", key: str = "id", details: DataFrame | None = None) -> DataFrame:
+def search_once(
+    vectors: DataFrame, query: str, vector: Sequence[float], k: int = 10, min_score: float = 0.7, filters: dict | None = None,
+    strategy: str = "hybrid", form: str = "hybrid", path_pattern: str | None = None, metric: str = "COSINE", key: str = "id",
+    details: DataFrame | None = None
+) -> DataFrame:
     """filter, limit, minimal score, hybrid score, rank, path filter: in this order.
 
     With `details` (key, path, content), vectors needs only key, embedding and what is filtered by: contents are read for the hits alone."""
@@ -156,13 +170,19 @@ def passes(processed: str, min_score: float) -> list[tuple[int, str, float]]:
     return [(i, text, least) for i, (text, least) in enumerate(rungs)]
 
 
-def search_ladder(vectors: DataFrame, rungs: DataFrame, k: int = 10, filters: dict | None = None, path_pattern: str | None = None, metric: str = "COSINE", key: str = "id", strategy: str = "hybrid", details: DataFrame | None = None) -> DataFrame:
+def search_ladder(
+    vectors: DataFrame, rungs: DataFrame, k: int = 10, filters: dict | None = None, path_pattern: str | None = None, metric: str = "COSINE",
+    key: str = "id", strategy: str = "hybrid", details: DataFrame | None = None
+) -> DataFrame:
     """Results of the first rung of each query that has any: all rungs in one plan instead of a loop.
 
     rungs: query_id, pass, text, min_score, query (the text's vector). Only the strategy "hybrid" mixes in keywords.
     details: as in search_once; without it, vectors has all columns."""
     shape = F.transform(T.scored_keywords(F.lower(F.col("text"))), lambda x: x["keyword"])
-    rungs = rungs.select("query_id", "pass", F.struct("query_id", "pass").alias("rung"), "min_score", "query", shape.alias("words"), T.vector_weight(F.col("text")).alias("vw"), T.keyword_weight(F.col("text")).alias("kw"))
+    rungs = rungs.select(
+        "query_id", "pass", F.struct("query_id", "pass").alias("rung"), "min_score", "query", shape.alias("words"),
+        T.vector_weight(F.col("text")).alias("vw"), T.keyword_weight(F.col("text")).alias("kw")
+    )
     hits = batch_top_k(rungs.select("rung", "query"), vectors.where(equality_filter(filters)), k, metric, key, "rung").drop("rank")
     hits = hits.join(F.broadcast(rungs.drop("query")), "rung").where(F.col("score") >= F.col("min_score"))  # as many rows as rungs
     hits = with_details(hits, vectors.drop("embedding") if details is None else details, key)
@@ -190,7 +210,10 @@ def ivf_radii(placed: DataFrame, centroids: list[list[float]]) -> list[tuple[flo
     centre = F.element_at(F.array(*(literal_vector(c) for c in centroids)), F.col("cell") + 1)
     v = F.col("embedding").cast("array<double>")
     cosine = F.least(F.greatest(METRICS["COSINE"][0](v, centre), F.lit(-1.0)), F.lit(1.0))
-    far = placed.groupBy("cell").agg(F.max(METRICS["L2"][0](v, centre)).alias("distance"), F.max(F.acos(cosine)).alias("angle"), F.count(F.when(cosine.isNull(), 1)).alias("open"))
+    far = placed.groupBy("cell").agg(
+        F.max(METRICS["L2"][0](v, centre)).alias("distance"), F.max(F.acos(cosine)).alias("angle"),
+        F.count(F.when(cosine.isNull(), 1)).alias("open")
+    )
     found = {r.cell: (r.distance, math.pi if r.open or r.angle is None else r.angle) for r in far.collect()}
     return [found.get(i, (0.0, 0.0)) for i in range(len(centroids))]
 
@@ -208,7 +231,10 @@ def ivf_bound(centre: Sequence[float], radius: tuple[float, float], query: Seque
     return math.cos(max(math.acos(min(max(dot / size, -1.0), 1.0)) - angle, 0.0)) if size else 1.0
 
 
-def ivf_top_k(placed: DataFrame, centroids: list[list[float]], query: Sequence[float], k: int = 10, probe: int = 10, metric: str = "COSINE", key: str = "id", radii: list[tuple[float, float]] | None = None) -> DataFrame:
+def ivf_top_k(
+    placed: DataFrame, centroids: list[list[float]], query: Sequence[float], k: int = 10, probe: int = 10, metric: str = "COSINE",
+    key: str = "id", radii: list[tuple[float, float]] | None = None
+) -> DataFrame:
     """top_k among the `probe` cells nearest to the query; exact when probe covers all cells.
 
     With the cells' radii it is exact at any probe: cells whose bound reaches the k-th score found are searched as well."""

@@ -58,7 +58,9 @@ def estimate_seconds(files: Column, chunks: Column, provider: str = "ollama", co
 
 def time_text(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60).cast("long")
-    return F.when(minutes < 1, F.format_string("~%d seconds", F.floor(seconds % 60).cast("long"))).when(minutes < 2, "~1-2 minutes").otherwise(F.format_string("~%d-%d minutes", minutes, minutes + 1))
+    return F.when(
+        minutes < 1, F.format_string("~%d seconds", F.floor(seconds % 60).cast("long"))
+    ).when(minutes < 2, "~1-2 minutes").otherwise(F.format_string("~%d-%d minutes", minutes, minutes + 1))
 
 
 def embedding_cost(tokens: Column, model: str | Column) -> Column:

@@ -24,7 +24,9 @@ def counted(texts: DataFrame, sign: int) -> DataFrame:
     """term, places and documents of texts (path, text), times a sign; the row without a term has the documents of all."""
     rows = inverted.term_counts(texts.select(F.col("path").alias("doc_id"), F.lit(None).cast("string").alias("lang"), "text"))
     terms = rows.select("term", (F.col("n") * sign).alias("places"), F.lit(sign).cast("long").alias("documents"))
-    totals = texts.select(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("places"), F.lit(sign).cast("long").alias("documents"))
+    totals = texts.select(
+        F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("places"), F.lit(sign).cast("long").alias("documents")
+    )
     return terms.unionByName(totals)
 
 

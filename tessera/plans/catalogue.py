@@ -123,7 +123,9 @@ def batch_topk_hundredth(spark, sf_dir):
     """Every row with an id divisible by 100 against all rows."""
     rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.batch_top_k(queries, rows, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return search.batch_top_k(queries, rows, 10).select(
+        "query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score")
+    )
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -191,9 +193,13 @@ def search_ladder(spark, sf_dir):
 @query(f"""SELECT id, url, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (
   SELECT vec_id AS id, url, {sql_cosine('embedding', Q)} AS s FROM embeddings JOIN pages ON page_id = vec_id ORDER BY s DESC, vec_id LIMIT 50)) WHERE regexp_matches(url, '\\.html|[02468]$', 'i')""")
 def path_filter_ranked(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "pages"), F.col("vec_id") == F.col("page_id")).select(F.col("vec_id").alias("id"), "url", "embedding")
+    rows = table(spark, sf_dir, "embeddings").join(
+        table(spark, sf_dir, "pages"), F.col("vec_id") == F.col("page_id")
+    ).select(F.col("vec_id").alias("id"), "url", "embedding")
     hits = search.ranked(search.top_k(rows, first_vector(spark, sf_dir), 50))
-    return search.path_filter(hits, r"\.html|[02468]$", "url").select("id", "url", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return search.path_filter(hits, r"\.html|[02468]$", "url").select(
+        "id", "url", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score")
+    )
 
 
 # ---- text ------------------------------------------------------------------------------------
@@ -203,13 +209,17 @@ def path_filter_ranked(spark, sf_dir):
   CASE WHEN len(string_split(text, chr(10))) <= 20 THEN text ELSE array_to_string(list_slice(string_split(text, chr(10)), 1, 15), chr(10)) || chr(10) || '... (truncated)' END AS hybrid FROM documents""")
 def snippet_format(spark, sf_dir):
     t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", T.snippet(t, "snippet").alias("snippet"), T.context(t, "context").alias("context"), T.snippet(t, "hybrid").alias("hybrid"))
+    return documents(spark, sf_dir).select(
+        "doc_id", T.snippet(t, "snippet").alias("snippet"), T.context(t, "context").alias("context"), T.snippet(t, "hybrid").alias("hybrid")
+    )
 
 
 @query(f"SELECT doc_id, {sql_tokens('text')} AS tokens, ceil(n_chars / 4)::bigint AS by_chars, {sql_tokens('text')} * 4 AS chars FROM documents")
 def token_count(spark, sf_dir):
     n = T.count_tokens(F.col("text")).cast("long")
-    return documents(spark, sf_dir).select("doc_id", n.alias("tokens"), T.tokens_from_chars(F.col("n_chars")).alias("by_chars"), T.chars_from_tokens(n).alias("chars"))
+    return documents(spark, sf_dir).select(
+        "doc_id", n.alias("tokens"), T.tokens_from_chars(F.col("n_chars")).alias("by_chars"), T.chars_from_tokens(n).alias("chars")
+    )
 
 
 @query(f"SELECT doc_id, CASE WHEN n <= 100 THEN text ELSE substr(text, 1, floor(length(text) * (100::double / n))::int) END AS text FROM (SELECT *, {sql_tokens('text')} AS n FROM documents)")
@@ -242,20 +252,31 @@ def sql_line_pieces(overlap: int) -> str:
 @query(f"""SELECT x.doc_id, piece, first_line, last_line, md5(array_to_string(list_slice(string_split(text, chr(10)), first_line, last_line), chr(10))) AS content_md5
   FROM ({sql_line_pieces(0)}) x JOIN documents USING (doc_id)""")
 def line_chunks(spark, sf_dir):
-    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode(chunking.split_lines(F.col("text"), F.lit(1))).alias("piece", "c"))
-    return rows.select("doc_id", "piece", F.col("c.start_line").alias("first_line"), F.col("c.end_line").alias("last_line"), T.content_hash(F.col("c.content")).alias("content_md5"))
+    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.posexplode(chunking.split_lines(F.col("text"), F.lit(1))).alias("piece", "c")
+    )
+    return rows.select(
+        "doc_id", "piece", F.col("c.start_line").alias("first_line"), F.col("c.end_line").alias("last_line"),
+        T.content_hash(F.col("c.content")).alias("content_md5")
+    )
 
 
 @query(f"""SELECT x.doc_id, piece, md5(array_to_string(list_slice(string_split(text, chr(10)), first_line, last_line), chr(10))) AS content_md5
   FROM ({sql_line_pieces(50)}) x JOIN documents USING (doc_id)""")
 def overlap_chunks(spark, sf_dir):
-    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode(chunking.split_overlapping(F.col("text"))).alias("piece", "c"))
+    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.posexplode(chunking.split_overlapping(F.col("text"))).alias("piece", "c")
+    )
     return rows.select("doc_id", "piece", T.content_hash(F.col("c")).alias("content_md5"))
 
 
 def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as nodes, two lines apart."""
-    node = F.struct(F.lit("function").alias("type"), F.col("role").alias("name"), F.col("text").alias("content"), (F.col("turn") * 2).cast("int").alias("start_line"), (F.col("turn") * 2).cast("int").alias("end_line"), F.lit(0).alias("start_char"), F.length("text").alias("end_char"))
+    node = F.struct(
+        F.lit("function").alias("type"), F.col("role").alias("name"), F.col("text").alias("content"),
+        (F.col("turn") * 2).cast("int").alias("start_line"), (F.col("turn") * 2).cast("int").alias("end_line"),
+        F.lit(0).alias("start_char"), F.length("text").alias("end_char")
+    )
     grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", node.alias("n")))).alias("r"))
     return grouped.select("conv_id", F.transform("r", lambda x: x["n"]).alias("nodes"))
 
@@ -269,7 +290,10 @@ def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
       md5(array_to_string(list_slice(texts, a, b), chr(10) || chr(10))) AS content_md5 FROM (SELECT conv_id, g, min(a) AS a, max(i) AS b FROM p GROUP BY conv_id, g) JOIN ext USING (conv_id)""")
 def merge_chunks(spark, sf_dir):
     rows = conversation_nodes(spark, sf_dir).select("conv_id", F.posexplode(chunking.merge_nodes(F.col("nodes"))).alias("seq", "c"))
-    return rows.select("conv_id", "seq", F.col("c.start_line").cast("long").alias("start_line"), F.col("c.end_line").cast("long").alias("end_line"), F.col("c.name").alias("name"), T.content_hash(F.col("c.content")).alias("content_md5"))
+    return rows.select(
+        "conv_id", "seq", F.col("c.start_line").cast("long").alias("start_line"), F.col("c.end_line").cast("long").alias("end_line"),
+        F.col("c.name").alias("name"), T.content_hash(F.col("c.content")).alias("content_md5")
+    )
 
 
 SQL_WRAP = "((({h} * 31 + {c}) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
@@ -283,7 +307,9 @@ def chunk_ids(spark, sf_dir):
 
 @query(f"SELECT d.doc_id, array_to_string(coalesce(kw, []), ' ') AS keywords FROM documents d LEFT JOIN ({sql_chunk_keywords('documents', 'doc_id', 'text')}) k USING (doc_id)")
 def chunk_keywords(spark, sf_dir):
-    return spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.array_join(T.chunk_keywords(F.col("text")), " ").alias("keywords"))
+    return spread(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.array_join(T.chunk_keywords(F.col("text")), " ").alias("keywords")
+    )
 
 
 def sql_identifier_words(text: str) -> str:
@@ -341,7 +367,9 @@ def _preprocess_sql(x: str) -> str:
 
 @query(f"SELECT item_id, {_preprocess_sql(chr(39) + 'find  auth config for db params ' + chr(39) + ' || text')} AS query FROM benchmark")
 def query_preprocess(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.preprocess_column(F.concat(F.lit("find  auth config for db params "), "text")).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", T.preprocess_column(F.concat(F.lit("find  auth config for db params "), "text")).alias("query")
+    )
 
 
 def _expand_sql(queries: str) -> str:
@@ -360,7 +388,9 @@ def _expand_sql(queries: str) -> str:
 def query_expand_table(spark, sf_dir):
     """Expansion of a table of queries, in columns."""
     kind = F.element_at(F.array(*map(F.lit, ("test", "model", "error", "api"))), (F.col("item_id") % 4 + 1).cast("int"))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("find auth "), kind, F.lit(" "), F.split("text", " ")[0]).alias("q"))
+    queries = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(F.lit("find auth "), kind, F.lit(" "), F.split("text", " ")[0]).alias("q")
+    )
     found = queries.select("query_id", F.posexplode(T.expand_column(F.col("q"))).alias("seq", "text"))
     return found.select("query_id", "text", (F.col("seq") + 1).cast("long").alias("seq"))
 
@@ -369,16 +399,23 @@ def query_expand_table(spark, sf_dir):
   array_to_string(['os', 'pkg' || page_id, 'name'], ' ') AS python FROM pages""")
 def dependencies(spark, sf_dir):
     i = F.col("page_id").cast("string")
-    script = F.concat(F.lit("import a from 'lib/"), i, F.lit("'\nconst b = require( '"), F.lit("m"), (F.col("page_id") + 1).cast("string"), F.lit("' )\nimport { c } from \""), "url", F.lit("\"\nrequire('lib/"), i, F.lit("')"))
+    script = F.concat(
+        F.lit("import a from 'lib/"), i, F.lit("'\nconst b = require( '"), F.lit("m"), (F.col("page_id") + 1).cast("string"),
+        F.lit("' )\nimport { c } from \""), "url", F.lit("\"\nrequire('lib/"), i, F.lit("')")
+    )
     ruby = F.concat(F.lit("require 'json'\nrequire_relative \"helper"), i, F.lit("\"\nrequire 'json'"))
     python = F.concat(F.lit("import os\nfrom pkg"), i, F.lit(" import name\n"))
     join = lambda text, language: F.array_join(T.dependencies(text, F.lit(language)), " ")
-    return table(spark, sf_dir, "pages").select("page_id", join(script, "typescript").alias("script"), join(ruby, "ruby").alias("ruby"), join(python, "python").alias("python"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", join(script, "typescript").alias("script"), join(ruby, "ruby").alias("ruby"), join(python, "python").alias("python")
+    )
 
 
 @query("SELECT md5(text) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def content_hash_dedup(spark, sf_dir):
-    return documents(spark, sf_dir).groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return documents(spark, sf_dir).groupBy(T.content_hash(F.col("text")).alias("hash")).agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("copies")
+    )
 
 
 @query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
@@ -402,7 +439,9 @@ SQL_STATES = f"""old AS (SELECT {SQL_PATH} AS path, text FROM documents),
 def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = documents(spark, sf_dir).withColumn("path", F.expr(PATH))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    new = docs.join(labels, "doc_id", "left").where("coalesce(toxic, 0) = 0").select("path", F.when(F.col("quality") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    new = docs.join(labels, "doc_id", "left").where("coalesce(toxic, 0) = 0").select(
+        "path", F.when(F.col("quality") == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text")
+    )
     added = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench/"), "item_id").alias("path"), "text")
     return docs.select("path", "text"), new.unionByName(added)
 
@@ -462,7 +501,13 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as files: a path with an extension by length, and a size."""
     ext = F.element_at(F.array(*(F.lit(e) for e in (".ts", ".js", ".rb", ".py", ".md", ".tsx", ".mjs"))), (F.length("html") % 7 + 1).cast("int"))
     pages = table(spark, sf_dir, "pages")
-    return files.described(pages.select(F.concat(F.when(F.length("url") % 3 == 0, "src/").when(F.length("url") % 3 == 1, "lib/a/").otherwise("node_modules/x/"), F.lit("f"), "page_id", F.when(F.length("html") % 5 == 0, ".test").otherwise(""), ext).alias("path"), F.length("html").cast("long").alias("size"), "page_id"))
+    return files.described(pages.select(
+        F.concat(
+            F.when(F.length("url") % 3 == 0, "src/").when(F.length("url") % 3 == 1, "lib/a/").otherwise("node_modules/x/"), F.lit("f"),
+            "page_id", F.when(F.length("html") % 5 == 0, ".test").otherwise(""), ext
+        ).alias("path"),
+        F.length("html").cast("long").alias("size"), "page_id"
+    ))
 
 
 SQL_FILES = """f AS (SELECT page_id, length(html)::bigint AS size, CASE length(url) % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'lib/a/' ELSE 'node_modules/x/' END || 'f' || page_id
@@ -501,7 +546,9 @@ def size_filter(spark, sf_dir):
   AND NOT (path LIKE 'lib/%' AND regexp_matches(path, 'f[0-9]*1\\.'))""")
 def path_glob_filter(spark, sf_dir):
     rules = files.ignore_rules("# generated\nlib/**/f*1.*\n")
-    return files.selected(source_files(spark, sf_dir), ["src/**/*", "lib/**/*"], ["node_modules/**", "**/*.test.{ts,rb}"], rules, 1 << 30).select("page_id", "path")
+    return files.selected(
+        source_files(spark, sf_dir), ["src/**/*", "lib/**/*"], ["node_modules/**", "**/*.test.{ts,rb}"], rules, 1 << 30
+    ).select("page_id", "path")
 
 
 @query(f"""WITH {SQL_FILES}, n AS (SELECT language, count(*) AS files FROM g WHERE language IS NOT NULL GROUP BY language),
@@ -513,7 +560,10 @@ def preflight_estimate(spark, sf_dir):
     n = source_files(spark, sf_dir).where("language is not null").groupBy("language").agg(F.count("*").alias("files"))
     n = n.withColumn("chunks", stats.estimate_chunks(F.col("files"), F.col("language")))
     seconds = stats.estimate_seconds(F.col("files"), F.col("chunks"))
-    return n.select("language", "files", "chunks", F.round(seconds, 6).alias("seconds"), stats.time_text(seconds).alias("time"), stats.cost_text(F.col("chunks")).alias("cost"))
+    return n.select(
+        "language", "files", "chunks", F.round(seconds, 6).alias("seconds"), stats.time_text(seconds).alias("time"),
+        stats.cost_text(F.col("chunks")).alias("cost")
+    )
 
 
 @query(f"""SELECT doc_id, round(n * 0.02 / 1e6, 12) AS small, round(n * 0.13 / 1e6, 12) AS large, round(n * 0.1 / 1e6, 12) AS ada FROM (SELECT doc_id, {sql_tokens('text')}::double AS n FROM documents)""")
@@ -573,11 +623,16 @@ def delete_by_ids(spark, sf_dir):
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as TypeScript, JavaScript and Ruby sources: what extraction reads when the tables hold no code."""
     i = F.col("page_id").cast("string")
-    ts = F.concat(F.lit("export class Page"), i, F.lit(" {\n  load(x: number): string { return `"), i, F.lit("`; }\n}\nexport const url"), i, F.lit(" = (a: string) => a;\ninterface I"), i, F.lit(" { a: string }\n"))
+    ts = F.concat(
+        F.lit("export class Page"), i, F.lit(" {\n  load(x: number): string { return `"), i, F.lit("`; }\n}\nexport const url"), i,
+        F.lit(" = (a: string) => a;\ninterface I"), i, F.lit(" { a: string }\n")
+    )
     js = F.concat(F.lit("function f"), i, F.lit("() { return /}/; }\nmodule.run = function () { return 1; };\n"))
     rb = F.concat(F.lit("module M"), i, F.lit("\n  def go(x)\n    x if x\n  end\nend\n"))
     rows = F.array(*(F.struct(F.lit(lang).alias("language"), code.alias("content")) for lang, code in (("typescript", ts), ("javascript", js), ("ruby", rb))))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(rows).alias("r")).select(F.concat(F.lit("src/p"), "page_id", F.lit("."), "r.language").alias("path"), "r.language", "r.content")
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(rows).alias("r")).select(
+        F.concat(F.lit("src/p"), "page_id", F.lit("."), "r.language").alias("path"), "r.language", "r.content"
+    )
 
 
 #: What the sources above declare: (language, node, type, name, lines, first and last column), {i} a page's id and {n} its digits.
@@ -619,7 +674,10 @@ def hash_embedding(spark, sf_dir):
     rows = vectors.hash_embed(documents(spark, sf_dir), "doc_id", "text")
     e = F.col("embedding")
     weighted = F.aggregate(F.transform(e, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
-    return rows.select("doc_id", F.round(vectors.norm(e), 6).alias("norm"), F.size(e).alias("dims"), F.round(F.array_max(F.transform(e, F.abs)), 6).alias("peak"), F.round(weighted, 6).alias("weighted"))
+    return rows.select(
+        "doc_id", F.round(vectors.norm(e), 6).alias("norm"), F.size(e).alias("dims"),
+        F.round(F.array_max(F.transform(e, F.abs)), 6).alias("peak"), F.round(weighted, 6).alias("weighted")
+    )
 
 
 @query(f"SELECT vec_id AS id, round({sql_cosine('embedding', Q)}, 6) AS score FROM embeddings ORDER BY {sql_cosine('embedding', Q)} DESC, vec_id LIMIT 10")

@@ -21,7 +21,9 @@ from tessera.sources.collections import Collections, Folder
 
 
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("p/"), F.col("vec_id") % 97).alias("path"), "label", "embedding")
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("p/"), F.col("vec_id") % 97).alias("path"), "label", "embedding"
+    )
 
 
 def dimensions(rows: DataFrame) -> int:
@@ -58,7 +60,9 @@ def collection_status(spark, sf_dir):
     c.ensure("v", dimensions(rows))
     c.ensure("v", dimensions(rows))
     c.insert("v", rows)
-    return spark.createDataFrame([tuple(c.stats("v").values())], "count long, dimensions long, indexed boolean, index_type string, metric_type string")
+    return spark.createDataFrame(
+        [tuple(c.stats("v").values())], "count long, dimensions long, indexed boolean, index_type string, metric_type string"
+    )
 
 
 @query(f"""SELECT vec_id::varchar AS id, round({sql_cosine('embedding', base.Q)}, 6) AS score FROM embeddings WHERE label = 1 ORDER BY {sql_cosine('embedding', base.Q)} DESC, vec_id::varchar LIMIT 10""")
@@ -76,16 +80,23 @@ def collection_search(spark, sf_dir):
 @query(f"""SELECT x.doc_id, piece AS seq, first_line AS start_line, last_line AS end_line, md5(array_to_string(list_slice(string_split(text, chr(10)), first_line, last_line), chr(10))) AS content_md5, 'sliding-window' AS granularity
   FROM ({sql_line_pieces(50)}) x JOIN documents USING (doc_id) WHERE text <> ''""")
 def sliding_window_chunks(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.col("text").alias("content"))
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text")).select(
+        F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.col("text").alias("content")
+    )
     rows = chunking.chunks_by("sliding-window", docs, docs, distinct=True)
-    return rows.select(F.col("path").cast("long").alias("doc_id"), "seq", "start_line", "end_line", T.content_hash(F.col("content")).alias("content_md5"), "granularity")
+    return rows.select(
+        F.col("path").cast("long").alias("doc_id"), "seq", "start_line", "end_line", T.content_hash(F.col("content")).alias("content_md5"),
+        "granularity"
+    )
 
 
 @query("""SELECT 'src/p' || page_id || '.' || language AS path, lines AS total_lines, chars + wide * length(page_id::varchar) AS total_chars, types AS chunk_types FROM pages,
   (VALUES ('javascript', 3, 69, 1, 'function'), ('ruby', 6, 42, 1, 'method,module'), ('typescript', 6, 126, 4, 'class,function,interface,method')) t(language, lines, chars, wide, types)""")
 def parse_metadata(spark, sf_dir):
     found = sources(spark, sf_dir)
-    return extract.parse_metadata(found, extract.extract_nodes(found)).select("path", "total_lines", "total_chars", F.array_join("chunk_types", ",").alias("chunk_types"))
+    return extract.parse_metadata(found, extract.extract_nodes(found)).select(
+        "path", "total_lines", "total_chars", F.array_join("chunk_types", ",").alias("chunk_types")
+    )
 
 
 @query(f"WITH {SQL_FILES} SELECT page_id, path FROM g WHERE language IN ('ruby', 'python')")
@@ -102,7 +113,10 @@ def project_size(spark, sf_dir):
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines, len(string_split(substr(text, 1, 50), chr(10))) AS line, length(list_extract(string_split(substr(text, 1, 50), chr(10)), -1)) AS col FROM documents")
 def line_helpers(spark, sf_dir):
     place = T.line_and_column(F.col("text"), F.lit(50))
-    return documents(spark, sf_dir).select("doc_id", T.lines_between(F.col("text"), F.lit(2), F.lit(3)).alias("lines"), place["line"].alias("line"), place["column"].alias("col"))
+    return documents(spark, sf_dir).select(
+        "doc_id", T.lines_between(F.col("text"), F.lit(2), F.lit(3)).alias("lines"), place["line"].alias("line"),
+        place["column"].alias("col")
+    )
 
 
 @query(f"SELECT conv_id, sum({sql_tokens('text')})::bigint AS tokens FROM conversations GROUP BY conv_id")
@@ -139,12 +153,17 @@ def embed_batches(spark, sf_dir):
         return [[float(len(t)), 1.0] for t in texts]
 
     rows = embed_with(documents(spark, sf_dir).select("doc_id", F.col("text").alias("content")), model, batch=1)
-    return rows.select("doc_id", F.coalesce(F.col("embedding")[0].cast("double"), F.lit(-1.0)).alias("first"), F.coalesce("error", F.lit("")).alias("error"))
+    return rows.select(
+        "doc_id", F.coalesce(F.col("embedding")[0].cast("double"), F.lit(-1.0)).alias("first"),
+        F.coalesce("error", F.lit("")).alias("error")
+    )
 
 
 @query("SELECT item_id, unnest(list_slice(string_split(text, ' '), 1, 3)) AS word FROM benchmark")
 def flatten_lists(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.flatten(F.array(F.slice(F.split("text", " "), 1, 2), F.slice(F.split("text", " "), 3, 1)))).alias("word"))
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", F.explode(F.flatten(F.array(F.slice(F.split("text", " "), 1, 2), F.slice(F.split("text", " "), 3, 1)))).alias("word")
+    )
 
 
 @query("SELECT doc_id FROM documents")

@@ -19,14 +19,19 @@ from tessera.streaming import state
 
 # ---- texts as sources: a declaration of each line --------------------------------------------
 
-KINDS = {"en": ("typescript", "export function ", "() {\n  // ", "\n}"), "fr": ("javascript", "function ", "() {\n  // ", "\n}"), "de": ("ruby", "def ", "\n  # ", "\nend"), "es": ("ruby", "def ", "\n  # ", "\nend")}
+KINDS = {
+    "en": ("typescript", "export function ", "() {\n  // ", "\n}"), "fr": ("javascript", "function ", "() {\n  // ", "\n}"),
+    "de": ("ruby", "def ", "\n  # ", "\nend"), "es": ("ruby", "def ", "\n  # ", "\nend")
+}
 
 
 def declared(text, lang) -> F.Column:
     """A source with one declaration for each line of a text, named by the line's first word and number, the line its comment."""
 
     def one(head: str, middle: str, tail: str):
-        return lambda line, i: F.concat(F.lit(head), F.lower(F.regexp_extract(line, "[A-Za-z]+", 0)), F.lit("_"), i.cast("string"), F.lit(middle), line, F.lit(tail))
+        return lambda line, i: F.concat(
+            F.lit(head), F.lower(F.regexp_extract(line, "[A-Za-z]+", 0)), F.lit("_"), i.cast("string"), F.lit(middle), line, F.lit(tail)
+        )
 
     out = F.lit(None).cast("string")
     for code, (_, *parts) in KINDS.items():
@@ -36,7 +41,10 @@ def declared(text, lang) -> F.Column:
 
 def text_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = F.create_map(*(F.lit(x) for code, kind in KINDS.items() for x in (code, kind[0])))[F.col("lang")]
-    return documents(spark, sf_dir).select(F.concat(F.lit("src/"), "doc_id", F.lit("."), "lang").alias("path"), language.alias("language"), declared(F.col("text"), F.col("lang")).alias("content"))
+    return documents(spark, sf_dir).select(
+        F.concat(F.lit("src/"), "doc_id", F.lit("."), "lang").alias("path"), language.alias("language"),
+        declared(F.col("text"), F.col("lang")).alias("content")
+    )
 
 
 SQL_LANGUAGE = "CASE lang WHEN 'en' THEN 'typescript' WHEN 'fr' THEN 'javascript' ELSE 'ruby' END"
@@ -73,11 +81,15 @@ def dependencies_texts(spark, sf_dir):
     return found.select("doc_id", F.array_join(F.array_sort("m"), " ").alias("modules"))
 
 
-@query(base._expand_sql(f"SELECT item_id, {base._preprocess_sql(chr(39) + 'find  auth ' + chr(39) + ' || string_split(text, chr(32))[1]')} AS q FROM benchmark").replace("SELECT query_id, text, row_number()", "SELECT query_id, text, 1 + row_number()")
+@query(base._expand_sql(f"SELECT item_id, {base._preprocess_sql(chr(39) + 'find  auth ' + chr(39) + ' || string_split(text, chr(32))[1]')} AS q FROM benchmark").replace(
+    "SELECT query_id, text, row_number()", "SELECT query_id, text, 1 + row_number()"
+)
        + " UNION ALL SELECT item_id, 'find  auth ' || string_split(text, ' ')[1], 1 FROM benchmark")
 def query_variations_table(spark, sf_dir):
     """Variations of a table of questions: as asked, in full words, and expanded."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("find  auth "), F.split("text", " ")[0]).alias("q"))
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(F.lit("find  auth "), F.split("text", " ")[0]).alias("q")
+    )
     found = asked.select("query_id", F.posexplode(T.variations_column(F.col("q"))).alias("seq", "text"))
     return found.select("query_id", "text", (F.col("seq") + 1).cast("long").alias("seq"))
 
@@ -225,7 +237,9 @@ def stream_change_feed(spark, sf_dir):
     root = work_dir(spark, "feed")
     old, new = states(spark, sf_dir)
     was, now = changes.snapshot(old, content="text"), changes.snapshot(new, content="text")
-    change = changes.diff(was, now).join(now, "path", "left").select("path", "hash", (F.col("change") == "deleted").alias("deleted"), F.lit(2).cast("long").alias("seq"))
+    change = changes.diff(was, now).join(now, "path", "left").select(
+        "path", "hash", (F.col("change") == "deleted").alias("deleted"), F.lit(2).cast("long").alias("seq")
+    )
     schema = "path string, hash string, deleted boolean, seq long"
     for rows in (was.select("path", "hash", F.lit(False).alias("deleted"), F.lit(1).cast("long").alias("seq")), change):
         rows.write.mode("append").parquet(f"{root}/in")
@@ -242,7 +256,9 @@ SQL_BATCHES = """e AS (SELECT *, (event_id - min(event_id) OVER ()) / (max(event
 def stream_trigger_sessions(spark, sf_dir):
     """Events in three batches, every seventh in the last one: those older than the watermark by then are dropped."""
     root = work_dir(spark, "sessions")
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("trigger"), F.col("ts").cast("timestamp").alias("ts"))
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("trigger"), F.col("ts").cast("timestamp").alias("ts")
+    )
     n = events.agg(F.min("trigger").alias("a"), F.max("trigger").alias("b")).first()
     half, most = n.a + (n.b - n.a) * 0.5, n.a + (n.b - n.a) * 0.9  # ids are numbered in order
     batch = F.when((F.col("trigger") % 7 == 0) | (F.col("trigger") >= most), 3).when(F.col("trigger") < half, 1).otherwise(2)
@@ -263,7 +279,9 @@ def words_contained(spark, sf_dir):
     """All words of the benchmark within all words of the documents: how many contain each."""
     split = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("x"))
     words, runs = split(table(spark, sf_dir, "benchmark")).withColumnRenamed("x", "word"), split(documents(spark, sf_dir)).withColumnRenamed("x", "run")
-    return keywords.containing(words, runs).groupBy("word").agg(F.count("*").alias("held_by"), F.min("run").alias("least"), F.max("run").alias("most"))
+    return keywords.containing(words, runs).groupBy("word").agg(
+        F.count("*").alias("held_by"), F.min("run").alias("least"), F.max("run").alias("most")
+    )
 
 
 @query(f"""WITH {SQL_STATES}, w AS (SELECT path, unnest(list_filter({base.sql_plain_words('text')}, lambda w: w NOT IN {base.in_list(fixed.SCORED_STOP_WORDS)})) AS term FROM new)
@@ -302,7 +320,10 @@ def embed_requests(spark, sf_dir):
     out = embedding.embed_requests(dealt, model, max_texts=16, max_tokens=3000, text_tokens=2000, group="g")
     right = (F.col("embedding")[0] == F.length("content")) & (F.col("embedding")[1] == F.col("place"))
     place = F.when(F.col("error").isNotNull(), -1).when(right, F.col("place"))
-    return out.select("doc_id", place.cast("long").alias("place"), F.coalesce("together", F.lit(-1)).cast("long").alias("together"), F.when(F.col("error").isNull(), T.count_tokens(F.col("content"))).otherwise(-1).cast("long").alias("tokens"))
+    return out.select(
+        "doc_id", place.cast("long").alias("place"), F.coalesce("together", F.lit(-1)).cast("long").alias("together"),
+        F.when(F.col("error").isNull(), T.count_tokens(F.col("content"))).otherwise(-1).cast("long").alias("tokens")
+    )
 
 
 @query(f"""WITH {SQL_STATES}, o AS (SELECT DISTINCT sha256(text) AS h FROM old), n AS (SELECT DISTINCT sha256(text) AS h FROM new)
@@ -321,7 +342,9 @@ def embedding_cache(spark, sf_dir):
         counts.append(seen.get["n"])
     unused = embedding.unused(cache, rows).agg(F.count("*").alias("unused"))
     most = embedding.uses(rows).agg(F.max("uses").alias("most_uses"))
-    return unused.join(F.broadcast(most), F.lit(True)).select(F.lit(counts[0]).cast("long").alias("first_run"), F.lit(counts[1]).cast("long").alias("second_run"), "unused", "most_uses")
+    return unused.join(F.broadcast(most), F.lit(True)).select(
+        F.lit(counts[0]).cast("long").alias("first_run"), F.lit(counts[1]).cast("long").alias("second_run"), "unused", "most_uses"
+    )
 
 
 @query(f"""SELECT 'read' AS step, count(*) AS n_rows, sum(strlen(text))::bigint AS bytes, sum({sql_tokens('text')})::bigint AS tokens FROM documents
@@ -332,4 +355,7 @@ def observed_progress(spark, sf_dir):
     totals = [F.count("*").alias("n_rows"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(T.count_tokens(F.col("text"))).alias("tokens")]
     rows = documents(spark, sf_dir).select("doc_id", "text").observe(read, *totals).where("length(text) > 200").observe(kept, *totals)
     rows.write.parquet(f"{work_dir(spark, 'observed')}/out")
-    return spark.createDataFrame([(step, *(o.get[k] for k in ("n_rows", "bytes", "tokens"))) for step, o in (("read", read), ("kept", kept))], "step string, n_rows long, bytes long, tokens long")
+    return spark.createDataFrame(
+        [(step, *(o.get[k] for k in ("n_rows", "bytes", "tokens"))) for step, o in (("read", read), ("kept", kept))],
+        "step string, n_rows long, bytes long, tokens long"
+    )

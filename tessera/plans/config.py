@@ -17,12 +17,18 @@ DEFAULTS = {
     "indexing": {
         "granularity": "hybrid", "chunkingStrategy": "ast-split-merge", "maxChunkSize": 250, "overlap": 50, "reindexStrategy": "incremental",
         "include": ["src/**/*", "lib/**/*"],
-        "exclude": ["node_modules/**", "**/*.test.ts", "**/*.spec.ts", "**/*.test.rb", "**/*.spec.rb", "dist/**", "build/**", "coverage/**", "**/*.min.js", "**/*.map"],
+        "exclude": [
+            "node_modules/**", "**/*.test.ts", "**/*.spec.ts", "**/*.test.rb", "**/*.spec.rb", "dist/**", "build/**", "coverage/**",
+            "**/*.min.js", "**/*.map"
+        ],
         "languageConfig": {"typescript": {"extensions": [".ts", ".tsx"]}, "ruby": {"extensions": [".rb"]}},
     },
     "embedding": {"provider": "ollama", "model": "nomic-embed-text", "dimensions": 768, "batchSize": 32, "concurrency": 3},
     "vectordb": {"provider": "milvus", "collectionName": "code_chunks", "indexType": "IVF_FLAT", "metricType": "COSINE"},
-    "search": {"strategy": "hybrid", "resultFormat": "hybrid", "maxResults": 10, "minScore": 0.7, "hybrid": {"vectorWeight": 0.7, "keywordWeight": 0.3}},
+    "search": {
+        "strategy": "hybrid", "resultFormat": "hybrid", "maxResults": 10, "minScore": 0.7,
+        "hybrid": {"vectorWeight": 0.7, "keywordWeight": 0.3}
+    },
     "performance": {"maxFileSize": "1MB", "maxConcurrent": 10},
     "merkle": {"enabled": True, "algorithm": "sha256"},
 }
@@ -30,11 +36,22 @@ DEFAULTS = {
 # Presets, laid over the defaults.
 PRESETS = {
     "fast": {
-        "indexing": {"granularity": "file", "chunkingStrategy": "sliding-window", "maxChunkSize": 500, "overlap": 0, "reindexStrategy": "manual", "include": ["src/**/*"], "exclude": ["node_modules/**", "dist/**", "build/**"]},
-        "search": {"strategy": "semantic", "resultFormat": "snippet", "maxResults": 5, "minScore": 0.6}, "performance": {"maxFileSize": "500KB", "maxConcurrent": 20}},
+        "indexing": {
+            "granularity": "file", "chunkingStrategy": "sliding-window", "maxChunkSize": 500, "overlap": 0, "reindexStrategy": "manual",
+            "include": ["src/**/*"], "exclude": ["node_modules/**", "dist/**", "build/**"]
+        },
+        "search": {
+            "strategy": "semantic", "resultFormat": "snippet", "maxResults": 5, "minScore": 0.6
+        }, "performance": {"maxFileSize": "500KB", "maxConcurrent": 20}},
     "quality": {
-        "indexing": {"granularity": "function", "maxChunkSize": 200, "overlap": 100, "include": ["src/**/*", "lib/**/*", "app/**/*"], "exclude": ["node_modules/**", "**/*.test.*", "**/*.spec.*", "dist/**", "build/**"]},
-        "search": {"strategy": "hybrid", "resultFormat": "context", "maxResults": 20, "minScore": 0.75, "hybrid": {"vectorWeight": 0.8, "keywordWeight": 0.2}}, "performance": {"maxFileSize": "2MB", "maxConcurrent": 5}},
+        "indexing": {
+            "granularity": "function", "maxChunkSize": 200, "overlap": 100, "include": ["src/**/*", "lib/**/*", "app/**/*"],
+            "exclude": ["node_modules/**", "**/*.test.*", "**/*.spec.*", "dist/**", "build/**"]
+        },
+        "search": {
+            "strategy": "hybrid", "resultFormat": "context", "maxResults": 20, "minScore": 0.75,
+            "hybrid": {"vectorWeight": 0.8, "keywordWeight": 0.2}
+        }, "performance": {"maxFileSize": "2MB", "maxConcurrent": 5}},
     "local": {"embedding": {"provider": "ollama", "model": "nomic-embed-text", "dimensions": 768, "batchSize": 32, "concurrency": 3}},
 }
 

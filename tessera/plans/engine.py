@@ -28,7 +28,9 @@ LOG = logs.logger("engine")
 VECTORS = "hash string, embedding array<float>"
 
 
-def embed_with(df: DataFrame, model: Callable[[Sequence[str]], Sequence], text: str = "content", batch: int = 32, tries: int = 3, wait: float = 1.0) -> DataFrame:
+def embed_with(
+    df: DataFrame, model: Callable[[Sequence[str]], Sequence], text: str = "content", batch: int = 32, tries: int = 3, wait: float = 1.0
+) -> DataFrame:
     """df with embedding and error: a request that keeps failing has null vectors and its error, the others go on."""
     return embed_requests(df, model, text, batch, tries=tries, wait=wait).drop("request", "place", "together")
 
@@ -66,7 +68,10 @@ class Lock:
         return False
 
     def _text(self, operation: str, group: str, since: float) -> str:
-        return json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "token": self.token, "group": group, "operation": operation, "since": since, "until": time.time() + self.lease})
+        return json.dumps({
+            "host": socket.gethostname(), "pid": os.getpid(), "token": self.token, "group": group, "operation": operation, "since": since,
+            "until": time.time() + self.lease
+        })
 
     def _renew(self, operation: str, group: str, since: float) -> None:
         while not self._stop.wait(self.lease / 3):
@@ -102,7 +107,10 @@ class Engine:
     same globs, languages and sizes, and may be set anew before a reindex. Contents that have been embedded are not
     embedded again."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, config: dict | None = None, dims: int = 64, model: Callable | None = None, collection: str | None = None, distinct_strategies: bool = False, sources: DataFrame | None = None):
+    def __init__(
+        self, spark: SparkSession, root: str, store: str, config: dict | None = None, dims: int = 64, model: Callable | None = None,
+        collection: str | None = None, distinct_strategies: bool = False, sources: DataFrame | None = None
+    ):
         self.spark, self.root, self.dims, self.model, self.distinct, self.sources = spark, root, dims, model, distinct_strategies, sources
         self.config = config or configs.load()
         self.collections, self.folder = Collections(spark, store), Folder(spark, store)
@@ -115,9 +123,14 @@ class Engine:
         if self.sources is not None:
             known = {"size": F.octet_length("content").cast("long"), "last_modified": F.lit(None).cast("timestamp")}
             rows = self.sources.select("path", *(F.col(k) if k in self.sources.columns else v.alias(k) for k, v in known.items()), "content")
-            return files.selected(files.described(rows, languages), c["indexing"]["include"], c["indexing"]["exclude"], max_bytes=files.parse_size(c["performance"]["maxFileSize"]))
+            return files.selected(
+                files.described(rows, languages), c["indexing"]["include"], c["indexing"]["exclude"],
+                max_bytes=files.parse_size(c["performance"]["maxFileSize"])
+            )
         ignored = Folder(self.spark, self.root).read(".gitignore") or ""
-        return files.discover(self.spark, self.root, c["indexing"]["include"], c["indexing"]["exclude"], c["performance"]["maxFileSize"], languages, ignored)
+        return files.discover(
+            self.spark, self.root, c["indexing"]["include"], c["indexing"]["exclude"], c["performance"]["maxFileSize"], languages, ignored
+        )
 
     def chunks(self, found: DataFrame) -> DataFrame:
         """Embedded chunks of files."""
@@ -224,7 +237,11 @@ class Engine:
     def health(self) -> dict[str, bool]:
         """Whether sources and collection can be read, and an embedder answers."""
         table = lambda: self.collections.scan(self.name)
-        return {"sources": providers.healthy(lambda: Folder(self.spark, self.root).names()), "collection": providers.healthy(lambda: table() is None or table().schema["embedding"]), "embedder": providers.healthy(lambda: self._vector(["health"])[0])}
+        return {
+            "sources": providers.healthy(lambda: Folder(self.spark, self.root).names()),
+            "collection": providers.healthy(lambda: table() is None or table().schema["embedding"]),
+            "embedder": providers.healthy(lambda: self._vector(["health"])[0])
+        }
 
     def _vector(self, texts: list[str]) -> list[list[float]]:
         if self.model is not None:
@@ -232,17 +249,26 @@ class Engine:
         rows = hash_embed(self.spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t", self.dims).collect()
         return [list(r.embedding) for r in sorted(rows, key=lambda r: r.i)]
 
-    def search(self, query: str, max_results: int | None = None, min_score: float | None = None, language: str | None = None, path_pattern: str | None = None, result_format: str | None = None) -> DataFrame:
+    def search(
+        self, query: str, max_results: int | None = None, min_score: float | None = None, language: str | None = None,
+        path_pattern: str | None = None, result_format: str | None = None
+    ) -> DataFrame:
         """The ranked results of the first rung of the ladder that has any. 0 counts as not given."""
         s = self.config["search"]
         k, least, form = max_results or s["maxResults"], min_score or s["minScore"], result_format or s["resultFormat"]
         rungs = search.passes(T.preprocess_query(query), least)
-        table = self.spark.createDataFrame([(0, p, t, m, v) for (p, t, m), v in zip(rungs, self._vector([t for _, t, _ in rungs]), strict=True)], "query_id int, pass int, text string, min_score double, query array<double>")
+        table = self.spark.createDataFrame(
+            [(0, p, t, m, v) for (p, t, m), v in zip(rungs, self._vector([t for _, t, _ in rungs]), strict=True)],
+            "query_id int, pass int, text string, min_score double, query array<double>"
+        )
         rows = self.collections.scan(self.name)
         if rows is None:
             raise LookupError("the collection is empty")
         details = rows.drop("embedding")
-        hits = search.search_ladder(rows.select("id", "language", "embedding"), table, k, {"language": language} if language else None, path_pattern, strategy=s["strategy"], details=details)
+        hits = search.search_ladder(
+            rows.select("id", "language", "embedding"), table, k, {"language": language} if language else None, path_pattern,
+            strategy=s["strategy"], details=details
+        )
         return search.formatted(hits, form).orderBy("rank")
 
     def status(self) -> dict:
@@ -252,8 +278,13 @@ class Engine:
         """A configuration made for the project's size and languages."""
         listing = files.described(self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root).select("path", F.col("length").alias("size")))
         sample = files.sample_files(listing).select("path", "language")
-        row = sample.agg(F.count("*").alias("n"), F.collect_set("language").alias("languages")).select("*", stats.project_size(F.col("n")).alias("size")).first()
-        return configs.for_project({"name": name, "size": row["size"], "languages": sorted(row["languages"]), "primary_language": stats.primary_language(sample).first()[0]})
+        row = sample.agg(
+            F.count("*").alias("n"), F.collect_set("language").alias("languages")
+        ).select("*", stats.project_size(F.col("n")).alias("size")).first()
+        return configs.for_project({
+            "name": name, "size": row["size"], "languages": sorted(row["languages"]),
+            "primary_language": stats.primary_language(sample).first()[0]
+        })
 
     def reset(self) -> list[str]:
         """Drop the lock and versions that nothing names."""

@@ -60,7 +60,10 @@ class Jobs:
 def progress(phase: str, current: int, total: int, seconds: float) -> dict:
     """Percentage, speed and remaining seconds of a phase."""
     speed = current / seconds if seconds > 0 else 0.0
-    return {"phase": phase, "current": current, "total": total, "percentage": 100 * current / total if total else 0.0, "speed": speed, "eta": (total - current) / speed if speed else None}
+    return {
+        "phase": phase, "current": current, "total": total, "percentage": 100 * current / total if total else 0.0, "speed": speed,
+        "eta": (total - current) / speed if speed else None
+    }
 
 
 def bar(current: int, total: int, width: int = 40) -> str:

@@ -27,7 +27,10 @@ class Lines(logging.Formatter):
         if record.exc_info and record.exc_info[1] is not None:
             data = {"error": str(record.exc_info[1]), "name": record.exc_info[0].__name__, **({"data": data} if data is not None else {})}
         if not self.pretty:
-            return json.dumps({"timestamp": when, "level": record.levelname.lower(), "prefix": prefix, "message": record.getMessage(), "data": data}, default=str)
+            return json.dumps(
+                {"timestamp": when, "level": record.levelname.lower(), "prefix": prefix, "message": record.getMessage(), "data": data},
+                default=str
+            )
         head = f"{COLOURS.get(record.levelname, '')}{record.levelname:<5}\x1b[0m {when} {f'[{prefix}] ' if prefix else ''}{record.getMessage()}"
         return head if data is None else head + "\n" + json.dumps(data, indent=2, default=str)
 

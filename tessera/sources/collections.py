@@ -150,7 +150,9 @@ class Collections:
             raise DimensionMismatch(name, dims, wrong.n)
         return rows
 
-    def _publish(self, name: str, version: str, rows: bool, parts: Callable[[dict], list[list[str]]], check: Callable[[], None] = lambda: None) -> None:
+    def _publish(
+        self, name: str, version: str, rows: bool, parts: Callable[[dict], list[list[str]]], check: Callable[[], None] = lambda: None
+    ) -> None:
         """Make a version part of the collection, with its index rows if there is an index: parts() of the newest header are its parts."""
         while True:
             model = (self.header(name).get("index") or {}).get("model")
@@ -181,7 +183,10 @@ class Collections:
         version, new = self._write(name, rows)
         self._publish(name, version, bool(new), lambda head: [[version] if p in new else [] for p in range(len(head["parts"]))], check)
 
-    def merge(self, name: str, gone: DataFrame, fresh: DataFrame | None = None, key: str = "path", check: Callable[[], None] = lambda: None, tries: int = 3) -> list[int]:
+    def merge(
+        self, name: str, gone: DataFrame, fresh: DataFrame | None = None, key: str = "path", check: Callable[[], None] = lambda: None,
+        tries: int = 3
+    ) -> list[int]:
         """Drop the rows whose key is in `gone`, add `fresh`, and rewrite only the parts that either touches: their numbers are returned."""
         for i in range(tries):
             try:
@@ -278,18 +283,25 @@ class Collections:
         live = self.spark.createDataFrame(pairs, "version string, part int")  # one row a part and version
         return rows.join(F.broadcast(live), ["version", "part"], "left_semi")
 
-    def search(self, name: str, queries: DataFrame, k: int = 10, filters: dict | None = None, probe: int | None = None, refine: int | None = None) -> DataFrame:
+    def search(
+        self, name: str, queries: DataFrame, k: int = 10, filters: dict | None = None, probe: int | None = None, refine: int | None = None
+    ) -> DataFrame:
         """query_id, id, score and rank of the k best rows for each query (query_id, query): by the index where there is one, else of all rows."""
         head = self.header(name)
         if not head.get("index"):
             rows = self.scan(name)
             if rows is None:
                 raise LookupError(f"{name}: no rows to search")
-            return search.batch_top_k(queries, rows.where(search.equality_filter(filters)), k, head["metric"]).select("query_id", "id", "score", "rank")
+            return search.batch_top_k(
+                queries, rows.where(search.equality_filter(filters)), k, head["metric"]
+            ).select("query_id", "id", "score", "rank")
         model, rows = self._model(name, head["index"]["model"]), self._index_table(name, head)
         if rows is None:
             raise LookupError(f"{name}: no rows to search")
-        return ann.search(rows.where(search.equality_filter(filters)), model, queries, k, probe or head["index"]["probe"], refine or head["index"]["refine"])
+        return ann.search(
+            rows.where(search.equality_filter(filters)), model, queries, k, probe or head["index"]["probe"],
+            refine or head["index"]["refine"]
+        )
 
     def split_cells(self, name: str, most: int, sample: int = 20_000) -> list[int]:
         """Part the cells of more than `most` rows; only their rows are written anew. Returns their numbers."""
@@ -314,7 +326,10 @@ class Collections:
     def stats(self, name: str) -> dict:
         head, rows = self.header(name), self.scan(name)
         count = rows.count() if rows is not None else 0
-        return {"count": count, "dimensions": head["dimensions"], "indexed": count > 0, "index_type": head["index_type"], "metric_type": head["metric"]}
+        return {
+            "count": count, "dimensions": head["dimensions"], "indexed": count > 0, "index_type": head["index_type"],
+            "metric_type": head["metric"]
+        }
 
     def vacuum(self, name: str) -> list[str]:
         """Remove parts that the header does not name, and return the versions of which nothing is left."""

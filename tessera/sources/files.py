@@ -85,19 +85,27 @@ def selected(files: DataFrame, include: list[str], exclude: list[str], rules: li
     return files.where(matches_any(path, include) & ~matches_any(path, exclude) & ~ignored(path, list(rules)) & F.col("language").isNotNull() & (F.col("size") <= max_bytes))
 
 
-def discover(spark: SparkSession, root: str, include: list[str], exclude: list[str], max_size: str = "1MB", languages: dict[str, list[str]] | None = None, ignore_text: str = "") -> DataFrame:
+def discover(
+    spark: SparkSession, root: str, include: list[str], exclude: list[str], max_size: str = "1MB",
+    languages: dict[str, list[str]] | None = None, ignore_text: str = ""
+) -> DataFrame:
     """path (below root), extension, language, size, last_modified and content of the selected files.
 
     Path, size and language are tested on the listing; contents are read of what is left."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = F.lit(re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/")
     plain = F.regexp_replace(F.col("path"), r"^\w+:/*", "/")
-    files = raw.select(F.substring(plain, F.length(prefix) + 1, F.length(plain)).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
+    files = raw.select(
+        F.substring(plain, F.length(prefix) + 1, F.length(plain)).alias("path"), F.col("length").alias("size"),
+        F.col("modificationTime").alias("last_modified"), "content"
+    )
     kept = selected(described(files, languages), include, exclude, ignore_rules(ignore_text), parse_size(max_size))
     return kept.withColumn("content", F.decode("content", "UTF-8"))
 
 
-def sample_files(files: DataFrame, most: int = 1000, skipped: tuple[str, ...] = ("node_modules", ".git", "dist", "build", "coverage", "vendor")) -> DataFrame:
+def sample_files(
+    files: DataFrame, most: int = 1000, skipped: tuple[str, ...] = ("node_modules", ".git", "dist", "build", "coverage", "vendor")
+) -> DataFrame:
     """A bounded sample of paths outside the skipped folders: the feature of onboarding."""
     return files.where(~F.col("path").rlike("(?:^|/)(?:" + "|".join(map(re.escape, skipped)) + ")/")).limit(most)
 

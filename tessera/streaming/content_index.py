@@ -26,7 +26,10 @@ from tessera.operators import chunking, embedding, search
 class ContentIndex:
     """`model` embeds texts; its requests hold at most max_texts texts and max_tokens tokens."""
 
-    def __init__(self, spark: SparkSession, root: str, model: embedding.Model | None = None, chunk_tokens: int = 250, max_texts: int = 256, max_tokens: int = 50_000):
+    def __init__(
+        self, spark: SparkSession, root: str, model: embedding.Model | None = None, chunk_tokens: int = 250, max_texts: int = 256,
+        max_tokens: int = 50_000
+    ):
         self.spark, self.root = spark, root.rstrip("/")
         self.model = model or embedding.hash_model()
         self.chunk_tokens, self.max_texts, self.max_tokens = chunk_tokens, max_texts, max_tokens
@@ -94,7 +97,9 @@ class ContentIndex:
         contents nearest to a question (query_id, text).
 
         Contents are searched once each, whatever the number of their chunks. Questions without a vector find nothing."""
-        asked = embedding.embed_requests(questions.select("query_id", "text"), self.model, "text", self.max_texts, self.max_tokens, text_tokens=1 << 30)
+        asked = embedding.embed_requests(
+            questions.select("query_id", "text"), self.model, "text", self.max_texts, self.max_tokens, text_tokens=1 << 30
+        )
         asked = asked.where("embedding is not null").select("query_id", F.col("embedding").alias("query"))
         asked = self.spark.createDataFrame(asked.collect(), asked.schema)  # the model answers once: a set of questions
         current = self.current()
@@ -102,7 +107,9 @@ class ContentIndex:
         hits = search.batch_top_k(asked, vectors, k, metric).select("query_id", F.col("id").alias("hash"), "score", "rank")
         found = current.join(F.broadcast(hits.select("hash").distinct()), "hash")  # k contents a question
         first = F.min(F.struct("doc_id", "seq", "start_line", "end_line", "lang", "keywords", "content")).alias("c")
-        return hits.join(found.groupBy("hash").agg(F.count("*").alias("uses"), first), "hash").select("query_id", "rank", "score", "hash", "uses", "c.*")
+        return hits.join(
+            found.groupBy("hash").agg(F.count("*").alias("uses"), first), "hash"
+        ).select("query_id", "rank", "score", "hash", "uses", "c.*")
 
     def unused(self) -> DataFrame:
         """Vectors that no current chunk refers to."""

@@ -24,13 +24,17 @@ def fresh_triggers(events: DataFrame, lateness: str = "5 minutes", key: str = "e
 def stale_flags(events: DataFrame, minutes: int = 5, ts: str = "ts") -> DataFrame:
     """Batch form of the lateness rule: stale where a trigger is older than the newest by more than the limit."""
     newest = events.agg(F.max(ts).alias("newest"))
-    return events.join(F.broadcast(newest), F.lit(True)).withColumn("stale", F.col(ts) < F.col("newest") - F.expr(f"interval {minutes} minutes")).drop("newest")
+    return events.join(F.broadcast(newest), F.lit(True)).withColumn(
+        "stale", F.col(ts) < F.col("newest") - F.expr(f"interval {minutes} minutes")
+    ).drop("newest")
 
 
 def windowed_counts(events: DataFrame, width: str = "10 minutes", lateness: str = "5 minutes", ts: str = "ts") -> DataFrame:
     """Triggers by type and window."""
     rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness) if events.isStreaming else events
-    return rows.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("triggers")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "triggers")
+    return rows.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count("*").alias("triggers")).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "triggers"
+    )
 
 
 def reindex_feed(triggers: DataFrame, reindex: Callable[[list[str] | None], dict], checkpoint: str, listed: int = 1000) -> StreamingQuery:

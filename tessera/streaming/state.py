@@ -62,7 +62,9 @@ def file_changes(feed: DataFrame) -> DataFrame:
 
     seq orders what is said of a path; what comes out of order, twice, or with the hash that is known is no change."""
     ship(feed.sparkSession)
-    rows = feed.select("path", F.col("seq").cast("long").alias("seq"), "hash", F.coalesce("deleted", F.lit(False)).alias("deleted")).where("path is not null and seq is not null")
+    rows = feed.select(
+        "path", F.col("seq").cast("long").alias("seq"), "hash", F.coalesce("deleted", F.lit(False)).alias("deleted")
+    ).where("path is not null and seq is not null")
     return rows.groupBy("path").transformWithStateInPandas(FileChanges(), "path string, change string, hash string, seq bigint", "Append", "None")
 
 
@@ -124,7 +126,9 @@ def trigger_sessions(triggers: DataFrame, lateness: str = "5 minutes", idle_ms:
     rows = rows.select("key", "trigger", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
     rows = rows.withColumn("at_ms", F.unix_millis("ts"))
     key = triggers.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").transformWithStateInPandas(Sessions(idle_ms), f"key {key}, triggers bigint, last bigint, at_ms bigint, idle boolean", "Append", "EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(
+        Sessions(idle_ms), f"key {key}, triggers bigint, last bigint, at_ms bigint, idle boolean", "Append", "EventTime"
+    )
 
 
 def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -64,7 +64,11 @@ def test_index_takes_only_new_files(spark, sf_dir, tmp_path):
 
 def test_index_replaces_documents_and_knows_odd_rows(spark, tmp_path):
     folder, output = f"{tmp_path}/in", f"{tmp_path}/out"
-    put(spark, [(1, "first text", "en"), (2, "second text", "en"), (3, "gone later", None), (None, "no id", ""), (4, None, "de"), (5, "", "01")], folder)
+    put(
+        spark,
+        [(1, "first text", "en"), (2, "second text", "en"), (3, "gone later", None), (None, "no id", ""), (4, None, "de"), (5, "", "01")],
+        folder
+    )
     rows = {r.doc_id: r for r in index_documents.run(spark, folder, output).collect()}
     assert sorted(rows, key=str) == [1, 2, 3, 5, None] and rows[5].lang == "01" and rows[None].lang == ""
     put(spark, [(2, "first text", "fr"), (3, None, None), (None, "no id", "")], folder)
@@ -121,7 +125,10 @@ def test_failed_batch_is_taken_again(spark, tmp_path):
 
 
 def test_keyword_index_replaces_named_languages(spark, tmp_path):
-    first = [(1, "alpha beta beta", "en"), (2, "alpha gamma", "en"), (3, "delta wort wort", "de"), (4, None, "en"), (5, "same same", None), (6, "other same", ""), (6, "other", "")]
+    first = [
+        (1, "alpha beta beta", "en"), (2, "alpha gamma", "en"), (3, "delta wort wort", "de"), (4, None, "en"), (5, "same same", None),
+        (6, "other same", ""), (6, "other", "")
+    ]
     put(spark, first, f"{tmp_path}/a")
     put(spark, [(1, "omega", "en"), (9, "zeta", "fr"), (3, "changed", "de")], f"{tmp_path}/b")
     output = f"{tmp_path}/out"
@@ -154,8 +161,17 @@ def test_settings_are_left_as_they_were(spark, sf_dir, tmp_path):
 def test_command_lines(sf_dir, tmp_path, job):
     config = tmp_path / "config.json"
     config.write_text(open(f"{REPO}/jobs/{job}.json").read())
-    command = [sys.executable, f"{REPO}/jobs/{job}.py", "--documents", f"{sf_dir}/documents.parquet*", "--output", f"{tmp_path}/out", "--config", str(config)]
-    done = subprocess.run(command, capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ | {"SPARK_LOCAL_DIRS": str(tmp_path), "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=2 pyspark-shell"})
+    command = [
+        sys.executable, f"{REPO}/jobs/{job}.py", "--documents", f"{sf_dir}/documents.parquet*", "--output", f"{tmp_path}/out", "--config",
+        str(config)
+    ]
+    done = subprocess.run(
+        command, capture_output=True, text=True, timeout=300, cwd=tmp_path,
+        env=os.environ | {
+            "SPARK_LOCAL_DIRS": str(tmp_path),
+            "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=2 pyspark-shell"
+        }
+    )
     assert done.returncode == 0, done.stderr[-2000:]
     lines = [json.loads(x) for x in done.stderr.splitlines() if x.startswith('{"timestamp"')]
     assert lines and lines[-1]["message"] == "ended" and files(f"{tmp_path}/out")

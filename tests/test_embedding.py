@@ -90,7 +90,9 @@ def test_missing_and_unused_contents(spark):
 
 def test_word_counts_and_scored_words_inside_rows(spark):
     r = random.Random(5)
-    texts = ["", None, "one", "One one two", "the the of", "x " * 5, "é é plain, plain plain. word"] + [" ".join(r.choice(["alpha", "beta,", "Gamma", "the", "delta"]) for _ in range(r.randrange(200))) for _ in range(30)]
+    texts = [
+        "", None, "one", "One one two", "the the of", "x " * 5, "é é plain, plain plain. word"
+    ] + [" ".join(r.choice(["alpha", "beta,", "Gamma", "the", "delta"]) for _ in range(r.randrange(200))) for _ in range(30)]
     df = rows_of(spark, texts)
     for row in df.select("content", T.word_counts(F.split("content", " ")).alias("c")).collect():
         words = [] if row.content is None else row.content.split(" ")
@@ -105,7 +107,9 @@ def test_word_counts_and_scored_words_inside_rows(spark):
 
 
 def test_term_counts_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "en", None), (2, "en", ""), (3, None, "Word word the"), (3, None, "word")], "doc_id long, lang string, text string")
+    docs = spark.createDataFrame(
+        [(1, "en", None), (2, "en", ""), (3, None, "Word word the"), (3, None, "word")], "doc_id long, lang string, text string"
+    )
     got = sorted((r.doc_id, r.lang, r.term, r.n, r.size) for r in inverted.term_counts(docs).collect())
     assert got == [(3, None, "word", 1, 1), (3, None, "word", 2, 2)]
     known = inverted.terms(docs)

@@ -73,7 +73,10 @@ items.map((x) => x * 2);
 
 def test_typescript_declarations():
     got = [(n["type"], n["name"]) for n in extract.parse(SCRIPT, "typescript")]
-    assert got == [("function", "add"), ("function", "mul"), ("function", "one"), ("class", "Store"), ("method", "constructor"), ("method", "size"), ("method", "load"), ("method", "f"), ("interface", "Shape"), ("type", "Pair")]
+    assert got == [
+        ("function", "add"), ("function", "mul"), ("function", "one"), ("class", "Store"), ("method", "constructor"), ("method", "size"),
+        ("method", "load"), ("method", "f"), ("interface", "Shape"), ("type", "Pair")
+    ]
     add = extract.parse(SCRIPT, "typescript")[0]
     assert add["content"].startswith("function add") and add["content"].endswith("}") and add["start_line"] == add["end_line"] == 4 and add["start_char"] == 7
 
@@ -81,7 +84,10 @@ def test_typescript_declarations():
 def test_javascript_declarations():
     src = "function* gen() { yield 1; }\nobj.foo = function () { return 2; };\nvar f = function named() {};\nexports.bar = () => { return 1; };\nclass A { m() {} }\nlet o = { run() { return 1; } };\n(function () {})();\n"
     got = [(n["type"], n["name"]) for n in extract.parse(src, "javascript")]
-    assert got == [("function", "gen"), ("function", "obj.foo"), ("function", "named"), ("function", "exports.bar"), ("class", "A"), ("method", "m"), ("method", "run")]
+    assert got == [
+        ("function", "gen"), ("function", "obj.foo"), ("function", "named"), ("function", "exports.bar"), ("class", "A"), ("method", "m"),
+        ("method", "run")
+    ]
 
 
 def test_ruby_declarations():
@@ -91,7 +97,9 @@ def test_ruby_declarations():
 
 
 def test_unsupported_languages_give_error_rows(spark):
-    rows = extract.extract_nodes(spark.createDataFrame([("a.py", "python", "def f(): pass"), ("a.rb", "ruby", None)], "path string, language string, content string")).collect()
+    rows = extract.extract_nodes(spark.createDataFrame(
+        [("a.py", "python", "def f(): pass"), ("a.rb", "ruby", None)], "path string, language string, content string"
+    )).collect()
     assert [(r.path, "unsupported" in r.error) for r in rows] == [("a.py", True)]
 
 
@@ -127,7 +135,9 @@ def test_statistics(spark):
     n = spark.createDataFrame([(40,), (400,), (2000,), (4000,)], "n int")
     assert [r.s for r in n.select(stats.project_size(F.col("n")).alias("s")).collect()] == ["small", "medium", "large", "massive"]
     assert n.select(stats.cost_text(F.lit(10), provider="ollama").alias("c")).first().c.startswith("FREE")
-    cost = spark.range(1).select(*(stats.embedding_cost(F.lit(1_000_000), m).alias(str(i)) for i, m in enumerate(("text-embedding-3-small", "text-embedding-3-large", "text-embedding-ada-002")))).first()
+    cost = spark.range(1).select(*(stats.embedding_cost(F.lit(1_000_000), m).alias(str(i)) for i, m in enumerate((
+        "text-embedding-3-small", "text-embedding-3-large", "text-embedding-ada-002"
+    )))).first()
     assert tuple(cost) == pytest.approx((0.02, 0.13, 0.1))
     batches = stats.assign_batches(spark.range(100), "id", 32).collect()
     assert all(r.batch == r.id // 32 for r in batches)
@@ -138,14 +148,19 @@ def test_config():
     assert c["search"]["minScore"] == 0.5 and c["search"]["maxResults"] == 5 and c["project"]["name"] == "x"
     with pytest.raises(config.ConfigError):
         config.load('{"a": "${MISSING_NAME}"}', env={})
-    bad = config.merge(c, {"performance": {"maxFileSize": "x"}, "embedding": {"dimensions": 3}, "search": {"hybrid": {"vectorWeight": 1.0, "keywordWeight": 1.0}}})
+    bad = config.merge(
+        c,
+        {"performance": {"maxFileSize": "x"}, "embedding": {"dimensions": 3}, "search": {"hybrid": {"vectorWeight": 1.0, "keywordWeight": 1.0}}}
+    )
     errors, warnings = config.problems(bad)
     assert len(errors) == 1 and len(warnings) == 2
 
 
 def test_collections(spark, tmp_path):
     c = Collections(spark, f"file://{tmp_path}")
-    rows = spark.createDataFrame([(str(i), [1.0, float(i)], "ts" if i % 2 else "rb") for i in range(6)], "id string, embedding array<float>, language string")
+    rows = spark.createDataFrame(
+        [(str(i), [1.0, float(i)], "ts" if i % 2 else "rb") for i in range(6)], "id string, embedding array<float>, language string"
+    )
     with pytest.raises(CollectionNotFound):
         c.scan("v")
     c.create("v", 2)
@@ -229,8 +244,14 @@ def test_stale_lock_is_taken_over(spark, tmp_path):
 
 
 def test_ladder_takes_the_first_rung_with_results(spark):
-    rows = spark.createDataFrame([("a", [1.0, 0.0], ["login"], "src/a"), ("b", [0.0, 1.0], ["base"], "src/b")], "id string, embedding array<double>, keywords array<string>, path string")
-    rungs = spark.createDataFrame([(0, p, t, m, [0.8, 0.6]) for p, t, m in search.passes("auth", 0.9)], "query_id int, pass int, text string, min_score double, query array<double>")
+    rows = spark.createDataFrame(
+        [("a", [1.0, 0.0], ["login"], "src/a"), ("b", [0.0, 1.0], ["base"], "src/b")],
+        "id string, embedding array<double>, keywords array<string>, path string"
+    )
+    rungs = spark.createDataFrame(
+        [(0, p, t, m, [0.8, 0.6]) for p, t, m in search.passes("auth", 0.9)],
+        "query_id int, pass int, text string, min_score double, query array<double>"
+    )
     out = search.search_ladder(rows, rungs, 2).collect()
     assert {r["pass"] for r in out} == {1} and {r.id for r in out} == {"a"}
     assert search.search_ladder(rows, rungs, 2, path_pattern="src/b").collect()[0]["pass"] == rungs.count() - 1
@@ -260,5 +281,7 @@ def test_ivf_with_all_cells_is_exact(spark, sf_dir):
 
 def test_truncation_and_snippets(spark):
     text = "\n".join(f"line {i}" for i in range(30))
-    row = spark.createDataFrame([(text,)], "t string").select(T.snippet(F.col("t"), "snippet").alias("s"), T.snippet(F.col("t")).alias("h"), T.truncate_to_limit(F.col("t"), 30).alias("c")).first()
+    row = spark.createDataFrame([(text,)], "t string").select(
+        T.snippet(F.col("t"), "snippet").alias("s"), T.snippet(F.col("t")).alias("h"), T.truncate_to_limit(F.col("t"), 30).alias("c")
+    ).first()
     assert row.s.count("\n") == 9 and row.h.endswith("\n... (truncated)") and row.h.count("\n") == 15 and len(row.c) == len(text) // 2

@@ -18,13 +18,18 @@ def test_token_counts(spark, text, tokens):
     assert one(spark, T.count_tokens(F.col("t")), t=text) == tokens
 
 
-@pytest.mark.parametrize(("path", "start", "end", "want"), [("src/a.ts", 1, 10, "chunk-stj45x"), ("src/utils/very/long/path.ts", 100, 2000, "chunk-d6zrp8"), ("src/utils/math.ts", 1, 3, "chunk-acz8ms")])
+@pytest.mark.parametrize(
+    ("path", "start", "end", "want"),
+    [("src/a.ts", 1, 10, "chunk-stj45x"), ("src/utils/very/long/path.ts", 100, 2000, "chunk-d6zrp8"), ("src/utils/math.ts", 1, 3, "chunk-acz8ms")]
+)
 def test_chunk_ids(spark, path, start, end, want):
     assert one(spark, T.chunk_id(F.col("p"), F.col("s"), F.col("e")), p=path, s=start, e=end) == want
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("function calculateSum(a: number, b: number) { return a + b; }", ["calculatesum", "number"]), ("class Calculator { sum(x, y) { return x + y; } }", ["class", "calculator", "sum"])])
+    (
+        "function calculateSum(a: number, b: number) { return a + b; }", ["calculatesum", "number"]
+    ), ("class Calculator { sum(x, y) { return x + y; } }", ["class", "calculator", "sum"])])
 def test_chunk_keywords(spark, text, want):
     assert one(spark, T.chunk_keywords(F.col("t")), t=text) == want
 
@@ -32,14 +37,19 @@ def test_chunk_keywords(spark, text, want):
 @pytest.mark.parametrize(("query", "want"), [
     ("find authentication logic", [("find", 1 / 3), ("authentication", 1 / 3), ("logic", 1 / 3)]),
     ("where is the database connection configured?", [("where", 1 / 6), ("database", 1 / 6), ("connection", 1 / 6), ("configured", 0)]),
-    ("show error handling patterns for error classes", [("error", 2 / 7), ("show", 1 / 7), ("handling", 1 / 7), ("patterns", 1 / 7), ("classes", 1 / 7)])])
+    (
+        "show error handling patterns for error classes",
+        [("error", 2 / 7), ("show", 1 / 7), ("handling", 1 / 7), ("patterns", 1 / 7), ("classes", 1 / 7)]
+    )])
 def test_query_keywords(spark, query, want):
     got = [(r.keyword, r.score) for r in one(spark, T.scored_keywords(F.col("q")), q=query)]
     assert [k for k, _ in got] == [k for k, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
 
 
 @pytest.mark.parametrize(("query", "want"), [
-    ("  Auth  config for db ", "authentication configuration for database"), ("API params", "interface parameters"), ("find auth service", "find authentication service")])
+    (
+        "  Auth  config for db ", "authentication configuration for database"
+    ), ("API params", "interface parameters"), ("find auth service", "find authentication service")])
 def test_preprocess(spark, query, want):
     assert T.preprocess_query(query) == want == one(spark, T.preprocess_column(F.col("q")), q=query)
 
@@ -69,7 +79,9 @@ def test_identifier_keywords(spark):
 
 
 @pytest.mark.parametrize(("language", "text", "want"), [
-    ("typescript", "import a from 'x'\nconst b = require(\"y\")\nimport {c} from 'x'", ["x", "y"]), ("ruby", "require 'json'\nrequire_relative 'b'", ["json", "b"]),
+    (
+        "typescript", "import a from 'x'\nconst b = require(\"y\")\nimport {c} from 'x'", ["x", "y"]
+    ), ("ruby", "require 'json'\nrequire_relative 'b'", ["json", "b"]),
     ("python", "import os\nfrom a.b import c", ["os", "a.b", "c"]), ("go", "import x", [])])
 def test_dependencies(spark, language, text, want):
     assert one(spark, T.dependencies(F.col("t"), F.col("l")), t=text, l=language) == want
@@ -77,13 +89,19 @@ def test_dependencies(spark, language, text, want):
 
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
-    got = df.select(vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.dot(F.col("a"), F.col("b")).alias("d"), vectors.euclidean(F.col("a"), F.col("b")).alias("e")).collect()
+    got = df.select(
+        vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.dot(F.col("a"), F.col("b")).alias("d"),
+        vectors.euclidean(F.col("a"), F.col("b")).alias("e")
+    ).collect()
     assert got[0].c == pytest.approx(0.96) and got[0].d == 24 and got[0].e == pytest.approx(2**0.5)
     assert got[1].c is None
 
 
 def test_hash_embedder_is_unit_length_and_sees_likeness(spark):
-    df = spark.createDataFrame([(1, "parse the source file tree"), (2, "parse the source file list"), (3, "vector database connection"), (4, "")], "i int, t string")
+    df = spark.createDataFrame(
+        [(1, "parse the source file tree"), (2, "parse the source file list"), (3, "vector database connection"), (4, "")],
+        "i int, t string"
+    )
     v = {r.i: r.embedding for r in vectors.hash_embed(df, "i", "t").collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
     assert dot(1, 1) == pytest.approx(1) and dot(1, 2) > 0.6 > dot(1, 3) and not any(v[4])
@@ -96,7 +114,10 @@ def test_durations_and_hashes(spark):
 
 def test_lines_offsets_and_metadata(spark):
     df = spark.createDataFrame([("ab\ncde\nf", 2, 3, 5)], "t string, a int, b int, o int")
-    row = df.select(T.lines_between(F.col("t"), F.col("a"), F.col("b")).alias("l"), T.line_and_column(F.col("t"), F.col("o")).alias("p"), T.total_tokens(F.split("t", "\n")).alias("n")).first()
+    row = df.select(
+        T.lines_between(F.col("t"), F.col("a"), F.col("b")).alias("l"), T.line_and_column(F.col("t"), F.col("o")).alias("p"),
+        T.total_tokens(F.split("t", "\n")).alias("n")
+    ).first()
     assert row.l == "cde\nf" and tuple(row.p) == (2, 2) and row.n == 3
     schema = "path string, last_modified timestamp, keywords array<string>"
     meta = spark.sql("SELECT struct('a' AS path, timestamp'2024-01-02 03:04:05.678' AS last_modified, array('k') AS keywords) AS m")

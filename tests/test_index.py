@@ -22,7 +22,10 @@ def vectors(n, dims=16, seed=3):
 @pytest.fixture(scope="module")
 def rows(spark):
     x = vectors(3000)
-    return spark.createDataFrame([(f"{i:05d}", f"p/{i % 97}", i % 5, v.tolist()) for i, v in enumerate(x)], "id string, path string, label int, embedding array<double>").repartition(4)
+    return spark.createDataFrame(
+        [(f"{i:05d}", f"p/{i % 97}", i % 5, v.tolist()) for i, v in enumerate(x)],
+        "id string, path string, label int, embedding array<double>"
+    ).repartition(4)
 
 
 def asked(rows):
@@ -91,7 +94,10 @@ def test_index_follows_changes_and_splits(spark, rows, tmp_path):
 
 
 def test_index_of_odd_vectors(spark, tmp_path):
-    odd = [("a", [1.0, 0.0, 0.0]), ("a", [1.0, 0.0, 0.0]), ("z", [0.0, 0.0, 0.0]), ("b", [0.0, 1.0, None]), ("c", None), ("d", [0.6, 0.8, 0.0]), ("e", [1.0, 2.0])]
+    odd = [
+        ("a", [1.0, 0.0, 0.0]), ("a", [1.0, 0.0, 0.0]), ("z", [0.0, 0.0, 0.0]), ("b", [0.0, 1.0, None]), ("c", None),
+        ("d", [0.6, 0.8, 0.0]), ("e", [1.0, 2.0])
+    ]
     rows = spark.createDataFrame(odd, "id string, embedding array<double>")
     model = ann.fit(rows)
     coded = ann.encode(rows, model)

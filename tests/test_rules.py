@@ -33,7 +33,13 @@ def rule(columns: str, rows: list[tuple]):
     return add
 
 
-@rule("step, outcome", [("create", "exists"), ("create again", "CollectionExists"), ("wrong size", "DimensionMismatch"), ("clear", "gone"), ("scan", "CollectionNotFound"), ("drop", "CollectionNotFound"), ("clear again", "gone")])
+@rule(
+    "step, outcome",
+    [
+        ("create", "exists"), ("create again", "CollectionExists"), ("wrong size", "DimensionMismatch"), ("clear", "gone"),
+        ("scan", "CollectionNotFound"), ("drop", "CollectionNotFound"), ("clear again", "gone")
+    ]
+)
 def collection_rules(spark, sf_dir):
     """Existence, errors and clearing."""
     c, out = Collections(spark, work_dir(spark, "collections")), []
@@ -55,7 +61,10 @@ PROJECT = {
 }
 
 
-CHANGED = {"src/auth.ts": "export function authorizeRequest() {\n  return 1;\n}\n", "src/new.ts": "export const fresh = () => 1;\n", "src/util.rb": None}
+CHANGED = {
+    "src/auth.ts": "export function authorizeRequest() {\n  return 1;\n}\n", "src/new.ts": "export const fresh = () => 1;\n",
+    "src/util.rb": None
+}
 
 
 def project(spark: SparkSession, **more) -> tuple[Engine, Folder]:
@@ -71,7 +80,13 @@ def change_project(sources_: Folder) -> None:
         sources_.write(path, text) if text is not None else sources_.delete(path)
 
 
-@rule("path, symbol_name, chunk_type, start_line, end_line", [("src/auth.ts", "authenticateUser", "function", 1, 3), ("src/db.ts", "DatabaseConnection, connect", "class", 1, 2), ("src/util.rb", "format_money", "method", 1, 3)])
+@rule(
+    "path, symbol_name, chunk_type, start_line, end_line",
+    [
+        ("src/auth.ts", "authenticateUser", "function", 1, 3), ("src/db.ts", "DatabaseConnection, connect", "class", 1, 2),
+        ("src/util.rb", "format_money", "method", 1, 3)
+    ]
+)
 def engine_index(spark, sf_dir):
     """Discovery with globs, ignore file, languages and sizes; extraction; chunking; embedding; storage."""
     e, _ = project(spark)
@@ -79,17 +94,28 @@ def engine_index(spark, sf_dir):
     return e.collections.scan(e.name).select("path", "symbol_name", "chunk_type", "start_line", "end_line")
 
 
-@rule("path, symbol_name, added, modified, deleted, processed", [("src/auth.ts", "authorizeRequest", 1, 1, 1, 2), ("src/db.ts", "DatabaseConnection, connect", 1, 1, 1, 2), ("src/new.ts", "fresh", 1, 1, 1, 2)])
+@rule(
+    "path, symbol_name, added, modified, deleted, processed",
+    [("src/auth.ts", "authorizeRequest", 1, 1, 1, 2), ("src/db.ts", "DatabaseConnection, connect", 1, 1, 1, 2), ("src/new.ts", "fresh", 1, 1, 1, 2)]
+)
 def engine_reindex(spark, sf_dir):
     """One file changed, one new, one gone: chunks after an incremental run, with its counts."""
     e, sources_ = project(spark)
     e.index()
     change_project(sources_)
     counts = e.reindex()
-    return e.collections.scan(e.name).select("path", "symbol_name", *(F.lit(counts[k]).cast("int").alias(k) for k in ("added", "modified", "deleted", "processed")))
-
-
-@rule("step, outcome", [("status before", "0 False"), ("index", "3 3 True"), ("status", "3 True"), ("locked", "RuntimeError"), ("reindex named", "1 1"), ("forced", "0"), ("health", "True True True"), ("clear unasked", "ValueError"), ("clear", "0 False")])
+    return e.collections.scan(e.name).select(
+        "path", "symbol_name", *(F.lit(counts[k]).cast("int").alias(k) for k in ("added", "modified", "deleted", "processed"))
+    )
+
+
+@rule(
+    "step, outcome",
+    [
+        ("status before", "0 False"), ("index", "3 3 True"), ("status", "3 True"), ("locked", "RuntimeError"), ("reindex named", "1 1"),
+        ("forced", "0"), ("health", "True True True"), ("clear unasked", "ValueError"), ("clear", "0 False")
+    ]
+)
 def engine_operations(spark, sf_dir):
     """Status, index, lock, named reindex, preemption, reset, health and clear."""
     e, sources_ = project(spark)
@@ -139,15 +165,30 @@ def engine_onboard(spark, sf_dir):
     c = e.onboard("my-app")
     listing = spark.createDataFrame([(p,) for p in PROJECT], "path string").withColumn("extension", stats.extension(F.col("path")))
     size = files.sample_files(listing).agg(stats.project_size(F.count("*")).alias("s")).first().s
-    return spark.createDataFrame([(size, stats.primary_language(listing.where("extension <> ''")).first()[0], ",".join(c["project"]["languages"]), c["vectordb"]["collectionName"], c["embedding"]["batchSize"])], "size string, primary_language string, languages string, collection string, batch int")
-
-
-@rule("case_, outcome", [("free", "True"), ("held", "False"), ("ended process", "True"), ("other host", "False"), ("lease ended", "True"), ("forced", "True"), ("released by another", "held"), ("released", "free")])
+    return spark.createDataFrame(
+        [(
+            size, stats.primary_language(listing.where("extension <> ''")).first()[0], ",".join(c["project"]["languages"]),
+            c["vectordb"]["collectionName"], c["embedding"]["batchSize"]
+        )],
+        "size string, primary_language string, languages string, collection string, batch int"
+    )
+
+
+@rule(
+    "case_, outcome",
+    [
+        ("free", "True"), ("held", "False"), ("ended process", "True"), ("other host", "False"), ("lease ended", "True"),
+        ("forced", "True"), ("released by another", "held"), ("released", "free")
+    ]
+)
 def lock_rules(spark, sf_dir):
     """When a lock is taken: on this host, on another one, after its lease, by force."""
     folder = Folder(spark, work_dir(spark, "locks"))
     out = [("free", str(Lock(folder).acquire())), ("held", str(Lock(folder).acquire()))]
-    for case, text in (("ended process", {"pid": 999999999}), ("other host", {"pid": 1, "host": "elsewhere", "until": 4e9}), ("lease ended", {"pid": 1, "host": "elsewhere", "until": 1.0})):
+    for case, text in (
+        ("ended process", {"pid": 999999999}), ("other host", {"pid": 1, "host": "elsewhere", "until": 4e9}),
+        ("lease ended", {"pid": 1, "host": "elsewhere", "until": 1.0})
+    ):
         folder.write("engine.lock", json.dumps(text))
         out.append((case, str(Lock(folder).acquire())))
     last = Lock(folder)
@@ -159,26 +200,52 @@ def lock_rules(spark, sf_dir):
     return spark.createDataFrame(out, "case_ string, outcome string")
 
 
-@rule("query_id, seq, text", [(0, i, t) for i, t in enumerate(("find  auth", "find authentication", "find", "authentication", "auth", "auth find", "login", "login find", "credential", "credential find"), 1)])
+@rule(
+    "query_id, seq, text",
+    [(0, i, t) for i, t in enumerate(
+        ("find  auth", "find authentication", "find", "authentication", "auth", "auth find", "login", "login find", "credential", "credential find"),
+        1
+    )]
+)
 def query_variations(spark, sf_dir):
     return spark.createDataFrame([(0, i, t) for i, t in enumerate(T.search_variations("find  auth"), 1)], "query_id int, seq int, text string")
 
 
 @rule("preset, strategy, form, results, score, size, chunk, host", [
-    ("none", "hybrid", "hybrid", 10, 0.7, "1MB", 250, "none"), ("fast", "semantic", "snippet", 5, 0.6, "500KB", 500, "none"), ("quality", "hybrid", "context", 20, 0.75, "2MB", 200, "none"),
+    ("none", "hybrid", "hybrid", 10, 0.7, "1MB", 250, "none"), ("fast", "semantic", "snippet", 5, 0.6, "500KB", 500, "none"), (
+        "quality", "hybrid", "context", 20, 0.75, "2MB", 200, "none"
+    ),
     ("local", "hybrid", "hybrid", 10, 0.7, "1MB", 250, "none"), ("json", "hybrid", "hybrid", 3, 0.7, "1MB", 250, "h:1")])
 def config_values(spark, sf_dir):
     """Defaults, presets, JSON text with environment values, and options that are not given."""
-    found = [("none", config.load()), *((p, config.load(preset=p)) for p in ("fast", "quality", "local")), ("json", config.load('{"search": {"maxResults": 3}, "vectordb": {"address": "${HOST}:1"}}', env={"HOST": "h"}))]
-    rows = [(n, c["search"]["strategy"], c["search"]["resultFormat"], c["search"]["maxResults"], float(c["search"]["minScore"]), c["performance"]["maxFileSize"], c["indexing"]["maxChunkSize"], c["vectordb"].get("address", "none")) for n, c in found]
+    found = [
+        ("none", config.load()), *((p, config.load(preset=p)) for p in ("fast", "quality", "local")),
+        ("json", config.load('{"search": {"maxResults": 3}, "vectordb": {"address": "${HOST}:1"}}', env={"HOST": "h"}))
+    ]
+    rows = [(
+        n, c["search"]["strategy"], c["search"]["resultFormat"], c["search"]["maxResults"], float(c["search"]["minScore"]),
+        c["performance"]["maxFileSize"], c["indexing"]["maxChunkSize"], c["vectordb"].get("address", "none")
+    ) for n, c in found]
     return spark.createDataFrame(rows, "preset string, strategy string, form string, results int, score double, size string, chunk int, host string")
 
 
-@rule("case_, errors, warnings", [("defaults", 0, 0), ("size", 1, 0), ("chunk", 1, 0), ("score", 1, 0), ("dims", 0, 1), ("weights", 0, 1), ("missing name", 1, 0), ("unknown preset", 1, 0)])
+@rule(
+    "case_, errors, warnings",
+    [
+        ("defaults", 0, 0), ("size", 1, 0), ("chunk", 1, 0), ("score", 1, 0), ("dims", 0, 1), ("weights", 0, 1), ("missing name", 1, 0),
+        ("unknown preset", 1, 0)
+    ]
+)
 def config_problems(spark, sf_dir):
-    cases = {"defaults": {}, "size": {"performance": {"maxFileSize": "big"}}, "chunk": {"indexing": {"maxChunkSize": 0}}, "score": {"search": {"minScore": 2}}, "dims": {"embedding": {"dimensions": 3}}, "weights": {"search": {"hybrid": {"vectorWeight": 1.0, "keywordWeight": 1.0}}}}
+    cases = {
+        "defaults": {}, "size": {"performance": {"maxFileSize": "big"}}, "chunk": {"indexing": {"maxChunkSize": 0}},
+        "score": {"search": {"minScore": 2}}, "dims": {"embedding": {"dimensions": 3}},
+        "weights": {"search": {"hybrid": {"vectorWeight": 1.0, "keywordWeight": 1.0}}}
+    }
     out = [(k, *map(len, config.problems(config.merge(config.DEFAULTS, v)))) for k, v in cases.items()]
-    for case, call in (("missing name", lambda: config.load('{"a": "${NO_SUCH_NAME}"}', env={})), ("unknown preset", lambda: config.load(preset="none"))):
+    for case, call in (
+        ("missing name", lambda: config.load('{"a": "${NO_SUCH_NAME}"}', env={})), ("unknown preset", lambda: config.load(preset="none"))
+    ):
         try:
             call()
             out.append((case, 0, 0))
@@ -188,17 +255,28 @@ def config_problems(spark, sf_dir):
 
 
 @rule("case_, code, message, again", [
-    ("missing", "INDEXING_ERROR", "File not found: a.ts", False), ("large", "INDEXING_ERROR", "File too large: a.ts (9 bytes, max: 5 bytes)", False), ("language", "PARSE_ERROR", "unsupported language: cobol", False),
-    ("tree", "PARSE_ERROR", "Failed to parse AST for a.ts", False), ("results", "SEARCH_ERROR", "No results found for query: q", False), ("config", "CONFIG_ERROR", "Invalid configuration for x: y", False),
-    ("collection", "VECTOR_DB_ERROR", "Collection c not found", False), ("tokens", "EMBEDDING_ERROR", "Token count 9 exceeds maximum 5", False), ("401", "EMBEDDING_ERROR", "Failed to connect to p: Invalid API key", False),
-    ("404", "EMBEDDING_ERROR", "Model m is not available", False), ("429", "EMBEDDING_ERROR", "Rate limit exceeded, retrying...", True), ("503", "EMBEDDING_ERROR", "p server error, retrying...", True),
+    ("missing", "INDEXING_ERROR", "File not found: a.ts", False), (
+        "large", "INDEXING_ERROR", "File too large: a.ts (9 bytes, max: 5 bytes)", False
+    ), ("language", "PARSE_ERROR", "unsupported language: cobol", False),
+    ("tree", "PARSE_ERROR", "Failed to parse AST for a.ts", False), (
+        "results", "SEARCH_ERROR", "No results found for query: q", False
+    ), ("config", "CONFIG_ERROR", "Invalid configuration for x: y", False),
+    ("collection", "VECTOR_DB_ERROR", "Collection c not found", False), ("tokens", "EMBEDDING_ERROR", "Token count 9 exceeds maximum 5", False), (
+        "401", "EMBEDDING_ERROR", "Failed to connect to p: Invalid API key", False
+    ),
+    ("404", "EMBEDDING_ERROR", "Model m is not available", False), (
+        "429", "EMBEDDING_ERROR", "Rate limit exceeded, retrying...", True
+    ), ("503", "EMBEDDING_ERROR", "p server error, retrying...", True),
     ("418", "none", "tea", False), ("timeout", "none", "a timeout", True)])
 def error_rules(spark, sf_dir):
     """Code, text and retryability of each kind of error, and of the statuses of a model server."""
     kinds = {"missing": errors.FileMissing("a.ts"), "large": errors.FileTooLarge("a.ts", 9, 5), "language": errors.UnsupportedLanguage("cobol"), "tree": errors.SyntaxTreeError("a.ts"), "results": errors.NoResults("q"),
              "config": errors.InvalidConfig("x", "y"), "collection": errors.CollectionNotFound("c"), "tokens": errors.TokenLimitExceeded(9, 5)}
     kinds |= {str(s): errors.of_status(s, "p", "m", OSError("tea")) for s in (401, 404, 429, 503, 418)} | {"timeout": OSError("a timeout")}
-    return spark.createDataFrame([(k, getattr(e, "code", "none"), str(e), errors.may_pass(e)) for k, e in kinds.items()], "case_ string, code string, message string, again boolean")
+    return spark.createDataFrame(
+        [(k, getattr(e, "code", "none"), str(e), errors.may_pass(e)) for k, e in kinds.items()],
+        "case_ string, code string, message string, again boolean"
+    )
 
 
 @rule("case_, calls, waited, outcome", [("fails", 3, 3.0, "OSError"), ("recovers", 2, 1.0, "ok"), ("cannot pass", 1, 0.0, "ProviderUnreachable")])
@@ -226,12 +304,21 @@ def retry_rules(spark, sf_dir):
     ("mxbai-embed-large", 1024, 512, 0, 0.0), ("all-minilm", 384, 512, 0, 0.0), ("unknown", 768, 8192, 0, 0.0)])
 def model_tables(spark, sf_dir):
     """Sizes, limits and prices of models; a size is requested only where it is not the model's own."""
-    names = ("text-embedding-3-small", "text-embedding-3-large", "text-embedding-ada-002", "nomic-embed-text", "mxbai-embed-large", "all-minilm", "unknown")
+    names = (
+        "text-embedding-3-small", "text-embedding-3-large", "text-embedding-ada-002", "nomic-embed-text", "mxbai-embed-large", "all-minilm",
+        "unknown"
+    )
     models = [providers.Model("p", n, 256 if n == "text-embedding-3-large" else None) for n in names]
-    return spark.createDataFrame([(m.name, m.dimensions, m.max_tokens, m.requested_dimensions() or 0, m.cost(1_000_000)["cost"]) for m in models], "model string, dimensions int, max_tokens int, requested int, cost double")
+    return spark.createDataFrame(
+        [(m.name, m.dimensions, m.max_tokens, m.requested_dimensions() or 0, m.cost(1_000_000)["cost"]) for m in models],
+        "model string, dimensions int, max_tokens int, requested int, cost double"
+    )
 
 
-@rule("step, outcome", [("vectors", "2"), ("error", "ModelNotAvailable"), ("healthy", "True"), ("unreachable", "False"), ("models", "all-minilm,nomic-embed-text")])
+@rule(
+    "step, outcome",
+    [("vectors", "2"), ("error", "ModelNotAvailable"), ("healthy", "True"), ("unreachable", "False"), ("models", "all-minilm,nomic-embed-text")]
+)
 def provider_rules(spark, sf_dir):
     """A model call with an override of the size and mapped errors; health; the models of a server that embed."""
 
@@ -246,14 +333,26 @@ def provider_rules(spark, sf_dir):
         providers.guarded(model, missing)(["a"])
     except errors.EngineError as e:
         out.append(("error", type(e).__name__))
-    out += [("healthy", str(providers.healthy(lambda: 1))), ("unreachable", str(providers.healthy(lambda: missing(0)))), ("models", ",".join(sorted(providers.embedding_models(["gpt", "nomic-embed-text", "all-minilm"]))))]
+    out += [
+        ("healthy", str(providers.healthy(lambda: 1))), ("unreachable", str(providers.healthy(lambda: missing(0)))),
+        ("models", ",".join(sorted(providers.embedding_models(["gpt", "nomic-embed-text", "all-minilm"]))))
+    ]
     return spark.createDataFrame(out, "step string, outcome string")
 
 
-@rule("done, total, tier, bar, percentage, eta", [(0, 4, "failed", "░░░░ 0.0%", 0.0, -1.0), (2, 4, "partial", "██░░ 50.0%", 50.0, 4.0), (96, 100, "warning", "███░ 96.0%", 96.0, 4.0 / 24), (4, 4, "success", "████ 100.0%", 100.0, 0.0)])
+@rule(
+    "done, total, tier, bar, percentage, eta",
+    [
+        (0, 4, "failed", "░░░░ 0.0%", 0.0, -1.0), (2, 4, "partial", "██░░ 50.0%", 50.0, 4.0),
+        (96, 100, "warning", "███░ 96.0%", 96.0, 4.0 / 24), (4, 4, "success", "████ 100.0%", 100.0, 0.0)
+    ]
+)
 def progress_values(spark, sf_dir):
     """Percentage, remaining time, bar and tier of runs that took four seconds so far."""
-    rows = [(d, t, jobs.tier(d, t), jobs.bar(d, t, 4), jobs.progress("x", d, t, 4.0)["percentage"], -1.0 if d == 0 else jobs.progress("x", d, t, 4.0)["eta"]) for d, t in ((0, 4), (2, 4), (96, 100), (4, 4))]
+    rows = [(
+        d, t, jobs.tier(d, t), jobs.bar(d, t, 4), jobs.progress("x", d, t, 4.0)["percentage"],
+        -1.0 if d == 0 else jobs.progress("x", d, t, 4.0)["eta"]
+    ) for d, t in ((0, 4), (2, 4), (96, 100), (4, 4))]
     return spark.createDataFrame(rows, "done int, total int, tier string, bar string, percentage double, eta double")
 
 
@@ -277,10 +376,16 @@ def job_states(spark, sf_dir):
     for i in range(12):
         run(lambda report, i=i: i)
     time.sleep(0.2)
-    return spark.createDataFrame([("a", a.status, str(a.result)), ("b", b.status, b.error), ("last", "completed", str(len(held.all())))], "job string, status string, result string")
+    return spark.createDataFrame(
+        [("a", a.status, str(a.result)), ("b", b.status, b.error), ("last", "completed", str(len(held.all())))],
+        "job string, status string, result string"
+    )
 
 
-@rule("n, level, prefix, message, data", [(0, "info", "engine", "started", '{"files": 3}'), (1, "error", "engine:chunks", "failed", '{"error": "x", "name": "ValueError"}')])
+@rule(
+    "n, level, prefix, message, data",
+    [(0, "info", "engine", "started", '{"files": 3}'), (1, "error", "engine:chunks", "failed", '{"error": "x", "name": "ValueError"}')]
+)
 def log_lines(spark, sf_dir):
     """Lines of two loggers as JSON; those below the level are silent, as all are before set-up."""
     out = io.StringIO()
@@ -298,7 +403,10 @@ def log_lines(spark, sf_dir):
         for h in [h for h in root.handlers if not isinstance(h, logging.NullHandler)]:
             root.removeHandler(h)
     rows = [json.loads(line) for line in out.getvalue().splitlines()]
-    return spark.createDataFrame([(i, r["level"], r["prefix"], r["message"], json.dumps(r["data"])) for i, r in enumerate(rows)], "n int, level string, prefix string, message string, data string")
+    return spark.createDataFrame(
+        [(i, r["level"], r["prefix"], r["message"], json.dumps(r["data"])) for i, r in enumerate(rows)],
+        "n int, level string, prefix string, message string, data string"
+    )
 
 
 @rule("step, changed, paths", [("no state", False, ""), ("same", False, ""), ("commit", True, "b.ts"), ("branch", True, "b.ts")])

@@ -23,7 +23,9 @@ def test_file_changes_over_batches(spark, tmp_path):
 
     before = spark.conf.get(state.PROVIDER, None)
     one = run([("a", "1", False, 1), ("b", "1", False, 1), ("c", "1", False, 1), ("c", "2", False, 2), (None, "x", False, 1), ("n", "1", None, None)])
-    assert sorted((r.path, r.change, r.hash) for r in one.collect()) == [("a", "added", "1"), ("b", "added", "1"), ("c", "added", "1"), ("c", "modified", "2")]
+    assert sorted((r.path, r.change, r.hash) for r in one.collect()) == [
+        ("a", "added", "1"), ("b", "added", "1"), ("c", "added", "1"), ("c", "modified", "2")
+    ]
     run([("a", "1", False, 5), ("b", None, True, 5), ("c", "0", False, 1), ("d", None, True, 5)])  # same hash, deleted, out of order, unknown
     three = run([("b", "9", False, 6), ("b", "9", False, 6), ("a", "3", None, 7)])
     got = sorted((r.seq, r.path, r.change) for r in three.collect() if r.seq > 2)
@@ -80,7 +82,9 @@ def test_tree_descends_into_changed_folders_only(spark, tmp_path, listed):
 
 def test_trees_of_odd_snapshots(spark, tmp_path):
     schema = "path string, hash string"
-    none, odd = spark.createDataFrame([], schema), spark.createDataFrame([("a", ""), ("a/b", "1"), ("a b/ü/c", "2"), ("/lead", "3"), ("x\ny/z", "4")], schema)
+    none, odd = spark.createDataFrame([], schema), spark.createDataFrame(
+        [("a", ""), ("a/b", "1"), ("a b/ü/c", "2"), ("/lead", "3"), ("x\ny/z", "4")], schema
+    )
     trees = [merkle.StoredTree(spark, f"file://{tmp_path}/{i}").write(s) for i, s in enumerate((none, odd))]
     assert trees[0].root() == merkle.EMPTY != trees[1].root()
     found, _ = merkle.tree_diff(*trees, f"file://{tmp_path}/scratch")

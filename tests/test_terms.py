@@ -24,7 +24,9 @@ def test_containing_equals_brute_force(spark):
 def brute(texts):
     out = {}
     for t in texts:
-        words = [w for w in re.split(r"\s+", re.sub(r"[^\w\s]", " ", t or "", flags=re.ASCII).lower()) if len(w) > 2 and w not in fixed.SCORED_STOP_WORDS]
+        words = [w for w in re.split(
+            r"\s+", re.sub(r"[^\w\s]", " ", t or "", flags=re.ASCII).lower()
+        ) if len(w) > 2 and w not in fixed.SCORED_STOP_WORDS]
         for w in set(words):
             n, d = out.get(w, (0, 0))
             out[w] = n + words.count(w), d + 1
