@@ -15,6 +15,7 @@ import json
 import os
 import sys
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -52,11 +53,15 @@ def run(spark: SparkSession, documents: str, output: str, languages: list[str] |
             spark.createDataFrame([], rows.drop("lang").schema).write.mode("overwrite").parquet(f"{output}/{name}/lang={gone}")
         return kept.get
 
-    wrote = write(inverted.terms(docs), "terms")
-    known = spark.read.schema(TERMS).parquet(f"{output}/terms")
-    known = known.where(F.col("lang").isin(languages)) if languages else known
-    rows = inverted.postings(docs, known).repartitionByRange("lang", "term", "doc_id")  # a frequent term has many tasks
-    wrote |= write(rows.sortWithinPartitions("lang", "term", "doc_id"), "postings")
+    counts = inverted.term_counts(docs).persist(StorageLevel.DISK_ONLY)  # texts are read once; a lost executor's part is counted anew
+    try:
+        wrote = write(inverted.terms(docs, counts), "terms")
+        known = spark.read.schema(TERMS).parquet(f"{output}/terms")
+        known = known.where(F.col("lang").isin(languages)) if languages else known
+        rows = inverted.postings(counts, known).repartitionByRange("lang", "term", "doc_id")  # a frequent term has many tasks
+        wrote |= write(rows.sortWithinPartitions("lang", "term", "doc_id"), "postings")
+    finally:
+        counts.unpersist()
     read = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().asDict()
     LOG.info("ended", extra={"data": {"read": documents, "wrote": output, **read, **wrote}})
     return table(spark, output, shape)

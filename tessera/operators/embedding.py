@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, Strin
 
 from tessera import errors
 from tessera.functions import text as T
-from tessera.session import ship
+from tessera.session import give_back, ship
 
 #: A model: texts to their vectors, in the order of the texts or as (place, vector) in any order.
 Model = Callable[[Sequence[str]], Sequence]
@@ -163,6 +163,7 @@ def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts
             if open_texts:
                 send(state[0])
             yield from leave(True)
+        give_back()
 
     ship(spark)
     return rows_in.mapInArrow(rows, schema)

@@ -1,6 +1,6 @@
 """Keyword index: terms of each language with their document frequency, and postings with tf-idf scores.
 
-Words are counted inside their row. A document's language is a corpus of its own, as idf needs.
+Words are counted inside their row, in Arrow batches; a document's language is a corpus of its own, as idf needs.
 
 Defined results: null and empty texts have no terms but count as documents; a null language is one
 language; rows that repeat an id are documents of their own; stop words and words of fewer than three
@@ -8,50 +8,88 @@ letters are no terms; the score of a term that all documents hold is 0."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from tessera.functions import fixed
-from tessera.functions import text as T
+from tessera.session import ship
 
 #: Terms in more than 1 / FREQUENT of all postings are broadcast: fewer than FREQUENT.
 FREQUENT = 10_000
+#: Rows that a task makes before it sends them on.
+ROWS = 50_000
+#: The words of functions.text.plain_words: runs of ASCII word characters, of three or more.
+WORD = re.compile("[A-Za-z0-9_]{3,}")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased words of a text that may be terms, in order."""
+    return [w for w in map(str.lower, WORD.findall(text)) if w not in _STOP]
+
+
+_STOP = frozenset(fixed.SCORED_STOP_WORDS)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, term, n (its places) and size (words that are terms) of docs (doc_id, lang, text)."""
-    words = T.without(T.plain_words(F.coalesce("text", F.lit(""))), fixed.SCORED_STOP_WORDS)
-    counted = docs.select("doc_id", "lang", words.alias("words")).select(
-        "doc_id", "lang", F.size("words").alias("size"), T.word_counts(F.col("words")).alias("counts")
-    )
-    return counted.select("doc_id", "lang", "size", F.explode("counts").alias("c")).select(
-        "doc_id", "lang", F.col("c.first").alias("term"), F.col("c.n").cast("long").alias("n"), "size"
-    )
+    rows_in = docs.select("doc_id", "lang", "text")
+    schema = StructType(rows_in.schema.fields[:2]).add("term", StringType()).add("n", LongType()).add("size", IntegerType())
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            at: list[int] = []
+            terms: list[str] = []
+            n: list[int] = []
+            size: list[int] = []
+
+            def out(b=b) -> pa.RecordBatch:
+                own = [b.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)]
+                made = [pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(size, pa.int32())]
+                return pa.RecordBatch.from_arrays([*own, *made], schema.names)
+
+            for i, text in enumerate(b.column(2)):
+                words = words_of(text.as_py() or "")
+                counts = Counter(words)
+                at.extend([i] * len(counts))
+                terms.extend(counts.keys())
+                n.extend(counts.values())
+                size.extend([len(words)] * len(counts))
+                if len(at) >= ROWS:
+                    yield out()
+                    at, terms, n, size = [], [], [], []
+            if at:
+                yield out()
+
+    ship(docs.sparkSession)
+    return rows_in.mapInArrow(rows, schema)
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """lang, term, df, documents (of the language) and idf."""
+def terms(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """lang, term, df, documents (of the language) and idf; counts may be those of docs, if they are kept."""
     held = docs.groupBy("lang").agg(F.count("*").alias("documents")).select(F.col("lang").alias("of"), "documents")
-    counted = term_counts(docs).groupBy("lang", "term").agg(F.count("*").alias("df"))
+    counted = (term_counts(docs) if counts is None else counts).groupBy("lang", "term").agg(F.count("*").alias("df"))
     met = counted.join(held, F.col("lang").eqNullSafe(F.col("of")))
     return met.select("lang", "term", "df", "documents", F.log(F.col("documents") / F.col("df")).alias("idf"))
 
 
-def postings(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """lang, term, doc_id, n and score of docs, for the terms of their languages.
+def postings(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """lang, term, doc_id, n and score of counted documents, for the terms of their languages.
 
-    Terms with many postings are broadcast, so the join by term has no hot key."""
+    Terms with many postings are broadcast, and their rows have no key in the join of all others, so no key is hot."""
     total = known.agg(F.sum("df")).first()[0] or 0
-    few = known.select(F.col("lang").alias("of"), F.col("term").alias("word"), "df", "idf")
-    same = F.col("lang").eqNullSafe(F.col("of")) & (F.col("term") == F.col("word"))
-    often = F.broadcast(few.where(F.col("df") > total / FREQUENT).select("of", "word", "idf"))
-    seldom = few.where(F.col("df") <= total / FREQUENT).select("of", "word", "idf")
-    rows = term_counts(docs).join(
-        often.withColumnsRenamed({"of": "of1", "word": "word1", "idf": "idf1"}),
-        F.col("lang").eqNullSafe(F.col("of1")) & (F.col("term") == F.col("word1")), "left"
-    )
-    score = lambda idf: F.col("n") / F.col("size") * F.col(idf)
-    names = ["lang", "term", "doc_id", "n"]
-    hot = rows.where("idf1 is not null").select(*names, score("idf1").alias("score"))
-    rest = rows.where("idf1 is null").select(*names, "size").join(seldom, same).select(*names, score("idf").alias("score"))
-    return hot.unionByName(rest)
+    lang = F.coalesce("lang", F.lit("\0"))  # no language is one, too
+    key = F.xxhash64(lang, "term")
+    few = known.select(key.alias("__k"), lang.alias("__l"), F.col("term").alias("__t"), "df", "idf")
+    often = few.where(F.col("df") > total / FREQUENT).select("__k", "__l", "__t", F.col("idf").alias("__often"))
+    seldom = few.where(F.col("df") <= total / FREQUENT).select("__k", "__l", "__t", F.col("idf").alias("__seldom"))
+    rows = counts.withColumns({"__k": key, "__l": lang, "__t": F.col("term")})
+    rows = rows.join(F.broadcast(often), ["__k", "__l", "__t"], "left")
+    spare = F.when(F.col("__often").isNull(), F.col("__k")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    rows = rows.withColumns({"__k": spare, "__t": F.when(F.col("__often").isNull(), F.col("__t"))}).join(seldom, ["__k", "__l", "__t"], "left")
+    return rows.select("lang", "term", "doc_id", "n", (F.col("n") / F.col("size") * F.coalesce("__often", "__seldom")).alias("score"))

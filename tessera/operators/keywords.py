@@ -1,15 +1,26 @@
-"""Scored keywords of whole tables: counted inside a row (sorted words and their runs), for texts of any length.
+"""Scored keywords of whole tables, counted inside their row in Arrow batches, for texts of any length.
 
 The column forms in functions.text compare words within a row and suit queries and chunks."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from tessera.functions import fixed
 from tessera.functions import text as T
+from tessera.session import ship
+
+#: The words of functions.text.plain_words, and the breaks of raw_words.
+WORD, SPACE = re.compile("[A-Za-z0-9_]{3,}"), re.compile(fixed.SPACE + "+")
+_STOP = frozenset(fixed.SCORED_STOP_WORDS)
 
 
 GRAM = 3
@@ -53,17 +64,46 @@ def document_frequency(words: DataFrame, corpus: DataFrame, key: str, text: str)
     return within.join(runs, "run").groupBy("word").agg(F.count_distinct("__d").alias("df"))
 
 
+def _word_scores(text: str, most: int | None) -> list[tuple[str, int, float]]:
+    """(word, first place among cleaned words, share of the raw words), best first."""
+    raw = SPACE.split(text.lower())
+    places: dict[str, int] = {}
+    for i, w in enumerate(map(str.lower, WORD.findall(text))):
+        if w not in _STOP:
+            places.setdefault(w, i)
+    n = Counter(raw)
+    scored = sorted(((w, i, n[w] / len(raw)) for w, i in places.items()), key=lambda x: (-x[2], x[1]))
+    return scored[:most]
+
+
+def word_scores(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """key, word, pos, score and rank of each row's words that may be keywords (the best `most`), counted in Arrow batches.
+
+    Nothing is shuffled; a null text has none. What functions.text.scored_words gives, for texts of any length."""
+    rows_in = df.select(F.col(key), F.col(text).alias("__t"))
+    schema = StructType(rows_in.schema.fields[:1]).add("word", StringType()).add("pos", IntegerType()).add("score", DoubleType()).add("rank", IntegerType())
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            texts = b.column(1)
+            for lo in range(0, len(b), 256):
+                found = [(i, r, *x) for i in range(lo, min(lo + 256, len(b))) if texts[i].is_valid for r, x in enumerate(_word_scores(texts[i].as_py(), most), 1)]
+                at, rank, word, pos, score = zip(*found, strict=True) if found else ([],) * 5
+                own = b.column(0).take(pa.array(at, pa.int64()))
+                made = [pa.array(word, pa.string()), pa.array(pos, pa.int32()), pa.array(score, pa.float64()), pa.array(rank, pa.int32())]
+                yield pa.RecordBatch.from_arrays([own, *made], schema.names)
+
+    ship(df.sparkSession)
+    return rows_in.mapInArrow(rows, schema)
+
+
 def scored_keywords(df: DataFrame, key: str, text: str, most: int = 10, corpus: DataFrame | None = None) -> DataFrame:
     """key, keyword, score and rank: term frequency, times ln(N / df) over a corpus with the same columns, if given.
 
     Words are counted inside their row; without a corpus nothing is shuffled."""
-    lists = df.select(F.col(key), T.raw_words(F.col(text)).alias("__raw"), T.plain_words(F.col(text)).alias("__plain"))
-    found = lists.select(key, T.scored_words(F.col("__raw"), F.col("__plain")).alias("__words"))
     if corpus is None:
-        best = F.array_sort(F.transform("__words", lambda x: F.struct((-x["score"]).alias("s"), x["pos"].alias("p"), x["word"].alias("w"))))
-        top = found.select(key, F.posexplode(F.slice(best, 1, most)).alias("__i", "__x"))
-        return top.select(key, F.col("__x.w").alias("keyword"), (-F.col("__x.s")).alias("score"), (F.col("__i") + 1).alias("rank"))
-    words = found.select(key, F.explode("__words").alias("__x")).select(key, "__x.*")
+        return word_scores(df, key, text, most).select(key, F.col("word").alias("keyword"), "score", "rank")
+    words = word_scores(df, key, text).drop("rank")
     total = corpus.agg(F.count("*").alias("total"))
     df_of = document_frequency(words.select("word"), corpus, key, text)
     idf = df_of.join(F.broadcast(total), F.lit(True)).select("word", F.log(F.col("total") / F.col("df")).alias("idf"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: texts may be long, and workers hold a batch at a time.
@@ -36,6 +39,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers live on, and stages to come count what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over all cores, by keys, where its input is too small for Spark to cut it into as many partitions (one row
     group is one task); a larger input stays as it is, so texts are shuffled only where they are few."""

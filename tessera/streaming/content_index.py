@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunking, embedding, search
 
+VECTORS = "hash string, embedding array<float>"
+
 
 class ContentIndex:
     """`model` embeds texts; its requests hold at most max_texts texts and max_tokens tokens."""
@@ -65,10 +67,12 @@ class ContentIndex:
         if mine is None:
             return out
         contents = mine.where((F.col("batch") == batch) & F.col("seq").isNotNull()).select("hash", "content")
-        new = embedding.missing(contents, self._table("vectors", spark))
+        path = f"{self.root}/vectors"
+        spark.createDataFrame([], VECTORS).write.mode("ignore").parquet(path)  # so that there is a table to look up
+        new = embedding.missing(contents, spark.read.schema(VECTORS).parquet(path))
         vectors = embedding.embed_requests(new, self.model, "content", self.max_texts, self.max_tokens, text_tokens=1 << 30)
         vectors = vectors.observe(fresh, F.count("embedding").alias("embedded"), F.count("error").alias("failed"))
-        vectors.where("embedding is not null").select("hash", "embedding").write.mode("append").parquet(f"{self.root}/vectors")
+        vectors.where("embedding is not null").select("hash", "embedding").write.mode("append").parquet(path)
         out |= fresh.get
         if out["failed"]:  # what succeeded is kept, the batch is taken again
             raise RuntimeError(f"batch {batch}: {out['failed']} contents were not embedded")
@@ -86,7 +90,7 @@ class ContentIndex:
 
     def vectors(self) -> DataFrame:
         found = self._table("vectors")
-        return self.spark.createDataFrame([], "hash string, embedding array<float>") if found is None else found
+        return self.spark.createDataFrame([], VECTORS) if found is None else found
 
     def rows(self) -> DataFrame:
         """Current chunks with their vectors, as search takes them."""

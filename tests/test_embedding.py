@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import fixed
 from tessera.functions import text as T
 from tessera.functions.vectors import hash_embed
 from tessera.operators import embedding, inverted, keywords
@@ -106,6 +107,13 @@ def test_word_counts_and_scored_words_inside_rows(spark):
     assert "Exchange" not in plan.replace("ReusedExchange", "") or "hashpartitioning" not in plan  # texts are not shuffled
 
 
+def test_words_in_arrow_are_those_of_the_column_form(spark):
+    r = random.Random(7)
+    texts = ["".join(r.choice("aBzé_1 \t\n.,-İK\u00a0\u2003") for _ in range(r.randrange(60))) for _ in range(300)] + [None, "", "The word of Words"]
+    rows = rows_of(spark, texts).select("content", T.without(T.plain_words(F.coalesce("content", F.lit(""))), fixed.SCORED_STOP_WORDS).alias("w")).collect()
+    assert [inverted.words_of(x.content or "") for x in rows] == [x.w for x in rows]
+
+
 def test_term_counts_of_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, "en", None), (2, "en", ""), (3, None, "Word word the"), (3, None, "word")], "doc_id long, lang string, text string"
@@ -113,5 +121,7 @@ def test_term_counts_of_odd_rows(spark):
     got = sorted((r.doc_id, r.lang, r.term, r.n, r.size) for r in inverted.term_counts(docs).collect())
     assert got == [(3, None, "word", 1, 1), (3, None, "word", 2, 2)]
     known = inverted.terms(docs)
+    none = docs.limit(0)
+    assert inverted.postings(inverted.term_counts(none), inverted.terms(none)).collect() == []
     assert [(r.lang, r.df, r.documents, r.idf) for r in known.collect()] == [(None, 2, 2, 0.0)]
-    assert len(inverted.postings(docs, known).collect()) == 2 and inverted.postings(docs.limit(0), inverted.terms(docs.limit(0))).collect() == []
+    assert len(inverted.postings(inverted.term_counts(docs), known).collect()) == 2
