@@ -45,7 +45,7 @@ INDEX = rf"""WITH p AS ({sql_line_pieces(0)}),
   d AS (SELECT hash, ('0x' || substr(md5(w), 1, 8))::bigint AS h FROM w),
   v AS (SELECT hash, h % 64 AS i, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM d GROUP BY 1, 2),
   n AS (SELECT hash, count(*) FILTER (WHERE v <> 0) AS used, count(*) FILTER (WHERE v > 0) AS positive FROM v GROUP BY hash)
-  SELECT doc_id, lang, seq, first_line AS start_line, last_line AS end_line, {sql_tokens('c.content')} AS tokens, hash, uses, coalesce(used, 0) AS used, coalesce(positive, 0) AS positive
+  SELECT doc_id, lang, seq, first_line AS start_line, last_line AS end_line, ({sql_tokens('c.content')})::int AS tokens, hash, uses, coalesce(used, 0)::int AS used, coalesce(positive, 0)::int AS positive
   FROM c JOIN u ON u.content = c.content LEFT JOIN n USING (hash)"""
 
 KEYWORDS = f"""WITH w AS (SELECT doc_id, lang, list_filter({sql_plain_words('text')}, lambda w: w NOT IN {in_list(fixed.SCORED_STOP_WORDS)}) AS ws FROM documents),

@@ -52,7 +52,7 @@ SQL_LINES = f"""(SELECT doc_id, lang, 'src/' || doc_id || '.' || lang AS path, {
   FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))"""
 
 
-@query(f"""SELECT path, language, i AS node_seq, CASE language WHEN 'ruby' THEN 'method' ELSE 'function' END AS type, name, 3 * i + 1 AS start_line, 3 * i + 3 AS end_line,
+@query(f"""SELECT path, language, i::int AS node_seq, CASE language WHEN 'ruby' THEN 'method' ELSE 'function' END AS type, name, (3 * i + 1)::int AS start_line, (3 * i + 3)::int AS end_line,
   CASE lang WHEN 'en' THEN 7 ELSE 0 END AS start_char, CASE language WHEN 'ruby' THEN 3 ELSE 1 END AS end_char, sha256(CASE language WHEN 'ruby' THEN 'def ' || name || chr(10) || '  # ' || line || chr(10) || 'end'
     ELSE 'function ' || name || '() {{' || chr(10) || '  // ' || line || chr(10) || '}}' END) AS content_sha256 FROM {SQL_LINES}""")
 def node_extraction_texts(spark, sf_dir):
@@ -61,7 +61,7 @@ def node_extraction_texts(spark, sf_dir):
     return nodes.withColumn("content_sha256", F.sha2(F.col("content").cast("binary"), 256)).drop("content", "error")
 
 
-@query(f"""SELECT path, 3 * count(*) AS total_lines, sum(length(name) + length(line) + CASE language WHEN 'ruby' THEN 4 + 5 + 4 ELSE CASE lang WHEN 'en' THEN 16 ELSE 9 END + 10 + 2 END + 1) - 1 AS total_chars,
+@query(f"""SELECT path, (3 * count(*))::int AS total_lines, (sum(length(name) + length(line) + CASE language WHEN 'ruby' THEN 4 + 5 + 4 ELSE CASE lang WHEN 'en' THEN 16 ELSE 9 END + 10 + 2 END + 1) - 1)::int AS total_chars,
   CASE any_value(language) WHEN 'ruby' THEN 'method' ELSE 'function' END AS chunk_types FROM {SQL_LINES} GROUP BY path""")
 def parse_metadata_texts(spark, sf_dir):
     found = text_sources(spark, sf_dir)
@@ -116,7 +116,7 @@ def names_by_path(rows: DataFrame) -> DataFrame:
 
 
 def sql_names(state_: str) -> str:
-    return f"""SELECT 'src/' || path || '.ts' AS path, count(*) AS names, md5(string_agg(lower(regexp_extract(line, '[A-Za-z]+')) || '_' || i, ',' ORDER BY i)) AS names_md5, 1 AS first, 3 * count(*) AS last
+    return f"""SELECT 'src/' || path || '.ts' AS path, count(*)::int AS names, md5(string_agg(lower(regexp_extract(line, '[A-Za-z]+')) || '_' || i, ',' ORDER BY i)) AS names_md5, 1 AS first, (3 * count(*))::int AS last
       FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {state_}) GROUP BY path"""
 
 
@@ -214,7 +214,7 @@ SQL_LANES = ", ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::bigint)::huge
 @query(rf"""WITH {SQL_STATES}, f AS (SELECT {SQL_DEEP} AS path, sha256(text) AS hash FROM new),
   a AS (SELECT sha256(path || chr(10) || hash) AS h, unnest(range(0, len(string_split(path, '/')))) AS depth, string_split(path, '/') AS parts FROM f),
   s AS (SELECT depth, array_to_string(list_slice(parts, 1, depth), '/') AS folder, count(*) AS files, {SQL_LANES} FROM a GROUP BY 1, 2)
-  SELECT depth, folder, files, sha256(concat_ws(':', files, l0, l1, l2, l3)) AS digest FROM s""")
+  SELECT depth::int AS depth, folder, files, sha256(concat_ws(':', files, l0, l1, l2, l3)) AS digest FROM s""")
 def merkle_folders(spark, sf_dir):
     """The digest of every folder of a snapshot."""
     return merkle.folders(deep_snapshots(spark, sf_dir)[1]).drop("parent")

@@ -7,15 +7,17 @@ has been idle. A batch that runs again starts from the state before it and has t
 from __future__ import annotations
 
 import contextlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tessera.session import ship
-
+#: Processors travel as code: the process that starts a stateful operator is given no files of the application.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,7 +63,6 @@ def file_changes(feed: DataFrame) -> DataFrame:
     """path, change (added, modified, deleted), hash and seq: the changes that a feed of (path, hash, deleted, seq) makes.
 
     seq orders what is said of a path; what comes out of order, twice, or with the hash that is known is no change."""
-    ship(feed.sparkSession)
     rows = feed.select(
         "path", F.col("seq").cast("long").alias("seq"), "hash", F.coalesce("deleted", F.lit(False)).alias("deleted")
     ).where("path is not null and seq is not null")
@@ -121,7 +122,6 @@ def trigger_sessions(triggers: DataFrame, lateness: str = "5 minutes", idle_ms:
     changes or that has been idle for so long.
 
     triggers: key, trigger (an id), ts. One that comes again counts once; one older than the watermark is dropped."""
-    ship(triggers.sparkSession)
     rows = triggers.where("key is not null and trigger is not null and ts is not null")
     rows = rows.select("key", "trigger", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
     rows = rows.withColumn("at_ms", F.unix_millis("ts"))
