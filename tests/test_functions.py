@@ -112,6 +112,20 @@ def test_durations_and_hashes(spark):
     assert one(spark, T.string_hash(F.col("t"), "sha512"), t="a").startswith("1f40fc92")
 
 
+def test_durations_round_as_printf(spark):
+    import duckdb
+
+    seconds = [k * 50.0 for k in range(20, 1200)]
+    hours = [k * 180_000.0 for k in range(20, 600)] + [k * 997 * 180_000.0 for k in range(1, 40)] + [0.5, 1.5, 2.5, 999.5, 1.0e15 + 0.5, 3.6e21]
+    odd = [k * 997 / 7 for k in range(0, 40_000, 13)] + [59_949.999999999993, 59_950.00000000001, 3_599_999.9]
+    ms = [*seconds, *(60 * x for x in seconds), *hours, *odd]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(ms)], "i int, m double")
+    got = [r.d for r in df.select("i", T.format_duration(F.col("m")).alias("d")).orderBy("i").collect()]
+    case = """CASE WHEN m < 1000 THEN printf('%.0fms', m) WHEN m < 60000 THEN printf('%.1fs', m / 1000) WHEN m < 3600000 THEN printf('%.1fm', m / 60000)
+      ELSE printf('%.1fh', m / 3600000) END"""
+    assert got == [r[0] for r in duckdb.execute(f"SELECT {case} FROM (SELECT unnest(?::double[]) AS m)", [ms]).fetchall()]
+
+
 def test_lines_offsets_and_metadata(spark):
     df = spark.createDataFrame([("ab\ncde\nf", 2, 3, 5)], "t string, a int, b int, o int")
     row = df.select(
