@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import work_dir
+
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -64,14 +66,20 @@ def pairwise_root(snap: DataFrame, order: str = "path") -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with i = 0, 1, 2, ... in order: rows are numbered within ranges and ranges are offset by counts."""
+    """df with i = 0, 1, 2, ... in order: rows are numbered within ranges and ranges are offset by counts.
+
+    The ranges are written before they are counted: their bounds come from a sample, and two readings of a plan draw two."""
     from pyspark.sql import Window as W
 
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(order)))
-    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a partition
+    spark, path = df.sparkSession, f"{work_dir(df.sparkSession, 'ranges')}/rows"
+    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    staged = spark.read.schema(ranged.schema).parquet(path)
+    place = F.col("__m").bitwiseAND((1 << 33) - 1)  # the id holds the number of the range above 33 bits
+    rows = staged.withColumns({"__p": F.shiftright("__m", 33), "__r": place})
+    counts = rows.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a range
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(before.select("__p", "__before")), "__p").withColumn("i", F.col("__before") + F.col("__r") - 1).drop("__p", "__r", "__before")
+    return rows.join(F.broadcast(before.select("__p", "__before")), "__p").withColumn("i", F.col("__before") + F.col("__r")).drop("__p", "__r", "__m", "__before")
 
 
 def incremental_merge(chunks: DataFrame, changes: DataFrame, fresh: DataFrame, path: str = "path") -> DataFrame:

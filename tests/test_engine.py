@@ -120,6 +120,13 @@ def test_roots(spark):
     assert changes.pairwise_root(snap.limit(0)).first().root_hash == changes.EMPTY_ROOT
 
 
+def test_rows_are_numbered_alike_by_every_reading(spark):
+    """More rows than the sample of a range partition holds, so two samples give two partitions."""
+    rows = spark.range(50_000, numPartitions=5).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("o"), "id")
+    got = changes.numbered(rows, "o").orderBy("i").collect()
+    assert [r.i for r in got] == list(range(50_000)) and all(a.o < b.o for a, b in zip(got, got[1:], strict=False))
+
+
 def test_globs_and_ignore_rules(spark):
     paths = ["src/a.ts", "src/x/b.test.ts", "lib/c.rb", "node_modules/q/d.js", "src/gen/e.ts", "src/gen/keep.ts", "f.ts"]
     df = files.described(spark.createDataFrame([(p, 10) for p in paths], "path string, size long"))
