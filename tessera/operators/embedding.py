@@ -83,11 +83,12 @@ def packed(tokens: list[int | None], groups: list, max_texts: int, max_tokens: i
     return out
 
 
-def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts: int = 2048, max_tokens: int = 300_000, text_tokens: int = 8192,
+def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts: int = 2048, max_tokens: int = 300_000, text_tokens: int | None = 8192,
                    in_flight: int = 4, per_second: float | None = None, group: str | None = None, tries: int = 3, wait: float = 1.0) -> DataFrame:
     """df with embedding, error, request (its number in its task), place in it, and the number of texts together in it.
 
-    `per_second` is the limit of requests of the whole job: each task that can run at a time gets its share."""
+    `per_second` is the limit of requests of the whole job: each task that can run at a time gets its share.
+    `text_tokens` is the model's own limit for a text; None is for a model that has none."""
     spark = df.sparkSession
     share = per_second / max(1, spark.sparkContext.defaultParallelism) if per_second else None
     limit_error = lambda n: str(errors.TokenLimitExceeded(n, text_tokens, "embedding"))
@@ -144,7 +145,7 @@ def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts
         with ThreadPoolExecutor(in_flight) as pool:
             for b in parts:
                 texts, tokens, groups = (b.column(i).to_pylist() for i in (at, len(own), len(own) + 1))
-                sizes = [n if n is not None and n <= text_tokens else None for n in tokens]
+                sizes = [n if n is not None and (text_tokens is None or n <= text_tokens) else None for n in tokens]
                 lo, marks = 0, []
                 for i, size in enumerate(sizes):
                     before = state[0]

@@ -29,10 +29,13 @@ VECTORS = "hash string, embedding array<float>"
 
 
 def embed_with(
-    df: DataFrame, model: Callable[[Sequence[str]], Sequence], text: str = "content", batch: int = 32, tries: int = 3, wait: float = 1.0
+    df: DataFrame, model: Callable[[Sequence[str]], Sequence], text: str = "content", batch: int = 32, tries: int = 3, wait: float = 1.0,
+    text_tokens: int | None = None
 ) -> DataFrame:
-    """df with embedding and error: a request that keeps failing has null vectors and its error, the others go on."""
-    return embed_requests(df, model, text, batch, tries=tries, wait=wait).drop("request", "place", "together")
+    """df with embedding and error: a request that keeps failing has null vectors and its error, the others go on.
+
+    Texts of any length are sent, unless `text_tokens` says what the model takes."""
+    return embed_requests(df, model, text, batch, text_tokens=text_tokens, tries=tries, wait=wait).drop("request", "place", "together")
 
 
 class Lock:

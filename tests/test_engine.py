@@ -212,6 +212,13 @@ def test_batches_that_fail_do_not_stop_others(spark):
     assert {r.i for r in out if r.embedding is None} == {4, 5} and {r.error for r in out} == {None, "no"}
 
 
+def test_texts_of_any_length_are_embedded_unless_the_model_has_a_limit(spark):
+    df = spark.createDataFrame([(0, "a b"), (1, "a " * 9000)], "i int, content string")
+    model = lambda texts: [[float(len(t))] for t in texts]
+    assert {r.i: (r.embedding, r.error) for r in embed_with(df, model).collect()} == {0: ([3.0], None), 1: ([18000.0], None)}
+    assert [r.error is None for r in embed_with(df, model, text_tokens=8192).orderBy("i").collect()] == [True, False]
+
+
 def write_sources(root):
     (root / "src").mkdir(parents=True)
     (root / "src" / "auth.ts").write_text("export function authenticateUser(token: string) {\n  return validateLogin(token);\n}\n")
