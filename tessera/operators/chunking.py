@@ -107,13 +107,15 @@ def merge_starts(nodes: Column, most: int = 250, gap: int = 3) -> Column:
     """Index (from 0) of the first node of each group: neighbours merge within the budget and a gap of lines."""
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("at"), F.lit(0).alias("end"), _ints().alias("starts"))
 
+    sizes = F.transform(nodes, lambda n: F.struct(T.count_tokens(n["content"]).alias("t"), n["start_line"].alias("start_line"), n["end_line"].alias("end_line")))
+
     def step(a: Column, n: Column) -> Column:
-        t = T.count_tokens(n["content"])
+        t = n["t"]  # counted once a node: the fold names it four times
         new = (a["at"] == 0) | (a["sum"] + t > most) | (n["start_line"] - a["end"] > gap)
         return F.struct(F.when(new, t).otherwise(a["sum"] + t).alias("sum"), (a["at"] + 1).alias("at"), n["end_line"].alias("end"),
                         F.when(new, F.array_append(a["starts"], a["at"])).otherwise(a["starts"]).alias("starts"))
 
-    return F.aggregate(nodes, start, step, lambda a: a["starts"])
+    return F.aggregate(sizes, start, step, lambda a: a["starts"])
 
 
 def merge_nodes(nodes: Column, most: int = 250, gap: int = 3) -> Column:
@@ -139,7 +141,8 @@ def chunks(files: DataFrame, most: int = 250, merge: bool = True, strategy: str
     if merge:
         found = found.withColumn("__c", merge_nodes(F.col("__c"), most))
     kept = [c for c in ("path", "language", "last_modified") if c in files.columns]
-    found = found.select(*kept, F.posexplode("__c").alias("seq", "c"))
+    # outer: for an inner one Spark tests the array's size below the join, with all that makes it written into every use of it
+    found = found.select(*kept, F.posexplode_outer("__c").alias("seq", "c")).where("seq is not null")
     return found.select(
         T.chunk_id(F.col("path"), F.col("c.start_line"), F.col("c.end_line")).alias("id"), *kept, "seq", F.col("c.content").alias("content"),
         F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.start_char").alias("start_char"), F.col("c.end_char").alias("end_char"),

@@ -96,6 +96,18 @@ def test_ruby_declarations():
     assert got == [("module", "Top", 1, 17), ("class", "Inner", 2, 16), ("method", "build", 3, 3), ("method", "go", 4, 12), ("method", "x?", 19, 19)]
 
 
+def test_nodes_are_split_once_a_file_beside_a_join(spark):
+    """Spark infers a filter from an inner explode and writes the whole fold into it, once for each use of the nodes."""
+    nodes = [node(f"f{i}", f"function f{i}() {{ return {i}; }}", 4 * i + 1, 4 * i + 3) for i in range(40)]
+    files_ = spark.createDataFrame([("a.ts", "typescript", nodes), ("b.ts", "typescript", [])], NODES)
+    joined = files_.join(spark.createDataFrame([("a.ts", 1), ("b.ts", 2)], "path string, n int"), "path")
+    out = chunking.chunks(joined, 30)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 4 and "size(CASE" not in plan
+    rows = out.orderBy("seq").collect()
+    assert {r.path for r in rows} == {"a.ts"} and ", ".join(r.symbol_name for r in rows) == ", ".join(f"f{i}" for i in range(40))
+
+
 def test_unsupported_languages_give_error_rows(spark):
     rows = extract.extract_nodes(spark.createDataFrame(
         [("a.py", "python", "def f(): pass"), ("a.rb", "ruby", None)], "path string, language string, content string"
