@@ -3,7 +3,7 @@
     python jobs/keyword_index.py --documents hdfs:///in/documents --output hdfs:///keywords [--languages en,de] [--config FILE]
 
 Reads Parquet documents (doc_id, text, lang). Written below the output, partitioned by language: terms (df, idf)
-and postings (term, doc_id, n, score), ordered by term, so a search for a term reads few row groups. Named
+and postings (term, doc_id, n, score, df), ordered by term, so a search for a term reads few row groups. Named
 languages are replaced and others left as they are; without names, all are. A run replaces whole partitions,
 so it may be repeated at any time, after a failure too, with the same result.
 """
@@ -39,7 +39,7 @@ def run(spark: SparkSession, documents: str, output: str, languages: list[str] |
     docs = docs.where(F.col("lang").isin(languages)) if languages else docs
     shape = StructType([
         StructField("lang", StringType()), StructField("term", StringType()), docs.schema["doc_id"], StructField("n", LongType()),
-        StructField("score", DoubleType())
+        StructField("score", DoubleType()), StructField("df", LongType())
     ])
 
     def write(rows: DataFrame, name: str) -> dict:
@@ -68,11 +68,8 @@ def run(spark: SparkSession, documents: str, output: str, languages: list[str] |
 
 
 def table(spark: SparkSession, output: str, shape: StructType) -> DataFrame:
-    kept = spark.read.schema(shape).parquet(f"{output}/postings")
-    known = spark.read.schema(TERMS).parquet(f"{output}/terms").select(F.col("lang").alias("of"), F.col("term").alias("word"), "df")
-    return kept.join(
-        known, kept["lang"].eqNullSafe(known["of"]) & (F.col("term") == F.col("word"))
-    ).select("lang", "term", "doc_id", "n", "score", "df")
+    """The postings; each has its term's df, so reading them joins nothing."""
+    return spark.read.schema(shape).parquet(f"{output}/postings").select("lang", "term", "doc_id", "n", "score", "df")
 
 
 def main(arguments: list[str] | None = None) -> None:

@@ -79,17 +79,15 @@ def terms(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
 
 def postings(counts: DataFrame, known: DataFrame) -> DataFrame:
-    """lang, term, doc_id, n and score of counted documents, for the terms of their languages.
+    """lang, term, doc_id, n, score and df of counted documents, for the terms of their languages.
 
-    Terms with many postings are broadcast, and their rows have no key in the join of all others, so no key is hot."""
+    Terms with many postings are broadcast, and their rows, most of all, meet them where they are; only the others are
+    shuffled to their terms."""
     total = known.agg(F.sum("df")).first()[0] or 0
     lang = F.coalesce("lang", F.lit("\0"))  # no language is one, too
-    key = F.xxhash64(lang, "term")
-    few = known.select(key.alias("__k"), lang.alias("__l"), F.col("term").alias("__t"), "df", "idf")
-    often = few.where(F.col("df") > total / FREQUENT).select("__k", "__l", "__t", F.col("idf").alias("__often"))
-    seldom = few.where(F.col("df") <= total / FREQUENT).select("__k", "__l", "__t", F.col("idf").alias("__seldom"))
-    rows = counts.withColumns({"__k": key, "__l": lang, "__t": F.col("term")})
-    rows = rows.join(F.broadcast(often), ["__k", "__l", "__t"], "left")
-    spare = F.when(F.col("__often").isNull(), F.col("__k")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
-    rows = rows.withColumns({"__k": spare, "__t": F.when(F.col("__often").isNull(), F.col("__t"))}).join(seldom, ["__k", "__l", "__t"], "left")
-    return rows.select("lang", "term", "doc_id", "n", (F.col("n") / F.col("size") * F.coalesce("__often", "__seldom")).alias("score"))
+    few = known.select(lang.alias("__l"), F.col("term").alias("__t"), "df", "idf")
+    often, seldom = few.where(F.col("df") > total / FREQUENT), few.where(F.col("df") <= total / FREQUENT)
+    met = (lang == F.col("__l")) & (F.col("term") == F.col("__t"))
+    rare = counts.join(F.broadcast(often.select("__l", "__t")), met, "left_anti")
+    rows = counts.join(F.broadcast(often), met).unionByName(rare.join(seldom, met))
+    return rows.select("lang", "term", "doc_id", "n", (F.col("n") / F.col("size") * F.col("idf")).alias("score"), "df")

@@ -175,3 +175,14 @@ def test_command_lines(sf_dir, tmp_path, job):
     assert done.returncode == 0, done.stderr[-2000:]
     lines = [json.loads(x) for x in done.stderr.splitlines() if x.startswith('{"timestamp"')]
     assert lines and lines[-1]["message"] == "ended" and files(f"{tmp_path}/out")
+
+
+def test_postings_are_read_without_a_join(spark, tmp_path):
+    """Each posting has its term's df beside it: what the job returns shuffles nothing."""
+    spark.createDataFrame([(1, "alpha omega omega", "en"), (2, "omega", "en"), (3, "omega", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/in")
+    out = keyword_index.run(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted((r.lang or "", r.term, r.doc_id, r.n, r.df) for r in out.collect()) == [
+        ("", "omega", 3, 1, 1), ("en", "alpha", 1, 1, 1), ("en", "omega", 1, 2, 2), ("en", "omega", 2, 1, 2)
+    ]
