@@ -6,10 +6,18 @@ counts of lines give the first line of each piece, and contents are sliced out a
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from tessera.functions import fixed
 from tessera.functions import text as T
+from tessera.session import ship
 
 
 once = T.once
@@ -55,6 +63,65 @@ def split_lines(text: Column, first_line: Column, most: int = 250) -> Column:
     return once(F.split(text, "\n"), lambda lines: once(piece_starts(tokens_of(lines), most), lambda starts: pieces(lines, starts)))
 
 
+WORD, NOT_SPACE = re.compile("[A-Za-z0-9_]{3,}"), re.compile(f"[^{fixed.SPACE[1:]}+")
+PUNCTUATION, OPERATORS = re.compile(fixed.PUNCTUATION), re.compile(fixed.OPERATORS)
+_STOP = frozenset(fixed.CHUNK_STOP_WORDS)
+
+
+def _pieces(text: str, most: int) -> Iterator[tuple[int, int, int, str]]:
+    """First and last line, tokens and content of each piece of split_lines. A line end is white space, so words and signs of lines add up."""
+    lines = text.split("\n")
+    first, used, words, signs = 0, 0, 0, 0
+    for i, line in enumerate(lines):
+        w, s = len(NOT_SPACE.findall(line)) + len(PUNCTUATION.findall(line)), len(OPERATORS.findall(line))
+        if i > first and used + w + s // 2 > most:
+            yield first, i - 1, words + signs // 2, "\n".join(lines[first:i])
+            first, used, words, signs = i, 0, 0, 0
+        used, words, signs = used + w + s // 2, words + w, signs + s
+    yield first, len(lines) - 1, words + signs // 2, "\n".join(lines[first:])
+
+
+def _chunk_words(text: str, most: int = 10) -> list[str]:
+    """functions.text.chunk_keywords: a text is read until it has so many."""
+    found: dict[str, None] = {}
+    for m in WORD.finditer(text):
+        w = m.group().lower()
+        if w not in _STOP:
+            found[w] = None
+            if len(found) == most:
+                break
+    return list(found)
+
+
+def text_pieces(df: DataFrame, text: str = "text", most: int = 250, step: int = 256) -> DataFrame:
+    """df without its texts, with a row a piece of split_lines: seq, start_line, end_line (from 1), tokens, keywords, hash
+    (SHA-256) and content. A null text has one row, whose seq is null. Texts are read once, in Arrow batches, without a shuffle."""
+    own = [c for c in df.columns if c != text]
+    rows_in = df.select(*own, text)
+    schema = StructType(rows_in.schema.fields[:-1])
+    for name in ("seq", "start_line", "end_line", "tokens"):
+        schema = schema.add(name, IntegerType())
+    schema = schema.add("keywords", ArrayType(StringType())).add("hash", StringType()).add("content", StringType())
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string())
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for lo in range(0, len(whole), step):
+                b, at, made = whole.slice(lo, step), [], []
+                for i, value in enumerate(b.column(len(own))):
+                    x = value.as_py()
+                    if x is None:
+                        at.append(i), made.append((None, None, None, 0, None, None, None))
+                        continue
+                    for seq, (a, z, n, content) in enumerate(_pieces(x, most)):
+                        at.append(i), made.append((seq, a + 1, z + 1, n, _chunk_words(content), hashlib.sha256(content.encode()).hexdigest(), content))
+                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.select(range(len(own))).take(pa.array(at, pa.int64())).columns, *columns], schema.names)
+
+    ship(df.sparkSession)
+    return rows_in.mapInArrow(rows, schema)
+
+
 def split_overlapping(text: Column, most: int = 250, overlap: int = 50) -> Column:
     """array<string>: as split_lines, but each piece begins with the last ceil(overlap / 10) lines of the one before."""
     return F.transform(overlapping_pieces(text, most, overlap), lambda x: x["content"])

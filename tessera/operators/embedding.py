@@ -84,17 +84,18 @@ def packed(tokens: list[int | None], groups: list, max_texts: int, max_tokens: i
 
 
 def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts: int = 2048, max_tokens: int = 300_000, text_tokens: int | None = 8192,
-                   in_flight: int = 4, per_second: float | None = None, group: str | None = None, tries: int = 3, wait: float = 1.0) -> DataFrame:
+                   in_flight: int = 4, per_second: float | None = None, group: str | None = None, tries: int = 3, wait: float = 1.0, tokens: str | None = None) -> DataFrame:
     """df with embedding, error, request (its number in its task), place in it, and the number of texts together in it.
 
     `per_second` is the limit of requests of the whole job: each task that can run at a time gets its share.
-    `text_tokens` is the model's own limit for a text; None is for a model that has none."""
+    `text_tokens` is the model's own limit for a text; None is for a model that has none. `tokens` names a column that
+    has the tokens of each text; without it they are counted."""
     spark = df.sparkSession
     share = per_second / max(1, spark.sparkContext.defaultParallelism) if per_second else None
     limit_error = lambda n: str(errors.TokenLimitExceeded(n, text_tokens, "embedding"))
     own = df.columns
     rows_in = df.withColumns({
-        "__tokens": F.when(F.col(text).isNotNull(), T.count_tokens(F.col(text))), "__group": F.col(group) if group else F.lit(0)
+        "__tokens": F.when(F.col(text).isNotNull(), F.col(tokens) if tokens else T.count_tokens(F.col(text))), "__group": F.col(group) if group else F.lit(0)
     })
     added = {"embedding": ArrayType(FloatType()), "error": StringType(), "request": LongType(), "place": IntegerType(), "together": IntegerType()}
     schema = StructType([*df.schema.fields, *(StructField(n, t) for n, t in added.items())])
@@ -171,21 +172,25 @@ def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts
 
 
 @lru_cache(maxsize=100_000)
-def _place(word: str, dims: int) -> tuple[int, float]:
+def _place(word: str, dims: int) -> int:
+    """A word's dimension; from `dims` on, the one that it is taken from."""
     digest = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-    return digest % dims, 1.0 if digest // dims % 2 == 0 else -1.0
+    return digest % dims + (digest // dims % 2) * dims
+
+
+def _places(words: list[str], dims: int) -> list[int]:
+    """Places of words; long ones are not kept by the cache."""
+    return [_place(w, dims) if len(w) <= 64 else _place.__wrapped__(w, dims) for w in words]
 
 
 def hash_model(dims: int = 64) -> Model:
     """The offline embedder of functions.vectors.hash_embed as a model: unit vectors of hashed words."""
+    camel, words = re.compile("([a-z])([A-Z])"), re.compile("[a-z0-9]{3,}")
 
     def embed(texts: Sequence[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), dims))
-        for v, text in zip(out, texts, strict=True):
-            for word in re.split("[^a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", text).lower()):
-                if len(word) > 2:
-                    at, sign = _place(word, dims)
-                    v[at] += sign
+        found = (np.array(_places(words.findall(camel.sub(r"\1 \2", text).lower()), dims), np.int64) for text in texts)
+        counts = np.stack([np.bincount(at, minlength=2 * dims) for at in found]) if len(texts) else np.zeros((0, 2 * dims))
+        out = (counts[:, :dims] - counts[:, dims:]).astype(np.float64)
         size = np.sqrt((out**2).sum(axis=1))
         return (out / np.where(size == 0, 1, size)[:, None]).tolist()
 

@@ -19,7 +19,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.operators import chunking, embedding, search
 
 VECTORS = "hash string, embedding array<float>"
@@ -46,13 +45,7 @@ class ContentIndex:
 
     def chunked(self, docs: DataFrame) -> DataFrame:
         """Rows of chunks of docs (doc_id, text, lang, file_time, file); seq is null for a document without any."""
-        pieces = docs.select("doc_id", "lang", "file_time", "file", chunking.split_lines(F.col("text"), F.lit(1), self.chunk_tokens).alias("pieces"))
-        each = pieces.select("doc_id", "lang", "file_time", "file", F.posexplode_outer("pieces").alias("seq", "p"))
-        content = F.col("p.content")
-        return each.select(
-            "doc_id", "lang", "file_time", "file", "seq", F.col("p.start_line").alias("start_line"), F.col("p.end_line").alias("end_line"),
-            T.count_tokens(content).alias("tokens"), T.chunk_keywords(content).alias("keywords"), embedding.content_key(content).alias("hash"), content.alias("content"),
-        )
+        return chunking.text_pieces(docs.select("doc_id", "lang", "file_time", "file", "text"), "text", self.chunk_tokens)
 
     def take(self, docs: DataFrame, batch: int) -> dict:
         """Add a batch of documents; returns what was read and written."""
@@ -66,11 +59,11 @@ class ContentIndex:
         out = {"batch": batch, **read.get, **made.get, "embedded": 0, "failed": 0}
         if mine is None:
             return out
-        contents = mine.where((F.col("batch") == batch) & F.col("seq").isNotNull()).select("hash", "content")
+        contents = mine.where((F.col("batch") == batch) & F.col("seq").isNotNull()).select("hash", "content", "tokens")
         path = f"{self.root}/vectors"
         spark.createDataFrame([], VECTORS).write.mode("ignore").parquet(path)  # so that there is a table to look up
         new = embedding.missing(contents, spark.read.schema(VECTORS).parquet(path))
-        vectors = embedding.embed_requests(new, self.model, "content", self.max_texts, self.max_tokens, text_tokens=1 << 30)
+        vectors = embedding.embed_requests(new, self.model, "content", self.max_texts, self.max_tokens, text_tokens=1 << 30, tokens="tokens")
         vectors = vectors.observe(fresh, F.count("embedding").alias("embedded"), F.count("error").alias("failed"))
         vectors.where("embedding is not null").select("hash", "embedding").write.mode("append").parquet(path)
         out |= fresh.get
