@@ -7,12 +7,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from tessera.functions import fixed
 from tessera.functions import text as T
@@ -112,10 +113,57 @@ def scored_keywords(df: DataFrame, key: str, text: str, most: int = 10, corpus:
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(key, F.col("word").alias("keyword"), "score", "rank")
 
 
+#: functions.text.identifier_words: what is left out, in this order; a comment ends where Java ends a line.
+_LINE = "[^\n\r\x85  ]*"
+_IGNORED = tuple(map(re.compile, ("//" + _LINE, r"/\*[\s\S]*?\*/", "#" + _LINE, '"[^"]*"', "'[^']*'", "`[^`]*`")))
+_NAME, _CAMEL, _BREAK = re.compile("(?<![A-Za-z0-9_])[a-zA-Z_][a-zA-Z0-9_]*"), re.compile("([a-z])([A-Z])"), re.compile("[_ ]+")
+_NO_IDENTIFIER = frozenset(fixed.IDENTIFIER_STOP_WORDS)
+
+
+@lru_cache(maxsize=100_000)
+def _parts(name: str) -> tuple[str, ...]:
+    found = _BREAK.split(_CAMEL.sub(r"\1 \2", name).lower())
+    return tuple(w for w in found if len(w) > 2 and w not in _NO_IDENTIFIER)
+
+
+def _identifier_counts(text: str, most: int | None) -> list[tuple[str, int, int]]:
+    """(word, first place, number) of the parts of a text's identifiers, the most frequent first."""
+    for pattern in _IGNORED:
+        text = pattern.sub("", text)
+    words = [w for name in _NAME.findall(text) for w in (_parts(name) if len(name) <= 64 else _parts.__wrapped__(name))]
+    places: dict[str, int] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, i)
+    n = Counter(words)
+    return sorted(((w, i, n[w]) for w, i in places.items()), key=lambda x: (-x[2], x[1]))[:most]
+
+
+def identifier_counts(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """key, word, pos, n and rank of the parts of each row's identifiers (the `most` most frequent), counted in Arrow batches: nothing is shuffled."""
+    rows_in = df.select(F.col(key), F.col(text).alias("__t"))
+    schema = StructType(rows_in.schema.fields[:1]).add("word", StringType()).add("pos", IntegerType()).add("n", LongType()).add("rank", IntegerType())
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for lo in range(0, len(whole), 256):
+                b = whole.slice(lo, 256)
+                found = [(i, r, *x) for i, t in enumerate(b.column(1)) if t.is_valid for r, x in enumerate(_identifier_counts(t.as_py(), most), 1)]
+                at, rank, word, pos, n = zip(*found, strict=True) if found else ([],) * 5
+                made = [pa.array(word, pa.string()), pa.array(pos, pa.int32()), pa.array(n, pa.int64()), pa.array(rank, pa.int32())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], schema.names)
+
+    ship(df.sparkSession)
+    return rows_in.mapInArrow(rows, schema)
+
+
 def identifier_keywords(df: DataFrame, key: str, text: str, most: int = 10, corpus: DataFrame | None = None) -> DataFrame:
-    """key, keyword and rank of parts of identifiers, by frequency or, with a corpus, by positive tf-idf."""
-    words = df.select(key, F.posexplode(T.identifier_words(F.col(text))).alias("pos", "word"))
-    counted = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    """key, keyword and rank of parts of identifiers, by frequency or, with a corpus, by positive tf-idf.
+
+    Words are counted inside their row. Without a corpus nothing else is done, unless keys repeat: then the counts of rows
+    with the same key are added up."""
+    if corpus is None and df.groupBy(key).count().where(F.col("count") > 1).isEmpty():
+        return identifier_counts(df, key, text, most).select(key, F.col("word").alias("keyword"), "rank")
+    counted = identifier_counts(df, key, text).groupBy(key, "word").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
     if corpus is None:
         scored = counted.withColumn("score", F.col("n").cast("double"))
     else:
