@@ -10,9 +10,8 @@ import contextlib
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -39,21 +38,18 @@ class FileChanges(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "hash string, seq bigint, deleted boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen = sorted((r for part in rows for r in part[["seq", "hash", "deleted"]].itertuples(index=False)), key=lambda r: r.seq)
-        state = self.last.get() if self.last.exists() else (None, -1, True)
-        out = []
-        for r in seen:
-            if r.seq <= state[1]:  # older than what is known
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = sorted(((r.seq, r.hash, r.deleted) for r in rows), key=lambda r: r[0])
+        was = state = self.last.get() or (None, -1, True)
+        for seq, hash_, deleted in seen:
+            if seq <= state[1]:  # older than what is known
                 continue
-            change = ("added" if state[2] else "modified" if r.hash != state[0] else None) if not r.deleted else (None if state[2] else "deleted")
-            state = (None if r.deleted else r.hash, int(r.seq), bool(r.deleted))
+            change = ("added" if state[2] else "modified" if hash_ != state[0] else None) if not deleted else (None if state[2] else "deleted")
+            state = (None if deleted else hash_, seq, deleted)
             if change:
-                out.append((key[0], change, state[0], state[1]))
-        if seen:
+                yield Row(path=key[0], change=change, hash=state[0], seq=seq)
+        if state != was:
             self.last.update(state)
-        if out:
-            yield pd.DataFrame(out, columns=["path", "change", "hash", "seq"])
 
     def close(self) -> None:
         pass
@@ -66,7 +62,7 @@ def file_changes(feed: DataFrame) -> DataFrame:
     rows = feed.select(
         "path", F.col("seq").cast("long").alias("seq"), "hash", F.coalesce("deleted", F.lit(False)).alias("deleted")
     ).where("path is not null and seq is not null")
-    return rows.groupBy("path").transformWithStateInPandas(FileChanges(), "path string, change string, hash string, seq bigint", "Append", "None")
+    return rows.groupBy("path").transformWithState(FileChanges(), "path string, change string, hash string, seq bigint", "Append", "None")
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -84,34 +80,40 @@ class Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "n bigint, last bigint, at_ms bigint")
-        self.seen = handle.getMapState("seen", "id bigint", "at_ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, last, at = self.state.get() if self.state.exists() else (0, -1, -1)
-        fresh = []
-        for part in rows:
-            for trigger, when in zip(part["trigger"].tolist(), part["at_ms"].tolist(), strict=True):
-                if not self.seen.containsKey((trigger,)):
-                    self.seen.updateValue((trigger,), (when,))
-                    fresh.append((when, trigger))
+        self.recent = handle.getListState("recent", "id bigint, at_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """The triggers that may repeat are read and written as one list, not one by one."""
+        was = self.state.get()
+        known = dict(self.recent.get()) if was else {}
+        fresh: dict[int, int] = {}
+        for r in rows:
+            if r.trigger not in known and r.trigger not in fresh:
+                fresh[r.trigger] = r.at_ms
         if not fresh:
             return
+        n, last, at = was or (0, -1, -1)
         n += len(fresh)
-        at, last = max((at, last), max(fresh))
+        at, last = max((at, last), max((when, trigger) for trigger, when in fresh.items()))
         self.state.update((n, last, at))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(at + self.idle)
+        if was is None or was[2] != at:  # its timer is that of its newest trigger
+            if was is not None:
+                self.handle.deleteTimer(was[2] + self.idle)
+            self.handle.registerTimer(at + self.idle)
         mark = timerValues.getCurrentWatermarkInMs()
-        for (trigger,) in [k for k in self.seen.keys() if self.seen.getValue(k)[0] < mark]:  # Spark drops what could repeat these
-            self.seen.removeKey((trigger,))
-        yield pd.DataFrame({"key": [key[0]], "triggers": [n], "last": [last], "at_ms": [at], "idle": [False]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        old = [x for x in known.items() if x[1] >= mark]  # Spark drops what could repeat the others
+        new = [x for x in fresh.items() if x[1] >= mark]
+        if len(old) < len(known):
+            self.recent.put(old + new) if old or new else self.recent.clear()
+        elif new:
+            self.recent.appendList(new)
+        yield Row(key=key[0], triggers=n, last=last, at_ms=at, idle=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         n, last, at = self.state.get()
         self.state.clear()
-        self.seen.clear()
-        yield pd.DataFrame({"key": [key[0]], "triggers": [n], "last": [last], "at_ms": [at], "idle": [True]})
+        self.recent.clear()
+        yield Row(key=key[0], triggers=n, last=last, at_ms=at, idle=True)
 
     def close(self) -> None:
         pass
@@ -126,7 +128,7 @@ def trigger_sessions(triggers: DataFrame, lateness: str = "5 minutes", idle_ms:
     rows = rows.select("key", "trigger", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness)
     rows = rows.withColumn("at_ms", F.unix_millis("ts"))
     key = triggers.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.groupBy("key").transformWithState(
         Sessions(idle_ms), f"key {key}, triggers bigint, last bigint, at_ms bigint, idle boolean", "Append", "EventTime"
     )
 
