@@ -52,6 +52,53 @@ def _scores(rows: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     return np.round(out, 12)
 
 
+#: Scores that one step of a task holds: rows times queries.
+STEP = 1 << 20
+
+
+class Best:
+    """The k best rows of each query of a task, as batches of rows come: k rows a query are held, and one step's scores."""
+
+    def __init__(self, queries: int, k: int, metric: str):
+        self.k, self.metric, self.rising = k, metric, METRICS[metric][1]
+        self.bar = np.full(queries, np.inf)  # a query's k-th score so far, the least the best
+        self.q, self.ids, self.score = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, x: np.ndarray, ids: pa.Array, numbers: np.ndarray, matrix: np.ndarray) -> None:
+        """Compare rows (vectors x, ids) with queries (their numbers and vectors); of ties with the k-th row the least ids stay."""
+        found = []
+        step = max(1, STEP // max(1, len(x)))
+        for lo in range(0, len(numbers), step):
+            some = numbers[lo : lo + step]
+            score = _scores(x, matrix[lo : lo + step], self.metric)
+            good = np.nan_to_num(-score if self.rising else score, nan=np.inf)
+            limit = self.bar[some]
+            if len(x) > self.k:
+                limit = np.minimum(limit, np.partition(good, self.k - 1, axis=0)[self.k - 1])
+            r, c = np.nonzero((good <= limit) & np.isfinite(good))  # ties with the k-th stay until ids decide
+            found.append((some[c], r, score[r, c]))
+        q, r, score = (np.concatenate(part) for part in zip(*found, strict=True)) if found else ([],) * 3
+        if not len(q):
+            return
+        new = ids.take(pa.array(r))
+        q, score = np.concatenate([self.q, q]), np.concatenate([self.score, score])
+        new = new if self.ids is None else pa.concat_arrays([self.ids, new])
+        place = pc.rank(new, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
+        good = -score if self.rising else score
+        order = np.lexsort((place, good, q))
+        first = np.searchsorted(q[order], q[order])
+        kept = order[np.arange(len(order)) - first < self.k]
+        self.q, self.ids, self.score = q[kept], new.take(pa.array(kept)), score[kept]
+        held = np.bincount(self.q, minlength=len(self.bar))
+        last = np.cumsum(held) - 1
+        full = held == self.k
+        self.bar[full] = good[kept][last[full]]
+
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(self.q.astype(np.int32)), self.ids, pa.array(self.score)], ["q", "id", "score"])
+
+
 def batch_top_k(
     queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "COSINE", key: str = "id", query_key: str = "query_id",
     query_bytes: int = 8 << 20
@@ -59,7 +106,8 @@ def batch_top_k(
     """The k best vectors of each query row (query_key, query): a stated set of queries against all rows, in blocks.
 
     A block of queries, bounded by bytes, is sent to all tasks as one matrix. A task multiplies its batches of rows by
-    it and keeps k rows a query, so what reaches the rank is k rows a query and task, whatever the number of rows."""
+    it, some queries at a time, and keeps k rows a query, so what reaches the rank is k rows a query and task, whatever
+    the number of rows, and a task holds STEP scores, whatever the number of queries."""
     _, rising = METRICS[metric]
     spark = vectors.sparkSession
     rows = queries.select(query_key, F.col("query").cast("array<double>").alias("query"))
@@ -71,36 +119,18 @@ def batch_top_k(
     schema = f"q int, id {vectors.schema[key].dataType.simpleString()}, score double"
     ship(spark)
 
-    def best(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def keep(q: np.ndarray, ids: pa.Array, score: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-            place = pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
-            order = np.lexsort((place, -score if rising else score, q))
-            q, score = q[order], score[order]
-            first = np.searchsorted(q, q)
-            some = np.arange(len(q)) - first < k
-            return q[some], ids.take(pa.array(order[some])), score[some]
-
+    def best(block, many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
+            held = Best(many, k, metric)
             for b in batches:
                 column = b.column(1)
                 lengths, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
                 starts = np.cumsum(lengths) - lengths
                 for dims, (numbers, matrix) in block.value.items():
                     of = np.flatnonzero(lengths == dims)
-                    if not len(of):
-                        continue
-                    score = _scores(flat[starts[of][:, None] + np.arange(dims)], matrix, metric)
-                    good = np.nan_to_num(-score if rising else score, nan=np.inf)
-                    top = np.argpartition(good, k - 1, axis=0)[:k] if len(of) > k else np.repeat(np.arange(len(of))[:, None], len(numbers), 1)
-                    limit = np.max(np.take_along_axis(good, top, 0), axis=0)
-                    r, c = np.nonzero((good <= limit) & np.isfinite(good))  # ties with the k-th stay until ids decide
-                    new = numbers[c], b.column(0).take(pa.array(of[r])), score[r, c]
-                    held = keep(*new) if held is None else keep(
-                        np.concatenate([held[0], new[0]]), pa.concat_arrays([held[1], new[1]]), np.concatenate([held[2], new[2]])
-                    )
-            if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), held[1], pa.array(held[2])], ["q", "id", "score"])
+                    if len(of):
+                        held.add(flat[starts[of][:, None] + np.arange(dims)], b.column(0).take(pa.array(of)), numbers, matrix)
+            yield from held.batch()
 
         return run
 
@@ -112,7 +142,7 @@ def batch_top_k(
             at = [i for i, r in enumerate(some) if r.query and len(r.query) == dims and None not in r.query]
             matrices[dims] = np.array(at), np.array([some[i].query for i in at])
         names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(some)], StructType([StructField("q", IntegerType()), rows.schema[query_key]]))
-        scored = pairs.mapInArrow(best(spark.sparkContext.broadcast(matrices)), schema)
+        scored = pairs.mapInArrow(best(spark.sparkContext.broadcast(matrices), len(some)), schema)
         found.append(scored.join(F.broadcast(names), "q").drop("q"))  # as many rows as queries in the block
     scored = reduce(DataFrame.unionByName, found).select(query_key, F.col("id").alias(key), "score")
     order = F.col("score").desc() if rising else F.col("score").asc()
