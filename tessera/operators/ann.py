@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.vectors import METRICS
+from tessera.operators.search import Best, batch_top_k
 from tessera.session import ship
 
 SUB, WORDS, MOST_CELLS = 2, 256, 1 << 14
 #: Numbers that one step of a task holds: rows times queries times groups.
 STEP = 1 << 22
+#: Rows that codes name for a block of queries: so many can be sent to all tasks. Where there may be more, vectors are compared where they are read.
+NAMED = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -163,16 +166,42 @@ def probes(q: np.ndarray, model: Model, probe: int) -> np.ndarray:
     return cells[np.argsort(-near, axis=1, kind="stable")[:, :probe]]
 
 
+def _by_cell(q: np.ndarray, model: Model, probe: int) -> dict[int, np.ndarray]:
+    """The queries of each cell that some query is to be looked for in."""
+    found = probes(q, model, probe)
+    order = np.argsort(found, axis=None, kind="stable")
+    cells, first = np.unique(found.ravel()[order], return_index=True)
+    return {int(c): of // found.shape[1] for c, of in zip(cells, np.split(order, first[1:]), strict=True)}
+
+
 def _block(numbers: np.ndarray, q: np.ndarray, model: Model, probe: int) -> tuple:
     """What a task needs of a block of queries: for each cell its queries, table entries, and products with centroids."""
-    found = probes(q, model, probe)
-    by_cell: dict[int, np.ndarray] = {int(c): np.flatnonzero((found == c).any(axis=1)) for c in np.unique(found)}
+    by_cell = _by_cell(q, model, probe)
     parts = padded(q).reshape(len(q), -1, SUB)
     table = np.einsum("qgs,gws->qgw", parts, model.words).astype(np.float32)
     base = {c: (q[of] @ model.centroids[c]).astype(np.float32) for c, of in by_cell.items()}
     return numbers, by_cell, table, base, model.metric
 
 
+def _cell_scores(block, k: int, dims: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's k best rows of each query: all rows of the cells nearest to it are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, by_cell, q = block.value
+        held = Best(int(numbers.max()) + 1, k, metric)
+        for b in batches:
+            good, x = usable(b.column(2), dims, "IP")  # scores are those of the vectors as they are
+            cell = np.asarray(b.column(1))[good]
+            for c in np.unique(cell):
+                of = by_cell.get(int(c))
+                if of is not None:
+                    at = np.flatnonzero(cell == c)
+                    held.add(x[at], b.column(0).take(pa.array(good[at])), numbers[of], q[of])
+        yield from held.batch()
+
+    return run
+
+
 def _code_scores(block, best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's best rows of each query by their codes."""
 
@@ -222,13 +251,16 @@ def search(
 
     rows: key, embedding, cell, code, size, and what a filter before this needs. Only the cells that some query of a
     block is nearest to are read, first their codes, then the vectors of the best rows; with all cells probed and as
-    many rows refined as there are, the result is exact."""
+    many rows refined as there are, the result is exact. Where the best rows of all queries are more than can be sent
+    to all tasks (NAMED), or the queries' tables more than one block, the vectors of those cells are read at once and all
+    compared in their task, which keeps k rows a query: no row that codes would name is missed, and no name is sent."""
     spark, best = rows.sparkSession, k * refine
     dims = model.centroids.shape[1]
     asked = queries.select(query_key, F.col("query").cast("array<double>").alias("query"))
-    size = asked.agg(F.sum(F.size("query") * 8 + 16)).first()[0] or 0
-    table_bytes = 1 + model.words.shape[0] * WORDS * 4 // max(1, dims * 8)  # a query's table beside the query
-    parts = -(-size * table_bytes // query_bytes) or 1
+    row = asked.agg(F.sum(F.size("query") * 8 + 16).alias("size"), F.count("*").alias("n")).first()
+    size, table_bytes = row["size"] or 0, 1 + model.words.shape[0] * WORDS * 4 // max(1, dims * 8)  # a query's table beside the query
+    by_code = size * table_bytes <= query_bytes and row["n"] * best <= NAMED
+    parts = 1 if by_code else -(-size // query_bytes) or 1
     function, rising = METRICS[model.metric]
     id_type = rows.schema[key].dataType.simpleString()
     found = []
@@ -239,8 +271,22 @@ def search(
         good, q = usable(column, dims, model.metric)
         if not len(good) or not len(model.cells):
             continue
+        names = spark.createDataFrame(
+            [(i, r.query, r[query_key]) for i, r in enumerate(some)],
+            StructType([*asked.select(F.lit(0).alias("q"), "query").schema.fields, asked.schema[query_key]])
+        )
+        if not by_code:
+            by_cell = _by_cell(q, model, probe)
+            of_cells = rows.where(F.col("cell").isin(list(by_cell)))
+            block = good, by_cell, np.array([some[i].query for i in good])
+            near = of_cells.select(key, "cell", "embedding").mapInArrow(
+                _cell_scores(spark.sparkContext.broadcast(block), k, dims, model.metric), f"q int, id {id_type}, score double"
+            )
+            scored = near.join(F.broadcast(names.drop("query")), "q")  # as many rows as queries in the block
+            found.append(scored.select(query_key, F.col("id").alias(key), "score"))
+            continue
         block = _block(good, q, model, probe)
-        of_cells = rows.where(F.col("cell").isin([int(c) for c in block[1]]))
+        of_cells = rows.where(F.col("cell").isin(list(block[1])))
         near = of_cells.select(key, "cell", "code", "size").mapInArrow(
             _code_scores(spark.sparkContext.broadcast(block), best), f"q int, cell int, id {id_type}, near double"
         )
@@ -248,12 +294,8 @@ def search(
         chosen = near.withColumn("r", rank).where(F.col("r") <= best).select(
             "q", F.col("cell").alias("in_cell"), F.col("id").alias("of_id")
         ).distinct()
-        names = spark.createDataFrame(
-            [(i, r.query, r[query_key]) for i, r in enumerate(some)],
-            StructType([*asked.select(F.lit(0).alias("q"), "query").schema.fields, asked.schema[query_key]])
-        )
         same = (F.col("cell") - F.col("in_cell") == 0) & (F.col(key) == F.col("of_id"))  # cells are listed: nothing is left for dynamic pruning
-        held = of_cells.select("cell", key, "embedding").join(F.broadcast(chosen), same)  # best rows a query of the block
+        held = of_cells.select("cell", key, "embedding").join(F.broadcast(chosen), same)  # at most NAMED rows
         scored = held.join(F.broadcast(names), "q").select(query_key, key, function(F.col("embedding"), F.col("query")).alias("score"))
         found.append(scored.where("score is not null"))
     if not found:
@@ -286,8 +328,6 @@ def split_cells(rows: DataFrame, model: Model, most: int, sample: int = 20_000)
 def calibrated(rows: DataFrame, model: Model, k: int = 10, target: float = 0.95, queries: int = 100, key: str = "id") -> tuple[int, int]:
     """(probe, refine): how many rows to compare exactly for each one asked for, and how many cells to search, so that a
     sample of the rows, as queries, has the recall asked for; powers of two, the least ones found from below."""
-    from tessera.operators.search import batch_top_k
-
     some = rows.orderBy(F.xxhash64(key, F.lit(1)), key).limit(queries).select(
         F.monotonically_increasing_id().alias("query_id"), F.col("embedding").alias("query")
     )
