@@ -230,9 +230,9 @@ class Collections:
     # ---- index ----
 
     def _index_write(self, name: str, rows: DataFrame, model: ann.Model) -> list[str]:
-        """A new batch of index rows by cell."""
+        """A new batch of index rows by cell: brought together by cell before, so files follow the cells, not cells times tasks; a large cell is cut."""
         batch = uuid.uuid4().hex
-        ann.encode(rows, model).write.partitionBy("cell").parquet(f"{self.folder.root}/{name}/index/batch={batch}")
+        ann.encode(rows, model).hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{self.folder.root}/{name}/index/batch={batch}")
         made = any(n.startswith("cell=") for n in self.folder.names(f"{name}/index/batch={batch}"))
         if not made:
             self.folder.delete(f"{name}/index/batch={batch}")
