@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tessera.functions import fixed
 from tessera.functions import text as T
+from tessera.operators import extract
 from tessera.session import ship
 
 
@@ -64,21 +65,30 @@ def split_lines(text: Column, first_line: Column, most: int = 250) -> Column:
 
 
 WORD, NOT_SPACE = re.compile("[A-Za-z0-9_]{3,}"), re.compile(f"[^{fixed.SPACE[1:]}+")
-PUNCTUATION, OPERATORS = re.compile(fixed.PUNCTUATION), re.compile(fixed.OPERATORS)
+#: White space beyond ASCII; of ASCII, bytes.split knows the same.
+WIDE_SPACE = re.compile("".join(["[", *(c for c in map(chr, range(128, 1 << 16)) if re.match(fixed.SPACE, c)), "]"]))
+PUNCTUATION, OPERATORS = (bytes(i for i in range(128) if re.match(signs, chr(i))) for signs in (fixed.PUNCTUATION, fixed.OPERATORS))
 _STOP = frozenset(fixed.CHUNK_STOP_WORDS)
 
 
-def _pieces(text: str, most: int) -> Iterator[tuple[int, int, int, str]]:
-    """First and last line, tokens and content of each piece of split_lines. A line end is white space, so words and signs of lines add up."""
+def _sizes(text: str) -> tuple[int, int]:
+    """Words with punctuation marks, and operator signs of a text: its tokens are the first and half of the second."""
+    raw = text.encode()
+    words = len(NOT_SPACE.findall(text)) if not text.isascii() and WIDE_SPACE.search(text) else len(raw.split())
+    return words + len(raw) - len(raw.translate(None, PUNCTUATION)), len(raw) - len(raw.translate(None, OPERATORS))
+
+
+def _pieces(text: str, most: int) -> Iterator[tuple[int, int, int, int, str]]:
+    """First and last line, words, signs and content of each piece of split_lines. A line end is white space, so words and signs of lines add up."""
     lines = text.split("\n")
     first, used, words, signs = 0, 0, 0, 0
     for i, line in enumerate(lines):
-        w, s = len(NOT_SPACE.findall(line)) + len(PUNCTUATION.findall(line)), len(OPERATORS.findall(line))
+        w, s = _sizes(line)
         if i > first and used + w + s // 2 > most:
-            yield first, i - 1, words + signs // 2, "\n".join(lines[first:i])
+            yield first, i - 1, words, signs, "\n".join(lines[first:i])
             first, used, words, signs = i, 0, 0, 0
         used, words, signs = used + w + s // 2, words + w, signs + s
-    yield first, len(lines) - 1, words + signs // 2, "\n".join(lines[first:])
+    yield first, len(lines) - 1, words, signs, "\n".join(lines[first:])
 
 
 def _chunk_words(text: str, most: int = 10) -> list[str]:
@@ -113,8 +123,8 @@ def text_pieces(df: DataFrame, text: str = "text", most: int = 250, step: int =
                     if x is None:
                         at.append(i), made.append((None, None, None, 0, None, None, None))
                         continue
-                    for seq, (a, z, n, content) in enumerate(_pieces(x, most)):
-                        at.append(i), made.append((seq, a + 1, z + 1, n, _chunk_words(content), hashlib.sha256(content.encode()).hexdigest(), content))
+                    for seq, (a, z, w, s, content) in enumerate(_pieces(x, most)):
+                        at.append(i), made.append((seq, a + 1, z + 1, w + s // 2, _chunk_words(content), hashlib.sha256(content.encode()).hexdigest(), content))
                 columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.select(range(len(own))).take(pa.array(at, pa.int64())).columns, *columns], schema.names)
 
@@ -217,6 +227,95 @@ def chunks(files: DataFrame, most: int = 250, merge: bool = True, strategy: str
         T.chunk_keywords(F.col("c.content")).alias("keywords"), T.count_tokens(F.col("c.content")).alias("token_count"))
 
 
+def _source_chunks(nodes: list[dict], most: int, merge: bool, gap: int = 3) -> list[tuple]:
+    """SOURCE_CHUNK of the nodes of one file: what split_nodes and merge_nodes make of them, each text counted once."""
+    pieces = []
+    for n in nodes:
+        words, signs = _sizes(n["content"])
+        if words + signs // 2 <= most:
+            pieces.append((n, n["start_line"], n["end_line"], words, signs, n["content"]))
+        else:
+            pieces += ((n, n["start_line"] + a, n["start_line"] + z, *x) for a, z, *x in _pieces(n["content"], most))
+    groups, used = [], 0
+    for p in pieces:
+        t = p[3] + p[4] // 2
+        if merge and groups and used + t <= most and p[1] - groups[-1][-1][2] <= gap:
+            groups[-1].append(p)
+            used += t
+        else:
+            groups.append([p])
+            used = t
+    out = []
+    for seq, g in enumerate(groups):
+        first, last, content = g[0], g[-1], "\n\n".join(p[5] for p in g)
+        name = ", ".join(p[0]["name"] for p in g if p[0]["name"])
+        out.append((
+            seq, content, first[1], last[2], first[0]["start_char"], last[0]["end_char"], first[0]["type"], name, _chunk_words(content),
+            sum(p[3] for p in g) + sum(p[4] for p in g) // 2
+        ))
+    return out
+
+
+#: Columns of a chunk that source_chunks makes.
+SOURCE_CHUNK = {
+    "seq": (IntegerType(), pa.int32()), "content": (StringType(), pa.string()), "start_line": (IntegerType(), pa.int32()),
+    "end_line": (IntegerType(), pa.int32()), "start_char": (IntegerType(), pa.int32()), "end_char": (IntegerType(), pa.int32()),
+    "chunk_type": (StringType(), pa.string()), "symbol_name": (StringType(), pa.string()),
+    "keywords": (ArrayType(StringType()), pa.list_(pa.string())), "token_count": (IntegerType(), pa.int32())
+}
+
+
+def source_chunks(files: DataFrame, most: int = 250, merge: bool = True, size: int = 4 << 20) -> DataFrame:
+    """files (path, language, content and others) without their contents, with file_hash (as changes.snapshot has it) and a row
+    a chunk of extract_nodes, split_nodes and merge_nodes; a file without chunks, or one that fails, has one row whose seq is null.
+
+    A file is read once, in Arrow batches; nothing is shuffled. A task holds a batch of files and about `size` characters of chunks."""
+    own = [c for c in files.columns if c != "content"]
+    rows_in, language = files.select(*own, "content"), own.index("language")
+    schema = StructType(rows_in.schema.fields[:-1]).add("file_hash", StringType())
+    for name, (kind, _) in SOURCE_CHUNK.items():
+        schema = schema.add(name, kind)
+    kinds = (pa.string(), *(kind for _, kind in SOURCE_CHUNK.values()))
+    none = (None,) * len(SOURCE_CHUNK)
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            at, made, held = [], [], 0
+
+            def out(b=b) -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([*b.select(range(len(own))).take(pa.array(at, pa.int64())).columns, *columns], schema.names)
+
+            for i, (value, kind) in enumerate(zip(b.column(len(own)), b.column(language), strict=True)):
+                content = value.as_py()
+                try:
+                    found = _source_chunks(extract.parse(content or "", kind.as_py()), most, merge)
+                except Exception:  # as in extract_nodes: a file that fails must not end the job
+                    found = []
+                key = "" if content is None else hashlib.sha256(content.encode()).hexdigest()
+                for c in found or [none]:
+                    at.append(i), made.append((key, *c))
+                held += len(content or "")
+                if held >= size:
+                    yield out()
+                    at, made, held = [], [], 0
+            if at:
+                yield out()
+
+    ship(files.sparkSession)
+    return rows_in.mapInArrow(rows, schema)
+
+
+def stored_chunks(rows: DataFrame, strategy: str = "ast-split-merge", *others: str) -> DataFrame:
+    """Rows of source_chunks with the columns that chunks() gives them, and others that they have."""
+    kept = [c for c in ("path", "language", "last_modified", *others) if c in rows.columns]
+    return rows.select(
+        T.chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("id"), *kept, "seq", "content", "start_line", "end_line",
+        "start_char", "end_char", "chunk_type", F.lit(strategy).alias("granularity"), "symbol_name", F.col("chunk_type").alias("symbol_type"),
+        "keywords", "token_count"
+    )
+
+
 def window_nodes(files: DataFrame, most: int = 250, overlap: int = 50) -> DataFrame:
     """path, language and nodes: overlapping windows of lines over whole files, which no declaration bounds."""
     node = lambda x: F.struct(

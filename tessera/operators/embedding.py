@@ -171,16 +171,25 @@ def embed_requests(df: DataFrame, model: Model, text: str = "content", max_texts
     return rows_in.mapInArrow(rows, schema)
 
 
-@lru_cache(maxsize=100_000)
-def _place(word: str, dims: int) -> int:
-    """A word's dimension; from `dims` on, the one that it is taken from."""
-    digest = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-    return digest % dims + (digest // dims % 2) * dims
+class _Places(dict):
+    """A word's dimension; from `dims` on, the one that it is taken from. The first `most` short words are kept: frequent ones come early."""
 
+    def __init__(self, dims: int, most: int = 300_000):
+        super().__init__()
+        self.dims, self.most = dims, most
 
-def _places(words: list[str], dims: int) -> list[int]:
-    """Places of words; long ones are not kept by the cache."""
-    return [_place(w, dims) if len(w) <= 64 else _place.__wrapped__(w, dims) for w in words]
+    def __missing__(self, word: str) -> int:
+        number = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+        place = number % self.dims + (number // self.dims % 2) * self.dims
+        if len(word) <= 64 and len(self) < self.most:
+            self[word] = place
+        return place
+
+
+@lru_cache
+def _places(dims: int) -> _Places:
+    """The places that a worker keeps."""
+    return _Places(dims)
 
 
 def hash_model(dims: int = 64) -> Model:
@@ -188,7 +197,8 @@ def hash_model(dims: int = 64) -> Model:
     camel, words = re.compile("([a-z])([A-Z])"), re.compile("[a-z0-9]{3,}")
 
     def embed(texts: Sequence[str]) -> list[list[float]]:
-        found = (np.array(_places(words.findall(camel.sub(r"\1 \2", text).lower()), dims), np.int64) for text in texts)
+        place = _places(dims).__getitem__
+        found = (np.array(list(map(place, words.findall(camel.sub(r"\1 \2", text).lower()))), np.int64) for text in texts)
         counts = np.stack([np.bincount(at, minlength=2 * dims) for at in found]) if len(texts) else np.zeros((0, 2 * dims))
         out = (counts[:, :dims] - counts[:, dims:]).astype(np.float64)
         size = np.sqrt((out**2).sum(axis=1))

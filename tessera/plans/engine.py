@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera import errors
 from tessera.functions import text as T
 from tessera.functions.vectors import hash_embed
-from tessera.operators import changes, chunking, extract, search, stats
+from tessera.operators import changes, chunking, search, stats
 from tessera.operators.embedding import content_key, embed_requests, hash_model, missing
 from tessera.plans import config as configs
 from tessera.plans import gitstate, logs, providers
@@ -137,21 +137,32 @@ class Engine:
 
     def chunks(self, found: DataFrame) -> DataFrame:
         """Embedded chunks of files."""
-        nodes = extract.extract_nodes(found)
-        by_file = extract.nodes_by_file(nodes).join(found.select("path", "last_modified"), "path")
-        c = self.config["indexing"]
-        out = chunking.chunks_by(c["chunkingStrategy"], found, by_file, c["maxChunkSize"], c["overlap"], self.distinct)
-        return self._embedded(out)
-
-    def _embedded(self, chunks: DataFrame) -> DataFrame:
+        return self._embedded(self._cut(found))
+
+    def _cut(self, found: DataFrame) -> DataFrame:
+        """Chunks of files with the hash of their content and of their file, written, as they are read more than once: files are read
+        once. A file without chunks has one row, whose seq is null."""
+        c, path = self.config["indexing"], f"{work_dir(self.spark, 'chunks')}/chunks"
+        strategy, found = c["chunkingStrategy"], found.select("path", "language", "last_modified", "content")
+        if self.distinct and strategy == "sliding-window":
+            out = chunking.chunks_by(strategy, found, found, c["maxChunkSize"], c["overlap"], True)
+            rows = changes.snapshot(found).withColumnRenamed("hash", "file_hash").join(out, "path", "left")
+        else:
+            whole = self.distinct and strategy == "ast-extract"
+            rows = chunking.source_chunks(found, 1 << 30 if whole else c["maxChunkSize"], not whole)
+            rows = chunking.stored_chunks(rows, strategy, "file_hash")
+        rows = rows.withColumn("hash", content_key(F.col("content")))
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _embedded(self, cut: DataFrame) -> DataFrame:
         """Chunks with the vectors of their contents: those that the store has, and new ones, which it keeps."""
         model, settings = self.model or hash_model(self.dims), self.config["embedding"]
-        work = work_dir(self.spark, "chunks")
-        chunks.withColumn("hash", content_key(F.col("content"))).write.parquet(f"{work}/chunks")  # read twice
-        chunks = self.spark.read.parquet(f"{work}/chunks")
+        chunks = cut.where("seq is not null").drop("file_hash")
         cache = f"{self.folder.root}/vectors-{self.name}"
         known = self.spark.read.schema(VECTORS).parquet(cache) if self.folder.exists(f"vectors-{self.name}") else None
-        new = embed_requests(missing(chunks.select("hash", "content"), known), model, max_texts=settings["batchSize"])
+        asked = missing(chunks.select("hash", "content", "token_count"), known)
+        new = embed_requests(asked, model, max_texts=settings["batchSize"], tokens="token_count")
         new.where("embedding is not null").select("hash", "embedding").write.mode("append").parquet(cache)
         return chunks.join(self.spark.read.schema(VECTORS).parquet(cache), "hash").drop("hash")
 
@@ -159,10 +170,10 @@ class Engine:
         name = self.folder.read("snapshot")
         return self.spark.read.parquet(f"{self.folder.root}/{name}") if name else None
 
-    def _write_snapshot(self, found: DataFrame) -> tuple[str, DataFrame]:
-        """The (path, hash) of all files, read and hashed once; it becomes the current one with _keep_snapshot."""
+    def _write_snapshot(self, snapshot: DataFrame) -> tuple[str, DataFrame]:
+        """The (path, hash) of all files, written; it becomes the current one with _keep_snapshot."""
         name = f"snapshot-{uuid.uuid4().hex}"
-        changes.snapshot(found).write.parquet(f"{self.folder.root}/{name}")
+        snapshot.write.parquet(f"{self.folder.root}/{name}")
         return name, self.spark.read.schema("path string, hash string").parquet(f"{self.folder.root}/{name}")
 
     def _keep_snapshot(self, name: str) -> None:
@@ -202,8 +213,10 @@ class Engine:
         def work() -> dict:
             found = self.discover()
             self.collections.ensure(self.name, self.dims)
-            snapshot, rows = self._write_snapshot(found)
-            self.collections.replace(self.name, self.chunks(found), self._still_ours)
+            cut = self._cut(found)
+            first = cut.where("coalesce(seq, 0) = 0")  # one row a file
+            snapshot, rows = self._write_snapshot(first.select("path", F.col("file_hash").alias("hash")))
+            self.collections.replace(self.name, self._embedded(cut), self._still_ours)
             self._keep_snapshot(snapshot)
             table = self.collections.scan(self.name)
             n = 0 if table is None else table.count()
@@ -216,7 +229,7 @@ class Engine:
 
         def work() -> dict:
             found = self.discover()
-            snapshot, now = self._write_snapshot(found)
+            snapshot, now = self._write_snapshot(changes.snapshot(found))
             change = changes.diff(self._snapshot(), now)
             if paths is not None:
                 named = self.spark.createDataFrame([(p,) for p in paths], "path string")
