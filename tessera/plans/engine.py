@@ -235,6 +235,9 @@ class Engine:
                 named = self.spark.createDataFrame([(p,) for p in paths], "path string")
                 here = now.select("path", F.lit(True).alias("here"))
                 change = named.join(here, "path", "left").select("path", F.when(F.col("here"), "modified").otherwise("deleted").alias("change"))
+            staged = f"{work_dir(self.spark, 'changes')}/changes"
+            change.write.parquet(staged)  # read for its counts, the files to read and the rows to drop: where few changed, they are broadcast
+            change = self.spark.read.schema("path string, change string").parquet(staged)
             counts = changes.change_counts(change).first().asDict()
             if sum(counts[k] for k in ("added", "modified", "deleted")):
                 self.collections.ensure(self.name, self.dims)
