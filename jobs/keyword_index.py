@@ -24,9 +24,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tessera.operators import inverted
 from tessera.plans import logs
+from tessera.session import setting
 
 LOG = logs.logger("jobs.keyword_index")
 DEFAULTS = json.loads(open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "keyword_index.json")).read())
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 TERMS = "lang string, term string, df bigint, documents bigint, idf double"
 
 
@@ -42,28 +44,27 @@ def run(spark: SparkSession, documents: str, output: str, languages: list[str] |
         StructField("score", DoubleType()), StructField("df", LongType())
     ])
 
-    def write(rows: DataFrame, name: str) -> dict:
-        kept = Observation()
-        mode = "dynamic" if languages else "static"
-        w = rows.observe(
-            kept, F.count("*").alias(name), F.collect_set("lang").alias("languages")
-        ).write.mode("overwrite").option("partitionOverwriteMode", mode)
+    def write(rows: DataFrame, name: str) -> None:
+        w = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if languages else "static")
         w.option("maxRecordsPerFile", c["rows_per_file"]).partitionBy("lang").parquet(f"{output}/{name}")
         for gone in sorted(set(languages) - set(kept.get["languages"])):  # named, but without rows now
             spark.createDataFrame([], rows.drop("lang").schema).write.mode("overwrite").parquet(f"{output}/{name}/lang={gone}")
-        return kept.get
 
-    counts = inverted.term_counts(docs).persist(StorageLevel.DISK_ONLY)  # texts are read once; a lost executor's part is counted anew
+    held = inverted.blocks(docs).persist(StorageLevel.DISK_ONLY)  # texts are read once; a lost executor's part is counted anew
+    kept = Observation()  # of the terms, which are fewer than the postings that they count
     try:
-        wrote = write(inverted.terms(docs, counts), "terms")
+        found = inverted.block_terms(docs, held).observe(
+            kept, F.count("*").alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.collect_set("lang").alias("languages")
+        )
+        write(found, "terms")
         known = spark.read.schema(TERMS).parquet(f"{output}/terms")
         known = known.where(F.col("lang").isin(languages)) if languages else known
-        rows = inverted.postings(counts, known).repartitionByRange("lang", "term", "doc_id")  # a frequent term has many tasks
-        wrote |= write(rows.sortWithinPartitions("lang", "term", "doc_id"), "postings")
+        with setting(spark, WRITERS, 4):  # rows come in the order of languages: the writer need not sort them again
+            write(inverted.block_postings(held, known), "postings")
     finally:
-        counts.unpersist()
+        held.unpersist()
     read = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first().asDict()
-    LOG.info("ended", extra={"data": {"read": documents, "wrote": output, **read, **wrote}})
+    LOG.info("ended", extra={"data": {"read": documents, "wrote": output, **read, **kept.get}})
     return table(spark, output, shape)
 
 

@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -39,6 +40,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value) -> Iterator[None]:
+    """A session's setting for a while."""
+    before = dict(spark.conf.getAll).get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Return freed memory of a Python worker to the system: workers live on, and stages to come count what they hold."""
     pa.default_memory_pool().release_unused()
