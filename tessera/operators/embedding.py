@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType
@@ -192,14 +193,31 @@ def _places(dims: int) -> _Places:
     return _Places(dims)
 
 
+#: The letters beyond ASCII whose lower case has one of ASCII; lower-case letters and digits, and a space for all other bytes.
+_LOWER = re.compile("[\u0130\u212a]")
+_PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in bytes(range(256)).lower())
+_CAMEL = "([a-z])([A-Z])"
+
+
+def _word_table(texts: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct lower-cased words and parts of identifiers of texts, and of each place in them its text and word; among the words
+    are some of fewer than three letters."""
+    spaced = pc.replace_substring_regex(pa.array(texts, pa.string()), _CAMEL, r"\1 \2").to_pylist()
+    plain = [(t.lower() if _LOWER.search(t) else t).encode().translate(_PLAIN) for t in spaced]
+    found = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
+    words = found.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(found).to_numpy())
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), text, words.indices.to_numpy()
+
+
 def hash_model(dims: int = 64) -> Model:
     """The offline embedder of functions.vectors.hash_embed as a model: unit vectors of hashed words."""
-    camel, words = re.compile("([a-z])([A-Z])"), re.compile("[a-z0-9]{3,}")
 
     def embed(texts: Sequence[str]) -> list[list[float]]:
-        place = _places(dims).__getitem__
-        found = (np.array(list(map(place, words.findall(camel.sub(r"\1 \2", text).lower()))), np.int64) for text in texts)
-        counts = np.stack([np.bincount(at, minlength=2 * dims) for at in found]) if len(texts) else np.zeros((0, 2 * dims))
+        known, (words, text, word) = _places(dims), _word_table(texts)
+        place = np.array([known[w] if len(w) > 2 else -1 for w in words], np.int64)[word]
+        at = (text * 2 * dims + place)[place >= 0]
+        counts = np.bincount(at, minlength=len(texts) * 2 * dims).reshape(len(texts), 2 * dims)
         out = (counts[:, :dims] - counts[:, dims:]).astype(np.float64)
         size = np.sqrt((out**2).sum(axis=1))
         return (out / np.where(size == 0, 1, size)[:, None]).tolist()
