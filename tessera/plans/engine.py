@@ -162,7 +162,9 @@ class Engine:
         cache = f"{self.folder.root}/vectors-{self.name}"
         known = self.spark.read.schema(VECTORS).parquet(cache) if self.folder.exists(f"vectors-{self.name}") else None
         asked = missing(chunks.select("hash", "content", "token_count"), known)
-        new = embed_requests(asked, model, max_texts=settings["batchSize"], tokens="token_count")
+        # the offline embedder waits for no server: requests side by side would only contend for the interpreter
+        pace = {"max_texts": settings["batchSize"]} if self.model else {"max_texts": max(settings["batchSize"], 512), "in_flight": 1}
+        new = embed_requests(asked, model, tokens="token_count", **pace)
         new.where("embedding is not null").select("hash", "embedding").write.mode("append").parquet(cache)
         return chunks.join(self.spark.read.schema(VECTORS).parquet(cache), "hash").drop("hash")
 
